@@ -5,7 +5,6 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
-DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
@@ -36,12 +35,3 @@ def duck():
         return c.execute(sql).df()
 
     return run
-
-
-def same_rows(a, b) -> bool:
-    """Whether two pandas frames hold the same columns and rows, in any order."""
-    if sorted(a.columns) != sorted(b.columns):
-        return False
-    cols = sorted(a.columns)
-    text = lambda f: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in f[cols].astype(object).itertuples(index=False))
-    return text(a) == text(b)

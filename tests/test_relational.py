@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from quietfield.operators import unring
 from quietfield.plans import relational
