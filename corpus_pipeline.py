@@ -16,9 +16,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters go. lang becomes the recognised one where it was null."""
     model = langid.learn(docs)
-    kept = [F.col(c) for c in docs.columns if c != "doc_id"]
+    kept = [F.col(c).alias(f"_keep_{c}") for c in docs.columns]
     found = langid.predict(docs, model, keep=kept).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return found.withColumn("_keep_lang", F.coalesce("_keep_lang", "lang_pred")).select([F.col(f"_keep_{c}").alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = simhash.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
 
 

@@ -49,13 +49,21 @@ BY_WORD = {
     "article": "article content entry post story main body maincontent articlebody",
 }
 _WORDS = {w: k for k, ws in BY_WORD.items() for w in ws.split()}
-BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "form", "comments", "notice", "ad", "share", "head"})
+#: `nested` is any of them inside an article: its words are left out, but do not end the article.
+BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "form", "comments", "notice", "ad", "share", "head", "nested"})
+#: Tags that mark up running text, weighed apart from those that lay out a page.
+TEXT_TAGS = frozenset("a abbr b blockquote br cite code dd dt em h1 h2 h3 h4 h5 h6 i img li ol p pre q s small span strong sub sup td th tr u ul".split())
 
 
 def kind_of(name: str, rest: str, inside: str) -> str:
     """Kind of a container that opens within one of kind `inside`."""
     if inside in BOILERPLATE:
         return inside
+    found = _own_kind(name, rest, inside)
+    return "nested" if inside == "article" and found in BOILERPLATE else found or inside
+
+
+def _own_kind(name: str, rest: str, inside: str) -> str | None:
     found = BY_TAG.get(name)
     if found == "header" and inside == "article":
         found = None  # an article's own heading
@@ -70,7 +78,7 @@ def kind_of(name: str, rest: str, inside: str) -> str:
                     if own in BOILERPLATE and not (own == "header" and inside == "article"):
                         return own
                     found = found or own
-    return found or inside
+    return found
 
 
 def items(page: str) -> Iterator[tuple[str, str, str]]:
@@ -136,7 +144,7 @@ def labelled_pages() -> list[tuple[str, set[int]]]:
 
 
 def _key(name: str, kind: str) -> tuple[str, str]:
-    return (name and "tag", kind)
+    return (name and ("text tag" if name in TEXT_TAGS else "tag"), kind)
 
 
 @lru_cache(maxsize=1)
@@ -156,7 +164,10 @@ def weights() -> dict[tuple[str, str], float]:
                 (inside if at in chars else outside)[_key(name, kind)] += 1
     out = {}
     for kind in BOILERPLATE | {"article", "page"}:
-        for name in ("", "tag"):
+        for name in ("", "tag", "text tag"):
+            if kind == "nested":
+                out[name, kind] = -0.02 if name else 0.0
+                continue
             odds = math.log((inside[name, kind] + 1) / (outside[name, kind] + 1)) / 4
             low, high = ((-1.0, 0.0) if kind in BOILERPLATE else (0.2, 1.0)) if not name else (-1.0, -0.02)
             out[name, kind] = max(low, min(high, odds))
