@@ -3,7 +3,9 @@
 Packing is online and bounded in space: `open_bins` bins are open at a time, found through a bitset keyed
 by free space. A piece goes to the open bin that it leaves fullest; if it fits none and all bins are open,
 the fullest one closes. Pieces are dealt over tasks of about `pieces_per_task`, each packing on its own, so
-no task grows with the corpus; a task leaves at most open_bins bins unfilled."""
+no task grows with the corpus; a task leaves at most open_bins bins unfilled. Within a task pieces arrive in
+blocks chosen by a hash, about twice as many as bins may be open, the longest of a block first: bins that long
+pieces open are then still open when the short ones come."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .encoding import encoder
 
-CAPACITY, OPEN_BINS, PIECES_PER_TASK, END_ID = 2048, 1024, 200_000, 0
+CAPACITY, OPEN_BINS, PIECES_PER_TASK, END_ID = 2048, 8192, 200_000, 0
 
 
 class BestFit:
@@ -81,7 +83,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     """pieces with sequence_id and offset. Rows need a length of 1 to capacity; other columns are carried along.
 
     pieces is read twice and should be a written table."""
-    n = max(1, -(-pieces.count() // pieces_per_task))
+    total = pieces.count()
+    n = max(1, -(-total // pieces_per_task))
+    blocks = max(1, -(-total // (n * 2 * open_bins)))
     place_of = pieces.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +96,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number + base), pa.array(offset.copy())], names=[*b.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    mixed = pieces.repartition(n).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece")
+    mixed = pieces.repartition(n).sortWithinPartitions(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)), F.desc("length"), "doc_id", "piece")
     return mixed.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
