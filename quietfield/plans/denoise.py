@@ -20,6 +20,8 @@ from quietfield.tables import cut
 AGGREGATORS = ("gaussian", "uniform", "exclusive")
 SHAPES = ("sphere", "cube")
 VST_ROUNDS = 2
+#: Up to so many images their medians are sent to all executors.
+MAX_IMAGES = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,10 +111,20 @@ def sigma_map(voxels: DataFrame, g: Geometry, groups: list[int] | None) -> DataF
 def filled(sigma: DataFrame) -> DataFrame | None:
     """The map with estimates that are not positive replaced by the median of the positive ones; None if there is none."""
     positive = F.expr("median(sigma) FILTER (WHERE sigma > 0)")
-    middle = sigma.groupBy("img").agg(positive.alias("middle"))
-    if middle.where("middle IS NULL").limit(1).count() or middle.isEmpty():
+    middle = cut(sigma.groupBy("img").agg(positive.alias("middle")))
+    n = middle.count()
+    if not n or middle.where("middle IS NULL").count():
         return None
-    return sigma.join(F.broadcast(middle), "img").select("img", "v", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("middle").cast("float")).alias("sigma"))
+    return sigma.join(F.broadcast(middle) if n <= MAX_IMAGES else middle, "img").select("img", "v", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("middle").cast("float")).alias("sigma"))
+
+
+def zero_share(result: Result, mask: DataFrame | None = None) -> float:
+    """Share of zeros among the output samples of live voxels (in the mask); over half of them means that noise_dof does not fit."""
+    rows = result.voxels.where(lattice.live(F.col("ts")))
+    if mask is not None:
+        rows = rows.join(mask.select("img", "v").distinct(), ["img", "v"], "left_semi")
+    zeros, total = rows.agg(F.sum(F.size(F.filter("ts", lambda x: x == 0))), F.sum(F.size("ts"))).first()
+    return (zeros or 0) / total if total else 0.0
 
 
 def unrung(voxels: DataFrame, nx: int, ny: int, partial_fourier: float) -> DataFrame:
