@@ -13,4 +13,6 @@ def ready(spark):
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # tasks share the cores; their linear algebra must not
+        env.setdefault(name, "1")
     return spark

@@ -154,7 +154,8 @@ class Geometry:
 
     def tile(self, stride: int = 1, budget: int = 64 << 20) -> tuple[int, int, int]:
         """Core edge of tiles: multiples of the stride, blocks with their halo within the budget of bytes if they can."""
-        core = [max(stride, -(-24 // stride) * stride)] * 3
+        edge = 24 if math.prod(-(-d // 24) for d in self.dims) >= 64 else 12  # small images in more tiles
+        core = [max(stride, -(-edge // stride) * stride)] * 3
         block = lambda c: math.prod(min(d, t + 2 * r) for t, r, d in zip(c, self.reach, self.dims, strict=True)) * self.nvol * 4
         while block(core) > budget and max(core) > max(stride, 4):
             a = core.index(max(core))
