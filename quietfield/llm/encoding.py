@@ -1,113 +1,79 @@
-"""Whole texts to token ids with a file of the tokenizers library, at the cost of their distinct words.
+"""Whole texts to token ids with a file of the tokenizers library, at the cost of their distinct units.
 
-A text is cut before every space that a non-space follows. Both kinds of vocabulary used here start a new
-unit there, so encoding the pieces one by one gives the ids of the whole text. Pieces recur, and so do the
-units inside them, so both are kept per worker process, in tables that are emptied when they are full;
-what is new is encoded by the library, many units in one call. Texts that hold the vocabulary's special
-tokens, and pieces with letters beyond Latin, go to the library as they are."""
+A vocabulary's own pattern cuts texts into units (words, numbers, marks, white space) that are encoded apart
+from each other. Units recur, so each worker process keeps a table of their ids; what is new is encoded by
+the library, many units in one call, and the table starts afresh when it is full. The pattern is only
+spelled out for printable Latin, where its classes are beyond doubt: a text with other characters is first
+cut before every space that a non-space follows, where a unit always begins, and its pieces that are not
+Latin go to the library whole, as do texts that hold the vocabulary's special tokens."""
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
+from itertools import chain
 
-import numpy as np
-import regex
+#: Printable Latin without the one letter that lower-cases to two, and its letters and numbers.
+_PLAIN = re.compile("[\n\x20-\x7e¡-įı-ſ]*")
+_L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+#: Patterns of units, fixed by the two public vocabularies.
+_BYTE_UNITS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+_WORD_UNITS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"
+assert array("I").itemsize == 4 and sys.byteorder == "little"  # what ids are written as
+_CUT = re.compile(r"(?= \S)")
+#: Texts that are looked up together.
+_GROUP = 64
 
-#: Pre-token patterns, fixed by the two public vocabularies.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
-_ODD_SPACE = re.compile(r" (?=\s)| $")
-_CUT = re.compile(r" (?=\S)")
-#: Printable Latin, without the one letter that lower-cases to two.
-_PLAIN = re.compile("[\n\x20-\x7e¡-įı-ſ]*")
+class Table(dict):
+    """Ids of units; a lookup of an unknown one gives None and notes it in `new`."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, unit: str) -> None:
+        self.new.add(unit)
 
 
 class Encoder:
-    def __init__(self, path: str, keep_pieces: int = 400_000, keep_units: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        ends = [i for t, i in vocab.items() if t.endswith("</w>")]
-        self.words = bool(ends)  # units end in a token of their own and white space is dropped
+        self.words = any(t.endswith("</w>") for t in self.tokenizer.get_vocab(with_added_tokens=False))  # lower case, no white space
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN).findall
-        if self.words:
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[ends] = True
-        else:
-            (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.keep_pieces, self.keep_units = keep_pieces, keep_units
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_units(self, new: list[str]) -> None:
-        """Encode units in one call: joined by line ends or spaces and cut apart again in the ids."""
-        together = [u for u in new if u.strip() and "\n" not in u]
-        if together:
-            ids = np.array(self.tokenizer.encode(("" if self.words else "\n") + ((" " if self.words else "\n").join(together)), add_special_tokens=False).ids, "<u4")
-            if self.words:
-                stop = np.flatnonzero(self.ends[ids]) + 1
-                spans = list(zip(np.r_[0, stop[:-1]].tolist(), stop.tolist(), strict=True)) if len(stop) else []
-            else:
-                at = np.flatnonzero(ids == self.newline)
-                spans = list(zip((at + 1).tolist(), np.r_[at[1:], len(ids)].tolist(), strict=True))
-            if len(spans) == len(together):
-                self.units.update((u, ids[a:b].tobytes()) for u, (a, b) in zip(together, spans, strict=True))
-        for u in new:
-            if u not in self.units:
-                self.units[u] = self.direct(u)
-
-    def _learn(self, table: dict[str, bytes], lead: str, new: set[str]) -> None:
-        if len(table) + len(new) > self.keep_pieces:
-            table.clear()
-        split: dict[str, list[str]] = {}
-        for piece in new:
-            whole = lead + piece
-            if _PLAIN.fullmatch(whole):
-                split[piece] = self.find(whole.lower() if self.words else whole)
-            else:
-                table[piece] = self.direct(whole)
-        if len(self.units) > self.keep_units:
-            self.units.clear()
-        unknown = {u for units in split.values() for u in units if u not in self.units}
-        if unknown:
-            self._learn_units(list(unknown))
-        units = self.units
-        for piece, parts in split.items():
-            table[piece] = units[parts[0]] if len(parts) == 1 else b"".join([units[u] for u in parts])
+        self.find = re.compile(_WORD_UNITS if self.words else _BYTE_UNITS).findall
+        self.known = Table()
+        self.keep = keep
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def units(self, text: str) -> list[str]:
+        """Strings whose ids, one after the other, are the text's."""
+        if any(s in text for s in self.specials):
+            return [text]
+        if _PLAIN.fullmatch(text):
+            return self.find(text.lower() if self.words else text)
+        return list(chain.from_iterable(self.find(p.lower() if self.words else p) if _PLAIN.fullmatch(p) else [p] for p in _CUT.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for text in texts:
-            if any(s in text for s in self.specials):
-                out.append(self.direct(text))
-                continue
-            head, *rest = text.split(" ") if self.words or not _ODD_SPACE.search(text) else _CUT.split(text)
-            if head not in self.first:
-                self._learn(self.first, "", {head})
-            ids = self.first[head]
-            if rest:
-                later = self.later
-                try:
-                    out.append(ids + b"".join([later[p] for p in rest]))
-                    continue
-                except KeyError:
-                    missing = {p for p in rest if p not in later}
-                    if len(later) + len(missing) > self.keep_pieces:
-                        missing = set(rest)
-                    self._learn(later, " ", missing)
-                    ids += b"".join([later[p] for p in rest])
-            out.append(ids)
+        for at in range(0, len(texts), _GROUP):
+            if len(self.known) > self.keep:
+                self.known = Table()
+            known = self.known
+            group = [self.units(t) for t in texts[at : at + _GROUP]]
+            found = [list(map(known.__getitem__, units)) for units in group]
+            new, known.new = list(known.new), set()
+            known.update(zip(new, self.library(new), strict=True))
+            for units, ids in zip(group, found, strict=True):
+                out.append(b"".join([known[u] if i is None else i for u, i in zip(units, ids, strict=True)] if None in ids else ids))
         return out
 
 
