@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield import ready
-from quietfield.llm import exact_dedup, langid, mixing, packing, simhash
+from quietfield.llm import exact_dedup, langid, mixing, packing, similar
 from quietfield.llm.common import cut
 
 #: No SQL: the stages train a model, hash shingles, rake weights and run a tokenizer.
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id."""
-    gone = simhash.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """One document of each class of near-duplicates (5-word shingles, similarity 0.8), the one with the smallest id."""
+    gone = similar.similar_documents(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
 
 

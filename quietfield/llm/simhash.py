@@ -1,6 +1,6 @@
 """SimHash fingerprints and near-duplicate classes through a Gray-order hierarchical index.
 
-Fingerprints are 64-bit SimHashes over 3-word shingles. Two fingerprints link at `radius` or fewer
+Fingerprints are 64-bit SimHashes over shingles of `width` words, 3 by default. Two fingerprints link at `radius` or fewer
 differing bits, and documents reachable over links form a class.
 
 How links are found. The 64 bits are cut into `blocks` blocks; two fingerprints within the radius
@@ -32,30 +32,40 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64
 SEED = 42
 
 
-def fingerprint(text: bytes) -> int:
-    """SimHash of UTF-8 text: A-Z lower-cased, ASCII white space splits words, 3-word shingles with repeats."""
+def shingles(text: bytes, width: int = 3) -> np.ndarray:
+    """Hashes of a UTF-8 text's shingles with repeats: A-Z lower-cased, ASCII white space splits words. Fewer words than width are one shingle."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) < 3:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-3] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[2:].tolist(), strict=True)]
-    octets = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-width] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Each bit's majority over the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """SimHash of a UTF-8 text's shingles."""
+    return simhash_of(shingles(text, width))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp: long with the fingerprint's 64 bits) for each row. Null text counts as empty: fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t or b"", width) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, fp long")
@@ -177,14 +187,14 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, blocks: int = 6) -> Dat
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 6, width: int = 3) -> DataFrame:
     """(id, fp, component_id) for each row: its fingerprint and the smallest id of its class.
 
     A null id takes part as the id -2**63 and is returned as null; its class id is then null. Repeated
     rows share one class. Empty and null texts have fingerprint 0 and link like any other. An empty
     table gives an empty result. Other columns are not read."""
     least = -(1 << 63)
-    rows = cut(fingerprints(docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(least))), "_id", text_col))
+    rows = cut(fingerprints(docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(least))), "_id", text_col, width))
     nodes = cut(rows.groupBy("fp").agg(F.min("_id").alias("node")))
     found = connected_components(fingerprint_links(nodes, radius, blocks)).withColumnRenamed("component", "root")
     known = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
