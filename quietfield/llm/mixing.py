@@ -10,6 +10,7 @@ larger one is fitted by aggregations and joins over its written form."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -23,6 +24,8 @@ AXES = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 BUDGET = 0.7
 MAX_CELLS = 200_000
+#: Raking stops when the worst marginal is off by less than this share; after so many rounds, or in a standstill, it reports what is left.
+TOLERANCE, ROUNDS = 1e-9, 200
 
 
 def topic(text: Column) -> Column:
@@ -61,9 +64,19 @@ def targets(sums: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / whole for k, v in raised.items()}
 
 
-def rake(tokens: np.ndarray, axes: list[np.ndarray], goals: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def _report(worst: float, rounds: int, tolerance: float) -> None:
+    if worst >= tolerance:
+        warnings.warn(f"raking left a marginal off by {worst:.3g} of all tokens after {rounds} rounds; the targets may not be reachable", RuntimeWarning, stacklevel=3)
+
+
+def stalled(errors: list[float], span: int = 10, least: float = 1e-4) -> bool:
+    """Whether the error has stayed the same, to a relative `least`, over the last `span` rounds: unreachable targets end in a cycle."""
+    return len(errors) > span and max(errors[-span - 1 :]) - min(errors[-span - 1 :]) <= least * errors[-1]
+
+
+def rake(tokens: np.ndarray, axes: list[np.ndarray], goals: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Shares of cells, started from their tokens, that meet every axis's goals. axes: a cell's value on each axis."""
-    share = tokens / tokens.sum()
+    share, errors = tokens / tokens.sum(), []
     for _ in range(rounds):
         worst = 0.0
         for at, goal in zip(axes, goals, strict=True):
@@ -71,21 +84,25 @@ def rake(tokens: np.ndarray, axes: list[np.ndarray], goals: list[np.ndarray], ro
             scale = np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)
             worst = max(worst, np.abs(sums - goal).max())
             share = share * scale[at]
-        if worst < tolerance:
+        errors.append(worst)
+        if worst < tolerance or stalled(errors):
             break
+    _report(worst, len(errors), tolerance)
     return share / share.sum()
 
 
 def probabilities(tokens: np.ndarray, share: np.ndarray, budget: float) -> np.ndarray:
     """min(1, factor * share / tokens) with the factor that spends the budget, a part of all tokens."""
-    ratio, goal = share / tokens, min(1.0, budget) * tokens.sum()
-    low, high = 0.0, tokens.sum() / max(share[share > 0].min(), 1e-300) if (share > 0).any() else 1.0
-    for _ in range(200):
-        mid = np.sqrt(low * high) if low > 0 else high / 2**20
-        low, high = (mid, high) if (np.minimum(1, mid * ratio) * tokens).sum() < goal else (low, mid)
-        if high - low <= 1e-12 * high:
-            break
-    return np.minimum(1, high * ratio)
+    if budget >= 1:
+        return (share > 0).astype(float)
+    goal, n = budget * tokens.sum(), -1
+    factor = goal
+    while True:  # capped cells are full; the others share what is left, until none is newly capped
+        capped = factor * share >= tokens
+        if np.count_nonzero(capped) <= n or not share[~capped].sum():
+            return np.minimum(1, factor * share / tokens)
+        n = np.count_nonzero(capped)
+        factor = max(factor, (goal - tokens[capped].sum()) / share[~capped].sum())
 
 
 def _small(cells: DataFrame, temperature: Mapping[str, float], budget: float) -> DataFrame:
@@ -106,8 +123,8 @@ def _small(cells: DataFrame, temperature: Mapping[str, float], budget: float) ->
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, target_share double, probability double")
 
 
-def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, rounds: int = 12, cap_rounds: int = 12) -> DataFrame:
-    """The same over a table of any size: each axis's sums are joined back to the cells, one table per round."""
+def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE, max_values: int = MAX_CELLS) -> DataFrame:
+    """The same over a table of any size, by the same stopping rules: each axis's sums are joined back to the cells, one table per round."""
     total = cells.agg(F.sum("tokens")).first()[0]
     now = cells.withColumn("share", F.col("tokens") / F.lit(float(total)))
     goals = {}
@@ -115,21 +132,32 @@ def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, ro
         g = now.groupBy(axis).agg(F.pow(F.sum("share"), F.lit(temperature[axis])).alias("goal"))
         whole = g.agg(F.sum("goal")).first()[0]
         goals[axis] = cut(g.withColumn("goal", F.col("goal") / F.lit(whole)))
+    errors = []
     for _ in range(rounds):
+        worst = 0.0
         for axis in AXES:
-            scale = now.groupBy(axis).agg(F.sum("share").alias("found")).join(goals[axis], axis).select(axis, (F.col("goal") / F.col("found")).alias("scale"))
-            now = with_groups(now, scale, axis, AXES).withColumn("share", F.col("share") * F.col("scale")).drop("scale")
+            found = now.groupBy(axis).agg(F.sum("share").alias("found")).join(goals[axis], axis)
+            scale = cut(found.select(axis, (F.col("goal") / F.col("found")).alias("scale"), F.abs(F.col("found") - F.col("goal")).alias("off")))
+            off, values = scale.agg(F.max("off"), F.count("*")).first()
+            worst, scale = max(worst, off), scale.drop("off")
+            now = (now.join(F.broadcast(scale), axis) if values <= max_values else with_groups(now, scale, axis, AXES)).withColumn("share", F.col("share") * F.col("scale")).drop("scale")
         now = cut(now)
+        errors.append(worst)
+        if worst < tolerance or stalled(errors):
+            break
+    _report(worst, len(errors), tolerance)
     whole = now.agg(F.sum("share")).first()[0]
     now = now.withColumn("share", F.col("share") / F.lit(whole))
-    goal, factor = min(1.0, budget) * total, min(1.0, budget) * total
-    for _ in range(cap_rounds):  # capped cells are full; the others share what is left
-        capped = factor * F.col("share") >= F.col("tokens")
-        full, rest = now.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("share")))).first()
-        again = (goal - full) / rest if rest else factor
-        if again <= factor * (1 + 1e-9):
+    if budget >= 1:
+        return now.select(*AXES, F.col("share").alias("target_share"), F.when(F.col("share") > 0, 1.0).otherwise(0.0).alias("probability"))
+    goal, n = budget * total, -1
+    factor = goal
+    while True:  # as in probabilities
+        capped = F.lit(factor) * F.col("share") >= F.col("tokens")
+        count, full, rest = now.agg(F.count_if(capped), F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("share")))).first()
+        if count <= n or not rest:
             break
-        factor = again
+        n, factor = count, max(factor, (goal - full) / rest)
     return now.select(*AXES, F.col("share").alias("target_share"), F.least(F.lit(1.0), F.lit(factor) * F.col("share") / F.col("tokens")).alias("probability"))
 
 
