@@ -14,8 +14,12 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters go. lang becomes the recognised one where it was null."""
+    """Documents whose language is recognised; those without letters go. lang becomes the recognised one where it was null.
+
+    Where no labelled row can be learnt from there is no model: every document with letters stays as it is, lang null or not."""
     model = langid.learn(docs)
+    if model is None:
+        return langid.lettered(docs)
     kept = [F.col(c).alias(f"_keep_{c}") for c in docs.columns]
     found = langid.predict(docs, model, keep=kept).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("_keep_lang", F.coalesce("_keep_lang", "lang_pred")).select([F.col(f"_keep_{c}").alias(c) for c in docs.columns])

@@ -185,6 +185,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return frame.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, as counts() sees it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [any(map(str.isalpha, (t or "").lower())) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_())).select(range(b.num_columns - 1))
+
+    return docs.withColumn("_letters_of", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether the id falls into the quarter that is never learnt from; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
