@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietfield.tables import cut, scratch_path, shared_dir
+
+__all__ = ["SPACE", "WORD", "at_places", "cut", "let", "placeable", "scratch_path", "shared_dir", "with_groups", "with_places", "without_places"]
+
 #: White space of the text contracts (space and U+0009..U+000D), as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word of the text contracts.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quietfield-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table or file set in the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written once as Parquet in the shared folder and read from there.
-
-    Later reads survive the loss of any executor, and nothing above is run again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Up to so many (file, row) places, counted first, are sent to all executors: about 60 MB.
+MAX_PLACES = 400_000
 
 
 def let(value: Column, body) -> Column:
@@ -56,3 +34,36 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, row_id: Sequence[s
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int"))
     spread = salted.select(key, "_salt").distinct().join(groups, key)
     return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
+def placeable(docs: DataFrame) -> DataFrame:
+    """docs, or what it holds written once as Parquet where its rows have no place in files yet."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+        return docs
+    except AnalysisException:
+        return cut(docs)
+
+
+def with_places(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of placeable docs, with _file and _row, which tell rows apart whatever they hold."""
+    place = docs.metadataColumn("_metadata")
+    return docs.select(*columns, place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+
+
+def at_places(rows: DataFrame, places: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
+    """Inner join of rows to places, both with _file and _row. Places are few beside rows, and a written table.
+
+    Up to max_places are broadcast, so that rows stay where they lie; more are joined by a shuffle."""
+    few = places.limit(max_places + 1).count() <= max_places
+    return rows.join(F.broadcast(places) if few else places.hint("shuffle_hash"), ["_file", "_row"])
+
+
+def without_places(docs: DataFrame, places: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
+    """The rows of placeable docs, all columns, that are not at places (_file, _row: a written table)."""
+    few = places.limit(max_places + 1).count() <= max_places
+    at, held = docs.metadataColumn("_metadata"), docs.columns
+    names = [f"_gone{k}_{'x'.join(held)}" for k in range(2)]  # longer than any column of docs, so none clashes
+    gone = places.select(F.col("_file").alias(names[0]), F.col("_row").alias(names[1]))
+    gone = F.broadcast(gone) if few else gone.hint("shuffle_hash")
+    return docs.join(gone, (at["file_path"] == gone[names[0]]) & (at["row_index"] == gone[names[1]]), "left_anti")

@@ -12,15 +12,17 @@ Only DataFrame operations run on the executors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, scratch_path, with_groups
+from .common import SPACE, at_places, cut, placeable, scratch_path, with_groups, with_places, without_places
 
+#: A run's digests reach the stream in about so many micro-batches, so later ones meet state that earlier ones left.
+BATCHES = 3
 #: RocksDB state with one memory bound for all stores of an executor.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -52,20 +54,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def placeable(docs: DataFrame) -> DataFrame:
-    """docs, or what it holds written once as Parquet where its rows have no place in files yet."""
-    try:
-        docs.select(docs.metadataColumn("_metadata")["row_index"])
-        return docs
-    except AnalysisException:
-        return cut(docs)
-
-
 def register(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Run the stateful query over a stream of (digest, id, _file, _row) until its source is used up.
 
     Each batch's changed entries go to out/batch=N; a batch that is repeated after a failure replaces its
-    own folder. Started again with the same checkpoint, the query knows all digests of earlier runs."""
+    own folder. Started again with the same checkpoint, the query knows all digests of earlier runs and counts batches on."""
     seen = rows.groupBy("digest").agg(F.min(F.struct("id", "_file", "_row")).alias("keeper"), F.count("*").alias("group_size"))
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -79,39 +72,49 @@ def register(rows: DataFrame, out: str, checkpoint: str) -> None:
             query.stop()
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+LIGHT = "id long, digest string, _file string, _row long, _run string"
+ENTRY = "digest string, keeper struct<id: bigint, _file: string, _row: bigint>, group_size bigint"
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: str | None = None, earlier: DataFrame | None = None, batches: int = BATCHES) -> DataFrame:
     """Per row of docs: (id, keep_id, group_size, kept, digest, _file, _row).
 
     Equal means equal after white space is normalised; of equal texts the row with the smallest id stays
-    (null ids last, repeated ids by place). Null text counts as empty. A table without rows gives none."""
+    (null ids last, repeated ids by place). Null text counts as empty, texts are compared whole, repeated rows count as rows.
+    A table without rows gives none.
+
+    state: a shared folder in which digests, the stream's checkpoint and its entries stay for later runs; a run then also knows
+    the texts of runs before it. `earlier` holds the documents of those runs, for their texts; without it a fresh folder is used.
+    Digests and locators alone go through the stream; the texts of hits are fetched by place."""
     spark = docs.sparkSession
-    docs = placeable(docs)
-    place = docs.metadataColumn("_metadata")
+    docs, base, run = placeable(docs), state or scratch_path(spark, "dedup"), uuid.uuid4().hex
     last = F.lit((1 << 63) - 1)
-    full = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("id"), normalised(docs[text_col]).alias("t"), place["file_path"].alias("_file"), place["row_index"].alias("_row"))
-    light = cut(full.select("id", digest(F.col("t")).alias("digest"), "_file", "_row"))
-
-    out, path = scratch_path(spark, "registry"), light.inputFiles()
-    entry_schema = "digest string, keeper struct<id: bigint, _file: string, _row: bigint>, group_size bigint"
-    if path:
-        stream = spark.readStream.schema(light.schema).parquet(path[0].rsplit("/", 1)[0])
-        register(stream, out, scratch_path(spark, "state"))
-    else:
-        spark.createDataFrame([], entry_schema).write.parquet(f"{out}/batch=0")
-    entries = spark.read.schema(entry_schema).parquet(f"{out}/*")
+    text = lambda d: with_places(d, normalised(d[text_col]).alias("t"))
+    rows = with_places(docs, F.coalesce(docs[id_col].cast("long"), last).alias("id"), digest(normalised(docs[text_col])).alias("digest"))
+    rows.select("id", "digest", "_file", "_row", F.lit(run).alias("_run")).write.mode("append").parquet(f"{base}/light")
+    known = spark.read.schema(LIGHT).parquet(f"{base}/light")
+    light, files = known.where(F.col("_run") == run).drop("_run"), len(known.inputFiles())
+
+    if files:
+        stream = spark.readStream.schema(LIGHT).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/light")
+        register(stream, f"{base}/entries", f"{base}/state")
+    entries = spark.read.schema(ENTRY).parquet(f"{base}/entries/batch=*") if files else spark.createDataFrame([], ENTRY)
     registry = entries.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
 
     looked = cut(with_groups(light, registry, "digest", ["id", "_file", "_row"]))
     hits = looked.where("group_size > 1")
     # the text behind each locator that has hits, next to the full text of every hit
-    wanted = hits.select("id", "_file", "_row", "digest", (F.struct("id", "_file", "_row") == F.col("keeper")).alias("first"))
-    texts = full.select("_file", "_row", "t").join(wanted.hint("shuffle_hash"), ["_file", "_row"])
-    stored = texts.where("first").select("digest", F.col("t").alias("kept_text"))
-    checked = with_groups(texts.where("not first"), stored, "digest", ["id", "_file", "_row"])
+    first = F.struct("id", "_file", "_row") == F.col("keeper")
+    own = cut(at_places(text(docs), cut(hits.select("id", "_file", "_row", "digest", first.alias("first")))))
+    stored = own.where("first").select("digest", F.col("t").alias("kept_text"))
+    if earlier is not None:
+        older = hits.select("digest", F.col("keeper._file").alias("_file"), F.col("keeper._row").alias("_row")).distinct()
+        stored = stored.unionByName(at_places(text(placeable(earlier)), cut(older)).select("digest", F.col("t").alias("kept_text"))).dropDuplicates(["digest"])
+    checked = with_groups(own.where("not first"), stored, "digest", ["id", "_file", "_row"])
     differs = cut(checked.where(~F.col("t").eqNullSafe(F.col("kept_text"))).select("id", "_file", "_row", "digest", "t"))
     if not differs.isEmpty():  # one digest, several texts: the whole texts decide
-        own = differs.groupBy("digest", "t").agg(F.min(F.struct("id", "_file", "_row")).alias("own_keeper"), F.count("*").alias("own_size"))
-        split = differs.join(own, ["digest", "t"]).select("id", "_file", "_row", "own_keeper", "own_size")
+        each = differs.groupBy("digest", "t").agg(F.min(F.struct("id", "_file", "_row")).alias("own_keeper"), F.count("*").alias("own_size"))
+        split = differs.join(each, ["digest", "t"]).select("id", "_file", "_row", "own_keeper", "own_size")
         fewer = split.join(looked.select("id", "_file", "_row", "digest"), ["id", "_file", "_row"]).groupBy("digest").agg(F.count("*").alias("gone"))
         looked = looked.join(split, ["id", "_file", "_row"], "left").join(fewer, "digest", "left").select(
             "id", "_file", "_row", "digest",
@@ -126,11 +129,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that exact_duplicates keeps, with all their columns, whatever their names."""
     docs = placeable(docs)
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("_file").alias("_gone_file"), F.col("_row").alias("_gone_row"))
-    place = docs.metadataColumn("_metadata")
-    return docs.join(gone.hint("shuffle_hash"), (place["file_path"] == F.col("_gone_file")) & (place["row_index"] == F.col("_gone_row")), "left_anti")
+    return without_places(docs, cut(exact_duplicates(docs, id_col, text_col).where("not kept").select("_file", "_row")))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
