@@ -3,29 +3,30 @@
 Fingerprints are 64-bit SimHashes over shingles of `width` words, 3 by default. Two fingerprints link at `radius` or fewer
 differing bits, and documents reachable over links form a class.
 
-How links are found. The 64 bits are cut into `blocks` blocks; two fingerprints within the radius
-agree in at least blocks - radius of them. The top nodes of the index are therefore the masked
-patterns of every choice of blocks - radius blocks: each distinct fingerprint is sent to the node of
-its own pattern under each mask (15 nodes by default), where the accumulated difference is 0. Inside a
-node fingerprints are sorted by Gray rank, consecutive ones form leaves, and each level above keeps the
-bits that all its members share and its parent does not. A search adds up the differences at those
-bits on the way down and drops a whole group once they exceed the radius. With the defaults 20 to 22
-bits are free below a top node, so a node holds at most 2**22 distinct fingerprints (32 MB) however
-large the corpus or a group of copies is; equal fingerprints are merged before they are sent.
+The index. Distinct fingerprints are sorted by their rank in the reflected Gray code and cut into ranges of
+consecutive ranks, one for each task. A range is a node: the bits that all its fingerprints share, and their values.
+Groups of nodes are factored into upper nodes, which keep the bits that all of a group share; a node keeps only what
+its upper node does not hold already. Neighbours in Gray order differ in few bits, so nodes share long patterns.
+
+The search. A fingerprint walks down from the top and adds up its differences to the patterns of the nodes on its way;
+a whole group is dropped once they exceed the radius. The upper levels, a few numbers for each range, are sent to all
+tasks and name the ranges that a fingerprint may link into; it is shuffled to those alone, and goes down the levels
+below there. With ranges that share b leading bits that is about 1 + b + b(b-1)/2 of 2**b ranges at a radius of 2, so
+the work grows with the square of the logarithm of the corpus. Every pair is met once, in the later range. Equal
+fingerprints are merged first, so a group of copies is one entry.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_groups
+from .common import cut, let, with_groups
 from .components import connected_components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -79,127 +80,163 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(fp: Column) -> Column:
+    """A long that sorts fingerprints (as longs) by Gray rank."""
+    step = lambda s: lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, s))
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = let(fp, step(s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 class GrayIndex:
-    """Hierarchy over distinct fingerprints in Gray order."""
+    """Hierarchy over entries in Gray order. An entry is a pattern of shared bits: a fingerprint shares all 64 with itself."""
 
-    def __init__(self, fps: np.ndarray, fanout: int = 8):
-        self.fps, self.fanout = fps[np.argsort(gray_rank(fps), kind="stable")], fanout
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        low, high, levels = self.fps, self.fps, []
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None, fanout: int = 8):
+        """low, high: bitwise AND and OR of what each entry holds; for fingerprints, themselves."""
+        self.fanout, high = fanout, low if high is None else high
+        nodes = [(~(low ^ high), low)]
         while len(low) > fanout:
             at = np.arange(0, len(low), fanout)
             low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
-            levels.append((~(low ^ high) & full, low))
-        self.levels = []
-        for k, (mask, pattern) in enumerate(levels):  # a node keeps what its parent does not already hold
-            above = np.repeat(levels[k + 1][0], fanout)[: len(mask)] if k + 1 < len(levels) else np.uint64(0)
-            self.levels.append((mask & ~above, mask, pattern))
-
-    def links(self, radius: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) of places in self.fps within the radius, a block of queries at a time."""
-        n, top = len(self.fps), len(self.levels)
-        for at in range(0, n, block):
-            who = np.arange(at, min(n, at + block))
-            width = len(self.levels[-1][1]) if top else n
-            query, node = np.repeat(who, width), np.tile(np.arange(width), len(who))
-            gone = np.zeros(len(query), np.int64)
-            for k in range(top - 1, -1, -1):
-                own, _, pattern = self.levels[k]
-                gone = gone + np.bitwise_count((self.fps[query] ^ pattern[node]) & own[node])
-                size = self.fanout ** (k + 1)
-                keep = (gone <= radius) & ((node + 1) * size > query)  # later places only
+            nodes.append((~(low ^ high), low))
+        self.levels = []  # from the entries up: (bits that a node adds to its upper node's, its pattern)
+        for k, (mask, pattern) in enumerate(nodes):
+            above = np.repeat(nodes[k + 1][0], fanout)[: len(mask)] if k + 1 < len(nodes) else np.uint64(0)
+            self.levels.append((mask & ~above, pattern))
+        self.visited = 0
+
+    def search(self, fps: np.ndarray, radius: int, after: np.ndarray | None = None, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in fps, entries) whose differences add up to the radius at most, a block of fps at a time.
+
+        after: for each fp the entry up to which nothing is asked for."""
+        for a in range(0, len(fps), block):
+            own = fps[a : a + block]
+            width = len(self.levels[-1][0])
+            query, node, gone = np.repeat(np.arange(len(own)), width), np.tile(np.arange(width), len(own)), np.zeros(len(own) * width, np.int64)
+            for k in range(len(self.levels) - 1, -1, -1):
+                bits, pattern = self.levels[k]
+                self.visited += len(query)
+                gone = gone + np.bitwise_count((own[query] ^ pattern[node]) & bits[node])
+                keep = gone <= radius
+                if after is not None:
+                    keep &= (node + 1) * self.fanout**k - 1 > after[a + query]
                 query, node, gone = query[keep], node[keep], gone[keep]
-                below = len(self.levels[k - 1][1]) if k else n
-                child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                query, gone = np.repeat(query, self.fanout), np.repeat(gone, self.fanout)
-                keep = child < below
-                query, node, gone = query[keep], child[keep], gone[keep]
-            keep = node > query
-            query, node = query[keep], node[keep]
-            keep = np.bitwise_count(self.fps[query] ^ self.fps[node]) <= radius
-            yield query[keep], node[keep]
-
-
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Root of each of n places, joined by pairs."""
-    root = np.arange(n)
-    for a, b in pairs:
+                if k:
+                    node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+                    query, gone = np.repeat(query, self.fanout), np.repeat(gone, self.fanout)
+                    keep = node < len(self.levels[k - 1][0])
+                    query, node, gone = query[keep], node[keep], gone[keep]
+            yield a + query, node
+
+
+class Forest:
+    """Roots of n places that pairs join; a root is the smallest place of its tree."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
         while len(a):
             x, y = root[a], root[b]
-            hi, lo = np.maximum(x, y), np.minimum(x, y)
-            keep = hi != lo
-            a, b, hi, lo = a[keep], b[keep], hi[keep], lo[keep]
-            np.minimum.at(root, hi, lo)
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            keep = high != low
+            a, b, high, low = a[keep], b[keep], high[keep], low[keep]
+            np.minimum.at(root, high, low)
             while (up := root[root]).tobytes() != root.tobytes():
                 root = up
-    return root
+        self.root = root
 
 
-def masks(blocks: int, radius: int) -> list[int]:
-    """The top nodes' masks: every choice of blocks - radius blocks of the 64 bits."""
-    edge = [round(64 * k / blocks) for k in range(blocks + 1)]
-    part = [((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in range(blocks)]
-    return [sum(c) for c in combinations(part, blocks - radius)]
+def gray_ranges(nodes: DataFrame, size: int = 1 << 14, most: int = 256, limit: int = 1 << 20) -> tuple[DataFrame, int]:
+    """nodes (fp, distinct) as a written table with its `range` of consecutive Gray ranks, and the number of ranges.
 
+    Ranges hold about `size` fingerprints while there are up to `most` of them, then more, up to `limit`."""
+    n = nodes.count()
+    count = max(1, min(-(-n // size), most), -(-n // limit))
+    return cut(nodes.repartitionByRange(count, gray_order(F.col("fp"))).withColumn("range", F.spark_partition_id())), count
 
-def fingerprint_links(nodes: DataFrame, radius: int = 2, blocks: int = 6) -> DataFrame:
-    """Edges (u, v) of node ids whose fingerprints lie within the radius, enough of them to join every linked class.
 
-    nodes: (fp long, node long), fingerprints distinct. In each top node only a spanning forest of the
-    links is returned, so rows stay below blocks-choose-radius times the nodes."""
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks(blocks, radius)]
-    sent = nodes.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("top", "pattern"))
+def fingerprint_links(nodes: DataFrame, radius: int = 2, **sizes: int) -> DataFrame:
+    """Edges (u, v) of fingerprints (long) within the radius, enough of them to join every linked class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def linked(rows: np.ndarray) -> pa.RecordBatch:
-            """rows: whole groups, [top, pattern, fp, node]."""
-            new = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-            size = np.diff(np.r_[new, len(rows)])
-            fps, node = rows[:, 2].view(np.uint64), rows[:, 3]
-            two = new[size == 2]
-            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius]
-            u, v = [node[two]], [node[two + 1]]
-            for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                own = fps[at : at + n]
-                index = GrayIndex(own)
-                ids = node[at : at + n][np.argsort(gray_rank(own), kind="stable")]
-                root = _forest(n, index.links(radius))
-                moved = np.flatnonzero(root != np.arange(n))
-                u.append(ids[moved])
-                v.append(ids[root[moved]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+    nodes: a written table of distinct fp. A range's task returns a spanning forest of its own links, and for each
+    fingerprint sent to it one link to the range's forest, which is joined where the fingerprint links several trees."""
+    table, _ = gray_ranges(nodes.select("fp"), **sizes)
+    upper = sorted(table.groupBy("range").agg(F.expr("bit_and(fp)").alias("low"), F.expr("bit_or(fp)").alias("high")).collect())  # one row for each range
+    number = np.array([r.range for r in upper], np.int64)
+    ends = [np.array([r[k] for r in upper], np.int64).view(np.uint64) for k in (1, 2)]
+    top = GrayIndex(*ends) if upper else None
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, fps = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            place = np.searchsorted(number, own)
+            for q, entry in top.search(fps.view(np.uint64), radius, after=place - 1):
+                foreign = entry != place[q]
+                yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(foreign), pa.array(fps[q])], names=["at", "foreign", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        at, held, fps, index, forest = None, [], None, None, None
+
+        def built() -> None:
+            nonlocal fps, index, forest
+            fps = np.concatenate(held)
+            fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+            index, forest = GrayIndex(fps), Forest(len(fps))
+            for q, entry in index.search(fps, radius, after=np.arange(len(fps))):
+                forest.join(q, entry)
+
+        def own_links() -> Iterator[pa.RecordBatch]:
+            if held:
+                if index is None:
+                    built()
+                moved = np.flatnonzero(forest.root != np.arange(len(fps)))
+                yield edges(fps[moved], fps[forest.root[moved]])
 
         for b in batches:
-            rows = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-            if not len(rows):
-                continue
-            last = int(np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[-1])
-            if last or (held and (held[-1][-1, :2] != rows[0, :2]).any()):
-                yield linked(np.concatenate([*held, rows[:last]]))
-                held = []
-            held.append(rows[last:])
-        if held:
-            yield linked(np.concatenate(held))
-
-    dealt = sent.select(F.col("top").cast("long"), "pattern", "fp", "node").repartition("top", "pattern").sortWithinPartitions("top", "pattern")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 6, width: int = 3) -> DataFrame:
+            where, foreign, sent = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sent = sent.view(np.uint64)
+            cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (foreign[1:] != foreign[:-1]), True])
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if where[a] != at:
+                    yield from own_links()
+                    at, held, index = where[a], [], None
+                if not foreign[a]:
+                    held.append(sent[a:z])
+                    continue
+                if index is None:
+                    built()
+                for q, entry in index.search(sent[a:z], radius):
+                    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)]) if len(q) else np.zeros(0, np.int64)
+                    forest.join(np.repeat(entry[first], np.diff(np.r_[first, len(q)])), entry)
+                    yield edges(sent[a:z][q[first]], fps[entry[first]])
+        yield from own_links()
+
+    if top is None:
+        return table.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    sent = table.select(F.col("range").cast("long"), "fp").mapInArrow(route, "at long, foreign boolean, fp long")
+    return sent.repartitionById(len(upper), F.col("at").cast("int")).sortWithinPartitions("at", "foreign").mapInArrow(link, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
     """(id, fp, component_id) for each row: its fingerprint and the smallest id of its class.
 
-    A null id takes part as the id -2**63 and is returned as null; its class id is then null. Repeated
-    rows share one class. Empty and null texts have fingerprint 0 and link like any other. An empty
-    table gives an empty result. Other columns are not read."""
+    A null id takes part as the id -2**63 and is returned as null; the id of its class is then null. Repeated rows share
+    one class, and so do rows of one id only if their texts link. Ties need no rule, as the smallest id is one value.
+    Empty and null texts have fingerprint 0 and link like any other; a text is read whole, however long. An empty table
+    gives an empty result. Other columns are not read."""
     least = -(1 << 63)
-    rows = cut(fingerprints(docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(least))), "_id", text_col, width))
-    nodes = cut(rows.groupBy("fp").agg(F.min("_id").alias("node")))
-    found = connected_components(fingerprint_links(nodes, radius, blocks)).withColumnRenamed("component", "root")
-    known = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    rows = fingerprints(docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(least))), "_id", text_col, width)
+    rows = cut(rows.withColumn("_n", F.monotonically_increasing_id()))
+    nodes = cut(rows.groupBy("fp").agg(F.min("_id").alias("least")))
+    found = connected_components(fingerprint_links(nodes, radius)).withColumnRenamed("node", "fp")
+    linked = nodes.join(found, "fp")
+    classes = cut(linked.groupBy("component").agg(F.min("least").alias("class_id")).join(found, "component").select("fp", "class_id"))
+    known = nodes.join(classes, "fp", "left").select("fp", F.coalesce("class_id", "least").alias("component_id"))
     null = lambda c: F.when(F.col(c) == least, None).otherwise(F.col(c))
-    return with_groups(rows, known, "fp", ["_id"]).select(null("_id").alias(id_col), "fp", null("component_id").alias("component_id"))
+    return with_groups(rows, known, "fp", ["_n"]).select(null("_id").alias(id_col), "fp", null("component_id").alias("component_id"))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
