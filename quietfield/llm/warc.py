@@ -15,12 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from . import files
-from .common import cut, scratch_path, with_groups
+from .common import at_places, cut, placeable, scratch_path, with_groups, with_places
 
 CAPTURE = "page_id long, url string, payload string, digest string, response_id string, refers_to string"
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, intact boolean, fields map<string,string>, payload binary"
@@ -216,20 +216,20 @@ class WarcWriter(DataSourceArrowWriter):
 def captures(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """CAPTURE rows: of equal payloads of at least min_bytes, the row with the largest id is the response.
 
-    Only ids and digests are grouped; then each page is joined to its verdict. A null payload is empty, a null
-    id counts as the smallest and comes back as null. Repeated rows of one id are told apart by their order
-    under that id; the first is the capture that others revisit."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(key.alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    light = cut(rows.select("page_id", "digest").groupBy("page_id", "digest").agg(F.count("*").alias("n")))
-    groups = light.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.sum("n").alias("size")).where("size > 1")
-    verdict = with_groups(light, groups, "digest", ["page_id"]).where("size > 1").select(F.col("page_id").alias("v_id"), F.col("digest").alias("v_digest"), "keeper")
-    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
-    joined = numbered.join(verdict.hint("shuffle_hash"), (F.col("page_id") == F.col("v_id")) & (F.col("digest") == F.col("v_digest")), "left")
-    name = lambda page, copy: record_id(F.lit("response"), page.cast("string"), F.col("digest"), copy.cast("string"))
-    again = F.col("keeper").isNotNull() & (F.octet_length("payload") >= min_bytes) & ((F.col("keeper") != F.col("page_id")) | (F.col("copy") > 0))
-    return joined.select("page_id", "url", "payload", "digest", name(F.col("page_id"), F.col("copy")).alias("response_id"), F.when(again, name(F.col("keeper"), F.lit(0))).alias("refers_to"))
+    Only ids, digests and places are grouped; each page is then joined to its verdict by its place, and payloads stay where they
+    lie unless there are very many repeats. A null payload is empty, a null id counts as the smallest and comes back as null.
+    Rows of one id and payload are told apart by their place, of which the last is the response; an empty table gives none."""
+    pages = placeable(pages)
+    payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
+    id_, digest = F.coalesce(pages[id_col].cast("long"), F.lit(NULL_ID)).alias("page_id"), base32_sha1(payload).alias("digest")
+    light = cut(with_places(pages, id_, digest, F.octet_length(payload).alias("size")))
+    own = F.struct("page_id", "_file", "_row")
+    groups = light.groupBy("digest").agg(F.max(own).alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    verdict = with_groups(light.where(F.col("size") >= min_bytes), groups, "digest", ["_file", "_row"]).where((F.col("n") > 1) & (own != F.col("keeper")))
+    rows = with_places(pages, id_, pages[url_col].cast("string").alias("url"), payload.alias("payload"), digest)
+    joined = at_places(rows, cut(verdict.select("_file", "_row", "keeper")), "left")
+    name = lambda at: record_id(F.lit("response"), at("page_id").cast("string"), F.col("digest"), F.element_at(F.split(at("_file"), "/"), -1), at("_row").cast("string"))
+    return joined.select("page_id", "url", "payload", "digest", name(F.col).alias("response_id"), F.when(F.col("keeper").isNotNull(), name(lambda c: F.col(f"keeper.{c}"))).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, **options) -> None:
