@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 DIM = 1 << 12
 #: About so many labelled rows of each language are trained on.
 SAMPLE_PER_LANG = 500
+#: So many languages are learnt at most, those with the most rows.
+MAX_LANGS = 200
 UNKNOWN = "und"
 #: Families by ISO 639-1 code (fixed values). A code that is not listed is a family of its own.
 FAMILIES = {
@@ -144,21 +146,25 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """A model from (id, text, lang) rows, about sample_per_lang of each language chosen by a hash of the id.
+    """A model from (id, text, lang) rows: about sample_per_lang of each of MAX_LANGS languages, chosen by a hash of id and text.
 
-    Counts of 16-bit floats reach the driver: 8 kB a row, so 4 MB a language. None without a usable row."""
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    Repeated rows count once. Counts of 16-bit floats reach the driver, 8 kB a row, so 4 MB a language; twice the sample is a firm
+    bound. Texts are read whole; ties between languages go to the first name. None without a usable row, as of an empty table."""
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_per_lang / n))) for k, n in sizes.items()])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 30)) < share * (1 << 30))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_per_lang / n))])[F.col("lang")]
+    hashed = labelled.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.col("text").cast("string"), F.lit("langid")))
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(lang, c) for lang, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True) if (c := counts(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([unit(c).astype(np.float16).tobytes() for _, c in found], pa.binary())], names=["lang", "x"])
+            found = [(lang, h, c) for t, lang, h in zip(*(c.to_pylist() for c in b.columns), strict=True) if (c := counts(t)) is not None]
+            lang, h = ([r[k] for r in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array([unit(r[2]).astype(np.float16).tobytes() for r in found], pa.binary())], names=["lang", "h", "x"])
 
-    rows = sorted(chosen.select(F.col("text").cast("string"), "lang").mapInArrow(run, "lang string, x binary").collect())
+    found = chosen.select(F.col("text").cast("string"), "lang", "h").mapInArrow(run, "lang string, h long, x binary").groupBy("lang", "h").agg(F.first("x").alias("x"))
+    rows = sorted(found.select("lang", "x").limit(2 * sample_per_lang * len(sizes)).collect())
     if not rows:
         return None
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float16).reshape(len(rows), DIM).astype(np.float32)
@@ -166,7 +172,10 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
-    """(id, lang_pred, score, kept columns) for each row; `und` and 0 for null, letterless and unlearnt texts."""
+    """(id, lang_pred, score, kept columns) for each row; `und` and 0 for null and letterless texts, and for all without a model.
+
+    Texts are read whole, repeated rows predicted alike, of languages with equal votes the first by name is taken, null ids stay
+    null, and an empty table gives none."""
     keep_cols = [F.col(id_col).cast("long").alias(id_col), *keep]
     frame = docs.select(F.col(text_col).cast("string").alias("_text"), *keep_cols)
 
