@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,16 +31,19 @@ MAGIC = b"QFTOKEN1"
 FOOTER = struct.Struct("<QQQ32s8s")
 DICTIONARY = "ids.zdict"
 NULL_ID = -(1 << 63)
-#: Bounds of the sample that the dictionary is trained on.
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8 << 20, 64 << 10
+#: Documents, bytes of ids of each, and size of what the dictionary is trained on.
+SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8 << 10, 64 << 10
+#: So many shards at most, however large the corpus.
+MAX_SHARDS = 10_000
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary for serialized id arrays; the samples' own bytes where there are too few to train on."""
+    """A dictionary for serialized id arrays; the samples' own bytes, with a warning, where there are too few to train on."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
+    except (zstandard.ZstdError, ValueError) as e:
+        warnings.warn(f"no dictionary could be trained on {len(samples)} samples ({e}); their bytes are used", RuntimeWarning, stacklevel=2)
         return b"".join(samples)[:size]
 
 
@@ -168,38 +172,39 @@ class TokenWriter(DataSourceArrowWriter):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_per_shard: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every document of docs and write the shards to path.
 
-    The dictionary is trained on the ids of about SAMPLE_DOCS documents chosen by a hash, at most
-    SAMPLE_BYTES of them. Shards are ranges of doc_id cut at approximate quantiles, read off the id column
-    alone; texts are encoded and compressed where they lie, and only frames are shuffled. Null ids come first,
-    null texts are empty, repeated ids are ordered by their frames."""
+    The dictionary is trained on the first SAMPLE_BYTES of ids of up to SAMPLE_DOCS different documents, those of the smallest
+    hashes of id and text. Shards are ranges of doc_id cut at approximate quantiles, read off the id column alone; an id with more
+    rows than a shard holds is dealt over several that follow each other. Texts are encoded and compressed whole where they
+    lie, and only frames are shuffled. Null ids come first, null texts are empty, repeated ids are ordered by their frames, and
+    an empty table gives no shard."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = rows.count()
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1.0, SAMPLE_DOCS / max(n, 1)) * 1_000_000))
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1_000_000)) < F.lit(min(1.0, 4 * SAMPLE_DOCS / max(n, 1)) * 1_000_000))
+    first = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
     end = np.array([end_id], "<u4").tobytes()
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [x + end for x in encoder(tokenizer).encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    samples, total = [], 0
-    for r in sorted(chosen.mapInArrow(serialized, "doc_id long, ids binary").collect()):
-        total += len(r.ids)
-        if total > SAMPLE_BYTES:
-            break
-        samples.append(bytes(r.ids))
-    words = train(samples)
+            ids = [(x + end)[:SAMPLE_BYTES] for x in encoder(tokenizer).encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
+
+    chosen = hashed.where(F.col("h").isin(first)).select("h", "text").mapInArrow(serialized, "h long, ids binary").groupBy("h").agg(F.first("ids").alias("ids"))
+    samples = [bytes(r.ids) for r in sorted(chosen.collect())] if first else []
+    words = train(samples) if samples else b""
     files.put(files.join(path, DICTIONARY), words)
 
-    shards = max(1, -(-n // docs_per_shard))
-    bounds = np.unique(rows.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else [])
+    shards = min(MAX_SHARDS, max(1, -(-n // docs_per_shard)))
+    bounds = np.array(rows.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else [])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(dict_data=dictionary(words)).compress
+        squeeze, dealt = zstandard.ZstdCompressor(dict_data=dictionary(words)).compress, 0
         for b in batches:
             ids = [x + end for x in encoder(tokenizer).encode(b.column(1).to_pylist())]
-            bucket = np.searchsorted(bounds, b.column(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            low, high = (np.searchsorted(bounds, own, side) for side in ("left", "right"))  # bounds that are the id itself lie between
+            bucket = (low + (dealt + np.arange(len(own))) % (high - low + 1)).astype(np.int32)
+            dealt += len(own)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([squeeze(x) for x in ids], pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
 
     out = rows.mapInArrow(frames, "bucket int, doc_id long, n_tokens long, frame binary")
