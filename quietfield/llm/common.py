@@ -51,12 +51,12 @@ def with_places(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, place["file_path"].alias("_file"), place["row_index"].alias("_row"))
 
 
-def at_places(rows: DataFrame, places: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
-    """Inner join of rows to places, both with _file and _row. Places are few beside rows, and a written table.
+def at_places(rows: DataFrame, places: DataFrame, how: str = "inner", max_places: int = MAX_PLACES) -> DataFrame:
+    """Join (inner or left) of rows to places, both with _file and _row. Places are few beside rows, and a written table.
 
     Up to max_places are broadcast, so that rows stay where they lie; more are joined by a shuffle."""
     few = places.limit(max_places + 1).count() <= max_places
-    return rows.join(F.broadcast(places) if few else places.hint("shuffle_hash"), ["_file", "_row"])
+    return rows.join(F.broadcast(places) if few else places.hint("shuffle_hash"), ["_file", "_row"], how)
 
 
 def without_places(docs: DataFrame, places: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:

@@ -3,65 +3,162 @@
 Tokens are summed over cells of source, language and topic. Raking scales the cells in turn until their
 sums meet the target shares of every source, language and topic; a document's probability is its cell's
 calibrated share of the token budget over the cell's tokens, at most 1, with what capped cells cannot take
-given to the others. Documents are drawn by a hash of their id, so a run can be repeated.
+given to the others. Documents are drawn by a hash of their id and text, so a run can be repeated.
+
+Topics are clusters of documents by the words they hold, learnt over all of them: spherical k-means on hashed words
+that weigh the more the fewer documents hold them. A column of topics of one's own can be given instead. Targets can be
+given for each value of an axis; what is not given has its share of the tokens, tempered.
 
 The table of cells is fitted on the driver while it has at most `max_cells` rows, which is checked; a
-larger one is fitted by aggregations and joins over its written form."""
+larger one is fitted by aggregations and joins over its written form, by the same rules."""
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+import zlib
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let, with_groups
+from .common import cut, placeable, with_groups, without_places
 
 AXES = ("source", "lang", "topic")
 #: Target shares are powers of the shares found: 1 keeps them, 0 makes all alike.
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 BUDGET = 0.7
 MAX_CELLS = 200_000
+#: Topics, buckets of hashed words, and rounds over all documents in which topics are learnt.
+TOPICS, BUCKETS, TOPIC_ROUNDS = 12, 1024, 3
+#: A document counts a token for each word, or for so many characters where that is more.
+CHARS_PER_TOKEN = 8
 #: Raking stops when the worst marginal is off by less than this share; after so many rounds, or in a standstill, it reports what is left.
 TOLERANCE, ROUNDS = 1e-9, 200
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic from the whole text's make-up; null text is `empty`."""
-    counted = F.struct(F.regexp_count(text, F.lit(WORD)).alias("words"), F.regexp_count(text, F.lit("[#*$%&<>]")).alias("marks"))
-    upper = F.length(F.regexp_replace(text, "[a-z]+", "")) > F.length(F.regexp_replace(text, "[A-Z]+", ""))  # more capitals than small letters
+class Buckets(dict):
+    """Bucket of each word, emptied when it is full."""
 
-    def name(c: Column) -> Column:
-        return (
-            F.when(c["words"] == 0, "empty").when(text.contains(" | "), "table").when(c["marks"] > c["words"] / 4, "marked").when(upper, "shouted")
-            .when(c["words"] < 100, "brief").when(c["words"] < 1000, "article").otherwise("long")
-        )
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
+        return found
 
-    return F.when(text.isNull(), "empty").otherwise(let(counted, name))
 
+def present(text: str | None, buckets: Buckets) -> tuple[np.ndarray, int]:
+    """(counts of a whole text's hashed words, its tokens)."""
+    words = (text or "").lower().split()
+    at = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
+    return np.bincount(at, minlength=BUCKETS), max(1, len(words), -(-len(text or "") // CHARS_PER_TOKEN))
 
-def _axes(text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> dict[str, Column]:
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return {"source": name(source_col), "lang": name(lang_col), "topic": topic(F.col(text_col).cast("string"))}
 
+@dataclass
+class Topics:
+    """Weights of buckets and unit centres (TOPICS, BUCKETS)."""
+
+    weight: np.ndarray
+    centres: np.ndarray
+
+    def vectors(self, counts: np.ndarray) -> np.ndarray:
+        x = np.log1p(counts) * self.weight
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        """Nearest topic of each row of counts, the first of equally near ones; -1 where nothing is counted."""
+        if not len(self.centres):
+            return np.full(len(counts), -1)
+        x = self.vectors(counts)
+        return np.where(x.any(axis=1), (x @ self.centres.T).argmax(axis=1), -1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, counts, tokens), some rows at a time."""
+    buckets = Buckets()
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            found = [present(t, buckets) for t in part.column(column).to_pylist()]
+            yield part, np.array([c for c, _ in found]).reshape(-1, BUCKETS), np.array([n for _, n in found], np.int64)
+
+
+def learn_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
+    """Topics of all documents. They start at the documents of the smallest hashes; tasks sum up their own rows in each round,
+    and at most topics times BUCKETS sums reach the driver."""
+    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(BUCKETS, np.int64), 0
+        for part, counts, _ in _counted(batches):
+            total, n = total + (counts > 0).sum(axis=0), n + part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS, dtype=np.int32)), pa.array(np.r_[n, total])], names=["bucket", "n"])
+
+    found = {r.bucket: r.n for r in rows.select("t").mapInArrow(held, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    n = found.get(-1, 0)
+    model = Topics(np.log((1 + n) / (1 + np.array([found.get(k, 0) for k in range(BUCKETS)], float))), np.zeros((0, BUCKETS)))
+    first = [r.h for r in rows.where("t IS NOT NULL").select("h").distinct().orderBy("h").limit(topics).collect()]
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts, _ in _counted(batches):
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(model.vectors(counts).tolist(), pa.list_(pa.float64()))], names=["h", "x"])
+
+    starts = sorted(rows.where(F.col("h").isin(first)).mapInArrow(seeds, "h long, x array<double>").groupBy("h").agg(F.first("x").alias("x")).collect()) if first else []
+    starts = [r.x for r in starts if any(r.x)]
+    model.centres = np.array(starts).reshape(len(starts), BUCKETS)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(model.centres) + 1, BUCKETS))
+        for _, counts, _ in _counted(batches):
+            own = model.of(counts)
+            np.add.at(total, own, model.vectors(counts))  # -1: the last row, which is left out
+        topic, bucket = np.nonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(topic.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[topic, bucket])], names=["topic", "bucket", "x"])
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(id, source, lang, topic, n_tokens) with nulls as empty names; tokens are words, and at least 1."""
+    for _ in range(rounds if len(starts) else 0):
+        table = rows.select("t").mapInArrow(sums, "topic int, bucket int, x double").groupBy("topic", "bucket").agg(F.sum("x").alias("x")).toArrow()
+        centres = np.zeros_like(model.centres)
+        centres[table.column("topic").to_numpy(), table.column("bucket").to_numpy()] = table.column("x").to_numpy()
+        size = np.linalg.norm(centres, axis=1, keepdims=True)
+        model.centres = np.where(size > 0, centres / np.maximum(size, 1e-12), model.centres).round(9)  # sums in any order
+    return model
+
+
+def described(docs: DataFrame, model: Topics | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, source, lang, topic, n_tokens, u, kept columns) for each row; null names are empty names, and a text without words has the topic `none`.
+
+    u is a number in 0..1 made from the id and the text alone. model is not needed where a column holds topics."""
     text = F.col(text_col).cast("string")
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"), *[c.alias(a) for a, c in _axes(text_col, source_col, lang_col).items()],
-        F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))).cast("long").alias("n_tokens"),
-    )
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    u = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text, F.lit("mixing")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = docs.select(text.alias("t"), F.col(id_col).cast("long").alias("id"), name(source_col).alias("source"), name(lang_col).alias("lang"), (name(topic_col) if topic_col else F.lit("")).alias("topic"), u.alias("u"), *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts, tokens in _counted(batches):
+            topics = part.column(4) if topic_col else pa.array(["none" if k < 0 else f"topic{k}" for k in model.of(counts).tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[1:4], topics, *part.columns[5:], pa.array(tokens)], names=[*part.schema.names[1:], "n_tokens"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+    return rows.mapInArrow(run, f"{schema}, n_tokens long")
+
 
+Targets = Mapping[str, Mapping[str, float]]
 
-def targets(sums: Mapping[str, float], power: float) -> dict[str, float]:
-    """Shares of the values of one axis, raised to a power and made to add up to 1."""
+
+def targets(sums: Mapping[str, float], power: float, given: Mapping[str, float] | None = None) -> dict[str, float]:
+    """Target shares of the values of one axis, which add up to 1.
+
+    Given shares hold; other values divide what is left by their shares of the tokens raised to a power. If nothing is left, they
+    get nothing; given values that do not occur count for nothing."""
     total = sum(sums.values())
-    raised = {k: (v / total) ** power for k, v in sums.items()}
-    whole = sum(raised.values())
-    return {k: v / whole for k, v in raised.items()}
+    own = {k: float(v) for k, v in (given or {}).items() if k in sums}
+    raised = {k: (v / total) ** power for k, v in sums.items() if k not in own}
+    whole, left = sum(raised.values()), max(0.0, 1 - sum(own.values()))
+    goal = own | {k: v / whole * left for k, v in raised.items()}
+    scale = sum(goal.values())
+    return {k: v / scale for k, v in goal.items()}
 
 
 def _report(worst: float, rounds: int, tolerance: float) -> None:
@@ -105,7 +202,7 @@ def probabilities(tokens: np.ndarray, share: np.ndarray, budget: float) -> np.nd
         factor = max(factor, (goal - tokens[capped].sum()) / share[~capped].sum())
 
 
-def _small(cells: DataFrame, temperature: Mapping[str, float], budget: float) -> DataFrame:
+def _small(cells: DataFrame, temperature: Mapping[str, float], budget: float, given: Targets) -> DataFrame:
     rows = sorted(cells.collect())
     if not rows:
         return cells.select(*AXES, F.lit(0.0).alias("target_share"), F.lit(0.0).alias("probability"))
@@ -114,7 +211,7 @@ def _small(cells: DataFrame, temperature: Mapping[str, float], budget: float) ->
     for axis in AXES:
         names, at = np.unique([r[axis] for r in rows], return_inverse=True)
         sums = np.bincount(at, tokens, len(names))
-        found = targets(dict(zip(names.tolist(), sums.tolist(), strict=True)), temperature[axis])
+        found = targets(dict(zip(names.tolist(), sums.tolist(), strict=True)), temperature[axis], given.get(axis))
         axes.append(at)
         goals.append(np.array([found[n] for n in names.tolist()]))
     share = rake(tokens, axes, goals)
@@ -123,21 +220,25 @@ def _small(cells: DataFrame, temperature: Mapping[str, float], budget: float) ->
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, target_share double, probability double")
 
 
-def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE, max_values: int = MAX_CELLS) -> DataFrame:
+def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, given: Targets, rounds: int = ROUNDS, tolerance: float = TOLERANCE, max_values: int = MAX_CELLS) -> DataFrame:
     """The same over a table of any size, by the same stopping rules: each axis's sums are joined back to the cells, one table per round."""
     total = cells.agg(F.sum("tokens")).first()[0]
     now = cells.withColumn("share", F.col("tokens") / F.lit(float(total)))
     goals = {}
     for axis in AXES:
-        g = now.groupBy(axis).agg(F.pow(F.sum("share"), F.lit(temperature[axis])).alias("goal"))
-        whole = g.agg(F.sum("goal")).first()[0]
-        goals[axis] = cut(g.withColumn("goal", F.col("goal") / F.lit(whole)))
+        g = now.groupBy(axis).agg(F.pow(F.sum("share"), F.lit(temperature[axis])).alias("raised"))
+        own = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.get(axis, {}).items()], f"{axis} string, own double")
+        g = cut(g.join(own, axis, "left"))
+        whole, taken = g.agg(F.sum(F.when(F.col("own").isNull(), F.col("raised"))), F.sum("own")).first()
+        left = max(0.0, 1 - (taken or 0.0))
+        scale = (taken or 0.0) + (left if whole else 0.0)
+        goals[axis] = cut(g.select(axis, (F.coalesce("own", F.col("raised") * F.lit(left / (whole or 1.0))) / F.lit(scale)).alias("goal")))
     errors = []
     for _ in range(rounds):
         worst = 0.0
         for axis in AXES:
             found = now.groupBy(axis).agg(F.sum("share").alias("found")).join(goals[axis], axis)
-            scale = cut(found.select(axis, (F.col("goal") / F.col("found")).alias("scale"), F.abs(F.col("found") - F.col("goal")).alias("off")))
+            scale = cut(found.select(axis, F.when(F.col("found") > 0, F.col("goal") / F.col("found")).otherwise(0.0).alias("scale"), F.abs(F.col("found") - F.col("goal")).alias("off")))
             off, values = scale.agg(F.max("off"), F.count("*")).first()
             worst, scale = max(worst, off), scale.drop("off")
             now = (now.join(F.broadcast(scale), axis) if values <= max_values else with_groups(now, scale, axis, AXES)).withColumn("share", F.col("share") * F.col("scale")).drop("scale")
@@ -161,46 +262,40 @@ def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, ro
     return now.select(*AXES, F.col("share").alias("target_share"), F.least(F.lit(1.0), F.lit(factor) * F.col("share") / F.col("tokens")).alias("probability"))
 
 
-def calibrate(rows: DataFrame, temperature: Mapping[str, float] = TEMPERATURE, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
+def calibrate(rows: DataFrame, temperature: Mapping[str, float] = TEMPERATURE, budget: float = BUDGET, max_cells: int = MAX_CELLS, given: Targets | None = None) -> tuple[DataFrame, bool]:
     """((source, lang, topic, target_share, probability), whether that table was within max_cells)."""
     cells = cut(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")))
     small = cells.limit(max_cells + 1).count() <= max_cells
-    return (_small if small else _large)(cells, temperature, budget), small
-
+    return (_small if small else _large)(cells, temperature, budget, given or {}), small
 
-def draw(id_col: str = "id") -> Column:
-    """A number in 0..1 made from the id alone."""
-    return F.pmod(F.xxhash64(id_col, F.lit("mixing")), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
+def _with_probabilities(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
+    """rows (with _file, _row) and their cells' target_share and probability. At most max_cells cells are broadcast; more are joined, hot ones salted."""
+    if small:
+        return rows.join(F.broadcast(cells), list(AXES))
+    key = F.concat_ws("\x1f", *AXES)
+    return with_groups(rows.withColumn("cell", key), cells.select(key.alias("cell"), "target_share", "probability"), "cell", ["_file", "_row"]).drop("cell")
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """Per row: (id, source, lang, topic, n_tokens, target_share, probability, sampled).
 
-    Repeated rows of an id are drawn alike; null names are a value of their axis; an empty table gives none."""
-    rows = cut(token_rows(docs))
-    cells, small = calibrate(rows, **options)
-    if small:
-        out = rows.join(F.broadcast(cells), list(AXES))  # at most max_cells rows, counted above
-    else:
-        key = F.concat_ws("\x1f", *AXES)
-        out = with_groups(rows.withColumn("cell", key), cells.select(key.alias("cell"), "target_share", "probability"), "cell", ["id", "n_tokens"]).drop("cell")
-    return out.withColumn("sampled", draw() < F.col("probability"))
+def mixture(docs: DataFrame, topic_col: str | None = None, **options) -> DataFrame:
+    """Per row: (id, source, lang, topic, n_tokens, target_share, probability, sampled, _file, _row).
 
+    Rows are drawn by their id and text, so repeated rows are drawn alike and rows without an id each by their text. Null
+    names are a value of their axis; a null or empty text is one token; an empty table gives none. Texts are read whole."""
+    docs = placeable(docs)
+    model = None if topic_col else learn_topics(docs)
+    place = docs.metadataColumn("_metadata")
+    rows = cut(described(docs, model, topic_col=topic_col, keep=(place["file_path"].alias("_file"), place["row_index"].alias("_row"))))
+    return _with_probabilities(rows, *calibrate(rows, **options)).withColumn("sampled", F.col("u") < F.col("probability")).drop("u")
 
-def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The sampled rows of docs with all their columns.
 
-    Up to max_cells cells every row finds its probability where it lies; beyond, ids are joined back."""
-    rows = token_rows(docs, id_col)
-    cells, small = calibrate(rows, **options)
-    if small:
-        wide = docs.select(F.struct("*").alias("_row"), *[c.alias(f"_{n}") for n, c in _axes().items()], F.col(id_col).cast("long").alias("_id"))
-        named = F.broadcast(cells.select(*[F.col(a).alias(f"_{a}") for a in AXES], F.col("probability").alias("_p")))
-        return wide.join(named, [f"_{a}" for a in AXES]).where(draw("_id") < F.col("_p")).select("_row.*")
-    chosen = mixture(docs, **options).where("sampled").select(F.col("id").alias("_id")).distinct()
-    return docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The sampled rows of docs, as mixture draws them, with all their columns."""
+    docs = placeable(docs)
+    gone = cut(mixture(docs, **options).where("NOT sampled").select("_file", "_row"))
+    return without_places(docs, gone)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """Per document: its cell, tokens, target share, calibrated probability and whether it is drawn."""
-    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id").drop("_file", "_row")
