@@ -16,7 +16,8 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters go. lang becomes the recognised one where it was null.
 
-    Where no labelled row can be learnt from there is no model: every document with letters stays as it is, lang null or not."""
+    Where no labelled row can be learnt from there is no model: every document with letters stays as it is, lang null or not.
+    Null and letterless texts go, repeated rows stay, texts are read whole, and an empty table stays empty."""
     model = langid.learn(docs)
     if model is None:
         return langid.lettered(docs)
@@ -26,7 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space, the one with the smallest id, a null id last.
+
+    Null counts as the empty text; of rows with one id and text the first by place stays; an empty table stays empty."""
     return exact_dedup.drop_duplicates(docs)
 
 
@@ -39,12 +42,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their calibrated probabilities."""
+    """Documents drawn by their calibrated probabilities.
+
+    A null source or language is a value of its axis, a null text is one token, repeated rows are drawn alike, rows without an id
+    each by their text, and an empty table stays empty."""
     return mixing.sample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences: null texts are their end id, long ones are cut into pieces.
+
+    Repeated rows are packed each, null ids stay null, and an empty table packs nothing."""
     return packing.packed(docs)
 
 
