@@ -32,7 +32,7 @@ TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 BUDGET = 0.7
 MAX_CELLS = 200_000
 #: Topics, buckets of hashed words, and rounds over all documents in which topics are learnt.
-TOPICS, BUCKETS, TOPIC_ROUNDS = 12, 1024, 3
+TOPICS, BUCKETS, TOPIC_ROUNDS = 12, 512, 3
 #: A document counts a token for each word, or for so many characters where that is more.
 CHARS_PER_TOKEN = 8
 #: Raking stops when the worst marginal is off by less than this share; after so many rounds, or in a standstill, it reports what is left.
@@ -43,17 +43,18 @@ class Buckets(dict):
     """Bucket of each word, emptied when it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
         return found
 
 
-def present(text: str | None, buckets: Buckets) -> tuple[np.ndarray, int]:
-    """(counts of a whole text's hashed words, its tokens)."""
+def present(text: str | None, buckets: Buckets) -> tuple[bytes, int]:
+    """(how often a whole text holds words of each bucket, as a byte of its logarithm; the text's tokens)."""
     words = (text or "").lower().split()
     at = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
-    return np.bincount(at, minlength=BUCKETS), max(1, len(words), -(-len(text or "") // CHARS_PER_TOKEN))
+    logs = np.minimum(255, np.round(16 * np.log1p(np.bincount(at, minlength=BUCKETS)))).astype(np.uint8)
+    return logs.tobytes(), max(1, len(words), -(-len(text or "") // CHARS_PER_TOKEN))
 
 
 @dataclass
@@ -63,85 +64,97 @@ class Topics:
     weight: np.ndarray
     centres: np.ndarray
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def vectors(self, logs: np.ndarray) -> np.ndarray:
+        x = logs * self.weight
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
 
-    def of(self, counts: np.ndarray) -> np.ndarray:
-        """Nearest topic of each row of counts, the first of equally near ones; -1 where nothing is counted."""
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Nearest topic of each vector, the first of equally near ones; -1 where nothing is counted."""
         if not len(self.centres):
-            return np.full(len(counts), -1)
-        x = self.vectors(counts)
+            return np.full(len(x), -1)
         return np.where(x.any(axis=1), (x @ self.centres.T).argmax(axis=1), -1)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, counts, tokens), some rows at a time."""
-    buckets = Buckets()
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            found = [present(t, buckets) for t in part.column(column).to_pylist()]
-            yield part, np.array([c for c, _ in found]).reshape(-1, BUCKETS), np.array([n for _, n in found], np.int64)
+def _logs(column: pa.Array, at: int, n: int = 1024) -> np.ndarray:
+    return np.frombuffer(b"".join(column.slice(at, n).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.float32)
 
 
-def learn_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
-    """Topics of all documents. They start at the documents of the smallest hashes; tasks sum up their own rows in each round,
-    and at most topics times BUCKETS sums reach the driver."""
-    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+def learn_topics(rows: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
+    """Topics of all rows of a written table with a column `words` as of present. They start at the rows of the smallest hashes;
+    tasks sum up their own rows in each round, and at most topics times BUCKETS sums reach the driver."""
+    rows = rows.select("words")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
-        for part, counts, _ in _counted(batches):
-            total, n = total + (counts > 0).sum(axis=0), n + part.num_rows
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                logs = _logs(b.column(0), at)
+                total, n = total + (logs > 0).sum(axis=0), n + len(logs)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS, dtype=np.int32)), pa.array(np.r_[n, total])], names=["bucket", "n"])
 
-    found = {r.bucket: r.n for r in rows.select("t").mapInArrow(held, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    found = {r.bucket: r.n for r in rows.mapInArrow(held, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     n = found.get(-1, 0)
-    model = Topics(np.log((1 + n) / (1 + np.array([found.get(k, 0) for k in range(BUCKETS)], float))), np.zeros((0, BUCKETS)))
-    first = [r.h for r in rows.where("t IS NOT NULL").select("h").distinct().orderBy("h").limit(topics).collect()]
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, counts, _ in _counted(batches):
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(model.vectors(counts).tolist(), pa.list_(pa.float64()))], names=["h", "x"])
-
-    starts = sorted(rows.where(F.col("h").isin(first)).mapInArrow(seeds, "h long, x array<double>").groupBy("h").agg(F.first("x").alias("x")).collect()) if first else []
-    starts = [r.x for r in starts if any(r.x)]
-    model.centres = np.array(starts).reshape(len(starts), BUCKETS)
+    weight = np.log((1 + n) / (1 + np.array([found.get(k, 0) for k in range(BUCKETS)], float))).astype(np.float32)
+    hashed = rows.withColumn("h", F.xxhash64("words"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(topics).collect()]
+    first = sorted(hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("words").alias("words")).collect()) if least else []
+    starts = Topics(weight, np.zeros((0, BUCKETS), np.float32)).vectors(np.array([np.frombuffer(r.words, np.uint8) for r in first], np.float32).reshape(-1, BUCKETS))
+    model = Topics(weight, starts[starts.any(axis=1)])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(model.centres) + 1, BUCKETS))
-        for _, counts, _ in _counted(batches):
-            own = model.of(counts)
-            np.add.at(total, own, model.vectors(counts))  # -1: the last row, which is left out
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                x = model.vectors(_logs(b.column(0), at))
+                own = model.of(x)
+                for k in range(len(model.centres)):
+                    total[k] += x[own == k].sum(axis=0, dtype=np.float64)
         topic, bucket = np.nonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(topic.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[topic, bucket])], names=["topic", "bucket", "x"])
 
-    for _ in range(rounds if len(starts) else 0):
-        table = rows.select("t").mapInArrow(sums, "topic int, bucket int, x double").groupBy("topic", "bucket").agg(F.sum("x").alias("x")).toArrow()
-        centres = np.zeros_like(model.centres)
+    for _ in range(rounds if len(model.centres) else 0):
+        table = rows.mapInArrow(sums, "topic int, bucket int, x double").groupBy("topic", "bucket").agg(F.sum("x").alias("x")).toArrow()
+        centres = np.zeros(model.centres.shape)
         centres[table.column("topic").to_numpy(), table.column("bucket").to_numpy()] = table.column("x").to_numpy()
         size = np.linalg.norm(centres, axis=1, keepdims=True)
-        model.centres = np.where(size > 0, centres / np.maximum(size, 1e-12), model.centres).round(9)  # sums in any order
+        new = np.where(size > 0, centres / np.maximum(size, 1e-12), model.centres)
+        model = Topics(weight, new.round(7).astype(np.float32))  # sums come in any order
     return model
 
 
-def described(docs: DataFrame, model: Topics | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(id, source, lang, topic, n_tokens, u, kept columns) for each row; null names are empty names, and a text without words has the topic `none`.
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, source, lang, topic, u, kept columns, words, n_tokens) for each row; null names are empty names.
 
-    u is a number in 0..1 made from the id and the text alone. model is not needed where a column holds topics."""
+    u is a number in 0..1 made from the id and the text alone; topic is empty without a column of topics."""
     text = F.col(text_col).cast("string")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     u = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text, F.lit("mixing")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = docs.select(text.alias("t"), F.col(id_col).cast("long").alias("id"), name(source_col).alias("source"), name(lang_col).alias("lang"), (name(topic_col) if topic_col else F.lit("")).alias("topic"), u.alias("u"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, counts, tokens in _counted(batches):
-            topics = part.column(4) if topic_col else pa.array(["none" if k < 0 else f"topic{k}" for k in model.of(counts).tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns[1:4], topics, *part.columns[5:], pa.array(tokens)], names=[*part.schema.names[1:], "n_tokens"])
+        buckets = Buckets()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found = [present(t, buckets) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=[*part.schema.names[1:], "words", "n_tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(run, f"{schema}, n_tokens long")
+    return rows.mapInArrow(run, f"{schema}, words binary, n_tokens long")
+
+
+def with_topics(rows: DataFrame, model: Topics) -> DataFrame:
+    """rows with `topic` from `words`; what holds no words has the topic `none`."""
+    names = rows.columns
+    topic, words = names.index("topic"), names.index("words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.concatenate([np.zeros(0, np.int64), *[model.of(model.vectors(_logs(b.column(words), at))) for at in range(0, b.num_rows, 1024)]])
+            new = pa.array(["none" if k < 0 else f"topic{k}" for k in own.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([new if k == topic else c for k, c in enumerate(b.columns)], names=names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 Targets = Mapping[str, Mapping[str, float]]
@@ -283,9 +296,9 @@ def mixture(docs: DataFrame, topic_col: str | None = None, **options) -> DataFra
     Rows are drawn by their id and text, so repeated rows are drawn alike and rows without an id each by their text. Null
     names are a value of their axis; a null or empty text is one token; an empty table gives none. Texts are read whole."""
     docs = placeable(docs)
-    model = None if topic_col else learn_topics(docs)
     place = docs.metadataColumn("_metadata")
-    rows = cut(described(docs, model, topic_col=topic_col, keep=(place["file_path"].alias("_file"), place["row_index"].alias("_row"))))
+    rows = cut(described(docs, topic_col=topic_col, keep=(place["file_path"].alias("_file"), place["row_index"].alias("_row"))))
+    rows = cut((rows if topic_col else with_topics(rows, learn_topics(rows))).drop("words"))
     return _with_probabilities(rows, *calibrate(rows, **options)).withColumn("sampled", F.col("u") < F.col("probability")).drop("u")
 
 
