@@ -18,6 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Where no labelled row can be learnt from there is no model: every document with letters stays as it is, lang null or not.
     Null and letterless texts go, repeated rows stay, texts are read whole, and an empty table stays empty."""
+    ready(spark)
     model = langid.learn(docs)
     if model is None:
         return langid.lettered(docs)
@@ -30,6 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of texts that are equal but for white space, the one with the smallest id, a null id last.
 
     Null counts as the empty text; of rows with one id and text the first by place stays; an empty table stays empty."""
+    ready(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
@@ -38,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by their place in the stage's input, so rows of one id, or without one, go only if their own text is a
     near copy of a kept one. Texts without words, null included, are copies of each other. An empty table stays empty."""
+    ready(spark)
     return similar.drop_similar(docs)
 
 
@@ -46,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source or language is a value of its axis, a null text is one token, repeated rows are drawn alike, rows without an id
     each by their text, and an empty table stays empty."""
+    ready(spark)
     return mixing.sample(docs)
 
 
@@ -53,6 +57,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The pieces of all documents in their sequences: null texts are their end id, long ones are cut into pieces.
 
     Repeated rows are packed each, null ids stay null, and an empty table packs nothing."""
+    ready(spark)
     return packing.packed(docs)
 
 
@@ -67,7 +72,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
