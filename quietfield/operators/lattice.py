@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietfield.functions.geometry import Geometry, coarse_axis
-
 
 def with_coordinates(df: DataFrame, nx: int, ny: int) -> DataFrame:
     """x, y, z of the flat index v, x fastest."""
@@ -22,47 +22,52 @@ def to_voxels(samples: DataFrame, nx: int, ny: int) -> DataFrame:
     return with_coordinates(samples.groupBy("img", "v").agg(series.alias("ts")), nx, ny).select("img", "v", "x", "y", "z", "ts")
 
 
-def to_samples(voxels: DataFrame) -> DataFrame:
-    return voxels.select("img", "v", F.posexplode("ts").alias("t", "value"))
+#: Bytes of samples that one group of a change of layout holds, if a plane or a pixel's series is not larger.
+GROUP_BYTES = 64 << 20
 
 
-def to_planes(voxels: DataFrame, nx: int) -> DataFrame:
-    """One row per slice and volume with its pixels px[x + y * nx]; a slice's pixels must all be there."""
-    rows = voxels.select("img", "z", (F.col("x") + F.col("y") * nx).alias("p"), F.posexplode("ts").alias("t", "value"))
-    return rows.groupBy("img", "z", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "value"))), lambda s: s["value"]).alias("px"))
+def _series(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
-def from_planes(planes: DataFrame, nx: int, ny: int) -> DataFrame:
-    rows = planes.select("img", "t", "z", F.posexplode("px").alias("p", "value"))
-    return to_voxels(rows.select("img", (F.col("p") + F.col("z") * nx * ny).cast("long").alias("v"), "t", "value"), nx, ny)
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel(), pa.float32()))
 
 
-def live(ts: Column) -> Column:
-    """Whether any volume is not 0."""
-    return F.exists(ts, lambda x: x != 0)
+def to_planes(voxels: DataFrame, nx: int, ny: int, nvol: int) -> DataFrame:
+    """One row per slice and volume with its pixels px[x + y * nx]; a slice's pixels must all be there.
+
+    Groups are slices, cut into runs of volumes where they are large, and turned over in numpy."""
+    step = max(1, GROUP_BYTES // (4 * nx * ny))
+    runs = F.transform(F.sequence(F.lit(0), F.lit((nvol - 1) // step)), lambda k: F.struct((k * step).alias("t0"), F.slice("ts", k * step + 1, F.lit(step)).alias("ts")))
+    rows = voxels.select("img", "z", (F.col("x") + F.col("y") * nx).alias("p"), F.inline(runs))
+
+    def run(key, table):
+        img, z, t0 = (k.as_py() for k in key)
+        px = _series(table, "ts")[np.argsort(table.column("p").to_numpy())].T.astype(np.float32)
+        return pa.table({"img": pa.array([img] * len(px), pa.string()), "z": pa.array([z] * len(px), pa.int32()), "t": pa.array(t0 + np.arange(len(px)), pa.int32()), "px": _lists(np.ascontiguousarray(px))})
+
+    return rows.groupBy("img", "z", "t0").applyInArrow(run, "img string, z int, t int, px array<float>")
 
 
-def cube_neighbours(centres: DataFrame, dims: Sequence[int], k: int) -> DataFrame:
-    """(centre, v) for each voxel of the k-cube around each centre (v, x, y, z), shifted inwards at the edges."""
-    nx, ny, _ = dims
-    out = centres.select(F.col("v").alias("centre"), *[F.greatest(F.lit(0), F.least(F.col(a) - k // 2, F.lit(d - k))).alias(f"o{a}") for a, d in zip("xyz", dims, strict=True)])
-    for a in "zyx":
-        out = out.withColumn(a, F.explode(F.sequence(F.col(f"o{a}"), F.col(f"o{a}") + k - 1)))
-    return out.select("centre", (F.col("x") + nx * (F.col("y") + ny * F.col("z"))).cast("long").alias("v"))
+def from_planes(planes: DataFrame, nx: int, ny: int, nvol: int) -> DataFrame:
+    """Voxels with their series from planes (img, z, t, px). Groups are slices, cut into runs of pixels where they are large."""
+    step = max(1, GROUP_BYTES // (4 * nvol))
+    runs = F.transform(F.sequence(F.lit(0), F.lit((nx * ny - 1) // step)), lambda k: F.struct((k * step).alias("p0"), F.slice("px", k * step + 1, F.lit(step)).alias("px")))
+    rows = planes.select("img", "z", "t", F.inline(runs))
 
+    def run(key, table):
+        img, z, p0 = (k.as_py() for k in key)
+        ts = np.ascontiguousarray(_series(table, "px")[np.argsort(table.column("t").to_numpy())].T)
+        p = p0 + np.arange(len(ts))
+        return pa.table({"img": pa.array([img] * len(ts), pa.string()), "v": pa.array(p + z * nx * ny, pa.int64()), "x": pa.array(p % nx, pa.int32()), "y": pa.array(p // nx, pa.int32()), "z": pa.array([z] * len(ts), pa.int32()), "ts": _lists(ts)})
 
-def sphere_neighbours(centres: DataFrame, g: Geometry) -> DataFrame:
-    """(centre, v, place) for the g.rows nearest voxels inside the image, by distance, then z, y, x."""
-    nx, ny, _ = g.dims
-    sp = g.spacing
-    offsets = F.array(*[F.struct(*[F.lit(int(o)).alias(f"d{a}") for a, o in zip("xyz", off, strict=True)]) for off in g.neighbours.tolist()])
-    out = centres.select("v", "x", "y", "z", F.explode(offsets).alias("o"))
-    at = {a: F.col(a) + F.col(f"o.d{a}") for a in "xyz"}
-    inside = [(at[a] >= 0) & (at[a] < d) for a, d in zip("xyz", g.dims, strict=True)]
-    d2 = F.pow(F.col("o.dx") * F.lit(sp[0]), F.lit(2)) + F.pow(F.col("o.dy") * F.lit(sp[1]), F.lit(2)) + F.pow(F.col("o.dz") * F.lit(sp[2]), F.lit(2))
-    near = Window.partitionBy("centre").orderBy("d2", "o.dz", "o.dy", "o.dx")
-    rows = out.where(inside[0] & inside[1] & inside[2]).select(F.col("v").alias("centre"), (at["x"] + nx * (at["y"] + ny * at["z"])).cast("long").alias("v"), d2.alias("d2"), "o")
-    return rows.withColumn("place", F.row_number().over(near)).where(F.col("place") <= g.rows).select("centre", "v", "place")
+    return rows.groupBy("img", "z", "p0").applyInArrow(run, "img string, v long, x int, y int, z int, ts array<float>")
+
+
+def live(ts: Column) -> Column:
+    """Whether any volume is not 0."""
+    return F.exists(ts, lambda x: x != 0)
 
 
 def smooth_121(grid: DataFrame, columns: Sequence[str], axes: Sequence[str] = ("gx", "gy", "gz")) -> DataFrame:
@@ -78,32 +83,3 @@ def smoothed_sigma(grid: DataFrame) -> DataFrame:
     rows = grid.withColumns({"den": F.when(F.col("sigma") > 0, 1.0).otherwise(0.0), "num": F.when(F.col("sigma") > 0, F.col("sigma").cast("double")).otherwise(0.0)})
     rows = smooth_121(rows, ["num", "den"])
     return rows.select("img", "gx", "gy", "gz", "den", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(0.0).alias("num"))
-
-
-def trilinear(voxels: DataFrame, grid: DataFrame, dims: Sequence[int], stride: int = 4) -> DataFrame:
-    """(img, v, sigma float) of each voxel from the eight grid points around it; only points with den > 0 weigh."""
-    out = voxels.select("img", "v", "x", "y", "z")
-    for a, d in zip("xyz", dims, strict=True):
-        first, n = coarse_axis(d, stride)
-        u = F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (F.col(a) - first) / F.lit(float(stride))))
-        low = F.floor(u).cast("int")
-        out = out.withColumns({f"i{a}": low, f"f{a}": u - low})
-        ends = F.array(F.struct(F.col(f"i{a}").alias("g"), (1 - F.col(f"f{a}")).alias("w")), F.struct((F.col(f"i{a}") + 1).alias("g"), F.col(f"f{a}").alias("w")))
-        out = out.withColumn(f"c{a}", F.explode(F.filter(ends, lambda e: e["w"] > 0)))
-    weight = F.col("cx.w") * F.col("cy.w") * F.col("cz.w")
-    corners = out.select("img", "v", F.col("cx.g").alias("gx"), F.col("cy.g").alias("gy"), F.col("cz.g").alias("gz"), weight.alias("w"))
-    met = corners.join(grid.where("den > 0"), ["img", "gx", "gy", "gz"]).groupBy("img", "v")
-    parts = met.agg(F.sort_array(F.collect_list(F.struct("gz", "gy", "gx", "w", "num"))).alias("p"))
-    total = lambda f: F.aggregate("p", F.lit(0.0), lambda acc, e: acc + f(e))
-    found = parts.select("img", "v", (total(lambda e: e["w"] * e["num"]) / total(lambda e: e["w"])).cast("float").alias("sigma"))
-    return voxels.select("img", "v").join(found, ["img", "v"], "left").withColumn("sigma", F.coalesce("sigma", F.lit(0.0).cast("float")))
-
-
-def circular_smooth(planes: DataFrame, nx: int, ny: int) -> DataFrame:
-    """[1 6 15 20 15 6 1]/64 along x, then y, with wrap-around: (img, z, t, p, value) rows in and out."""
-    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / 64).alias("w")) for d, w in zip(range(-3, 4), (1, 6, 15, 20, 15, 6, 1), strict=True)])
-    rows = planes.select("img", "z", "t", F.pmod("p", F.lit(nx)).alias("x"), F.floor(F.col("p") / nx).cast("int").alias("y"), F.col("value").cast("double").alias("value"))
-    for axis, n in (("x", nx), ("y", ny)):
-        spread = rows.withColumn("k", F.explode(taps)).withColumn(axis, F.pmod(F.col(axis) + F.col("k.d"), F.lit(n)))
-        rows = spread.groupBy("img", "z", "t", "x", "y").agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
-    return rows.select("img", "z", "t", (F.col("x") + nx * F.col("y")).alias("p"), "value")

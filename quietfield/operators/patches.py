@@ -1,9 +1,10 @@
 """Patch operators over voxel tables: noise levels, exclusive and averaging denoisers.
 
 Voxels are dealt to tiles with a halo as wide as patches reach, so one shuffle brings together all that a
-tile's patches need, at a replication of ((core + 2 reach) / core)**3 instead of one copy per patch. Kernels
-run on dense blocks; the averaging denoiser then merges its partial sums per voxel, in the order of tiles,
-so results do not depend on how rows were partitioned."""
+tile's patches need, at a replication of ((core + 2 reach) / core)**3 instead of one copy per patch; the points
+of a noise grid that a tile needs go with them. Kernels run on dense blocks. The averaging denoiser then brings its
+partial sums together by the tile that a voxel lies in and adds them in the order of tiles, so results do not depend
+on how rows were partitioned."""
 
 from __future__ import annotations
 
@@ -65,104 +66,188 @@ def _columns(voxels: DataFrame, *extra: str) -> DataFrame:
     return voxels.select("img", *AXES, "ts", *[c for c in ("means", *extra) if c in voxels.columns])
 
 
+def _axes(g: Geometry) -> list[tuple[int, int]]:
+    return [coarse_axis(d) for d in g.dims]
+
+
+TILE = ("img", "tx", "ty", "tz")
+
+
+def _grid_by_tile(grid: DataFrame, g: Geometry, core: Sequence[int]) -> DataFrame:
+    """Each grid point once for every tile that holds a voxel next to it."""
+    out = grid.where("den > 0")
+    for axis, dim, size, (first, n) in zip(AXES, g.dims, core, _axes(g), strict=True):
+        at = F.col(f"g{axis}")
+        low = F.when(at == 0, 0).otherwise(F.floor((first + 4 * (at - 1) + 1) / size)).cast("int")
+        high = F.when(at == n - 1, (dim - 1) // size).otherwise(F.floor(F.least(F.lit(dim - 1), first + 4 * (at + 1) - 1) / size)).cast("int")
+        out = out.withColumn(f"t{axis}", F.explode(F.sequence(low, high)))
+    return out
+
+
+def by_tile(voxels: DataFrame, g: Geometry, core: Sequence[int], reach: Sequence[int], run, schema: str, grid: DataFrame | None = None) -> DataFrame:
+    """run(img, tile, table, grid points or None) over every tile with its halo."""
+    dealt = tiled(voxels, g, [int(c) for c in core], [int(r) for r in reach]).groupBy(*TILE)
+    part = lambda key: (key[0].as_py(), np.array([k.as_py() for k in key[1:]]))
+    if grid is None:
+        return dealt.applyInArrow(lambda key, table: run(*part(key), table, None), schema)
+    points = lambda t: {c: t.column(c).to_numpy() for c in ("gx", "gy", "gz", "num", "den")}
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
+    columns = [c.split() for c in schema.replace("`", "").split(", ")]
+    nothing = pa.table({name: pa.array([], kinds[kind]) for name, kind in columns})
+
+    def both(key, table, own):
+        return run(*part(key), table, points(own)) if table.num_rows else nothing
+
+    return dealt.cogroup(_grid_by_tile(grid, g, [int(c) for c in core]).groupBy(*TILE)).applyInArrow(both, schema)
+
+
 def coarse_sigma(voxels: DataFrame, g: Geometry, groups: Sequence[int] | None = None) -> DataFrame:
     """(img, gx, gy, gz, sigma) on every fourth voxel of each axis: the patch's own noise level, 0 if empty."""
-    axes = [coarse_axis(d) for d in g.dims]
+    axes = _axes(g)
     core, reach = np.array(g.tile(4)), np.array(g.reach)
     own = None if groups is None else np.array(groups)
 
-    def run(key, table):
-        img, *tile = (k.as_py() for k in key)
-        tile = np.array(tile)
+    def run(img, tile, table, _):
         centres = _centres(g, tile, core, [c for c, _ in axes], [4] * 3)
         block, _ = _block(table, g, tile, core, reach, own)
         sigma = kernels.sigma_at(block, centres)
         grid = (centres - [c for c, _ in axes]) // 4
         return pa.table({"img": pa.array([img] * len(grid), pa.string()), **{f"g{a}": pa.array(grid[:, k], pa.int32()) for k, a in enumerate(AXES)}, "sigma": pa.array(sigma.astype(np.float64))})
 
-    dealt = tiled(_columns(voxels), g, core.tolist(), g.reach)
-    return dealt.groupBy("img", "tx", "ty", "tz").applyInArrow(run, "img string, gx int, gy int, gz int, sigma double")
+    return by_tile(_columns(voxels), g, core, reach, run, "img string, gx int, gy int, gz int, sigma double")
+
+
+def with_level(voxels: DataFrame, grid: DataFrame, g: Geometry, name: str) -> DataFrame:
+    """voxels with a float column: the level interpolated from the grid points around each."""
+    core = np.array(g.tile(4))
 
+    def run(img, tile, table, points):
+        coords = np.column_stack([table.column(a).to_numpy() for a in AXES])
+        return table.select(names).append_column(name, pa.array(kernels.interpolated(points, _axes(g), coords)))
 
-OUT = "img string, v long, ts array<float>, sigma double, rank int"
+    names = voxels.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in voxels.schema)
+    return by_tile(voxels, g, core, [0] * 3, run, f"{schema}, {name} float", grid)
 
 
-def denoise_exclusive(voxels: DataFrame, g: Geometry, filter: str, groups: Sequence[int] | None = None, wanted: str | None = None) -> DataFrame:
-    """Every voxel (where the boolean column `wanted` holds) from its own patch: (img, v, ts, sigma, rank).
+def _known(g: Geometry, block: kernels.Block, table: pa.Table, coords: np.ndarray, centres: np.ndarray, points) -> np.ndarray | None:
+    """Noise levels known at the centres: of the grid, or of a column `known`."""
+    if points is not None:
+        return kernels.interpolated(points, _axes(g), centres).astype(np.float64)
+    if "known" not in table.column_names:
+        return None
+    level = np.zeros(len(block.raw))
+    level[block.flat(coords)] = table.column("known").to_numpy(zero_copy_only=False)
+    return level[block.flat(centres)]
 
-    A column `known` of voxels gives noise levels that replace the patch's own where positive."""
+
+#: sigma and rank are 0 and ts is 0 where a voxel is not wanted. own is the column `own` of the voxels.
+OUT = "img string, v long, ts array<float>, sigma double, rank int, own double, state int"
+#: States of a voxel: not wanted, done, wanted but covered by no patch.
+UNWANTED, DONE, MISSING = 0, 1, 2
+
+
+def _result(img, v, series, sigma, rank, own, state) -> pa.Table:
+    return pa.table({"img": pa.array([img] * len(v), pa.string()), "v": v, "ts": _lists(series, pa.float32()), "sigma": np.asarray(sigma, np.float64), "rank": np.asarray(rank, np.int32), "own": own, "state": np.asarray(state, np.int32)})
+
+
+def _flags(table: pa.Table, name: str | None) -> np.ndarray:
+    return np.ones(table.num_rows, bool) if name is None else table.column(name).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _own(table: pa.Table) -> np.ndarray:
+    return table.column("own").to_numpy(zero_copy_only=False).astype(np.float64) if "own" in table.column_names else np.zeros(table.num_rows)
+
+
+def denoise_exclusive(voxels: DataFrame, g: Geometry, filter: str, groups: Sequence[int] | None = None, wanted: str | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """OUT of every voxel, those where the boolean column `wanted` holds from their own patch.
+
+    Noise levels of the grid, or of a column `known`, replace the patch's own where positive."""
     core, reach = np.array(g.tile(1)), np.array(g.reach)
-    own = None if groups is None else np.array(groups)
+    shells = None if groups is None else np.array(groups)
 
-    def run(key, table):
-        img, *tile = (k.as_py() for k in key)
-        tile = np.array(tile)
-        block, coords = _block(table, g, tile, core, reach, own)
-        take = ((coords // core) == tile).all(axis=1)
-        if wanted:
-            take &= table.column(wanted).to_numpy(zero_copy_only=False).astype(bool)
-        order = np.flatnonzero(take)
-        order = order[np.argsort(_v(g, coords[order]))]
-        known = table.column("known").to_numpy(zero_copy_only=False)[order] if "known" in table.column_names else None
-        series, sigma, rank = kernels.exclusive_at(block, coords[order], filter, known)
-        return pa.table({"img": pa.array([img] * len(order), pa.string()), "v": _v(g, coords[order]), "ts": _lists(series, pa.float32()), "sigma": sigma.astype(np.float64), "rank": rank})
+    def run(img, tile, table, points):
+        block, coords = _block(table, g, tile, core, reach, shells)
+        inner = np.flatnonzero(((coords // core) == tile).all(axis=1))
+        inner = inner[np.argsort(_v(g, coords[inner]))]
+        take = _flags(table, wanted)[inner]
+        centres = coords[inner[take]]
+        series, sigma, rank = np.zeros((len(inner), g.nvol), np.float32), np.zeros(len(inner)), np.zeros(len(inner), np.int32)
+        series[take], sigma[take], rank[take] = kernels.exclusive_at(block, centres, filter, _known(g, block, table, coords, centres, points))
+        return _result(img, _v(g, coords[inner]), series, sigma, rank, _own(table)[inner], np.where(take, DONE, UNWANTED))
 
-    dealt = tiled(_columns(voxels, "known", *([wanted] if wanted else [])), g, core.tolist(), g.reach)
-    return dealt.groupBy("img", "tx", "ty", "tz").applyInArrow(run, OUT)
+    return by_tile(_columns(voxels, "known", "own", *([wanted] if wanted else [])), g, core, reach, run, OUT, grid)
 
 
-PARTIAL = "img string, v long, tile int, top double, sw double, swx array<double>, sws double, swr double"
+PARTIAL = "img string, v long, home int, tile int, top double, sw double, swx array<double>, sws double, swr double, own double, state int"
 
 
-def patch_sums(voxels: DataFrame, g: Geometry, filter: str, stride: int, fwhm: float | None, groups: Sequence[int] | None = None, mask: str | None = None) -> DataFrame:
-    """Partial sums of overlapping patches, one row for each voxel and tile whose patches cover it.
+def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, stride: int, fwhm: float | None, groups: Sequence[int] | None = None, mask: str | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """Partial sums of overlapping patches, one row for each voxel and tile whose patches cover it, and for each voxel of the tile's core.
 
     Centres lie at multiples of the stride; with a boolean column `mask` only patches that touch it count.
-    fwhm is in units of the spacing of centres; None weighs all alike."""
+    fwhm is in units of the spacing of centres; None weighs all alike. `home` is the tile that a voxel lies in; state is null away
+    from home. A voxel whose own patch is empty needs no patch to be done."""
     core, reach = np.array(g.tile(stride)), np.array(g.reach)
-    own = None if groups is None else np.array(groups)
+    shells = None if groups is None else np.array(groups)
     width = None if fwhm is None else fwhm * stride * np.cbrt(np.prod(g.spacing))
     falloff = 0.0 if width is None else -4 * np.log(2) / width**2
-    tiles = [-(-d // int(c)) for d, c in zip(g.dims, core, strict=True)]
+    tiles = np.array([-(-d // int(c)) for d, c in zip(g.dims, core, strict=True)])
+    number = lambda t: t[..., 0] + tiles[0] * (t[..., 1] + tiles[1] * t[..., 2])
 
-    def run(key, table):
-        img, *tile = (k.as_py() for k in key)
-        tile = np.array(tile)
-        block, coords = _block(table, g, tile, core, reach, own)
+    def run(img, tile, table, points):
+        block, coords = _block(table, g, tile, core, reach, shells)
         centres = _centres(g, tile, core, [0] * 3, [stride] * 3)
+        inside, own = np.zeros(len(block.raw), bool), np.zeros(len(block.raw))
+        inside[block.flat(coords)], own[block.flat(coords)] = _flags(table, mask), _own(table)
         if mask:
-            inside = np.zeros(len(block.raw), bool)
-            inside[block.flat(coords)] = table.column(mask).to_numpy(zero_copy_only=False).astype(bool)
-            step = kernels.per_batch(g)
-            touch = [inside[block.flat(g.patch_rows(centres[a : a + step]))].any(axis=1) for a in range(0, len(centres), step)]
-            centres = centres[np.concatenate(touch)] if touch else centres
-        known = None
-        if "known" in table.column_names:
-            level = np.zeros(len(block.raw))
-            level[block.flat(coords)] = table.column("known").to_numpy(zero_copy_only=False)
-            known = level[block.flat(centres)]
-        at, top, sw, swx, sws, swr = kernels.averaged(block, centres, filter, known, falloff)
-        xyz = np.column_stack([at % block.size[0], at // block.size[0] % block.size[1], at // (block.size[0] * block.size[1])]) + block.low
-        number = int(tile[0] + tiles[0] * (tile[1] + tiles[1] * tile[2]))
-        return pa.table({"img": pa.array([img] * len(at), pa.string()), "v": _v(g, xyz), "tile": pa.array([number] * len(at), pa.int32()), "top": top, "sw": sw, "swx": _lists(swx, pa.float64()), "sws": sws, "swr": swr})
-
-    dealt = tiled(_columns(voxels, "known", *([mask] if mask else [])), g, core.tolist(), g.reach)
-    return dealt.groupBy("img", "tx", "ty", "tz").applyInArrow(run, PARTIAL)
+            centres = centres[kernels.hits(block, centres, inside) > 0]
+        touched, top, *sums = kernels.averaged(block, centres, estimate, _known(g, block, table, coords, centres, points), falloff)
+        there = np.isin(touched, block.flat(coords))  # a table may lack voxels
+        touched, top, sums = touched[there], top[there], [x[there] for x in sums]
+        core_only = block.flat(coords[((coords // core) == tile).all(axis=1)])
+        rest = np.setdiff1d(core_only, touched)
+        xyz_of = lambda at: np.column_stack([at % block.size[0], at // block.size[0] % block.size[1], at // (block.size[0] * block.size[1])]) + block.low
+        empty = np.zeros(0, bool)
+        if len(rest):
+            empty = kernels.hits(block, xyz_of(rest), block.live) == 0
+        at = np.concatenate([touched, rest])
+        sw, swx, sws, swr = (np.concatenate([x, np.zeros((len(rest), *x.shape[1:]))]) for x in sums)
+        xyz = xyz_of(at)
+        home = number(xyz // core)
+        here = number(tile)
+        state = np.where(inside[at], np.concatenate([np.full(len(touched), MISSING), np.where(empty, DONE, MISSING)]), UNWANTED)
+        return pa.table({
+            "img": pa.array([img] * len(at), pa.string()), "v": _v(g, xyz), "home": home.astype(np.int32), "tile": np.full(len(at), here, np.int32), "top": np.concatenate([top, np.full(len(rest), -np.inf)]),
+            "sw": sw, "swx": _lists(swx, pa.float64()), "sws": sws, "swr": swr, "own": own[at], "state": pa.array(state.astype(np.int32), mask=home != here),
+        })
+
+    return by_tile(_columns(voxels, "known", "own", *([mask] if mask else [])), g, core, reach, run, PARTIAL, grid)
 
 
 def merged(partial: DataFrame) -> DataFrame:
-    """Weighted means of the partial sums: (img, v, mean array<double>, sigma, rank).
-
-    A voxel has a row for each of the few tiles around it; they are brought to one largest weight and added
-    in the order of tiles."""
-    rows = partial.groupBy("img", "v").agg(F.max("top").alias("top"), F.sort_array(F.collect_list(F.struct("tile", F.col("top").alias("own"), "sw", "sws", "swr", "swx"))).alias("parts"))
-    scaled = F.transform("parts", lambda p: p.withField("scale", F.exp(p["own"] - F.col("top"))))
-    rows = rows.withColumn("parts", scaled)
-    total = lambda name: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["scale"] * p[name])
-    series = F.aggregate(
-        F.slice("parts", F.lit(2), F.size("parts")),
-        F.transform(F.col("parts")[0]["swx"], lambda x: x * F.col("parts")[0]["scale"]),
-        lambda acc, p: F.zip_with(acc, p["swx"], lambda a, b: a + b * p["scale"]),
-    )
-    rows = rows.select("img", "v", total("sw").alias("sw"), total("sws").alias("sws"), total("swr").alias("swr"), series.alias("swx"))
-    return rows.select("img", "v", F.transform("swx", lambda x: x / F.col("sw")).alias("mean"), (F.col("sws") / F.col("sw")).alias("sigma"), (F.col("swr") / F.col("sw")).alias("rank"))
+    """OUT from partial sums: weighted means of the series, sigma and rank. sums of a voxel are brought to one largest weight and added in the order of tiles."""
+
+    def run(key, table):
+        v, tile, top = (table.column(c).to_numpy() for c in ("v", "tile", "top"))
+        order = np.lexsort((tile, v))
+        v, top = v[order], top[order]
+        first = np.flatnonzero(np.r_[True, np.diff(v) != 0])
+        most = np.maximum.reduceat(top, first)
+        most = np.where(most > -np.inf, most, 0.0)
+        scale = np.exp(top - np.repeat(most, np.diff(np.r_[first, len(v)])))
+        total = lambda c: np.add.reduceat(table.column(c).to_numpy()[order] * scale, first)
+        sw, sws, swr = total("sw"), total("sws"), total("swr")
+        swx = table.column("swx").combine_chunks().flatten().to_numpy().reshape(len(v), -1)[order]
+        swx = np.add.reduceat(swx * scale[:, None], first)
+        state = table.column("state").to_numpy(zero_copy_only=False)[order]
+        home = np.flatnonzero(~np.isnan(state)) if state.dtype.kind == "f" else np.arange(len(v))
+        state, own = state[home].astype(np.int32), table.column("own").to_numpy()[order][home]  # one home row for each voxel, in order
+        done = (sw > 0) & (state != UNWANTED)
+        safe = np.where(sw > 0, sw, 1.0)
+        mean = lambda x: np.where(done, x / safe, 0.0)
+        series = np.where(done[:, None], swx / safe[:, None], 0.0)
+        return _result(key[0].as_py(), v[first], series, mean(sws), np.floor(mean(swr) + 0.5), own, np.where(done, DONE, state))
+
+    return partial.groupBy("img", "home").applyInArrow(run, OUT)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quietfield.functions.geometry import Geometry, auto_extent, sane_spacing, sigma_extent, sphere_cap
 from quietfield.functions.stabilise import stabiliser
 from quietfield.operators import lattice, patches, rotate, shells, unring
-from quietfield.operators.kernels import FILTERS
+from quietfield.operators.kernels import FILTERS, low_rank
 from quietfield.tables import cut
 
 AGGREGATORS = ("gaussian", "uniform", "exclusive")
@@ -86,36 +86,40 @@ class Result:
 
 
 def _mapped(voxels: DataFrame, f, sigma: str) -> DataFrame:
-    """voxels with ts replaced by f(ts, sigma) where the voxel is live, batch by batch."""
-    cols = ["img", "v", "x", "y", "z"]
+    """voxels with ts replaced by f(ts, sigma) where the column sigma is positive, batch by batch."""
+    names = voxels.columns
+    at, level = names.index("ts"), names.index(sigma)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ts = b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            s, alive = b.column(6).to_numpy(zero_copy_only=False).astype(np.float64), b.column(7).to_numpy(zero_copy_only=False).astype(bool)
-            out = ts.copy()
-            out[alive] = f(ts[alive].astype(np.float64), s[alive][:, None])
+            ts = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            s = b.column(level).to_numpy(zero_copy_only=False).astype(np.float64)
+            out, use = ts.copy(), s > 0
+            out[use] = f(ts[use].astype(np.float64), s[use][:, None])
             offsets = pa.array(np.arange(b.num_rows + 1) * ts.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(offsets, pa.array(out.ravel().astype(np.float32)))], names=[*cols, "ts"])
+            new = pa.ListArray.from_arrays(offsets, pa.array(out.ravel().astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], names=names)
 
-    return voxels.select(*cols, "ts", sigma, "alive").mapInArrow(run, "img string, v long, x int, y int, z int, ts array<float>")
+    return voxels.mapInArrow(run, voxels.schema)
 
 
-def sigma_map(voxels: DataFrame, g: Geometry, groups: list[int] | None) -> DataFrame:
-    """(img, v, sigma float): coarse estimates, smoothed and interpolated to every voxel."""
-    return lattice.trilinear(voxels, lattice.smoothed_sigma(cut(patches.coarse_sigma(voxels, g, groups))), g.dims)
+def sigma_grid(voxels: DataFrame, g: Geometry, groups: list[int] | None) -> DataFrame:
+    """(img, gx, gy, gz, den, num): coarse estimates of the noise level, smoothed, as a written table."""
+    return cut(lattice.smoothed_sigma(cut(patches.coarse_sigma(voxels, g, groups))))
 
 
 def filled(sigma: DataFrame) -> DataFrame | None:
-    """The map with estimates that are not positive replaced by the median of the positive ones; None if there is none."""
+    """The rows of sigma (img, sigma, other columns) with levels that are not positive replaced by the median of the positive ones of the image.
+
+    None if an image has no positive level."""
     positive = F.expr("median(sigma) FILTER (WHERE sigma > 0)")
     middle = cut(sigma.groupBy("img").agg(positive.alias("middle")))
     n = middle.count()
     if not n or middle.where("middle IS NULL").count():
         return None
-    return sigma.join(F.broadcast(middle) if n <= MAX_IMAGES else middle, "img").select("img", "v", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("middle").cast("float")).alias("sigma"))
+    return sigma.join(F.broadcast(middle) if n <= MAX_IMAGES else middle, "img").withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("middle").cast("float"))).drop("middle")
 
 
 def zero_share(result: Result, mask: DataFrame | None = None) -> float:
@@ -127,8 +131,8 @@ def zero_share(result: Result, mask: DataFrame | None = None) -> float:
     return (zeros or 0) / total if total else 0.0
 
 
-def unrung(voxels: DataFrame, nx: int, ny: int, partial_fourier: float) -> DataFrame:
-    return lattice.from_planes(unring.unring(lattice.to_planes(voxels, nx), nx, ny, partial_fourier), nx, ny)
+def unrung(voxels: DataFrame, nx: int, ny: int, nvol: int, partial_fourier: float) -> DataFrame:
+    return lattice.from_planes(unring.unring(lattice.to_planes(voxels, nx, ny, nvol), nx, ny, partial_fourier), nx, ny, nvol)
 
 
 def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.0), options: DenoiseOptions = DenoiseOptions(), mask: DataFrame | None = None, phase: DataFrame | None = None) -> Result:  # noqa: B008
@@ -150,7 +154,7 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
         unring.check_unring(nx, ny, o.partial_fourier or 1.0)
     zero = {"sigma": F.lit(0.0), "rank": F.lit(0)}
     if o.degibbs == "o":
-        return Result(unrung(voxels, nx, ny, o.partial_fourier or 1.0).withColumns(zero), None, False, None)
+        return Result(unrung(voxels, nx, ny, n, o.partial_fourier or 1.0).withColumns(zero), None, False, None)
 
     vst = o.vst if o.vst is not None else not o.phase and facts.low >= 0
     if (o.noise_dof is not None or o.preserve_noise_bias) and not vst:
@@ -180,63 +184,44 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     real = None
     if phase is not None:
         voxels = real = cut(rotate.rotate_to_real(voxels, phase, nx, ny, o.phaseunits or "auto"))
+    if mask is not None:
+        inner = mask.select("img", "v", F.lit(True).alias("inside")).distinct()
+        voxels = voxels.join(inner, ["img", "v"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    inside = "inside" if mask is not None else None
     means = (lambda v: shells.shell_means(v, groups)) if groups else (lambda v: v)
-    raw = voxels
-    now, sigma = means(raw), None
-    if need_map:
-        sigma = cut(sigma_map(now, g1, groups))
+    now, grid = means(voxels), sigma_grid(means(voxels), g1, groups) if need_map else None
     if vst:
-        found = filled(sigma)
-        if found is None:
-            vst = False
-        else:
-            sigma = cut(found)
-    known = sigma
+        found = filled(cut(patches.with_level(voxels.select("img", "v", *patches.AXES, "ts", *([inside] if inside else [])), grid, g1, "sigma")))
+        vst = found is not None
     if vst:
         vt = stabiliser(o.noise_dof or 1)
+        own = F.when(lattice.live(F.col("ts")), F.col("sigma").cast("double")).otherwise(-F.col("sigma").cast("double"))  # below 0: not stabilised
+        held = cut(found.withColumn("own", own))
         for k in range(VST_ROUNDS):
-            with_sigma = raw.withColumn("alive", lattice.live(F.col("ts"))).join(sigma, ["img", "v"])
-            now = cut(means(_mapped(with_sigma, lambda x, s: vt.forward(x / s), "sigma")))
+            now = cut(means(_mapped(held, lambda x, s: vt.forward(x / s), "own")))
             if k < VST_ROUNDS - 1:
-                ratio = sigma_map(now, g1, groups).withColumnRenamed("sigma", "ratio")
-                sigma = cut(sigma.join(ratio, ["img", "v"]).select("img", "v", F.when(F.col("ratio") > 0, F.col("sigma") * F.col("ratio")).otherwise(F.col("sigma")).cast("float").alias("sigma")))
-        now = now.withColumn("known", F.lit(1.0))
-    elif known is not None:
-        now = now.join(known.select("img", "v", F.col("sigma").cast("double").alias("known")), ["img", "v"])
-    if mask is not None:
-        now = now.join(mask.select("img", "v", F.lit(True).alias("inside")).distinct(), ["img", "v"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    inside = "inside" if mask is not None else None
+                rated = patches.with_level(held, sigma_grid(now, g1, groups), g1, "ratio")
+                sigma = F.when(F.col("ratio") > 0, F.col("sigma") * F.col("ratio")).otherwise(F.col("sigma")).cast("float")
+                held = cut(rated.withColumn("sigma", sigma).withColumn("own", own).drop("ratio"))
+        now, grid = now.withColumn("known", F.lit(1.0)), None
 
     if o.aggregator == "exclusive":
-        done = patches.denoise_exclusive(now, g, filter, groups, inside)
+        out = patches.denoise_exclusive(now, g, filter, groups, inside, grid)
     else:
         stride = o.stride or 2
         fwhm = None if o.aggregator == "uniform" else o.aggregator_fwhm or 2.0
-        now = cut(now)
-        mean = patches.merged(patches.patch_sums(now, g, filter, stride, fwhm, groups, inside))
-        both = now.join(mean, ["img", "v"], "left")
-        if inside:
-            both = both.where("inside")
-        both = cut(both)
-        series = F.col("mean")
-        if groups:
-            series = F.transform(series, lambda x, t: x + F.coalesce(F.get(F.col("means"), F.element_at(F.array(*[F.lit(k) for k in groups]), t + 1)).cast("double"), F.lit(0.0)))
-        covered = both.where("mean IS NOT NULL").select("img", "v", F.transform(series, lambda x: x.cast("float")).alias("ts"), F.col("sigma").cast("double"), F.round("rank").cast("int").alias("rank"))
-        missing = both.where("mean IS NULL").select("img", "v", F.lit(True).alias("wanted"))
-        done = covered
+        now = now if vst else cut(now)
+        out = cut(patches.merged(patches.patch_sums(now, g, low_rank(g, filter), stride, fwhm, groups, inside, grid)))
+        missing = out.where(F.col("state") == patches.MISSING).select("img", "v", F.lit(True).alias("wanted"))
         if not missing.isEmpty():  # voxels that no patch covered: their own patch
             left = now.join(missing, ["img", "v"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-            done = covered.unionByName(patches.denoise_exclusive(left, g, filter, groups, "wanted"))
-
-    base = raw.select("img", "v", "x", "y", "z", F.col("ts").alias("_raw"))
-    out = base.join(done, ["img", "v"], "left")
-    out = out.withColumn("ts", F.coalesce("ts", F.transform("_raw", lambda x: F.lit(0.0).cast("float"))))
+            alone = patches.denoise_exclusive(left, g, filter, groups, "wanted", grid)
+            out = out.where(F.col("state") != patches.MISSING).unionByName(alone.where(F.col("state") == patches.DONE))
     if vst:
-        own = out.withColumn("alive", lattice.live(F.col("_raw")) & F.col("rank").isNotNull()).join(sigma.withColumnRenamed("sigma", "own"), ["img", "v"])
-        back = _mapped(own, lambda x, s: s * vt.inverse(x, not o.preserve_noise_bias), "own")
-        noise = own.select("img", "v", F.when(F.coalesce("sigma", F.lit(0.0)) != 0, F.col("own").cast("double")).alias("sigma"), "rank")
-        out = back.join(noise, ["img", "v"])
-    out = out.select("img", "v", "x", "y", "z", "ts", F.coalesce("sigma", F.lit(0.0)).alias("sigma"), F.coalesce("rank", F.lit(0)).alias("rank"))
+        wanted = F.when(F.col("state") != patches.UNWANTED, F.col("own")).otherwise(0.0)
+        out = _mapped(out.withColumn("own", wanted), lambda x, s: s * vt.inverse(x, not o.preserve_noise_bias), "own")
+        out = out.withColumn("sigma", F.when(F.col("sigma") != 0, F.abs("own")).otherwise(0.0))
+    out = lattice.with_coordinates(out, nx, ny).select("img", "v", "x", "y", "z", "ts", "sigma", "rank")
     if o.degibbs == "y":
-        out = unrung(out, nx, ny, o.partial_fourier or 1.0).join(out.select("img", "v", "sigma", "rank"), ["img", "v"])
+        out = unrung(out, nx, ny, n, o.partial_fourier or 1.0).join(out.select("img", "v", "sigma", "rank"), ["img", "v"])
     return Result(out, real, vst, g)

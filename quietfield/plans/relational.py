@@ -1,22 +1,23 @@
 """The array operators over the driver's tables, each with its SQL where SQL can express it.
 
-Bindings: `embeddings` is a series on a 10 by 10 by n lattice (voxel = vec_id), `lineitem` sums to a 7 by 50
-plane, `events` has a series per user, `part` has b-values per brand."""
+Queries call the functions that the denoising pipeline runs. Bindings: `embeddings` is a series on a 10 by 10 by n lattice
+(voxel = vec_id), `lineitem` counts to a 7 by 50 plane, `events` has a level per user, `part` has b-values per brand."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.functions import randommatrix
 from quietfield.functions.geometry import Geometry
-from quietfield.operators import lattice, patches, rotate, shells, unring
+from quietfield.operators import compare, kernels, lattice, patches, rotate, shells, unring
 
-from .denoise import DenoiseOptions, denoise
+from .denoise import DenoiseOptions, denoise, filled
 
 NX = NY = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,14 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def embedding_voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
-    """(voxels, dims): embeddings as series on the lattice; slices that are not full are left empty at the end."""
-    rows = table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("img"), F.col("vec_id").alias("v"), F.col("embedding").alias("ts"), "label")
+def embedding_voxels(spark: SparkSession, sf_dir: str, n: int = 64) -> tuple[DataFrame, tuple[int, int, int]]:
+    """(voxels, dims): the first n numbers of embeddings as series on the lattice; slices that are not full are left empty at the end."""
+    rows = table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("img"), F.col("vec_id").alias("v"), F.slice("embedding", 1, n).alias("ts"), "label")
     top = rows.agg(F.max("v")).first()[0]
     dims = (NX, NY, -(-(top + 1) // (NX * NY)))
     return lattice.with_coordinates(rows, NX, NY).select("img", "v", "x", "y", "z", "ts", "label"), dims
 
 
+def numpy_rows(df: DataFrame, f: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """f over the columns of df as numpy arrays, batch by batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in f([c.to_numpy(zero_copy_only=False) for c in b.columns])], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 @query("""
@@ -59,7 +70,8 @@ def ref_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 y = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-                total = y.T @ y if total is None else total + y.T @ y
+                own = kernels.gram(y[None])[0]
+                total = own if total is None else total + own
         if total is not None:
             i, j = np.triu_indices(len(total))
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "g"])
@@ -84,12 +96,22 @@ def ref_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id, event_type) + 0.00000123, 4) AS value FROM events
+WITH s AS (SELECT vec_id, unnest(range(64)) AS t, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
+m AS (SELECT *, CASE WHEN t < 60 THEN CAST(CAST(avg(value) OVER (PARTITION BY vec_id, CASE WHEN t < 60 THEN t % 4 ELSE -1 END) AS FLOAT) AS DOUBLE) ELSE 0 END AS mean FROM s)
+SELECT vec_id AS v, CAST(t AS INT) AS t, round(value - mean, 4) + 0.0 AS value, round(mean, 4) + 0.0 AS mean FROM m
 """)
 def ref_demean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shell means taken off: shells are event types, voxels are users. The small addend keeps values off rounding ties."""
-    rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", F.round(F.col("value") - F.avg("value").over(Window.partitionBy("user_id", "event_type")) + F.lit(0.00000123), 4).alias("value"))
+    """Shell means taken off: every fourth volume is a shell, the last four volumes have none."""
+    voxels, _ = embedding_voxels(spark, sf_dir)
+    groups = [t % 4 if t < 60 else -1 for t in range(64)]
+
+    def run(columns: list[np.ndarray]) -> list[np.ndarray]:
+        v, ts, means = columns
+        value, mean = kernels.demeaned(np.stack(ts).astype(np.float64), np.stack(means), np.array(groups))
+        return [np.repeat(v, 64), np.tile(np.arange(64, dtype=np.int32), len(v)), value.ravel(), mean.ravel()]
+
+    out = numpy_rows(shells.shell_means(voxels, groups).select("v", "ts", "means"), run, "v long, t int, value double, mean double")
+    return out.select("v", "t", (F.round("value", 4) + 0.0).alias("value"), (F.round("mean", 4) + 0.0).alias("mean"))
 
 
 _LATTICE = "v AS (SELECT vec_id AS v, CAST(embedding[1] AS DOUBLE) AS value, label, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z FROM embeddings), d AS (SELECT max(z) + 1 AS nz FROM v)"
@@ -102,19 +124,29 @@ n AS (SELECT centre, c.x, c.y, c.z, (ox + a.k) + 10 * ((oy + b.k) + 10 * (oz + e
 WITH {_LATTICE}, {_CUBE.format(where=" WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")},
 m AS (SELECT centre, avg(value) AS est FROM n JOIN v ON n.v = v.v GROUP BY centre),
 w AS (SELECT n.v, est, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (v.y - n.y) ** 2 + (v.z - n.z) ** 2)) AS w FROM n JOIN m ON n.centre = m.centre JOIN v ON v.v = n.v)
-SELECT v, round(sum(w * est) / sum(w), 6) AS mean, count(*) AS n_patches FROM w GROUP BY v
+SELECT v, round(CAST(CAST(sum(w * est) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS mean, 1 AS rank FROM w GROUP BY v
 """)
 def ref_overlap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian-weighted mean of overlapping patch estimates (here patch means), centres at stride 2."""
-    voxels, dims = embedding_voxels(spark, sf_dir)
-    value = voxels.select("v", "x", "y", "z", F.col("ts")[0].cast("double").alias("value"))
-    centres = value.where("x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")
-    near = lattice.cube_neighbours(centres, dims, 3).join(value, "v")
-    est = near.groupBy("centre").agg(F.avg("value").alias("est"))
-    at = centres.select(F.col("v").alias("centre"), *[F.col(a).alias(f"c{a}") for a in "xyz"])
-    d2 = sum(F.pow(F.col(a) - F.col(f"c{a}"), F.lit(2)) for a in "xyz")
-    w = near.join(est, "centre").join(at, "centre").withColumn("w", F.exp(F.lit(-4 * np.log(2) / 16) * d2))
-    return w.groupBy("v").agg(F.round(F.sum(F.col("w") * F.col("est")) / F.sum("w"), 6).alias("mean"), F.count("*").alias("n_patches"))
+    voxels, dims = embedding_voxels(spark, sf_dir, 2)
+
+    def patch_mean(y: np.ndarray, known: np.ndarray | None):
+        return np.broadcast_to(y.mean(axis=1, keepdims=True), y.shape), np.zeros(len(y)), np.ones(len(y))
+
+    out = patches.merged(patches.patch_sums(voxels, Geometry(dims, 2, 3, "cube"), patch_mean, 2, 2.0))
+    return out.select("v", (F.round(F.col("ts")[0].cast("double"), 4) + 0.0).alias("mean"), "rank")
+
+
+def _centres(voxels: DataFrame, dims: tuple[int, int, int], g: Geometry, f, schema: str) -> DataFrame:
+    """f(block, centres, table) for the voxels of each tile as centres, with all that their patches need around them."""
+    core = np.array(g.tile())
+
+    def run(img, tile, table, _):
+        block, coords = patches._block(table, g, tile, core, np.array(g.reach), None)
+        here = ((coords // core) == tile).all(axis=1)
+        return f(block, coords, here, table)
+
+    return patches.by_tile(voxels, g, core, g.reach, run, schema)
 
 
 @query(f"""
@@ -123,9 +155,16 @@ SELECT centre, bool_or(label < 5) AS touches, CAST(count_if(label < 5) AS BIGINT
 """)
 def ref_mask_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which patches touch the mask, and in how many voxels."""
-    voxels, dims = embedding_voxels(spark, sf_dir)
-    near = lattice.cube_neighbours(voxels, dims, 3).join(voxels.select("v", (F.col("label") < 5).alias("inside")), "v")
-    return near.groupBy("centre").agg(F.bool_or("inside").alias("touches"), F.count_if("inside").alias("inside"))
+    voxels, dims = embedding_voxels(spark, sf_dir, 2)
+    g = Geometry(dims, 2, 3, "cube")
+
+    def run(block, coords, here, table):
+        inside = np.zeros(len(block.raw), bool)
+        inside[block.flat(coords)] = table.column("label").to_numpy() < 5
+        n = kernels.hits(block, coords[here], inside)
+        return pa.table({"centre": table.column("v").to_numpy()[here], "touches": n > 0, "inside": n})
+
+    return _centres(voxels, dims, g, run, "centre long, touches boolean, inside long")
 
 
 @query(f"""
@@ -137,24 +176,38 @@ SELECT centre, v, CAST(place AS INT) AS place FROM q WHERE place <= 81
 """)
 def ref_sphere_top_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The voxels of spherical patches: the nearest 81 inside the image, ties by z, y, x."""
-    voxels, dims = embedding_voxels(spark, sf_dir)
-    return lattice.sphere_neighbours(voxels, Geometry(dims, 64, 3))
+    voxels, dims = embedding_voxels(spark, sf_dir, 64)
+    g = Geometry(dims, 64, 3)
+
+    def run(block, coords, here, table):
+        at = block.rows(coords[here])
+        x, y, z = at % block.size[0], at // block.size[0] % block.size[1], at // (block.size[0] * block.size[1])
+        v = x + block.low[0] + NX * (y + block.low[1] + NY * (z + block.low[2]))
+        return pa.table({"centre": np.repeat(table.column("v").to_numpy()[here], g.rows), "v": v.ravel(), "place": np.tile(np.arange(1, g.rows + 1, dtype=np.int32), len(v))})
+
+    return _centres(voxels, dims, g, run, "centre long, v long, place int")
 
 
 @query("""
-WITH p AS (SELECT l_linenumber - 1 AS x, CAST(l_quantity AS INT) - 1 AS y, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS s FROM lineitem GROUP BY 1, 2),
+WITH p AS (SELECT l_linenumber - 1 AS x, CAST(l_quantity AS INT) - 1 AS y, count(*) AS s FROM lineitem GROUP BY 1, 2),
 g AS (SELECT a.x, b.y, CAST(coalesce(s, 0) AS DOUBLE) AS s FROM (SELECT unnest(range(7)) AS x) a CROSS JOIN (SELECT unnest(range(50)) AS y) b LEFT JOIN p ON p.x = a.x AND p.y = b.y),
-t AS (SELECT unnest(range(-3, 4)) AS k, unnest([1, 6, 15, 20, 15, 6, 1]) / 64.0 AS w),
+t AS (SELECT unnest(range(-3, 4)) AS k, unnest([1, 6, 15, 20, 15, 6, 1]) / 64.0::DOUBLE AS w),
 u AS (SELECT (x + k + 7) % 7 AS x, y, sum(s * w) AS s FROM g, t GROUP BY 1, 2),
 q AS (SELECT x, (y + k + 50) % 50 AS y, sum(s * w) AS s FROM u, t GROUP BY 1, 2)
-SELECT CAST(x + 7 * y AS INT) AS p, round(s, 2) AS value FROM q
+SELECT CAST(x + 7 * y AS INT) AS p, s AS value FROM q
 """)
 def ref_circular_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven-tap low-pass with wrap-around over the plane of line numbers and quantities."""
-    sums = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 1 + 7 * (F.col("l_quantity").cast("int") - 1)).alias("p")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("s"))
-    whole = spark.range(350).select(F.col("id").cast("int").alias("p")).join(sums, "p", "left")
-    rows = whole.select(F.lit("lineitem").alias("img"), F.lit(0).alias("z"), F.lit(0).alias("t"), "p", F.coalesce("s", F.lit(0)).cast("double").alias("value"))
-    return lattice.circular_smooth(rows, 7, 50).select("p", F.round("value", 2).alias("value"))
+    """Seven-tap low-pass with wrap-around over the plane of line numbers and quantities; counts make it exact in single precision."""
+    cell = (F.col("l_linenumber") - 1 + 7 * (F.col("l_quantity").cast("int") - 1)).alias("p")
+    whole = spark.range(350).select(F.col("id").cast("int").alias("p")).join(table(spark, sf_dir, "lineitem").groupBy(cell).count(), "p", "left")
+
+    def run(key, rows):
+        px = np.zeros(350, np.float32)
+        px[rows.column("p").to_numpy()] = rows.column("count").to_numpy()
+        return pa.table({"p": np.arange(350, dtype=np.int32), "value": rotate.smooth_wrapped(px.reshape(1, 50, 7)).ravel().astype(np.float64)})
+
+    plane = whole.select(F.lit(0).alias("z"), "p", F.coalesce("count", F.lit(0)).cast("float").alias("count"))
+    return plane.groupBy("z").applyInArrow(run, "p int, value double")
 
 
 _GRID = """c AS (SELECT least(2, CAST(floor((nz - 1) / 2) AS INT)) AS c0z, nz FROM d),
@@ -197,21 +250,20 @@ SELECT v.v, round(CAST(CAST(coalesce(sigma, 0) AS FLOAT) AS DOUBLE), 5) AS sigma
 def ref_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed grid interpolated to every voxel."""
     voxels, dims = embedding_voxels(spark, sf_dir)
-    out = lattice.trilinear(voxels, lattice.smoothed_sigma(_coarse(voxels, dims)), dims)
+    out = patches.with_level(voxels.drop("label"), lattice.smoothed_sigma(_coarse(voxels, dims)), Geometry(dims, 64, 5), "sigma")
     return out.select("v", F.round(F.col("sigma").cast("double"), 5).alias("sigma"))
 
 
 @query("""
-WITH u AS (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS s FROM events GROUP BY user_id),
-m AS (SELECT median(s) FILTER (WHERE s > 0) AS m FROM u)
-SELECT user_id, round(CASE WHEN s > 0 THEN s ELSE m END, 3) AS sigma FROM u, m
+WITH u AS (SELECT user_id, CAST(CAST(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS FLOAT) AS DOUBLE) AS s FROM events GROUP BY user_id),
+m AS (SELECT CAST(CAST(median(s) FILTER (WHERE s > 0) AS FLOAT) AS DOUBLE) AS m FROM u)
+SELECT user_id, round(CASE WHEN s > 0 THEN s ELSE m END, 1) AS sigma FROM u, m
 """)
 def ref_sigma_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates that are not positive replaced by the median of the positive ones."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("s"))
-    middle = rows.agg(F.expr("median(s) FILTER (WHERE s > 0)").alias("m"))
-    filled = rows.join(F.broadcast(middle))  # one row
-    return filled.select("user_id", F.round(F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("m")), 3).alias("sigma"))
+    """Levels that are not positive replaced by the median of the positive ones."""
+    level = F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).cast("float").alias("sigma")
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(level)
+    return filled(rows.withColumn("img", F.lit("events"))).select("user_id", F.round(F.col("sigma").cast("double"), 1).alias("sigma"))
 
 
 _BETA = "p_size / 50.0::DOUBLE"
@@ -227,8 +279,14 @@ SELECT p_partkey, round(sqrt(2 * (b + 1) + 8 * b / (b + 1 + sqrt(b * b + 14 * b
 """)
 def ref_random_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal threshold and Marchenko-Pastur distribution, one aspect ratio and value per part."""
-    beta, x = F.col("p_size") / F.lit(50.0), F.col("p_retailprice") / 1000
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(randommatrix.lambda_star_col(beta), 9).alias("lambda_star"), F.round(randommatrix.mp_cdf_col(x, beta), 8).alias("mp_cdf"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / F.lit(50.0)).alias("beta"), (F.col("p_retailprice") / 1000).alias("x"))
+
+    def run(columns: list[np.ndarray]) -> list[np.ndarray]:
+        key, beta, x = columns
+        return [key, np.array([randommatrix.lambda_star(b) for b in beta]), np.array([randommatrix.mp_cdf(a, b) for a, b in zip(x, beta, strict=True)])]
+
+    out = numpy_rows(rows, run, "p_partkey long, lambda_star double, mp_cdf double")
+    return out.select("p_partkey", F.round("lambda_star", 9).alias("lambda_star"), F.round("mp_cdf", 8).alias("mp_cdf"))
 
 
 @query("""
@@ -239,23 +297,41 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN g = 0 THEN CASE WHEN s > 0 THEN
 """)
 def ref_shrink_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shrinkage weights of singular values."""
-    rows = table(spark, sf_dir, "lineitem")
-    w = randommatrix.shrink_weight_col(F.col("l_quantity"), F.col("l_tax") * 10, F.lit(147.0), F.lit(0.5))
-    return rows.select("l_orderkey", "l_linenumber", F.round(w, 7).alias("w"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_tax") * 10).alias("sigma"))
+
+    def run(columns: list[np.ndarray]) -> list[np.ndarray]:
+        order, line, s, sigma = columns
+        return [order, line, kernels.component_weights(s[:, None], sigma, 147.0, 0.5, "optshrink")[:, 0]]
+
+    return numpy_rows(rows, run, "l_orderkey long, l_linenumber int, w double").withColumn("w", F.round("w", 7))
 
 
 @query("""
-SELECT round(max(abs(l_extendedprice - b)), 4) AS max_abs, round(sqrt(sum((l_extendedprice - b) ** 2) / sum(b ** 2)), 9) AS rel_l2,
-    round(sqrt(avg(l_extendedprice ** 2)), 3) AS rms, CAST(count_if(l_extendedprice - b < 0) AS BIGINT) AS negative, CAST(count_if(l_extendedprice = b) AS BIGINT) AS equal, count(DISTINCT l_quantity) AS levels
-FROM (SELECT *, l_extendedprice * (1 - l_discount) AS b FROM lineitem)
+WITH k AS (SELECT unnest(range(4)) AS t), o AS (SELECT DISTINCT l_orderkey AS v FROM lineitem WHERE l_linenumber <= 4),
+s AS (SELECT o.v, k.t, coalesce(sum(l_extendedprice), 0.0) AS a, coalesce(sum(l_extendedprice * (1 - l_discount)), 0.0) AS b
+    FROM o CROSS JOIN k LEFT JOIN lineitem l ON l.l_orderkey = o.v AND l.l_linenumber = k.t + 1 GROUP BY o.v, k.t),
+r AS (SELECT sqrt(avg(b ** 2)) AS rms_b FROM s)
+SELECT round(max(abs(a - b)), 3) AS max_abs, round(sqrt(sum((a - b) ** 2) / sum(b ** 2)), 8) AS rel_l2, round(sqrt(avg(a ** 2)), 2) AS rms, CAST(count_if(a < 0) AS BIGINT) AS negative,
+    (SELECT count(*) FROM (SELECT v FROM s GROUP BY v HAVING max(abs(a)) = 0)) AS zero_voxels,
+    arg_min(v, (-abs(a - b), v, t)) AS max_v, CAST(arg_min(t, (-abs(a - b), v, t)) AS INT) AS max_t, round(count_if(abs(a - b) > 0.05 * rms_b) / count(*), 6) AS over_share FROM s, r
 """)
 def ref_error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparison of two samples: largest difference, relative L2, RMS and counts."""
-    a, b = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return table(spark, sf_dir, "lineitem").agg(
-        F.round(F.max(F.abs(a - b)), 4).alias("max_abs"), F.round(F.sqrt(F.sum((a - b) ** 2) / F.sum(b**2)), 9).alias("rel_l2"), F.round(F.sqrt(F.avg(a**2)), 3).alias("rms"),
-        F.count_if(a - b < 0).alias("negative"), F.count_if(a == b).alias("equal"), F.countDistinct("l_quantity").alias("levels"),
-    )
+    """Comparison of two series: an order's prices with and without discount, volumes being line numbers."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    series = lambda value: rows.groupBy(F.lit("lineitem").alias("img"), F.col("l_orderkey").alias("v")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == k, value)), F.lit(0.0)) for k in range(1, 5)]).alias("ts"))
+    out = compare.compare(series(F.col("l_extendedprice")), series(F.col("l_extendedprice") * (1 - F.col("l_discount"))), threshold=0.05)
+    return out.select(F.round("max_abs", 3).alias("max_abs"), F.round("rel_l2", 8).alias("rel_l2"), F.round("rms", 2).alias("rms"), "negative", "zero_voxels", "max_v", "max_t", F.round("over_share", 6).alias("over_share"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS v, l_extendedprice AS x FROM lineitem)
+SELECT 'lineitem' AS img, round(quantile_cont(x, 0.995), 4) AS high, round(quantile_cont(x, 0.5), 4) AS middle FROM s
+""")
+def ref_display_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the samples for a display window."""
+    voxels = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("img"), F.array("l_extendedprice").alias("ts"))
+    high, middle = (compare.window(voxels, q) for q in (0.995, 0.5))
+    return high.join(middle.withColumnRenamed("level", "middle"), "img").select("img", F.round("level", 4).alias("high"), F.round("middle", 4).alias("middle"))
 
 
 @query("""
@@ -301,24 +377,88 @@ FROM (SELECT vec_id // 100 AS z, unnest(range(64)) AS t, CAST(unnest(embedding)
 def ref_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxel series turned into slices per volume."""
     voxels, _ = embedding_voxels(spark, sf_dir)
-    p = lattice.to_planes(voxels, NX)
+    p = lattice.to_planes(voxels, NX, NY, 64)
     total = F.aggregate("px", F.lit(0.0), lambda a, x: a + x)
     return p.select(F.col("z").cast("long").alias("z"), F.col("t").cast("long").alias("t"), F.size("px").cast("long").alias("n"), F.round(total, 5).alias("total"), F.round(F.array_min("px").cast("double"), 6).alias("low"))
 
 
-def _full_slices(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+def _full_slices(voxels: DataFrame, dims: tuple[int, int, int], nvol: int = 64) -> DataFrame:
     """voxels with rows of zeros for places that have none."""
     n = dims[0] * dims[1] * dims[2]
-    zeros = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lit(0.0).cast("float"))
+    zeros = F.transform(F.sequence(F.lit(1), F.lit(nvol)), lambda i: F.lit(0.0).cast("float"))
     every = lattice.with_coordinates(voxels.sparkSession.range(n).select(F.lit("embeddings").alias("img"), F.col("id").alias("v")), NX, NY)
     return every.join(voxels.select("v", "ts"), "v", "left").select("img", "v", "x", "y", "z", F.coalesce("ts", zeros).alias("ts"))
 
 
-@query()
+#: Patches of two volumes: the 2 by 2 Gram matrix has a closed form, so SQL can check whole decompositions. K: 3 by 3 by 3 voxels.
+_TWO = Geometry((10, 10, 5), 2, 3, "cube")
+_PAIR = f"""v AS (SELECT vec_id AS v, CAST(embedding[1] AS DOUBLE) AS y1, CAST(embedding[2] AS DOUBLE) AS y2, label, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z FROM embeddings), d AS (SELECT max(z) + 1 AS nz FROM v),
+{_CUBE.format(where="")},
+s AS (SELECT centre, sum(y1 * y1) AS a, sum(y1 * y2) AS b, sum(y2 * y2) AS c FROM n JOIN v ON n.v = v.v GROUP BY centre),
+l AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM s),
+r AS (SELECT *, sqrt(l1) AS s1, sqrt(greatest(l2, 0)) AS s2, (sqrt(l1) + sqrt(greatest(l2, 0))) / 2 AS middle, b * b + (l1 - a) ** 2 AS u FROM l),
+k AS (SELECT *, CAST(s1 >= {_TWO.omega!r}::DOUBLE * middle AS INT) AS k1, CAST(s2 >= {_TWO.omega!r}::DOUBLE * middle AS INT) AS k2, middle * {_TWO.sigma_scale!r}::DOUBLE AS sigma FROM r),
+p AS (SELECT centre, k1 + k2 AS rank, sigma, CASE WHEN k2 = 1 THEN 1 WHEN k1 = 1 THEN b * b / u ELSE 0 END AS p11, CASE WHEN k2 = 1 THEN 0 WHEN k1 = 1 THEN b * (l1 - a) / u ELSE 0 END AS p12,
+    CASE WHEN k2 = 1 THEN 1 WHEN k1 = 1 THEN (l1 - a) ** 2 / u ELSE 0 END AS p22 FROM k)"""
+_HARD = DenoiseOptions(filter="optthresh", shape="cube")
+
+
+def _rounded(name: str, t: int, places: int = 4):
+    return (F.round(F.col(name)[t].cast("double"), places) + 0.0).alias(f"x{t + 1}")
+
+
+@query(f"""
+WITH {_PAIR} SELECT CAST((x - 2) // 4 AS INT) AS gx, CAST((y - 2) // 4 AS INT) AS gy, CAST((z - least(2, (nz - 1) // 2)) // 4 AS INT) AS gz, round(CAST(CAST(sigma AS FLOAT) AS DOUBLE), 5) AS sigma
+FROM p JOIN v ON v.v = p.centre, d WHERE x >= 2 AND (x - 2) % 4 = 0 AND y >= 2 AND (y - 2) % 4 = 0 AND z >= least(2, (nz - 1) // 2) AND (z - least(2, (nz - 1) // 2)) % 4 = 0
+""")
 def ref_noise_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noise levels of the embeddings' patches on the coarse grid."""
-    voxels, dims = embedding_voxels(spark, sf_dir)
-    return patches.coarse_sigma(_full_slices(voxels, dims), Geometry(dims, 64, 5))
+    """Noise levels of patches of two volumes on the coarse grid."""
+    voxels, dims = embedding_voxels(spark, sf_dir, 2)
+    out = patches.coarse_sigma(_full_slices(voxels, dims, 2), Geometry(dims, 2, 3, "cube"))
+    return out.select("gx", "gy", "gz", F.round("sigma", 5).alias("sigma"))
+
+
+@query(f"""
+WITH {_PAIR} SELECT v.v, round(CASE WHEN label < 5 THEN y1 * p11 + y2 * p12 ELSE 0 END, 4) + 0.0 AS x1, round(CASE WHEN label < 5 THEN y1 * p12 + y2 * p22 ELSE 0 END, 4) + 0.0 AS x2,
+    CASE WHEN label < 5 THEN rank ELSE 0 END AS rank, round(CASE WHEN label < 5 THEN CAST(CAST(sigma AS FLOAT) AS DOUBLE) ELSE 0 END, 5) AS sigma FROM v JOIN p ON p.centre = v.v
+""")
+def ref_denoise_exclusive_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard threshold of patches of two volumes, one patch per voxel, within the mask of labels below 5."""
+    voxels, dims = embedding_voxels(spark, sf_dir, 2)
+    out = denoise(_full_slices(voxels, dims, 2), dims, options=replace(_HARD, aggregator="exclusive"), mask=voxels.where("label < 5").select("img", "v")).voxels
+    return out.select("v", _rounded("ts", 0), _rounded("ts", 1), "rank", F.round("sigma", 5).alias("sigma"))
+
+
+@query(f"""
+WITH {_PAIR}, w AS (SELECT v.v, y1 * p11 + y2 * p12 AS x1, y1 * p12 + y2 * p22 AS x2, rank, sigma, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (v.y - n.y) ** 2 + (v.z - n.z) ** 2)) AS w
+    FROM n JOIN p ON n.centre = p.centre JOIN v ON v.v = n.v WHERE n.x % 2 = 0 AND n.y % 2 = 0 AND n.z % 2 = 0)
+SELECT v, round(sum(w * x1) / sum(w), 4) + 0.0 AS x1, round(sum(w * x2) / sum(w), 4) + 0.0 AS x2, CAST(floor(sum(w * rank) / sum(w) + 0.5) AS INT) AS rank, round(sum(w * sigma) / sum(w), 6) AS sigma FROM w GROUP BY v
+""")
+def ref_denoise_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard threshold of patches of two volumes, averaged by Gaussian weights over centres at stride 2."""
+    voxels, dims = embedding_voxels(spark, sf_dir, 2)
+    out = denoise(_full_slices(voxels, dims, 2), dims, options=_HARD).voxels
+    return out.select("v", _rounded("ts", 0), _rounded("ts", 1), "rank", F.round("sigma", 6).alias("sigma"))
+
+
+@query("""
+WITH f AS (SELECT vec_id AS v, embedding AS m, list_reverse(embedding) AS ph FROM embeddings),
+g AS (SELECT min(list_min(ph)) AS lo, max(list_max(ph)) AS hi FROM f), k AS (SELECT 2 * pi() / (CAST(hi AS DOUBLE) - lo) AS slope, lo, hi FROM g),
+s AS (SELECT v, t, CAST(m[t + 1] AS DOUBLE) AS m, ph[t + 1] * slope - 0.5 * (CAST(lo AS DOUBLE) + hi) * slope AS rad FROM f, k, (SELECT unnest(range(64)) AS t)),
+a AS (SELECT t, avg(abs(m)) AS m FROM s GROUP BY t), r AS (SELECT coalesce(min(t) FILTER (WHERE m > 0.95 * top), 0) AS ref FROM (SELECT *, max(m) OVER () AS top FROM a)),
+c AS (SELECT v, CASE WHEN m <> 0 THEN cos(rad) ELSE 1 END AS rc, CASE WHEN m <> 0 THEN -sin(rad) ELSE 0 END AS rs FROM s, r WHERE t = ref),
+z AS (SELECT s.v, t, abs(m) * (cos(rad) * rc - sin(rad) * rs) AS re, abs(m) * (cos(rad) * rs + sin(rad) * rc) AS im FROM s JOIN c ON c.v = s.v),
+w AS (SELECT unnest(range(-3, 4)) AS k, unnest([1, 6, 15, 20, 15, 6, 1]) / 64.0::DOUBLE AS w),
+h AS (SELECT v // 100 AS z, v // 10 % 10 AS y, (v % 10 + k + 10) % 10 AS x, t, sum(w * re) AS re, sum(w * im) AS im FROM z, w GROUP BY 1, 2, 3, 4),
+i AS (SELECT z * 100 + (y + k + 10) % 10 * 10 + x AS v, t, sum(w * re) AS sre, sum(w * im) AS sim FROM h, w GROUP BY 1, 2)
+SELECT z.v, CAST(z.t AS INT) AS t, round((re * sre + im * sim) / sqrt(sre ** 2 + sim ** 2), 2) + 0.0 AS value FROM z JOIN i ON i.v = z.v AND i.t = z.t
+""")
+def ref_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magnitude with its phase (the series backwards, its range one turn) to a signed real series."""
+    voxels, _ = embedding_voxels(spark, sf_dir)
+    voxels = voxels.drop("label")
+    out = rotate.rotate_to_real(voxels, voxels.withColumn("ts", F.reverse("ts")), NX, NY)
+    return out.select("v", F.posexplode("ts").alias("t", "value")).withColumn("value", F.round(F.col("value").cast("double"), 2) + 0.0)
 
 
 @query()
@@ -328,17 +468,9 @@ def ref_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denoise(_full_slices(voxels, dims), dims).voxels.select("v", "ts", "sigma", "rank")
 
 
-@query()
-def ref_denoise_exclusive_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard threshold, one patch per voxel, within the mask of labels below 5."""
-    voxels, dims = embedding_voxels(spark, sf_dir)
-    mask = voxels.where("label < 5").select("img", "v")
-    return denoise(_full_slices(voxels, dims), dims, options=DenoiseOptions(filter="optthresh", aggregator="exclusive", shape="cube"), mask=mask).voxels.select("v", "ts", "rank")
-
-
 @query()
 def ref_unring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ringing removed from every slice of the embeddings."""
     voxels, dims = embedding_voxels(spark, sf_dir)
-    planes = lattice.to_planes(_full_slices(voxels, dims), NX)
+    planes = lattice.to_planes(_full_slices(voxels, dims), NX, NY, 64)
     return unring.unring(planes, NX, NY).select("z", "t", "px")
