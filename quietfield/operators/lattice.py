@@ -31,6 +31,8 @@ def _series(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _lists(values: np.ndarray) -> pa.Array:
+    if values.size >= 1 << 31:
+        raise ValueError("a group holds more samples than one column of lists can")
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel(), pa.float32()))
 
 

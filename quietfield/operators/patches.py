@@ -58,6 +58,8 @@ def _v(g: Geometry, coords: np.ndarray) -> np.ndarray:
 
 
 def _lists(values: np.ndarray, kind) -> pa.Array:
+    if values.size >= 1 << 31:
+        raise ValueError("a tile holds more samples than one column of lists can; take a smaller extent or fewer volumes")
     offsets = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind))
 

@@ -39,7 +39,7 @@ def reference_volume(samples: DataFrame) -> DataFrame:
     return top.groupBy("img").agg(F.coalesce(F.min(F.when(F.col("m") > 0.95 * F.col("top"), F.col("t"))), F.lit(0)).alias("ref"))
 
 
-def radians(phase: Column, slope: float, inter: float) -> Column:
+def radians(phase: Column, slope: float | Column, inter: float | Column) -> Column:
     return phase.cast("double") * slope + inter
 
 
@@ -56,22 +56,19 @@ def smooth_wrapped(p: np.ndarray) -> np.ndarray:
 def rotate_to_real(mag: DataFrame, phase: DataFrame, nx: int, ny: int, units: str = "auto") -> DataFrame:
     """Voxels (img, v, x, y, z, ts) of the rotated series from voxels of magnitude and phase on the same lattice.
 
-    The two meet by voxel; the range of the phase and the reference volume are the only values that reach the
-    driver. A plane holds all volumes of one slice, so that slices are filtered apart from each other."""
-    low, high = phase.agg(F.min(F.array_min("ts")), F.max(F.array_max("ts"))).first()
-    slope, inter = phase_scale(units, low or 0.0, high or 0.0)
+    The two meet by voxel, and by image with the range of its phase and its reference volume; each image is read in its own
+    encoding. A group holds all volumes of one slice, so that slices are filtered apart from each other."""
     sums = mag.select("img", F.posexplode("ts").alias("t", "value"))
-    ref = {r.img: r.ref for r in reference_volume(sums).collect()}
-
-    both = mag.join(phase.select("img", "v", F.col("ts").alias("ph")), ["img", "v"])
+    facts = phase.groupBy("img").agg(F.min(F.array_min("ts")).alias("low"), F.max(F.array_max("ts")).alias("high")).join(reference_volume(sums), "img")
+    both = mag.join(phase.select("img", "v", F.col("ts").alias("ph")), ["img", "v"]).join(facts, "img")
 
     def run(key, table):
-        img = key[0].as_py()
         n = table.num_rows
+        slope, inter = phase_scale(units, table.column("low")[0].as_py(), table.column("high")[0].as_py())
+        r = table.column("ref")[0].as_py()
         order = np.argsort(table.column("v").to_numpy())
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[order].astype(np.float64)
         m, rad = flat("ts"), flat("ph") * slope + inter
-        r = ref[img]
         at_ref = np.abs(m[:, r]) > 0
         refc = np.where(at_ref, np.cos(rad[:, r]), 1.0).astype(np.float32).astype(np.float64)[:, None]
         refs = np.where(at_ref, -np.sin(rad[:, r]), 0.0).astype(np.float32).astype(np.float64)[:, None]
@@ -85,12 +82,21 @@ def rotate_to_real(mag: DataFrame, phase: DataFrame, nx: int, ny: int, units: st
         offsets = pa.array(np.arange(n + 1) * out.shape[1], pa.int32())
         return rows.append_column("ts", pa.ListArray.from_arrays(offsets, pa.array(out.ravel())))
 
-    return both.select("img", "v", "x", "y", "z", "ts", "ph").groupBy("img", "z").applyInArrow(run, "img string, v long, x int, y int, z int, ts array<float>")
-
+    return both.select("img", "v", "x", "y", "z", "ts", "ph", "low", "high", "ref").groupBy("img", "z").applyInArrow(run, "img string, v long, x int, y int, z int, ts array<float>")
 
-def changes_nothing(mag_phase: DataFrame, slope: float, inter: float) -> bool:
-    """Whether a phase column `phase` rotates nowhere: sines vanish and no cosine is negative."""
-    rad = radians(F.col("phase"), slope, inter)
-    top, low = mag_phase.agg(F.max(F.abs(F.sin(rad))), F.min(F.cos(rad))).first()
-    return top is not None and top < 1e-6 and low > 0
 
+def changes_nothing(phase: DataFrame, units: str = "auto") -> bool:
+    """Whether the phase voxels of any image rotate nowhere: sines vanish and no cosine is negative."""
+    facts = phase.groupBy("img").agg(F.min(F.array_min("ts")).alias("low"), F.max(F.array_max("ts")).alias("high"))
+    low, high, turn = F.col("low"), F.col("high"), F.lit(TURN)
+    span = high - low
+    if units == "auto":
+        plain = (F.abs(span - turn) <= 0.1) | ~(span > 0)
+        slope = F.when(plain, 1.0).otherwise(turn / span)
+        inter = F.when(plain, 0.0).otherwise(-0.5 * (low + high) * turn / span)
+    else:
+        slope, inter = (F.lit(x) for x in phase_scale(units, 0.0, 0.0))
+    samples = phase.join(facts, "img").select("img", F.explode("ts").alias("p"), slope.alias("slope"), inter.alias("inter"))
+    rad = radians(F.col("p"), F.col("slope"), F.col("inter"))
+    found = samples.groupBy("img").agg(F.max(F.abs(F.sin(rad))).alias("top"), F.min(F.cos(rad)).alias("low"))
+    return not found.where("top < 1e-6 AND low > 0").isEmpty()

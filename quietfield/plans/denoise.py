@@ -83,6 +83,18 @@ class Result:
     real: DataFrame | None
     vst: bool
     geometry: Geometry | None
+    filter: str = ""
+    shells: tuple[tuple[float, int], ...] = ()
+    fallbacks: int = 0  # voxels that no patch covered, restored from their own
+
+    def summary(self) -> str:
+        """What a run did, in a line."""
+        if self.geometry is None:
+            return "unringing only"
+        g = self.geometry
+        patch = f"sphere radius {math.sqrt(g.radius2):.2f} mm = {g.rows} voxels" if g.shape == "sphere" else f"cube of {g.extent} = {g.rows} voxels"
+        shells = f"; shells {' '.join(f'b={b:.0f} x{n}' for b, n in self.shells)}" if self.shells else ""
+        return f"{patch}; filter {self.filter}; stabilised {'yes' if self.vst else 'no'}{shells}; voxels without a patch {self.fallbacks}"
 
 
 def _mapped(voxels: DataFrame, f, sigma: str) -> DataFrame:
@@ -122,9 +134,9 @@ def filled(sigma: DataFrame) -> DataFrame | None:
     return sigma.join(F.broadcast(middle) if n <= MAX_IMAGES else middle, "img").withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("middle").cast("float"))).drop("middle")
 
 
-def zero_share(result: Result, mask: DataFrame | None = None) -> float:
-    """Share of zeros among the output samples of live voxels (in the mask); over half of them means that noise_dof does not fit."""
-    rows = result.voxels.where(lattice.live(F.col("ts")))
+def zero_share(out: DataFrame, raw: DataFrame, mask: DataFrame | None = None) -> float:
+    """Share of zeros among the output samples of voxels that are live in raw (and in the mask); over half of them means that noise_dof does not fit."""
+    rows = out.join(raw.where(lattice.live(F.col("ts"))).select("img", "v"), ["img", "v"], "left_semi")
     if mask is not None:
         rows = rows.join(mask.select("img", "v").distinct(), ["img", "v"], "left_semi")
     zeros, total = rows.agg(F.sum(F.size(F.filter("ts", lambda x: x == 0))), F.sum(F.size("ts"))).first()
@@ -148,7 +160,9 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     if facts.n is None or facts.n != facts.least:
         raise ValueError("every voxel needs the same number of volumes")
     if facts.odd:
-        raise ValueError("the series holds values that are not finite")
+        bad = voxels.select("img", "v", F.posexplode("ts").alias("t", "x")).where(F.isnan("x") | (F.abs("x") == float("inf")))
+        at = bad.agg(F.min(F.struct("img", "t", "v")).alias("at")).first().at  # the first in the order of a file
+        raise ValueError(f"the series holds values that are not finite, the first at voxel {at.v} of volume {at.t}")
     n = facts.n
     if o.degibbs != "n":
         unring.check_unring(nx, ny, o.partial_fourier or 1.0)
@@ -160,10 +174,13 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     if (o.noise_dof is not None or o.preserve_noise_bias) and not vst:
         raise ValueError("noise_dof and preserve_noise_bias describe vst, which is off")
     groups: list[int] | None = None
+    named: tuple = ()
     if o.demean:
         b = shells.check_bvals(list(o.bvals), n)
         rows = voxels.sparkSession.createDataFrame([("img", t, x) for t, x in enumerate(b)], "img string, t int, b double")
-        groups = [-1 if r.grp is None else r.grp for r in sorted(shells.shells(rows).collect(), key=lambda r: r.t)]
+        found_shells = sorted(shells.shells(rows).collect(), key=lambda r: r.t)
+        groups = [-1 if r.grp is None else r.grp for r in found_shells]
+        named = tuple(sorted({(r.shell_b, r.shell_n) for r in found_shells if r.grp is not None}))
     ngroups = max(groups) + 1 if groups else 0
     filter = o.filter
     need_map = filter != "optthresh" or vst
@@ -205,6 +222,7 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
                 held = cut(rated.withColumn("sigma", sigma).withColumn("own", own).drop("ratio"))
         now, grid = now.withColumn("known", F.lit(1.0)), None
 
+    fallbacks = 0
     if o.aggregator == "exclusive":
         out = patches.denoise_exclusive(now, g, filter, groups, inside, grid)
     else:
@@ -213,7 +231,8 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
         now = now if vst else cut(now)
         out = cut(patches.merged(patches.patch_sums(now, g, low_rank(g, filter), stride, fwhm, groups, inside, grid)))
         missing = out.where(F.col("state") == patches.MISSING).select("img", "v", F.lit(True).alias("wanted"))
-        if not missing.isEmpty():  # voxels that no patch covered: their own patch
+        fallbacks = missing.count()
+        if fallbacks:  # voxels that no patch covered: their own patch
             left = now.join(missing, ["img", "v"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
             alone = patches.denoise_exclusive(left, g, filter, groups, "wanted", grid)
             out = out.where(F.col("state") != patches.MISSING).unionByName(alone.where(F.col("state") == patches.DONE))
@@ -224,4 +243,4 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     out = lattice.with_coordinates(out, nx, ny).select("img", "v", "x", "y", "z", "ts", "sigma", "rank")
     if o.degibbs == "y":
         out = unrung(out, nx, ny, n, o.partial_fourier or 1.0).join(out.select("img", "v", "sigma", "rank"), ["img", "v"])
-    return Result(out, real, vst, g)
+    return Result(out, real, vst, g, filter, named, fallbacks)

@@ -2,8 +2,9 @@
 
 `spark.read.format("nifti").load(path)` gives voxels (img, v, x, y, z, ts), or planes (img, z, t, px) with
 option layout=planes. Uncompressed images are cut into slabs of slices that tasks read by seeking to the
-slab in each volume, so no shuffle is needed for either layout; a .gz image is one partition. Writing places
-each slab at its offsets in a file of full size that the commit moves into place."""
+slab in each volume, so no shuffle is needed for either layout. A .gz image is one stream: one task unpacks it plane
+by plane, and read_nifti builds voxels from planes by a shuffle. Writing places each slab at its offsets in a file of
+full size that the commit moves into place; for .gz, tasks then pack runs of it as gzip members, which are put together."""
 
 from __future__ import annotations
 
@@ -25,6 +26,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 REFUSED = {0: "unknown", 1: "binary", 32: "complex64", 128: "RGB24", 1536: "float128", 1792: "complex128", 2048: "complex256", 2304: "RGBA32"}
 MM = {1: 1000.0, 2: 1.0, 3: 0.001}
+#: Fields that an image written like another takes over: where they lie in NIfTI-1 and NIfTI-2 (fixed values).
+FIELDS = {
+    "dim_info": ("39", "B", "524", "B"), "intent_p": ("56", "3f", "80", "3d"), "intent_code": ("68", "h", "504", "i"), "slice_start": ("74", "h", "224", "q"), "slice_end": ("120", "h", "232", "q"),
+    "slice_code": ("122", "B", "496", "i"), "slice_duration": ("132", "f", "208", "d"), "toffset": ("136", "f", "216", "d"), "descrip": ("148", "80s", "240", "80s"), "aux_file": ("228", "24s", "320", "24s"),
+    "intent_name": ("328", "16s", "508", "16s"), "codes": ("252", "2h", "344", "2i"), "quaternion": ("256", "6f", "352", "6d"), "rows": ("280", "12f", "400", "12d"), "units": ("123", "B", "500", "i"),
+}
+#: Largest .gz image, unpacked, whose voxels one task builds; read_nifti has no such bound.
+GZ_BYTES = 1 << 28
 EXTENSIONS = (".nii.gz", ".nii", ".hdr.gz", ".img.gz", ".hdr", ".img")
 
 
@@ -43,6 +52,8 @@ class Header:
     two_file: bool = False
     swapped: bool = False
     extensions: list[tuple[int, bytes]] = field(default_factory=list)
+    kept: dict[str, tuple] = field(default_factory=dict)
+    orient: int | None = None  # of ANALYZE
 
     @property
     def shape(self) -> tuple[int, int, int, int]:
@@ -149,6 +160,11 @@ def decode(raw: bytes, two_file: bool = False) -> Header:
     head = Header(dims, pixdim, datatype, scale or 1.0, float(inter) if scale and math.isfinite(inter) else 0.0, int(offset), version=version, two_file=two_file, swapped=swapped)
     head.offset = int(offset) if two_file else max(int(offset), 352 if version == 1 else 544 if version == 2 else 348)
     head.xyz_units = units & 7
+    if version:
+        at, kind = (0, 1) if version == 1 else (2, 3)
+        head.kept = {k: struct.unpack_from(order + f[kind], raw, int(f[at])) for k, f in FIELDS.items()}
+    elif raw[252] <= 5:
+        head.orient = raw[252]
     if scode > 0:
         head.affine, head.xform_code = [*map(float, rows), 0.0, 0.0, 0.0, 1.0], scode
     elif qcode > 0:
@@ -217,6 +233,10 @@ def encode(head: Header) -> bytes:
         struct.pack_into("<ii", out, 344, 0, code)
         struct.pack_into("<12d", out, 400, *head.affine[:12])
         struct.pack_into("<i", out, 500, head.xyz_units)
+    at, kind = (0, 1) if head.version == 1 else (2, 3)
+    for name, values in head.kept.items():
+        f = FIELDS[name]
+        struct.pack_into("<" + f[kind], out, int(f[at]), *values)
     flag = bytes([1 if ext else 0, 0, 0, 0])
     body = bytes(out) + flag + ext
     return body + b"\0" * ((start if not head.two_file else len(body)) - len(body))
@@ -267,9 +287,26 @@ class NiftiReader(DataSourceReader):
         a, b = partition.first, partition.end
         size, n = self.head.dtype.itemsize, nx * ny
         with opened(self.data) as f:
+            if is_gz(self.data) and self.layout == "planes":
+                yield from self._stream(f)
+                return
+            if is_gz(self.data) and 4 * n * nz * nt > GZ_BYTES:
+                raise ValueError(f"{self.data} is too large for the voxels of a .gz image in one task; use read_nifti or unpack it")
             for z, block in self._slices(f, a, b, n, size, nz, nt):
                 yield self._planes(z, block) if self.layout == "planes" else self._voxels(z, block, nx)
 
+    def _stream(self, f) -> Iterator[pa.RecordBatch]:
+        """One plane after the other, in the order of the file."""
+        nx, ny, nz, nt = self.head.shape
+        f.seek(self.head.offset)
+        for t in range(nt):
+            for z in range(nz):
+                raw = f.read(nx * ny * self.head.dtype.itemsize)
+                if len(raw) < nx * ny * self.head.dtype.itemsize:
+                    raise ValueError(f"{self.data} is shorter than its header says")
+                px = pa.array(scaled(np.frombuffer(raw, self.head.dtype), self.head))
+                yield pa.RecordBatch.from_arrays([pa.array([self.img], pa.string()), pa.array([z], pa.int32()), pa.array([t], pa.int32()), pa.ListArray.from_arrays(pa.array([0, nx * ny], pa.int32()), px)], names=["img", "z", "t", "px"])
+
     def _slices(self, f, a, b, n, size, nz, nt):
         out = np.empty((b - a, nt, n), np.float32)
         for t in range(nt):
@@ -333,13 +370,7 @@ class NiftiWriter(DataSourceArrowWriter):
         if got != math.prod(self.shape):
             os.remove(self.part)
             raise ValueError(f"{got} samples for an image of {math.prod(self.shape)}")
-        if is_gz(self.path):
-            with open(self.part, "rb") as src, open(self.part + ".gz", "wb") as raw, gzip.GzipFile("", "wb", 6, raw, 0) as out:
-                shutil.copyfileobj(src, out, 1 << 20)
-            os.remove(self.part)
-            os.replace(self.part + ".gz", self.path)
-        else:
-            os.replace(self.part, self.path)
+        os.replace(self.part, self.path)
 
     def abort(self, messages) -> None:
         if os.path.exists(self.part):
@@ -368,7 +399,7 @@ def write_nifti(voxels: DataFrame, path: str, like: Header, datatype: int = 16,
     nx, ny, nz, _ = like.shape
     nt = len(voxels.select(series.alias("s")).first().s)
     header, data = output_names(path, like.two_file)
-    head = Header([nx, ny, nz, nt], like.pixdim, datatype, affine=like.affine, xform_code=like.xform_code, xyz_units=like.xyz_units, version=like.version or 1, two_file=header != data, extensions=like.extensions)
+    head = Header([nx, ny, nz, nt], like.pixdim, datatype, kept=like.kept, affine=like.affine, xform_code=like.xform_code, xyz_units=like.xyz_units, version=like.version or 1, two_file=header != data, extensions=like.extensions)
     raw = encode(head)
     dtype = np.dtype(TYPES[datatype]).newbyteorder("<")
     part = f"{os.path.dirname(os.path.abspath(data))}/.{os.path.basename(data)}.part"
@@ -381,12 +412,49 @@ def write_nifti(voxels: DataFrame, path: str, like: Header, datatype: int = 16,
     spark = voxels.sparkSession
     spark.dataSource.register(Nifti)
     out = voxels.select("v", series.alias("ts")).repartitionByRange("v").sortWithinPartitions("v")
-    out.write.format("nifti").mode("append").options(part=part, header=raw.hex(), shape=f"{nx},{ny},{nz},{nt}", dtype=dtype.str, two_file=str(head.two_file).lower()).save(data)
+    whole = f"{part}.whole" if is_gz(data) else data
+    out.write.format("nifti").mode("append").options(part=part, header=raw.hex(), shape=f"{nx},{ny},{nz},{nt}", dtype=dtype.str, two_file=str(head.two_file).lower()).save(whole)
+    if whole != data:
+        packed(spark, whole, data)
+
+
+def packed(spark: SparkSession, whole: str, path: str, run_bytes: int = 16 << 20) -> None:
+    """path as the gzip file of `whole`, which is removed: tasks pack runs of bytes as members beside it, and these are joined in order."""
+    size = os.path.getsize(whole)
+    count = max(1, -(-size // run_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with open(whole, "rb") as src:
+                    src.seek(k * run_bytes)
+                    member = gzip.compress(src.read(run_bytes), 6, mtime=0)
+                with open(f"{whole}.{k}.new", "wb") as out:
+                    out.write(member)
+                os.replace(f"{whole}.{k}.new", f"{whole}.{k}")
+            yield b
+
+    spark.range(0, count, 1, min(count, 1000)).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+    with open(f"{whole}.gz", "wb") as out:
+        for k in range(count):
+            with open(f"{whole}.{k}", "rb") as src:
+                shutil.copyfileobj(src, out, 1 << 20)
+            os.remove(f"{whole}.{k}")
+    os.remove(whole)
+    os.replace(f"{whole}.gz", path)
 
 
 def read_nifti(spark: SparkSession, path: str, layout: str = "voxels", img: str = "img") -> DataFrame:
+    """Voxels or planes of an image. Voxels of a .gz image are built from its planes by a shuffle."""
+    from quietfield.operators.lattice import from_planes
+
     spark.dataSource.register(Nifti)
-    return spark.read.format("nifti").option("layout", layout).option("img", img).load(path)
+    load = lambda kind: spark.read.format("nifti").option("layout", kind).option("img", img).load(path)
+    head, data = read_header(path.removeprefix("file://"))
+    if layout == "voxels" and is_gz(data):
+        nx, ny, _, nt = head.shape
+        return from_planes(load("planes"), nx, ny, nt)
+    return load(layout)
 
 
 def grid_distance(a: Header, b: Header) -> float:
