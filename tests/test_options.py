@@ -63,7 +63,7 @@ def test_stabiliser_round_trip_and_spread():
         t = stabiliser(channels)
         x = np.linspace(0, 60, 500)
         np.testing.assert_allclose(t.inverse(t.forward(x), unbiased=False), x, atol=2e-2)
-        assert (np.diff(t.ef) > 0).all()
+        assert (np.diff(t.means) > 0).all()
     rng = np.random.default_rng(0)
     for theta in (0.0, 1.0, 3.0, 10.0):
         m = np.hypot(theta + rng.normal(size=200_000), rng.normal(size=200_000))
