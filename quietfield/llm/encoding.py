@@ -1,6 +1,7 @@
 """Whole texts to token ids with a file of the tokenizers library, at the cost of their distinct units.
 
-A vocabulary's own pattern cuts texts into units (words, numbers, marks, white space) that are encoded apart
+Of the two kinds of files that are known here, told by how they say that they normalise and cut texts; texts of any other
+file go to the library whole. A vocabulary's own pattern cuts texts into units (words, numbers, marks, white space) that are encoded apart
 from each other. Units recur, so each worker process keeps a table of their ids; what is new is encoded by
 the library, many units in one call, and the table starts afresh when it is full. The pattern is only
 spelled out for printable Latin, where its classes are beyond doubt: a text with other characters is first
@@ -9,6 +10,7 @@ Latin go to the library whole, as do texts that hold the vocabulary's special to
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -22,6 +24,12 @@ _L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: Patterns of units, fixed by the two public vocabularies.
 _BYTE_UNITS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 _WORD_UNITS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"
+#: (normaliser, first cutter) of the two kinds, as their files state them (fixed values).
+_BYTE_KIND = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
 assert array("I").itemsize == 4 and sys.byteorder == "little"  # what ids are written as
 _CUT = re.compile(r"(?= \S)")
 #: Texts that are looked up together.
@@ -44,7 +52,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = any(t.endswith("</w>") for t in self.tokenizer.get_vocab(with_added_tokens=False))  # lower case, no white space
+        stated = json.loads(self.tokenizer.to_str())
+        cutter = stated["pre_tokenizer"] or {}
+        kind = (stated["normalizer"], cutter["pretokenizers"][0] if cutter.get("type") == "Sequence" else cutter)
+        self.words = kind == _WORD_KIND  # lower case, no white space
+        self.known_kind = self.words or kind == _BYTE_KIND
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = re.compile(_WORD_UNITS if self.words else _BYTE_UNITS).findall
         self.known = Table()
@@ -55,7 +67,7 @@ class Encoder:
 
     def units(self, text: str) -> list[str]:
         """Strings whose ids, one after the other, are the text's."""
-        if any(s in text for s in self.specials):
+        if not self.known_kind or any(s in text for s in self.specials):
             return [text]
         if _PLAIN.fullmatch(text):
             return self.find(text.lower() if self.words else text)

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from helpers import DATA, same_rows
 
-from quietfield.llm import html_text, langid, lm_score, mixing, packing, simhash, token_files, warc
+from pyspark.sql import functions as F
+
+from quietfield.llm import common, langid, lm_score, mixing, packing, simhash, token_files, warc
 from quietfield.llm.queries import ORACLE_SQL, QUERIES
 
 SF = f"{DATA}/sf0.001"
@@ -115,12 +117,30 @@ def test_token_files_by_document_and_shard(spark, odd_docs, tmp_path):
         token_files.Shard(token_files.files.join(path, token_files.files.listed(path)[0]["file"]), b"another dictionary")
 
 
+def test_token_files_deal_out_a_repeated_id(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(7 if i % 2 else i, f"text {i % 3}") for i in range(300)], "doc_id long, text string").repartition(3)
+    path = f"file://{tmp_path}/t"
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2, docs_per_shard=10)
+    rows = token_files.read_tokens(spark, path).toPandas().sort_values("start")
+    assert len(rows) == 300 and rows.doc_id.is_monotonic_increasing and (rows.start.to_numpy() == np.r_[0, rows.n_tokens.cumsum()[:-1]]).all()
+    assert max(e["n_docs"] for e in token_files.files.listed(path)) < 40
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(None, "the same text of one language", "en") for _ in range(500)] + [(i, f"ein anderer Text mit {'abcdefgh'[i % 8] * 5}", f"l{i % 250}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert sum(map(len, model.members.values())) <= langid.MAX_LANGS and "en" in model.members["germanic"]
+
+
 def test_main_text_of_pages(spark):
     import html
     import re
 
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id")
-    for r in html_text.op5_main_text(spark, SF).toPandas().itertuples():
+    for r in QUERIES["op5_main_text"](spark, SF).toPandas().itertuples():
         article = re.search(r"<article>(.*?)(</article>|$)", pages.html[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text) and r.url == pages.url[r.page_id]
@@ -149,24 +169,52 @@ def test_simhash(spark, docs):
     assert (brute_components(fps, rows.index.to_numpy()) == rows.component_id.to_numpy()).all()
 
 
-def test_gray_index_finds_all_links_and_classes(spark):
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
-    fps = [base]
-    for _ in range(6):  # chains of single and double flips
+def flipped(rng, n=60, rounds=6):
+    """Fingerprints in chains of single and double flips."""
+    fps = [rng.integers(0, 2**63, n, dtype=np.uint64)]
+    for _ in range(rounds):
         last = fps[-1]
         for _ in range(rng.integers(1, 3)):
             last = last ^ (np.uint64(1) << rng.integers(0, 64, len(last)).astype(np.uint64))
         fps.append(last)
-    fps = np.unique(np.concatenate(fps))
-    index = simhash.GrayIndex(fps, fanout=4)
-    got = {(int(min(index.fps[i], index.fps[j])), int(max(index.fps[i], index.fps[j]))) for a, b in index.links(2, block=37) for i, j in zip(a, b, strict=True)}
-    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 2}
-    assert got == want
-    ids = np.arange(100, 100 + len(fps))
-    nodes = spark.createDataFrame([(int(f.view(np.int64)), int(i)) for f, i in zip(fps, ids, strict=True)], "fp long, node long")
-    found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(nodes)).collect()}
-    assert [found.get(i, i) for i in ids] == brute_components(fps, ids).tolist()
+    return np.unique(np.concatenate(fps))
+
+
+def test_gray_index_finds_all_links_and_prunes():
+    fps = flipped(np.random.default_rng(5))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    want = {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if int(a ^ b).bit_count() <= 2}
+    for fanout in (2, 4, 8):
+        index = simhash.GrayIndex(fps, fanout=fanout)
+        assert len(index.levels) > 2 and {(int(i), int(j)) for q, e in index.search(fps, 2, block=37) for i, j in zip(q, e, strict=True)} == want
+        assert {(int(i), int(j)) for q, e in index.search(fps, 2, after=np.arange(len(fps))) for i, j in zip(q, e, strict=True)} == {(i, j) for i, j in want if j > i}
+    rng = np.random.default_rng(6)
+    many = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    index = simhash.GrayIndex(many[np.argsort(simhash.gray_rank(many))])
+    assert sum(len(q) for q, _ in index.search(many[:500], 2)) == 500 and index.visited < 500 * len(many) / 8  # whole groups are dropped
+
+
+def test_gray_order_sorts_as_gray_rank(spark):
+    fps = flipped(np.random.default_rng(8))
+    rows = spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long").withColumn("o", simhash.gray_order(F.col("fp"))).orderBy("o").collect()
+    assert [np.int64(r.fp).view(np.uint64) for r in rows] == list(fps[np.argsort(simhash.gray_rank(fps))])
+
+
+@pytest.mark.parametrize("size", [16, 100, 1000])
+def test_links_over_ranges_join_the_classes_of_brute_force(spark, size):
+    fps = flipped(np.random.default_rng(5))
+    nodes = common.cut(spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long"))
+    table, count = simhash.gray_ranges(nodes, size=size)
+    assert count == -(-len(fps) // size) and table.count() == len(fps)
+    found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(nodes, size=size)).collect()}
+    signed = fps.view(np.int64)
+    assert [found.get(int(f), int(f)) for f in signed] == brute_components(fps, signed.copy()).tolist()
+
+
+def test_simhash_classes_of_repeated_and_missing_ids(spark):
+    rows = [(5, "a b c d"), (5, "x y z w"), (None, "p q r s"), (None, "a b c d"), (9, "x y z w"), (9, "k l m n")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(map(str, found[["doc_id", "component_id"]].values.tolist())) == sorted(map(str, [[5.0, np.nan], [5.0, 5.0], [np.nan, np.nan], [np.nan, np.nan], [9.0, 5.0], [9.0, 9.0]]))
 
 
 def test_mixing(spark, docs):
@@ -182,15 +230,57 @@ def test_mixing(spark, docs):
     ratio = free.p * free.tokens / free.share
     assert ratio.max() == pytest.approx(ratio.min(), rel=1e-6)
     assert mixing.sample(spark.read.parquet(f"{SF}/documents.parquet")).count() == rows.sampled.sum()
+    assert (rows.topic != "none").all() and rows.topic.nunique() > 3
+
+
+def slow_rake(tokens, goals, rounds=3000):
+    """Raking over a dictionary of cells, one cell at a time."""
+    share = {c: t / sum(tokens.values()) for c, t in tokens.items()}
+    for _ in range(rounds):
+        for k, goal in enumerate(goals):
+            sums = Counter()
+            for c, s in share.items():
+                sums[c[k]] += s
+            share = {c: s * goal[c[k]] / sums[c[k]] for c, s in share.items()}
+    return share
+
+
+def test_mixing_meets_given_targets_as_slow_raking_does(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 30))), str(rng.choice(["en", "de", "fr"])), str(rng.choice(["a", "b"])), str(rng.choice(["t1", "t2", None]))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    given = {"lang": {"en": 0.2, "de": 0.5, "xx": 9.0}, "source": {"a": 0.5, "b": 0.5}}
+    found = [mixing.mixture(docs, topic_col="subject", given=given, budget=0.3, max_cells=n).toPandas() for n in (1000, 1)]
+    cells = found[0].groupby(["source", "lang", "topic"]).agg(tokens=("n_tokens", "sum"), share=("target_share", "first"), p=("probability", "first"))
+    topics = cells.groupby("topic").tokens.sum() ** mixing.TEMPERATURE["topic"]
+    want = slow_rake(cells.tokens.to_dict(), [{"a": 0.5, "b": 0.5}, {"en": 0.2, "de": 0.5, "fr": 0.3}, (topics / topics.sum()).to_dict()])
+    np.testing.assert_allclose(cells.share, [want[c] for c in cells.index], rtol=1e-6)
+    assert (cells.p < 1).all() and (cells.p * cells.tokens).sum() == pytest.approx(0.3 * cells.tokens.sum())
+    by_id = [f.sort_values("id") for f in found]
+    np.testing.assert_allclose(by_id[0].probability, by_id[1].probability, rtol=1e-6)
+    drawn = {r.doc_id: r.u for r in mixing.described(docs, topic_col="subject").withColumnRenamed("id", "doc_id").collect()}
+    assert (by_id[0].sampled == [drawn[i] < p for i, p in zip(by_id[0].id, by_id[0].probability, strict=True)]).all()
+    assert 0.2 < (by_id[0].n_tokens * by_id[0].sampled).sum() / by_id[0].n_tokens.sum() < 0.4
 
 
 def test_mixing_beyond_the_bound(spark, odd_docs):
-    small, large = (mixing.mixture(odd_docs, max_cells=n).toPandas() for n in (1000, 2))
+    docs = common.placeable(odd_docs)
+    small, large = (mixing.mixture(docs, max_cells=n).toPandas() for n in (1000, 2))
     assert len(small) == len(large) == 11
-    key = lambda f: f.sort_values(["id", "source", "lang", "topic", "n_tokens"]).reset_index(drop=True)
-    np.testing.assert_allclose(key(small).probability, key(large).probability, atol=0.02)
-    kept = mixing.sample(odd_docs, max_cells=2)
-    assert kept.columns == odd_docs.columns and kept.count() <= 11
+    key = lambda f: f.sort_values(["_file", "_row"]).reset_index(drop=True)
+    np.testing.assert_allclose(key(small).probability, key(large).probability, rtol=1e-6, atol=1e-9)
+    assert (key(small).sampled == key(large).sampled).all()
+    for n in (1000, 2):
+        kept = mixing.sample(docs, max_cells=n)
+        assert kept.columns == odd_docs.columns and kept.count() == small.sampled.sum()
+
+
+def test_topics_tell_words_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice([f"{'xyz'[i % 3]}{k}" for k in range(30)], 40)), "en", "a") for i in range(90)]
+    found = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    by_topic = found.assign(kind=found.id % 3).groupby("topic").kind.nunique()
+    assert (by_topic == 1).all() and len(by_topic) >= 3
 
 
 def test_packing(spark, docs):
@@ -230,25 +320,70 @@ def test_best_fit_bins():
     assert bins.n_bins == made
 
 
-def test_lm_score(spark, docs):
+def test_lm_vocabulary_and_tokens(spark, docs):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     words = Counter(w for t in docs.text for w in t.lower().split())
-    frequent = lm_score.frequent_words(frame)
-    assert frequent == [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: lm_score.FREQUENT]]
-    counts = lm_score.triple_counts(frame, frequent)
-    own, slow = lm_score.Tokens(frequent), Counter()
-    for t in docs.text:
-        ids = [lm_score.EDGE, *(own[w] for w in t.lower().split()), lm_score.EDGE]
-        slow.update(zip(ids, ids[2:], ids[1:], strict=False))
-    assert counts.sum() == sum(slow.values()) and all(counts[a * lm_score.VOCAB + b, c] == n for (a, b, c), n in slow.items())
-    net = lm_score.fit(counts)
-    table = net.log_probabilities()
-    np.testing.assert_allclose(np.exp(table).sum(axis=1), 1, rtol=1e-4)
-    p = counts.sum(axis=0) / counts.sum()
-    entropy = -(p[p > 0] * np.log(p[p > 0])).sum()
-    assert -(counts * table).sum() / counts.sum() < entropy - 0.1  # both sides tell more than frequencies
-    rows = lm_score.scores(frame, net, frequent).toPandas().set_index("doc_id")
-    for d in docs.head(40).itertuples():
-        ids = [lm_score.EDGE, *(own[w] for w in d.text.lower().split()), lm_score.EDGE]
-        want = sum(float(table[a * lm_score.VOCAB + b, c]) for a, c, b in zip(ids, ids[1:], ids[2:], strict=False))
-        assert rows.pll[d.doc_id] == pytest.approx(want, rel=1e-5) and rows.n_tokens[d.doc_id] == len(ids) - 2
+    ordered = sorted(words.items(), key=lambda x: (-x[1], x[0]))
+    vocab = lm_score.vocabulary(frame, words=300)
+    assert vocab.frequent == [w for w, _ in ordered[:300]]
+    rare = ordered[300:]
+    for k in range(lm_score.RARE):
+        own = [(w, n) for w, n in rare if lm_score.ending(w) % lm_score.RARE == k]
+        token = lm_score.WORDS + lm_score.ending(own[0][0])
+        assert vocab.of_class[token] == lm_score.SINGLE + lm_score.GROUPS + k and vocab.within[token] == pytest.approx(-np.log(len(own)))
+    for k in range(lm_score.SINGLE, lm_score.SINGLE + lm_score.GROUPS):
+        own = np.flatnonzero(vocab.of_class[:300] == k)
+        assert np.exp(vocab.within[own]).sum() == pytest.approx(1, abs=1e-4)
+    assert np.exp(vocab.prior).sum() == pytest.approx(1, abs=1e-4)
+    ids, own, n = lm_score.Tokens(vocab.frequent).of(["a b", None, "", "c"])
+    assert n.tolist() == [2, 0, 0, 1] and own.tolist() == [2, 3, 10] and (ids[[0, 1, 4, 5, 6, 7, 8, 9, 11, 12]] == lm_score.EDGE).all()
+
+
+def slow_loss(rows, context, target):
+    net = lm_score.Network(rows.astype(np.float64))
+    _, z = net.logits(net.parts()[0][context])
+    return -(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(target)), target].sum()
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(4)
+    net = lm_score.Network.new(np.log(rng.dirichlet(np.ones(lm_score.CLASSES))).astype(np.float32))
+    context, target = rng.integers(0, 30, (50, 4)).astype(np.uint16), rng.integers(0, lm_score.CLASSES, 50)
+    loss, touched, de, rest = lm_score.gradients(net, context, target)
+    assert loss == pytest.approx(slow_loss(net.rows, context, target), rel=1e-5)
+    grads = np.zeros(net.rows.shape)
+    grads[touched], grads[lm_score.EDGE + 1 :] = de, rest
+    for row in [int(touched[0]), int(touched[7]), *(lm_score.EDGE + 1 + np.array([0, 3, 4, 5, 60, -1 + len(rest)])).tolist()]:
+        for column in (0, 17):
+            moved = [net.rows.astype(np.float64) for _ in range(2)]
+            moved[0][row, column] += 1e-5
+            moved[1][row, column] -= 1e-5
+            slope = (slow_loss(moved[0], context, target) - slow_loss(moved[1], context, target)) / 2e-5
+            assert grads[row, column] == pytest.approx(slope, rel=2e-3, abs=2e-3)
+
+
+def test_lm_score(spark, docs):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    net, vocab = lm_score.train(frame)
+    rows = lm_score.scores(frame, net, vocab).toPandas().set_index("doc_id")
+    plain = lm_score.scores(frame, lm_score.Network.new(vocab.prior), vocab).toPandas()
+    assert rows.pll.sum() / rows.n_tokens.sum() > plain.pll.sum() / plain.n_tokens.sum() + 0.3  # both sides tell more than frequencies
+    tokens = lm_score.Tokens(vocab.frequent)
+    e, s, b, o, c = net.parts()
+    for d in docs.head(20).itertuples():
+        ids = [lm_score.EDGE] * 2 + [tokens[w] for w in d.text.lower().split()] + [lm_score.EDGE] * 2
+        want = 0.0
+        for k in range(2, len(ids) - 2):
+            h = np.tanh(b + sum(e[ids[k + p]] * s[i] for i, p in enumerate((-2, -1, 1, 2))))
+            z = o @ h + c
+            want += z[vocab.of_class[ids[k]]] - np.log(np.exp(z - z.max()).sum()) - z.max() + vocab.within[ids[k]]
+        assert rows.pll[d.doc_id] == pytest.approx(want, rel=1e-4) and rows.n_tokens[d.doc_id] == len(ids) - 4
+
+
+def test_lm_means_weigh_rows_by_their_tokens(spark):
+    frame = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(40)], "doc_id long, text string")
+    vocab = lm_score.vocabulary(frame)
+    net = lm_score.Network.new(vocab.prior)
+    one, many = (lm_score.learnt_round(frame.repartition(n), net, vocab, 0, 1) for n in (1, 8))
+    moved = (one.rows != net.rows).any(axis=1)
+    assert moved[: len(vocab.frequent)].all() and not moved[lm_score.WORDS : lm_score.EDGE].any() and ((many.rows != net.rows).any(axis=1) == moved).all()

@@ -32,7 +32,7 @@ def test_mixing_small_equals_large(spark):
     for c in ("target_share", "probability"):
         np.testing.assert_allclose(small[c], large[c], rtol=1e-6, atol=1e-12)
     cells = rows.withColumnRenamed("n_tokens", "tokens")
-    few = [mixing._large(cells, mixing.TEMPERATURE, mixing.BUDGET, rounds=1, max_values=n).toPandas().sort_values(list(mixing.AXES)) for n in (1, 1000)]
+    few = [mixing._large(cells, mixing.TEMPERATURE, mixing.BUDGET, {}, rounds=1, max_values=n).toPandas().sort_values(list(mixing.AXES)) for n in (1, 1000)]
     np.testing.assert_allclose(few[0].target_share, few[1].target_share, rtol=1e-9)
 
 
