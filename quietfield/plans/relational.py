@@ -5,6 +5,7 @@ Queries call the functions that the denoising pipeline runs. Bindings: `embeddin
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from quietfield.functions import randommatrix
 from quietfield.functions.geometry import Geometry
 from quietfield.operators import compare, kernels, lattice, patches, rotate, shells, unring
+from quietfield.sources import nifti
+from quietfield.tables import scratch_path
 
 from .denoise import DenoiseOptions, denoise, filled
 
@@ -468,6 +471,20 @@ def ref_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denoise(_full_slices(voxels, dims), dims).voxels.select("v", "ts", "sigma", "rank")
 
 
+@query("""
+SELECT vec_id AS v, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))), 4) + 0.0 AS total, round(CAST(embedding[64] AS DOUBLE), 6) + 0.0 AS last FROM embeddings
+""")
+def ref_nifti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings written as a NIfTI image to the shared folder and read back, slab by slab."""
+    voxels, dims = embedding_voxels(spark, sf_dir)
+    path = scratch_path(spark, "image").removeprefix("file://") + ".nii"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    nifti.write_nifti(_full_slices(voxels, dims), path, nifti.Header([*dims, 64], [1.0] * 8))
+    total = F.aggregate("ts", F.lit(0.0), lambda a, x: a + x)
+    out = nifti.read_nifti(spark, path).join(voxels.select("v"), "v", "left_semi")  # slices that are not full have been filled with zeros
+    return out.select("v", F.size("ts").alias("n"), (F.round(total, 4) + 0.0).alias("total"), (F.round(F.col("ts")[63].cast("double"), 6) + 0.0).alias("last"))
+
+
 @query()
 def ref_unring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ringing removed from every slice of the embeddings."""

@@ -21,7 +21,7 @@ def rng(i) -> np.ndarray:
 
 def image(kind: str) -> tuple[np.ndarray, tuple[float, float, float]]:
     """(float32 array x, y, z, t; spacing)."""
-    shape = {"mag-even": (9, 10, 3, 8), "rician": (9, 9, 5, 48), "big48": (9, 9, 5, 48), "mag-pair": (9, 9, 3, 2), "mag-thin": (40, 40, 1, 30), "mag-wide": (40, 40, 6, 8)}
+    shape = {"mag-even": (9, 10, 3, 8), "rician": (9, 9, 5, 48), "big48": (9, 9, 5, 48), "mag-pair": (9, 9, 3, 2), "mag-thin": (40, 40, 1, 30), "mag-wide": (40, 40, 6, 8), "mag-tall": (9, 9, 3, 100)}
     nx, ny, nz, nt = next((s for k, s in shape.items() if kind == k or kind.startswith(k + "-")), (9, 9, 3, 8))
     n3 = nx * ny * nz
     v, t = np.meshgrid(np.arange(n3), np.arange(nt), indexing="ij")
@@ -30,13 +30,13 @@ def image(kind: str) -> tuple[np.ndarray, tuple[float, float, float]]:
     if kind in ("mag", "mag-aniso", "mag-slab", "mag-tiny"):
         out = np.where(t == 0, 900.0, 500.0) + 100 * rng(i)
         out = out * (1e-19 if kind == "mag-tiny" else 1)
-    elif kind in ("mag-pair", "mag-thin"):
+    elif kind in ("mag-pair", "mag-thin", "mag-tall"):
         out = 500 + 100 * rng(i)
     elif kind == "mag-wide":
         out = 500 + 200 * np.sin(0.05 * v + 0.7 * t) + 100 * rng(i)
     elif kind.startswith("phase"):
         rad = np.where(i == 0, -np.pi, np.where(i == 1, np.pi, (rng(i + 7777) - 0.5) * 2 * np.pi))
-        out = {"phase-rad": rad, "phase-int": rad * 4096 / np.pi, "phase-turns": rad / (2 * np.pi), "phase-deg": rad * 180 / np.pi, "phase-const": np.full(rad.shape, 1234.0)}[kind]
+        out = {"phase-rad": rad, "phase-int": rad * 4096 / np.pi, "phase-turns": rad / (2 * np.pi), "phase-deg": rad * 180 / np.pi, "phase-const": np.full(rad.shape, 1234.0), "phase-halfturns": 0.5 * (np.floor(rng(i) * 17) - 8)}[kind]
     elif kind.startswith("rician"):
         clean = 100 * (1.75 + 0.75 * np.sin(0.21 * v + 0.4 * t) + 0.5 * np.cos(0.37 * v))
         j = 4 * i

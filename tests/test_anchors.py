@@ -6,7 +6,9 @@ import fixtures
 import numpy as np
 import pytest
 
-from quietfield.plans.denoise import DenoiseOptions, denoise
+from quietfield.functions.geometry import Geometry
+from quietfield.operators import compare, lattice, rotate
+from quietfield.plans.denoise import DenoiseOptions, denoise, zero_share
 
 LEGACY = DenoiseOptions(filter="optthresh", aggregator="exclusive", shape="cube", vst=False)
 DEFAULT = DenoiseOptions()
@@ -81,6 +83,67 @@ def test_masked_equals_unmasked_inside(spark):
     assert not np.stack(part.ts.drop(keep)).any()
 
 
+@pytest.mark.parametrize("edge", [4, 12])
+def test_tiles_do_not_matter(spark, monkeypatch, edge):
+    """A wide image in many small tiles and in one: halos and the merge over tiles."""
+    whole = replace(DEFAULT, vst=False)
+    monkeypatch.setattr(Geometry, "tile", lambda self, stride=1, budget=0: (64, 64, 64))
+    one = run(spark, "mag-wide", whole)[0]
+    monkeypatch.setattr(Geometry, "tile", lambda self, stride=1, budget=0: (edge,) * 3)
+    many = run(spark, "mag-wide", whole)[0]
+    np.testing.assert_allclose(np.stack(many.ts), np.stack(one.ts), rtol=1e-6)
+    np.testing.assert_allclose(many.sigma, one.sigma, rtol=1e-6)
+    assert (many["rank"] == one["rank"]).all()
+
+
+@pytest.mark.parametrize("kind", ["mag-tiny", "mag-thin", "mag-slab", "mag-pair"])
+def test_no_voxel_is_lost(spark, kind):
+    frame, _ = run(spark, kind, replace(DEFAULT, aggregator_fwhm=0.07) if kind == "mag-tiny" else DEFAULT)
+    assert np.stack(frame.ts).any(axis=1).all()
+
+
+def test_tall_series_caps_the_noise_patch(spark):
+    frame, done = run(spark, "mag-tall", DEFAULT)
+    assert done.geometry.rows > 100 and np.isfinite(np.stack(frame.ts)).all() and (frame.sigma > 0).all()
+
+
+def test_rotations_that_change_nothing(spark):
+    phases = {k: fixtures.voxels(spark, fixtures.image(k)[0]) for k in ("phase-const", "phase-halfturns", "phase-rad")}
+    whole = fixtures.voxels(spark, np.round(fixtures.image("phase-int")[0]))
+    assert rotate.changes_nothing(whole, "turns") and not rotate.changes_nothing(phases["phase-rad"], "radians") and not rotate.changes_nothing(phases["phase-halfturns"], "turns")
+    a, _ = fixtures.image("mag")
+    voxels = fixtures.voxels(spark, a)
+    real = rotate.rotate_to_real(voxels, phases["phase-const"], 9, 9).toPandas().sort_values("v")
+    assert np.isfinite(np.stack(real.ts)).all()
+
+
+def test_each_image_has_its_own_phase_range(spark):
+    mag, rad = (fixtures.voxels(spark, fixtures.image(k)[0]) for k in ("mag", "phase-rad"))
+    other = fixtures.voxels(spark, fixtures.image("phase-int")[0], img="other")
+    both = rotate.rotate_to_real(mag.unionByName(fixtures.voxels(spark, fixtures.image("mag")[0], img="other")), rad.unionByName(other), 9, 9).toPandas()
+    for img in ("img", "other"):
+        assert rms(both[both.img == img], "ts") == pytest.approx(507.123958, rel=1e-5)
+
+
+def test_voxels_that_a_table_lacks(spark):
+    a, _ = fixtures.image("mag")
+    whole = fixtures.voxels(spark, a)
+    frame = denoise(whole.where("v % 11 <> 0"), a.shape[:3]).voxels.toPandas()
+    assert sorted(frame.v) == [v for v in range(243) if v % 11] and np.stack(frame.ts).any(axis=1).all()
+
+
+def test_planes_there_and_back_in_small_groups(spark, monkeypatch):
+    a, _ = fixtures.image("mag-even")
+    voxels = fixtures.voxels(spark, a)
+    for size in (1 << 26, 1000, 1):
+        monkeypatch.setattr(lattice, "GROUP_BYTES", size)
+        planes = lattice.to_planes(voxels, 9, 10, 8)
+        got = {(r.z, r.t): r.px for r in planes.collect()}
+        assert len(got) == 24 and all(np.array_equal(px, a[:, :, z, t].T.ravel()) for (z, t), px in got.items())
+        back = lattice.from_planes(planes, 9, 10, 8).toPandas().sort_values("v")
+        np.testing.assert_array_equal(np.stack(back.ts), a.transpose(2, 1, 0, 3).reshape(-1, 8))
+
+
 def test_partitions_do_not_matter(spark):
     a, b = (run(spark, "mag", DEFAULT, partitions=p)[0] for p in (1, 8))
     assert np.stack(a.ts).tobytes() == np.stack(b.ts).tobytes() and (a["rank"] == b["rank"]).all()
@@ -103,8 +166,37 @@ def test_bad_samples_and_masks_are_refused(spark):
     a, _ = fixtures.image("mag")
     a = a.copy()
     a[0, 0, 0, 0] = np.nan
-    with pytest.raises(ValueError, match="finite"):
+    with pytest.raises(ValueError, match="finite, the first at voxel 0 of volume 0"):
         denoise(fixtures.voxels(spark, a), a.shape[:3])
     good = fixtures.image("mag")[0]
     with pytest.raises(ValueError, match="mask"):
         denoise(fixtures.voxels(spark, good), good.shape[:3], mask=spark.createDataFrame([], "img string, v long"))
+
+
+def test_comparison_of_images(spark):
+    a, b = fixtures.image("mag")[0], fixtures.image("mag")[0].copy()
+    b[2, 3, 1, 4] += 7
+    b[5, 5, 2, 6] -= 7
+    a[..., 3] = a[..., 2]
+    a[8, 8, 2] = 0
+    left, right = fixtures.voxels(spark, a), fixtures.voxels(spark, b)
+    r = compare.compare(left, right, threshold=0.5).first()
+    d = a.astype(float) - b
+    at = np.unravel_index(np.abs(d).argmax(), d.shape)
+    assert r.n == a.size and r.max_abs == np.abs(d).max() and (r.max_v, r.max_t) == (at[0] + 9 * (at[1] + 9 * at[2]), at[3])
+    assert r.rel_l2 == pytest.approx(np.sqrt((d**2).sum() / (b.astype(float) ** 2).sum())) and r.rms == pytest.approx(np.sqrt((a.astype(float) ** 2).mean()))
+    assert r.zero_voxels == 1 and r.negative == 0 and not r.equal and r.odd == 0 and r.unmatched == 0 and r.distinct_volumes == 7
+    assert r.over_share == pytest.approx((np.abs(d) > 0.5 * np.sqrt((b.astype(float) ** 2).mean())).mean())
+    assert compare.compare(left, left).first().equal
+    mask = spark.createDataFrame([("img", v, float(v % 3)) for v in range(9)], "img string, v long, value double")
+    assert compare.same_mask(mask, mask).first().equal and not compare.same_mask(mask, mask.where("v < 8")).first().equal
+    assert compare.window(left, 0.5).first().level == pytest.approx(np.median(a), rel=1e-6)
+
+
+def test_share_of_zeros_counts_live_input(spark):
+    a, _ = fixtures.image("rician-zero")
+    voxels = fixtures.voxels(spark, a)
+    zero = voxels.selectExpr("img", "v", "transform(ts, x -> CAST(0 AS FLOAT)) AS ts")
+    assert zero_share(zero, voxels) == 1 and zero_share(voxels, voxels) == pytest.approx((a == 0).mean(), rel=1e-6)
+    _, done = run(spark, "rician", replace(DEFAULT, noise_dof=4))
+    assert zero_share(done.voxels, fixtures.voxels(spark, fixtures.image("rician")[0])) > 0.5

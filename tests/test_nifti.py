@@ -124,3 +124,72 @@ def test_command_line(spark, tmp_path):
     for bad in ([path, path], [path, out["out"], "-noise", out["out"]], [path, "-"]):
         with pytest.raises(ValueError):
             cli.run(spark, cli.parser().parse_args(bad))
+
+
+def test_fields_of_the_input_are_kept(spark, tmp_path):
+    a, _ = fixtures.image("mag")
+    path = plain(tmp_path / "in.nii", a)
+    with open(path, "r+b") as f:
+        for at, raw in ((39, b"\x2b"), (68, struct.pack("<h", 1001)), (56, struct.pack("<3f", 1, 2, 3)), (74, struct.pack("<h", 1)), (120, struct.pack("<hBB", 2, 3, 10)), (132, struct.pack("<2f", 0.5, 7)), (148, b"made by hand"), (252, struct.pack("<hh", 1, 2)), (256, struct.pack("<6f", 0.1, 0.2, 0.3, 4, 5, 6)), (328, b"shells")):
+            f.seek(at)
+            f.write(raw)
+        f.seek(124)
+        f.write(struct.pack("<2f", 900.0, 10.0))
+    head, _ = nifti.read_header(path)
+    for name in ("out.nii", "out.nii.gz", "pair.hdr"):
+        nifti.write_nifti(nifti.read_nifti(spark, path), str(tmp_path / name), head)
+        again, _ = nifti.read_header(str(tmp_path / name))
+        assert again.kept == head.kept and again.affine == head.affine and again.kept["descrip"][0].startswith(b"made by hand") and again.kept["units"] == (10,)
+        with nifti.opened(nifti.input_names(str(tmp_path / name))[0]) as f:
+            raw = f.read(348)
+        assert struct.unpack_from("<2f", raw, 124) == (0, 0) and struct.unpack_from("<2f", raw, 112) == (1, 0)
+
+
+def test_gzip_in_members(spark, tmp_path):
+    raw = np.random.default_rng(1).integers(0, 255, 100_000, dtype=np.uint8).tobytes()
+    (tmp_path / "x.whole").write_bytes(raw)
+    nifti.packed(spark, str(tmp_path / "x.whole"), str(tmp_path / "x.gz"), run_bytes=7000)
+    assert gzip.decompress((tmp_path / "x.gz").read_bytes()) == raw and [p.name for p in tmp_path.iterdir()] == ["x.gz"]
+
+
+def test_paths_that_collide(tmp_path):
+    for name in ("a.nii", "b.nii", "p.hdr", "p.img", "x.bval"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "link.nii").symlink_to(tmp_path / "a.nii")
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    cli.check_paths(at("a.nii", "b.nii"), at("out.nii"), files=at("x.bval"))
+    cli.check_paths(["-"], at("out.nii"))
+    for images, outputs, files in ((at("a.nii", "a.nii"), at("o.nii"), []), (at("a.nii", "link.nii"), at("o.nii"), []), (at("a.nii"), at("x.bval.nii", "o.nii"), at("x.bval.nii")), (at("a.nii"), at("o.nii"), at("a.nii")), (at("p"), at("p.hdr"), []), (at("a.nii"), at("o.nii", "o"), [])):
+        with pytest.raises(ValueError, match="same file"):
+            cli.check_paths(images, outputs, files=files)
+
+
+def test_version_and_help(capsys):
+    for option in ("-version", "--version", "-help", "--help", "-h"):
+        with pytest.raises(SystemExit) as e:
+            cli.parser().parse_args([option])
+        assert e.value.code == 0 and "quietfield" in capsys.readouterr().out
+
+
+def test_standard_input_and_warnings(spark, tmp_path, monkeypatch, capsys):
+    import io
+    import types
+
+    a, _ = fixtures.image("mag")
+    raw = open(plain(tmp_path / "in.nii", a), "rb").read()
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(raw)))
+    phase = plain(tmp_path / "phase.nii", np.round(fixtures.image("phase-int")[0]))
+    legacy = ["-filter", "optthresh", "-aggregator", "exclusive", "-shape", "sphere"]
+    cli.run(spark, cli.parser().parse_args(["-", str(tmp_path / "out.nii"), "-phase", phase, "-phaseunits", "turns", *legacy]))
+    said = capsys.readouterr().err
+    assert "whole number of turns" in said and "sphere radius 1.73 mm = 27 voxels" in said
+    ts = np.stack(nifti.read_nifti(spark, str(tmp_path / "out.nii")).toPandas().ts)
+    assert np.sqrt((ts.astype(float) ** 2).mean()) == pytest.approx(614.250794, rel=1e-6)
+    with pytest.raises(ValueError, match="bval"):
+        cli.run(spark, cli.parser().parse_args(["-", str(tmp_path / "out.nii"), "-demean", "y"]))
+    nan = plain(tmp_path / "nan.nii", fixtures.image("phase-rad")[0])
+    with open(nan, "r+b") as f:
+        f.seek(280 + 12)
+        f.write(struct.pack("<f", float("nan")))
+    with pytest.raises(ValueError, match="grid"):
+        cli.run(spark, cli.parser().parse_args([str(tmp_path / "in.nii"), str(tmp_path / "o2.nii"), "-phase", nan]))
