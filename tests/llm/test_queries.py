@@ -335,7 +335,8 @@ def test_lm_vocabulary_and_tokens(spark, docs):
         own = np.flatnonzero(vocab.of_class[:300] == k)
         assert np.exp(vocab.within[own]).sum() == pytest.approx(1, abs=1e-4)
     assert np.exp(vocab.prior).sum() == pytest.approx(1, abs=1e-4)
-    ids, own, n = lm_score.Tokens(vocab.frequent).of(["a b", None, "", "c"])
+    tokens = lm_score.Tokens(vocab.frequent)
+    ids, own, n = lm_score.joined([tokens.of(t) for t in ("a b", None, "", "c")])
     assert n.tolist() == [2, 0, 0, 1] and own.tolist() == [2, 3, 10] and (ids[[0, 1, 4, 5, 6, 7, 8, 9, 11, 12]] == lm_score.EDGE).all()
 
 
@@ -353,8 +354,8 @@ def test_lm_gradients_are_those_of_the_loss():
     assert loss == pytest.approx(slow_loss(net.rows, context, target), rel=1e-5)
     grads = np.zeros(net.rows.shape)
     grads[touched], grads[lm_score.EDGE + 1 :] = de, rest
-    for row in [int(touched[0]), int(touched[7]), *(lm_score.EDGE + 1 + np.array([0, 3, 4, 5, 60, -1 + len(rest)])).tolist()]:
-        for column in (0, 17):
+    for row in [int(touched[0]), int(touched[7]), *(lm_score.EDGE + 1 + np.array([0, 3, 4, 5, 30, -1 + len(rest)])).tolist()]:
+        for column in (0, 11):
             moved = [net.rows.astype(np.float64) for _ in range(2)]
             moved[0][row, column] += 1e-5
             moved[1][row, column] -= 1e-5
@@ -364,9 +365,11 @@ def test_lm_gradients_are_those_of_the_loss():
 
 def test_lm_score(spark, docs):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
-    net, vocab = lm_score.train(frame)
-    rows = lm_score.scores(frame, net, vocab).toPandas().set_index("doc_id")
-    plain = lm_score.scores(frame, lm_score.Network.new(vocab.prior), vocab).toPandas()
+    vocab = lm_score.vocabulary(frame)
+    numbered = common.cut(lm_score.with_tokens(frame, vocab.frequent))
+    net = lm_score.train(numbered, vocab)
+    rows = lm_score.scores(numbered, net, vocab).toPandas().set_index("doc_id")
+    plain = lm_score.scores(numbered, lm_score.Network.new(vocab.prior), vocab).toPandas()
     assert rows.pll.sum() / rows.n_tokens.sum() > plain.pll.sum() / plain.n_tokens.sum() + 0.3  # both sides tell more than frequencies
     tokens = lm_score.Tokens(vocab.frequent)
     e, s, b, o, c = net.parts()
@@ -384,6 +387,7 @@ def test_lm_means_weigh_rows_by_their_tokens(spark):
     frame = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(40)], "doc_id long, text string")
     vocab = lm_score.vocabulary(frame)
     net = lm_score.Network.new(vocab.prior)
-    one, many = (lm_score.learnt_round(frame.repartition(n), net, vocab, 0, 1) for n in (1, 8))
+    rows = lm_score.with_tokens(frame, vocab.frequent)
+    one, many = (lm_score.learnt_round(rows.repartition(n), net, vocab, 0, 1) for n in (1, 8))
     moved = (one.rows != net.rows).any(axis=1)
     assert moved[: len(vocab.frequent)].all() and not moved[lm_score.WORDS : lm_score.EDGE].any() and ((many.rows != net.rows).any(axis=1) == moved).all()
