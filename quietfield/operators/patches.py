@@ -182,15 +182,17 @@ def denoise_exclusive(voxels: DataFrame, g: Geometry, filter: str, groups: Seque
     return by_tile(_columns(voxels, "known", "own", *([wanted] if wanted else [])), g, core, reach, run, OUT, grid)
 
 
-PARTIAL = "img string, v long, home int, tile int, top double, sw double, swx array<double>, sws double, swr double, own double, state int"
+#: Partial sums of one tile for the voxels of one home tile, packed: a row for each voxel would cost more than its numbers.
+PARTIAL = "img string, home int, tile int, v binary, top binary, sums binary, own binary, state binary"
+_AWAY = -1  # state of voxels that lie in another tile
 
 
 def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, stride: int, fwhm: float | None, groups: Sequence[int] | None = None, mask: str | None = None, grid: DataFrame | None = None) -> DataFrame:
-    """Partial sums of overlapping patches, one row for each voxel and tile whose patches cover it, and for each voxel of the tile's core.
+    """Partial sums of overlapping patches for each voxel and tile whose patches cover it, and for each voxel of the tile's core.
 
     Centres lie at multiples of the stride; with a boolean column `mask` only patches that touch it count.
-    fwhm is in units of the spacing of centres; None weighs all alike. `home` is the tile that a voxel lies in; state is null away
-    from home. A voxel whose own patch is empty needs no patch to be done."""
+    fwhm is in units of the spacing of centres; None weighs all alike. `home` is the tile that a voxel lies in, whose row tells
+    its state. A voxel whose own patch is empty needs no patch to be done."""
     core, reach = np.array(g.tile(stride)), np.array(g.reach)
     shells = None if groups is None else np.array(groups)
     width = None if fwhm is None else fwhm * stride * np.cbrt(np.prod(g.spacing))
@@ -217,13 +219,15 @@ def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, strid
         at = np.concatenate([touched, rest])
         sw, swx, sws, swr = (np.concatenate([x, np.zeros((len(rest), *x.shape[1:]))]) for x in sums)
         xyz = xyz_of(at)
-        home = number(xyz // core)
-        here = number(tile)
+        home, here = number(xyz // core), number(tile)
         state = np.where(inside[at], np.concatenate([np.full(len(touched), MISSING), np.where(empty, DONE, MISSING)]), UNWANTED)
-        return pa.table({
-            "img": pa.array([img] * len(at), pa.string()), "v": _v(g, xyz), "home": home.astype(np.int32), "tile": np.full(len(at), here, np.int32), "top": np.concatenate([top, np.full(len(rest), -np.inf)]),
-            "sw": sw, "swx": _lists(swx, pa.float64()), "sws": sws, "swr": swr, "own": own[at], "state": pa.array(state.astype(np.int32), mask=home != here),
-        })
+        state = np.where(home == here, state, _AWAY).astype(np.int8)
+        columns = [_v(g, xyz), np.concatenate([top, np.full(len(rest), -np.inf)]), np.column_stack([sw, sws, swr, swx]), own[at], state]
+        order = np.argsort(home, kind="stable")
+        homes, first = np.unique(home[order], return_index=True)
+        parts = [order[a:z] for a, z in zip(first, [*first[1:], len(order)], strict=True)]
+        packed = [pa.array([np.ascontiguousarray(c[p]).tobytes() for p in parts], pa.binary()) for c in columns]
+        return pa.table([pa.array([img] * len(parts), pa.string()), pa.array(homes, pa.int32()), pa.array([here] * len(parts), pa.int32()), *packed], names=["img", "home", "tile", "v", "top", "sums", "own", "state"])
 
     return by_tile(_columns(voxels, "known", "own", *([mask] if mask else [])), g, core, reach, run, PARTIAL, grid)
 
@@ -232,20 +236,18 @@ def merged(partial: DataFrame) -> DataFrame:
     """OUT from partial sums: weighted means of the series, sigma and rank. sums of a voxel are brought to one largest weight and added in the order of tiles."""
 
     def run(key, table):
-        v, tile, top = (table.column(c).to_numpy() for c in ("v", "tile", "top"))
-        order = np.lexsort((tile, v))
-        v, top = v[order], top[order]
-        first = np.flatnonzero(np.r_[True, np.diff(v) != 0])
-        most = np.maximum.reduceat(top, first)
+        table = table.take(pa.array(np.argsort(table.column("tile").to_numpy())))
+        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        v, top, state, own = read("v", np.int64), read("top", np.float64), read("state", np.int8), read("own", np.float64)
+        order = np.argsort(v, kind="stable")  # of one voxel, tiles stay in order
+        first = np.flatnonzero(np.r_[True, np.diff(v[order]) != 0])
+        most = np.maximum.reduceat(top[order], first)
         most = np.where(most > -np.inf, most, 0.0)
-        scale = np.exp(top - np.repeat(most, np.diff(np.r_[first, len(v)])))
-        total = lambda c: np.add.reduceat(table.column(c).to_numpy()[order] * scale, first)
-        sw, sws, swr = total("sw"), total("sws"), total("swr")
-        swx = table.column("swx").combine_chunks().flatten().to_numpy().reshape(len(v), -1)[order]
-        swx = np.add.reduceat(swx * scale[:, None], first)
-        state = table.column("state").to_numpy(zero_copy_only=False)[order]
-        home = np.flatnonzero(~np.isnan(state)) if state.dtype.kind == "f" else np.arange(len(v))
-        state, own = state[home].astype(np.int32), table.column("own").to_numpy()[order][home]  # one home row for each voxel, in order
+        scale = np.exp(top[order] - np.repeat(most, np.diff(np.r_[first, len(v)])))
+        sums = np.add.reduceat(read("sums", np.float64).reshape(len(v), -1)[order] * scale[:, None], first)
+        sw, sws, swr, swx = sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3:]
+        home = np.flatnonzero(state[order] != _AWAY)  # one for each voxel, in order
+        state, own, v = state[order][home].astype(np.int32), own[order][home], v[order]
         done = (sw > 0) & (state != UNWANTED)
         safe = np.where(sw > 0, sw, 1.0)
         mean = lambda x: np.where(done, x / safe, 0.0)
