@@ -342,14 +342,14 @@ def test_lm_vocabulary_and_tokens(spark, docs):
 
 def slow_loss(rows, context, target):
     net = lm_score.Network(rows.astype(np.float64))
-    _, z = net.logits(net.parts()[0][context])
+    z = net.logits(net.hidden([net.parts()[0][c] for c in context]))
     return -(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(target)), target].sum()
 
 
 def test_lm_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(4)
     net = lm_score.Network.new(np.log(rng.dirichlet(np.ones(lm_score.CLASSES))).astype(np.float32))
-    context, target = rng.integers(0, 30, (50, 4)).astype(np.uint16), rng.integers(0, lm_score.CLASSES, 50)
+    context, target = rng.integers(0, 30, (4, 50)).astype(np.uint16), rng.integers(0, lm_score.CLASSES, 50)
     loss, touched, de, rest = lm_score.gradients(net, context, target)
     assert loss == pytest.approx(slow_loss(net.rows, context, target), rel=1e-5)
     grads = np.zeros(net.rows.shape)
