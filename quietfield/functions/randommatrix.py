@@ -1,14 +1,10 @@
-"""Scalars of random-matrix theory: the Marchenko-Pastur law, optimal thresholds and shrinkage.
-
-Each exists once for the driver (floats) and, where rows need it, as a Spark column expression."""
+"""Scalars of random-matrix theory: the Marchenko-Pastur law, optimal thresholds and shrinkage."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def beta_valid(beta: float) -> bool:
@@ -66,29 +62,3 @@ def shrink_weight(y: np.ndarray, beta: float) -> np.ndarray:
     with np.errstate(all="ignore"):
         w = np.sqrt(np.maximum((y * y - beta - 1) ** 2 - 4 * beta, 0)) / (y * y)
     return np.minimum(w, 1.0)
-
-
-def lambda_star_col(beta: Column) -> Column:
-    whole = F.sqrt(2 * (beta + 1) + 8 * beta / (beta + 1 + F.sqrt(beta * beta + 14 * beta + 1)))
-    return F.when((beta > 0) & (beta <= 1), whole).otherwise(F.lit(float("nan")))
-
-
-def mp_cdf_col(x: Column, beta: Column) -> Column:
-    root = F.sqrt(beta)
-    low, high = F.pow(1 - root, F.lit(2)), F.pow(1 + root, F.lit(2))
-    unit = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    area = (
-        F.sqrt(F.greatest((high - x) * (x - low), F.lit(0.0)))
-        - (1 + beta) * F.asin(unit((2 * (1 + beta) - 2 * x) / (4 * root)))
-        - (1 - beta) * F.asin(unit((2 * (1 + beta) * x - 2 * F.pow(1 - beta, F.lit(2))) / (4 * x * root)))
-    )
-    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (area + F.lit(math.pi) * beta) / (2 * F.lit(math.pi) * beta)))
-    return F.when(x <= low, 0.0).when(x >= high, 1.0).otherwise(inside)
-
-
-def shrink_weight_col(s: Column, sigma: Column, rows: Column, beta: Column) -> Column:
-    """Shrinkage weight of a singular value; 0 at or below the noise edge, 1 where sigma is 0 and s is not."""
-    unit = sigma * F.sqrt(rows)
-    y = s / unit
-    w = F.least(F.lit(1.0), F.sqrt(F.greatest(F.pow(y * y - beta - 1, F.lit(2)) - 4 * beta, F.lit(0.0))) / (y * y))
-    return F.when(sigma == 0, F.when(s > 0, 1.0).otherwise(0.0)).when(s > unit * (1 + F.sqrt(beta)), w).otherwise(0.0)

@@ -16,12 +16,6 @@ def with_coordinates(df: DataFrame, nx: int, ny: int) -> DataFrame:
     return df.withColumns({"x": F.pmod(v, F.lit(nx)).cast("int"), "y": F.pmod(F.floor(v / nx), F.lit(ny)).cast("int"), "z": F.floor(v / (nx * ny)).cast("int")})
 
 
-def to_voxels(samples: DataFrame, nx: int, ny: int) -> DataFrame:
-    """(img, v, t, value) to one row per voxel with its series in the order of t."""
-    series = F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda s: s["value"].cast("float"))
-    return with_coordinates(samples.groupBy("img", "v").agg(series.alias("ts")), nx, ny).select("img", "v", "x", "y", "z", "ts")
-
-
 #: Bytes of samples that one group of a change of layout holds, if a plane or a pixel's series is not larger.
 GROUP_BYTES = 64 << 20
 

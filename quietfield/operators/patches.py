@@ -86,22 +86,29 @@ def _grid_by_tile(grid: DataFrame, g: Geometry, core: Sequence[int]) -> DataFram
     return out
 
 
+def tile_tasks(voxels: DataFrame, g: Geometry, core: Sequence[int], most: int = 4096) -> int:
+    """Tasks to deal the tiles of an image over: tiles weigh alike, so more tasks than cores even out."""
+    tiles = int(np.prod([-(-d // int(c)) for d, c in zip(g.dims, core, strict=True)]))
+    return max(int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tiles, most))
+
+
 def by_tile(voxels: DataFrame, g: Geometry, core: Sequence[int], reach: Sequence[int], run, schema: str, grid: DataFrame | None = None) -> DataFrame:
-    """run(img, tile, table, grid points or None) over every tile with its halo."""
-    dealt = tiled(voxels, g, [int(c) for c in core], [int(r) for r in reach]).groupBy(*TILE)
+    """run(img, tile, table, grid points or None) over every tile with its halo, a task for a tile as far as hashes allow."""
+    parts = tile_tasks(voxels, g, core)
+    dealt = tiled(voxels, g, [int(c) for c in core], [int(r) for r in reach]).repartition(parts, *TILE).groupBy(*TILE)
     part = lambda key: (key[0].as_py(), np.array([k.as_py() for k in key[1:]]))
     if grid is None:
         return dealt.applyInArrow(lambda key, table: run(*part(key), table, None), schema)
     points = lambda t: {c: t.column(c).to_numpy() for c in ("gx", "gy", "gz", "num", "den")}
 
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
     columns = [c.split() for c in schema.replace("`", "").split(", ")]
     nothing = pa.table({name: pa.array([], kinds[kind]) for name, kind in columns})
 
     def both(key, table, own):
         return run(*part(key), table, points(own)) if table.num_rows else nothing
 
-    return dealt.cogroup(_grid_by_tile(grid, g, [int(c) for c in core]).groupBy(*TILE)).applyInArrow(both, schema)
+    return dealt.cogroup(_grid_by_tile(grid, g, [int(c) for c in core]).repartition(parts, *TILE).groupBy(*TILE)).applyInArrow(both, schema)
 
 
 def coarse_sigma(voxels: DataFrame, g: Geometry, groups: Sequence[int] | None = None) -> DataFrame:
@@ -232,8 +239,8 @@ def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, strid
     return by_tile(_columns(voxels, "known", "own", *([mask] if mask else [])), g, core, reach, run, PARTIAL, grid)
 
 
-def merged(partial: DataFrame) -> DataFrame:
-    """OUT from partial sums: weighted means of the series, sigma and rank. sums of a voxel are brought to one largest weight and added in the order of tiles."""
+def merged(partial: DataFrame, parts: int | None = None) -> DataFrame:
+    """OUT from partial sums, in `parts` tasks: weighted means of the series, sigma and rank. Sums of a voxel are brought to one largest weight and added in the order of tiles."""
 
     def run(key, table):
         table = table.take(pa.array(np.argsort(table.column("tile").to_numpy())))
@@ -254,4 +261,4 @@ def merged(partial: DataFrame) -> DataFrame:
         series = np.where(done[:, None], swx / safe[:, None], 0.0)
         return _result(key[0].as_py(), v[first], series, mean(sws), np.floor(mean(swr) + 0.5), own, np.where(done, DONE, state))
 
-    return partial.groupBy("img", "home").applyInArrow(run, OUT)
+    return (partial.repartition(parts, "img", "home") if parts else partial).groupBy("img", "home").applyInArrow(run, OUT)

@@ -55,10 +55,3 @@ def shell_means(voxels: DataFrame, groups: list[int]) -> DataFrame:
         total = F.aggregate(F.array(*[F.col("ts")[t].cast("double") for t in own]), F.lit(0.0), lambda a, x: a + x)
         out.append((total / len(own)).cast("float"))
     return voxels.withColumn("means", F.array(*out) if out else F.array().cast("array<float>"))
-
-
-def demeaned(samples: DataFrame, shell_table: DataFrame) -> DataFrame:
-    """(img, v, t, value, mean) with each voxel's shell mean taken off; volumes without a shell keep their value."""
-    rows = samples.join(shell_table.select("img", "t", "grp"), ["img", "t"])
-    mean = F.when(F.col("grp").isNotNull(), F.avg("value").over(Window.partitionBy("img", "v", "grp")))
-    return rows.withColumn("mean", F.coalesce(mean, F.lit(0.0))).select("img", "v", "t", (F.col("value") - F.col("mean")).alias("value"), "mean")

@@ -228,8 +228,9 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     else:
         stride = o.stride or 2
         fwhm = None if o.aggregator == "uniform" else o.aggregator_fwhm or 2.0
-        now = now if vst else cut(now)
-        out = cut(patches.merged(patches.patch_sums(now, g, low_rank(g, filter), stride, fwhm, groups, inside, grid)))
+        now = cut(now) if not vst and (groups or inside) else now
+        sums = patches.patch_sums(now, g, low_rank(g, filter), stride, fwhm, groups, inside, grid)
+        out = cut(patches.merged(sums, patches.tile_tasks(now, g, g.tile(stride))))
         missing = out.where(F.col("state") == patches.MISSING).select("img", "v", F.lit(True).alias("wanted"))
         fallbacks = missing.count()
         if fallbacks:  # voxels that no patch covered: their own patch
