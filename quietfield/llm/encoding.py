@@ -73,6 +73,10 @@ class Encoder:
             return self.find(text.lower() if self.words else text)
         return list(chain.from_iterable(self.find(p.lower() if self.words else p) if _PLAIN.fullmatch(p) else [p] for p in _CUT.split(text)))
 
+    def forget(self) -> None:
+        """Give the table's memory back."""
+        self.known = Table()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []

@@ -62,19 +62,24 @@ class BestFit:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document's ids and end id; only documents longer than the capacity are cut. Null text is empty."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None) -> DataFrame:
+    """Pieces of every document's ids and end id; only documents longer than the capacity are cut. Null text is empty.
+
+    keep: units whose ids a worker holds at most, and only as long as a task runs; without it, as many as the encoder likes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes(), 4 * capacity
+        own, end, width = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        own.keep = keep or own.keep
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), own.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids += end
                 rows += [(doc_id, k, at // 4, len(part := ids[at : at + width]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), width))]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if keep:
+            own.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
 
@@ -100,7 +105,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return mixed.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, keep: int | None = None, **options) -> DataFrame:
     """Every document of docs, tokenised, cut and packed.
 
     A repeated row is packed again; a null id stays null; an empty table packs nothing."""
@@ -108,7 +113,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFram
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(cut(token_pieces(docs, tokenizer)), **options)
+    return pack(cut(token_pieces(docs, tokenizer, keep=keep)), **options)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
