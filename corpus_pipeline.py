@@ -58,7 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows are packed each, null ids stay null, and an empty table packs nothing."""
     ready(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, keep=200_000)
 
 
 STAGES = [
