@@ -148,12 +148,11 @@ class Forest:
         self.root = root
 
 
-def gray_ranges(nodes: DataFrame, size: int = 1 << 14, most: int = 256, limit: int = 1 << 20) -> tuple[DataFrame, int]:
+def gray_ranges(nodes: DataFrame, ranges: int = 64, limit: int = 1 << 20) -> tuple[DataFrame, int]:
     """nodes (fp, distinct) as a written table with its `range` of consecutive Gray ranks, and the number of ranges.
 
-    Ranges hold about `size` fingerprints while there are up to `most` of them, then more, up to `limit`."""
-    n = nodes.count()
-    count = max(1, min(-(-n // size), most), -(-n // limit))
+    There are `ranges` of them, or more where one would hold over `limit` fingerprints."""
+    count = max(ranges, -(-nodes.count() // limit))
     return cut(nodes.repartitionByRange(count, gray_order(F.col("fp"))).withColumn("range", F.spark_partition_id())), count
 
 

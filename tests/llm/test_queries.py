@@ -200,13 +200,13 @@ def test_gray_order_sorts_as_gray_rank(spark):
     assert [np.int64(r.fp).view(np.uint64) for r in rows] == list(fps[np.argsort(simhash.gray_rank(fps))])
 
 
-@pytest.mark.parametrize("size", [16, 100, 1000])
-def test_links_over_ranges_join_the_classes_of_brute_force(spark, size):
+@pytest.mark.parametrize(("ranges", "limit"), [(1, 1000), (26, 1000), (1, 16)])
+def test_links_over_ranges_join_the_classes_of_brute_force(spark, ranges, limit):
     fps = flipped(np.random.default_rng(5))
     nodes = common.cut(spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long"))
-    table, count = simhash.gray_ranges(nodes, size=size)
-    assert count == -(-len(fps) // size) and table.count() == len(fps)
-    found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(nodes, size=size)).collect()}
+    table, count = simhash.gray_ranges(nodes, ranges, limit)
+    assert count == max(ranges, -(-len(fps) // limit)) and table.count() == len(fps)
+    found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(nodes, ranges=ranges, limit=limit)).collect()}
     signed = fps.view(np.int64)
     assert [found.get(int(f), int(f)) for f in signed] == brute_components(fps, signed.copy()).tolist()
 
