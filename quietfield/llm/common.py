@@ -62,8 +62,8 @@ def at_places(rows: DataFrame, places: DataFrame, how: str = "inner", max_places
 def without_places(docs: DataFrame, places: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
     """The rows of placeable docs, all columns, that are not at places (_file, _row: a written table)."""
     few = places.limit(max_places + 1).count() <= max_places
-    at, held = docs.metadataColumn("_metadata"), docs.columns
-    names = [f"_gone{k}_{'x'.join(held)}" for k in range(2)]  # longer than any column of docs, so none clashes
+    at, longest = docs.metadataColumn("_metadata"), max(map(len, docs.columns))
+    names = [f"_gone_{k}" + "_" * longest for k in range(2)]  # longer than any column of docs, so none clashes
     gone = places.select(F.col("_file").alias(names[0]), F.col("_row").alias(names[1]))
     gone = F.broadcast(gone) if few else gone.hint("shuffle_hash")
     return docs.join(gone, (at["file_path"] == gone[names[0]]) & (at["row_index"] == gone[names[1]]), "left_anti")
