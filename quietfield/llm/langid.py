@@ -202,7 +202,9 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
             keep = [any(map(str.isalpha, (t or "").lower())) for t in b.column(b.num_columns - 1).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_())).select(range(b.num_columns - 1))
 
-    return docs.withColumn("_letters_of", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow resolves names, and these may hold dots
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("letters_of")
+    return plain.select("*", text).mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

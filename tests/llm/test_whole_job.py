@@ -40,3 +40,20 @@ def test_mixing_reports_targets_it_cannot_meet(spark):
     tokens, axes = np.array([3.0, 5.0]), [np.array([0, 1]), np.array([0, 1])]
     with pytest.warns(RuntimeWarning, match="marginal off"):
         mixing.rake(tokens, axes, [np.array([0.5, 0.5]), np.array([0.4, 0.6])])
+
+
+def test_stages_take_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    from quietfield.llm.common import cut
+
+    rows = [(i, f"some text of words that is english {i // 2}", "en", "s", 1, 2.0) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` int, lang_pred double")
+    counts = []
+    for lang in (docs, docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "`a.b`", "lang_pred")):
+        seen = lang
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            seen = cut(stage(spark, seen, ""))
+            assert seen.columns == docs.columns
+            counts.append(seen.count())
+    assert counts[:3] == counts[4:7] == [8, 4, 4]
