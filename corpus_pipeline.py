@@ -22,9 +22,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.learn(docs)
     if model is None:
         return langid.lettered(docs)
-    kept = [F.col(c).alias(f"_keep_{c}") for c in docs.columns]
+    names = docs.columns
+    kept = [docs[f"`{c}`"].alias(f"_keep_{k}") for k, c in enumerate(names)]  # whatever columns are called
     found = langid.predict(docs, model, keep=kept).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("_keep_lang", F.coalesce("_keep_lang", "lang_pred")).select([F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    lang = names.index("lang")
+    columns = [F.coalesce(f"_keep_{k}", "lang_pred") if k == lang else F.col(f"_keep_{k}") for k in range(len(names))]
+    return found.select([c.alias(n) for c, n in zip(columns, names, strict=True)])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
