@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, html_text, langid, lm_score, mixing, packing, simhash, token_files, warc
+from . import alignment, centroids, exact_dedup, host_rules, html_text, langid, lm_score, mixing, packing, simhash, token_counts, token_files, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         mixing.op8_mixing,
         packing.op9_best_fit_packing,
         lm_score.op10_lm_score,
+        token_counts.op11_token_counts,
+        alignment.op12_token_alignment,
+        centroids.op13_centroid_clusters,
     )
 }
 
@@ -24,4 +27,5 @@ ORACLE_SQL = {
     "op1_warc_transactions": warc.OP1_SQL,
     "op2_host_rules": host_rules.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op13_centroid_clusters": centroids.OP13_SQL,
 }

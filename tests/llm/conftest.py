@@ -24,4 +24,9 @@ def tables(spark, odd_docs, tmp_path_factory):
     for name, df in (("documents", odd_docs), ("pages", pages)):
         df.write.parquet(f"{full}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    vectors = [(i % 40 if i % 7 else None, [float((i * j) % 13) / 4 for j in range(64)], "clash") for i in range(60)]
+    vectors += [(1, None, "x"), (2, [], "x"), (3, [1.0] * 63, "x"), (4, [None, *[1.0] * 63], "x"), (5, [float("nan")] * 64, "x"), (6, [float("-inf"), *[1.0] * 63], "x")]
+    embeddings = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, cluster string")
+    embeddings.write.parquet(f"{full}/embeddings.parquet")
+    embeddings.limit(0).write.parquet(f"{empty}/embeddings.parquet")
     return str(full), str(empty)
