@@ -4,17 +4,18 @@ The alignment itself is relational: tokens are posexploded, a window sums their
 document and end finds the offsets where tokens of both sides end, a running count of these cuts numbers the groups, and a
 join on document and group gives the links.
 
-Words recur, and both tokenizers end a token before a single space in front of a word. So texts are split there, and a page
-(the documents of one task, up to a number of different segments) aligns each of its segments once; documents are chains of
-segments. Rows of a page stay together from then on: exchanges deal pages, never words, and what is known corpus-wide (how
-many documents hold a pair of ids linked) comes back to each page as one row for each pair that the page has."""
+Words recur, and both tokenizers end a token before a single space in front of a word. So texts are split there, each
+different segment of the corpus is encoded and aligned once, and documents are chains of segments. A page is what one task
+reads, up to a number of different segments: its documents refer to its segments by number, exchanges deal pages and their
+segments, never the words of documents, and what is known corpus-wide (how many documents hold a pair of ids linked) comes
+back to each page as one row for each pair that the page has."""
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 from .exact_dedup import _settings
 from .token_counts import byte_letters
 
-#: A page takes no further batch of documents beyond so many segments.
-PAGE_SEGMENTS = 500_000
-#: Both tokenizers end a token here: before a space that follows no space and stands before a non-space.
-_JOINT = re.compile(r"(?<! )(?= \S)")
-#: Rows of one page lie in one partition, so keys that begin with the page need no exchange; sorted input needs no hash table.
-PLAN = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+#: A page takes no further batch of documents beyond so many segments; documents that are chained together.
+PAGE_SEGMENTS, SLICE = 500_000, 256
+#: Both tokenizers end a token before a space that follows no space and stands before a non-space. Texts where every space is such a one need no search.
+_JOINT, _ODD = re.compile(r"(?<! )(?= \S)"), re.compile(r" (?:\s|\Z)")
+#: Rows of one page lie in one partition, so keys that hold the page need no exchange; sorted input needs no hash table.
+PLAN = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
 
 
 class Pair:
@@ -52,93 +53,136 @@ class Pair:
         self.bytes_a = {k: bytes(byte_of[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if k not in special}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(raw)]
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids by A and by B of segments that begin with a space, and whether both sides' bytes are the segment's."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        same = []
-        for s, x, y in zip(segments, a, b, strict=True):
-            own = s.encode()
-            same.append(b"".join([self.bytes_a.get(i, b"") for i in x]) == own == b"".join([self.bytes_b[i] for i in y]))
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int32)
+        self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
+        self.size_b = np.array(list(map(len, self.bytes_b)), np.int32)
+
+    def encode(self, segments: list[str]) -> tuple[Ragged, Ragged, np.ndarray]:
+        """Ids by A and by B of segments, given without the space that they begin with, and whether both sides' bytes are the segment's."""
+        whole = [f" {s}" for s in segments]
+        a = Ragged.of([e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)])
+        b = Ragged.of(self.b.encode(segments, num_threads=1))
+        raw = [s.encode() for s in whole]
+        sizes = np.array(list(map(len, raw)), np.int64)
+        own_a, own_b = (b"".join(map(table.__getitem__, x.flat.tolist())) for table, x in ((self.bytes_a, a), (self.bytes_b, b)))
+        same = (a.sums(self.size_a) == sizes) & (b.sums(self.size_b) == sizes)
+        if not (same.all() and own_a == own_b == b"".join(raw)):
+            same = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, r in zip(a.lists(), b.lists(), raw, strict=True)], bool)
         return a, b, same
 
 
+class Ragged:
+    """Lists of ints behind each other."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ragged:
+        sizes = np.array(list(map(len, lists)), np.int64)
+        return cls(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(values[self.flat], dtype=np.int64)]
+        ends = np.cumsum(self.sizes)
+        return total[ends] - total[ends - self.sizes]
+
+    def lists(self) -> list[list[int]]:
+        ends = np.cumsum(self.sizes).tolist()
+        flat = self.flat.tolist()
+        return [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+    def column(self, kept: np.ndarray | None = None, values: np.ndarray | None = None, after: int = 0) -> pa.Array:
+        """The lists marked in kept, their numbers looked up in values, and so many null rows."""
+        flat, sizes = self.flat if values is None else values[self.flat], self.sizes
+        if kept is not None:
+            flat, sizes = flat[np.repeat(kept, sizes)], sizes[kept]
+        ends = np.r_[0, np.cumsum(sizes), np.full(after, sizes.sum())].astype(np.int32)
+        null = np.r_[np.zeros(len(sizes), bool), np.ones(after, bool)]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(null))
+
+
+class Numbers(dict):
+    """Numbers strings as they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = found = len(self)
+        return found
+
+
+def words(text: str | None) -> list[str]:
+    """Segments of a space and the text, each without the space that it begins with."""
+    if not text:
+        return []
+    if text[0] != " " and not _ODD.search(text) and not text[0].isspace():
+        return text.split(" ")
+    return [w[1:] for w in _JOINT.split(f" {text}") if w]
+
+
 @lru_cache(maxsize=2)
 def pair(path_a: str, path_b: str) -> Pair:
     """One for each two files and worker process."""
     return Pair(path_a, path_b)
 
 
-PAGES = "page long, key long, doc_id long, segments array<int>, segment int, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
-
-
-def _lists(values: list) -> pa.Array:
-    """A column of lists of ints from arrays of them; None is null."""
-    sizes = np.array([0 if v is None else len(v) for v in values], np.int64)
-    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-    flat = np.fromiter((x for v in values if v is not None for x in v), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([v is None for v in values], pa.bool_()))
+PAGES = "page long, key long, doc_id long, segments array<int>, segment int, word string"
 
 
-def pages(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two kinds of rows: documents (key, unique in a page; doc_id; the numbers of their segments in order), and the segments of each page."""
+def pages(docs: DataFrame, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Two kinds of rows: documents (key, unique in a page; doc_id; the numbers of their segments in order), and the segments of each page, numbered from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, page, key = pair(path_a, path_b), TaskContext.get().partitionId() << 24, 0
-        known: dict[str, int] = {}
-        bad: set[int] = set()  # segments whose bytes a tokenizer does not give back
-        size_a, size_b = {k: len(v) for k, v in own.bytes_a.items()}, list(map(len, own.bytes_b))
+        page, key, known = TaskContext.get().partitionId() << 24, 0, Numbers()
         for batch in batches:
-            chains, first = [], len(known)
-            for text in batch.column(1).to_pylist():
-                words = _JOINT.split(" " + text) if text else []
-                chains.append(array("i", [known.setdefault(w, len(known)) for w in words]))
-            new = _tail(known, first)
-            a, b, same = own.encode(new)
-            bad.update(first + k for k, ok in enumerate(same) if not ok)
-            if bad:
-                chains = [array("i") if not bad.isdisjoint(c) else c for c in chains]
-            n, m = len(chains), len(new)
-            keys = [*range(key, key + n), *[None] * m]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([page] * (n + m), pa.int64()), pa.array(keys, pa.int64()), pa.array([*batch.column(0).to_pylist(), *[None] * m], pa.int64()), _lists([*chains, *[None] * m]),
-                    pa.array([*[None] * n, *range(first, first + m)], pa.int32()), *(_lists([None] * n + x) for x in (a, [[size_a.get(i, 0) for i in x] for x in a], b, [[size_b[i] for i in x] for x in b])),
-                ],
-                names=["page", "key", "doc_id", "segments", "segment", "a", "a_bytes", "b", "b_bytes"],
-            )
+            first = len(known)
+            of = Ragged.of([list(map(known.__getitem__, words(t))) for t in batch.column(1).to_pylist()])
+            n, m = len(batch), len(known) - first
+            new = list(islice(reversed(known), m))[::-1]
+            doc_ids = pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())])
+            keys = pa.concat_arrays([pa.array(np.arange(key, key + n)), pa.nulls(m, pa.int64())])
+            numbers = pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(first, first + m, dtype=np.int32))])
+            own = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(new, pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, page)), keys, doc_ids, of.column(after=m), numbers, own], names=["page", "key", "doc_id", "segments", "segment", "word"])
             key += n
             if len(known) >= page_segments:
-                known, bad, page = {}, set(), page + 1
+                known, page = Numbers(), page + 1
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PAGES)
 
 
-def _tail(known: dict[str, int], first: int) -> list[str]:
-    """Keys of a dict from number `first` on, without a walk over those before."""
-    out = []
-    for k in reversed(known):
-        if len(known) - len(out) == first:
-            break
-        out.append(k)
-    return out[::-1]
+ENCODED = "id long, word string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
+
+
+def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """The words (unique) that both tokenizers give back byte for byte, with a number, their ids and the bytes of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = pair(path_a, path_b), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            a, b, same = own.encode(batch.column(0).to_pylist())
+            n = int(same.sum())
+            sides = [x.column(same, values) for x, size in ((a, own.size_a), (b, own.size_b)) for values in (None, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), batch.column(0).filter(pa.array(same)), *sides], names=["id", "word", "a", "a_bytes", "b", "b_bytes"])
+            at += n
+
+    return segments.select("word").mapInArrow(run, ENCODED)
 
 
 def groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and group: its number `grp` from 0, and the ids `a` and `b` of both sides, in order.
 
     rows: unique keys with a, a_bytes, b, b_bytes, whose bytes sum to the same on both sides. Rows without tokens have no group."""
-    in_order = Window.partitionBy(*keys).orderBy("pos")
+    in_order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
     def ends(side: str) -> DataFrame:
-        each = rows.select(*keys, F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("size"))).alias("pos", "token"))
-        return each.select(*keys, "pos", F.col("token.id").alias("id"), F.sum("token.size").over(in_order).alias("end"))
+        each = rows.select(*keys, F.posexplode(F.arrays_zip(F.col(side).alias("token_id"), F.col(f"{side}_bytes").alias("size"))).alias("pos", "token"))
+        return each.select(*keys, "pos", "token.token_id", F.sum("token.size").over(in_order).alias("end"))
 
     def grouped(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
         both = own.join(other.select(*keys, "end", F.lit(1).alias("cut")), [*keys, "end"], "left")
         before = Window.partitionBy(*keys).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        numbered = both.select(*keys, "end", "id", F.count("cut").over(before).alias("grp"))
-        return numbered.groupBy(*keys, "grp").agg(F.sort_array(F.collect_list(F.struct("end", "id")))["id"].alias(side))
+        numbered = both.select(*keys, "end", "token_id", F.count("cut").over(before).alias("grp"))
+        return numbered.groupBy(*keys, "grp").agg(F.sort_array(F.collect_list(F.struct("end", "token_id")))["token_id"].alias(side))
 
     a, b = ends("a"), ends("b")
     return grouped(a, b, "a").join(grouped(b, a, "b"), [*keys, "grp"])
@@ -160,11 +204,18 @@ def aligned(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("n_links", F.size("links"))
 
 
+def chained(documents: DataFrame, segments: DataFrame, column: str) -> DataFrame:
+    """Slices of a page's documents (`docs`), each with the page's array of a column of its segments (`of`), in the order of their numbers."""
+    slices = documents.groupBy("page", F.floor(F.col("key") / SLICE).alias("slice")).agg(F.collect_list(F.struct("key", "doc_id", "segments")).alias("docs"))
+    table = segments.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("segment", column)))[column].alias("of"))
+    return slices.join(table.hint("shuffle_hash"), "page", "left")  # a page of empty documents has no segments
+
+
 def pair_counts(documents: DataFrame, segments: DataFrame) -> DataFrame:
     """Per page and pair of ids: how many of the page's documents hold it linked."""
-    has = documents.select("page", "key", F.explode(F.array_distinct("segments")).alias("segment")).join(segments.select("page", "segment", F.array_distinct("links").alias("links")), ["page", "segment"])
-    each = has.groupBy("page", "key").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    return each.select("page", F.explode("links").alias("link")).groupBy("page", "link").agg(F.count("*").alias("docs"))
+    own = chained(documents, segments, "links")
+    links = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["segments"]), lambda k: F.col("of")[k]))))
+    return own.select("page", F.explode(links).alias("links")).select("page", F.explode("links").alias("link")).groupBy("link", "page").agg(F.count("*").alias("docs"))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,27 +224,34 @@ def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_S
     A encodes a space and the text, B the text, to which it adds a space itself. Null and empty texts, and texts that a tokenizer
     does not give back byte for byte, have no tokens: zeros and ''. Repeated rows count as documents each, null ids stay, an
     empty table gives none. Long texts are chains of segments; a text without a space is one segment, whose rows lie in one task."""
-    spark = docs.sparkSession
-    table = cut(pages(docs, path_a, path_b, page_segments, id_col, text_col))
+    spark, at = docs.sparkSession, ["segment", "page"]
+    table = cut(pages(docs, page_segments, id_col, text_col))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * table.select("page").distinct().count())
     of_page = lambda df: df.repartition(n, "page")
     documents = of_page(table.where("segment is null").select("page", "key", "doc_id", "segments"))
+    places = table.where("segment is not null").select("page", "segment", "word")
     with _settings(spark, PLAN):
-        segments = cut(aligned(of_page(table.where("segment is not null").select("page", "segment", "a", "a_bytes", "b", "b_bytes")), ["page", "segment"]))
-        counts = cut(pair_counts(documents, of_page(segments)))
+        unique = cut(encoded(places.select("word").distinct(), path_a, path_b))
+        each = cut(aligned(unique.repartition(n, "id"), ["id"]).join(unique.select("id", "word").repartition(n, "id"), "id").drop("id"))
+        segments = cut(places.join(each, "word", "left").drop("word"))  # null where the segment is not given back
+        counts = cut(pair_counts(documents, of_page(segments.select(*at, "links"))))
         total = cut(counts.groupBy("link").agg(F.sum("docs").alias("docs")))
         best = total.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("docs").alias("most"))
         known = total.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))
-        back = counts.select("page", "link").join(known, "link")  # a row for each pair that a page has
-        each = of_page(segments).select("page", "segment", F.explode("links").alias("link")).join(of_page(back), ["page", "link"])
-        worth = each.groupBy("page", "segment").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
-        facts = of_page(segments).drop("links").join(worth, ["page", "segment"])
-        chain = documents.select("page", "key", "doc_id", F.posexplode_outer("segments").alias("pos", "segment")).join(facts, ["page", "segment"], "left")
-        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-        whole = F.array_join(F.sort_array(F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))))["groups"], ";").alias("groups")
-        out = chain.groupBy("page", "key", "doc_id").agg(*sums, whole)
-        digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-        return cut(out.select(F.col("doc_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest))
+        back = of_page(counts.select("page", "link").join(known, "link"))  # a row for each pair that a page has
+        facts = of_page(segments.drop("groups"))
+        linked = facts.select(*at, F.explode("links").alias("link")).join(back.hint("shuffle_hash"), ["link", "page"])
+        worth = linked.groupBy(*at).agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
+        numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+        uses = documents.select("page", "key", F.explode("segments").alias("segment"))
+        sums = uses.join(facts.drop("links").join(worth, at).hint("shuffle_hash"), at).groupBy("key", "page").agg(*(F.sum(c).alias(c) for c in numbers))
+        text = lambda d: F.transform(d["segments"], lambda k: F.col("of")[k])
+        digest = lambda t: F.when((F.size(t) > 0) & ~F.exists(t, lambda x: x.isNull()), F.sha2(F.array_join(t, ";"), 256)).otherwise("")
+        own = chained(documents, of_page(segments.select(*at, "groups")), "groups")
+        each = F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["doc_id"].alias("doc_id"), let(text(d), digest).alias("groups_sha256")))
+        out = own.select("page", F.inline(each)).join(sums, ["key", "page"], "left")
+        given = lambda c: F.when(F.col("groups_sha256") == "", 0).otherwise(F.col(c)).cast("long").alias(c)
+        return cut(out.select(F.col("doc_id").alias(id_col), *map(given, numbers), "groups_sha256"))
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
