@@ -15,6 +15,7 @@ from quietfield.functions.geometry import Geometry, auto_extent, sane_spacing, s
 from quietfield.functions.stabilise import stabiliser
 from quietfield.operators import lattice, patches, rotate, shells, unring
 from quietfield.operators.kernels import FILTERS, low_rank
+from quietfield.operators.select import quantiles
 from quietfield.tables import cut
 
 AGGREGATORS = ("gaussian", "uniform", "exclusive")
@@ -126,10 +127,10 @@ def filled(sigma: DataFrame) -> DataFrame | None:
     """The rows of sigma (img, sigma, other columns) with levels that are not positive replaced by the median of the positive ones of the image.
 
     None if an image has no positive level."""
-    positive = F.expr("median(sigma) FILTER (WHERE sigma > 0)")
-    middle = cut(sigma.groupBy("img").agg(positive.alias("middle")))
-    n = middle.count()
-    if not n or middle.where("middle IS NULL").count():
+    images = sigma.select("img").distinct()
+    middle = cut(images.join(quantiles(sigma, [0.5], "sigma", F.col("sigma") > 0).select("img", F.col("level").alias("middle")), "img", "left"))
+    n, without = middle.agg(F.count("*"), F.count_if(F.col("middle").isNull())).first()
+    if not n or without:
         return None
     return sigma.join(F.broadcast(middle) if n <= MAX_IMAGES else middle, "img").withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("middle").cast("float"))).drop("middle")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quietfield.functions import randommatrix
 from quietfield.functions.geometry import Geometry
 from quietfield.operators import compare, kernels, lattice, patches, rotate, shells, unring
+from quietfield.operators.select import quantiles
 from quietfield.sources import nifti
 from quietfield.tables import scratch_path
 
@@ -333,8 +334,8 @@ SELECT 'lineitem' AS img, round(quantile_cont(x, 0.995), 4) AS high, round(quant
 def ref_display_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the samples for a display window."""
     voxels = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("img"), F.array("l_extendedprice").alias("ts"))
-    high, middle = (compare.window(voxels, q) for q in (0.995, 0.5))
-    return high.join(middle.withColumnRenamed("level", "middle"), "img").select("img", F.round("level", 4).alias("high"), F.round("middle", 4).alias("middle"))
+    level = lambda q: F.round(F.max(F.when(F.col("share") == q, F.col("level"))), 4)
+    return quantiles(voxels, [0.995, 0.5]).groupBy("img").agg(level(0.995).alias("high"), level(0.5).alias("middle"))
 
 
 @query("""
