@@ -102,8 +102,8 @@ def _links(texts: DataFrame, members: DataFrame, width: int, similarity: float,
         for b in batches:
             rows, held = [], 0
             for node, t, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = shingles(t or b"", width)
-                fp, packed = int(np.uint64(simhash_of(found)).view(np.int64)), np.unique(found).tobytes()
+                found = np.unique(shingles(t or b"", width))  # each shingle once, as similarity is of sets
+                fp, packed = int(np.uint64(simhash_of(found)).view(np.int64)), found.tobytes()
                 for p in places:
                     rows.append((p["key"], p["part"], p["label"], node, fp, packed))
                     held += len(packed)

@@ -47,3 +47,16 @@ def test_stage_finds_what_brute_force_finds(spark, limit):
     if limit > 2:
         kept = corpus_pipeline.drop_near_copies(spark, docs, "").toPandas().doc_id
         assert sorted(kept) == sorted(set(want))
+
+
+def test_repeated_shingles_do_not_hide_a_copy(spark):
+    """A line repeated a hundred times changes a text's shingle set little."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(12):
+        base = " ".join(f"w{g}x{k}" for k in range(60))
+        texts += [base, f"{base} {'ha ' * 100}", f"{base}\n" + f"menu item {g} of many\n" * int(rng.integers(1, 60)), f"{base} " + " ".join(f"tail{g}x{k}" for k in range(int(rng.integers(5, 40))))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = similar.similar_documents(docs).toPandas().set_index("doc_id").component_id
+    want = classes(texts)
+    assert rows[range(len(texts))].tolist() == want and all(want[k] == want[k + 1] for k in range(0, len(texts), 4))
