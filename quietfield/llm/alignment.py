@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, with_groups
 from .exact_dedup import _settings
 from .token_counts import byte_letters
 
@@ -32,7 +32,13 @@ PAGE_SEGMENTS, SLICE = 500_000, 256
 #: Both tokenizers end a token before a space that follows no space and stands before a non-space. Texts where every space is such a one need no search.
 _JOINT, _ODD = re.compile(r"(?<! )(?= \S)"), re.compile(r" (?:\s|\Z)")
 #: Rows of one page lie in one partition, so keys that hold the page need no exchange; sorted input needs no hash table.
-PLAN = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+#: What a job has shuffled goes with it, and tables between jobs are packed harder.
+PLAN = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd",
+}
+#: A token travels as its id and, from this bit on, the number of its bytes.
+SIZE_BIT = 20
 
 
 class Pair:
@@ -56,6 +62,9 @@ class Pair:
         self.size_a = np.zeros(max(self.bytes_a) + 1, np.int32)
         self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
         self.size_b = np.array(list(map(len, self.bytes_b)), np.int32)
+        if max(len(self.size_a), len(self.size_b)) > 1 << SIZE_BIT or max(self.size_a.max(), self.size_b.max()) >= 1 << 31 - SIZE_BIT:
+            raise ValueError("a vocabulary is too large, or has too long entries")
+        self.token_a, self.token_b = (np.arange(len(x), dtype=np.int32) | (x << SIZE_BIT) for x in (self.size_a, self.size_b))
 
     def encode(self, segments: list[str]) -> tuple[Ragged, Ragged, np.ndarray]:
         """Ids by A and by B of segments, given without the space that they begin with, and whether both sides' bytes are the segment's."""
@@ -92,14 +101,11 @@ class Ragged:
         flat = self.flat.tolist()
         return [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
-    def column(self, kept: np.ndarray | None = None, values: np.ndarray | None = None, after: int = 0) -> pa.Array:
-        """The lists marked in kept, their numbers looked up in values, and so many null rows."""
-        flat, sizes = self.flat if values is None else values[self.flat], self.sizes
-        if kept is not None:
-            flat, sizes = flat[np.repeat(kept, sizes)], sizes[kept]
-        ends = np.r_[0, np.cumsum(sizes), np.full(after, sizes.sum())].astype(np.int32)
-        null = np.r_[np.zeros(len(sizes), bool), np.ones(after, bool)]
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(null))
+    def column(self, null: np.ndarray | None = None, values: np.ndarray | None = None, after: int = 0) -> pa.Array:
+        """The lists, null where marked, their numbers looked up in values, and so many null rows."""
+        ends = np.r_[0, np.cumsum(self.sizes), np.full(after, self.sizes.sum())].astype(np.int32)
+        null = np.r_[np.zeros(len(self.sizes), bool) if null is None else null, np.ones(after, bool)]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.flat if values is None else values[self.flat]), mask=pa.array(null))
 
 
 class Numbers(dict):
@@ -150,33 +156,32 @@ def pages(docs: DataFrame, page_segments: int = PAGE_SEGMENTS, id_col: str = "do
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PAGES)
 
 
-ENCODED = "id long, word string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
+UNITS = "unit long, places array<struct<page: bigint, segment: int>>, a array<int>, b array<int>"
 
 
-def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The words (unique) that both tokenizers give back byte for byte, with a number, their ids and the bytes of these."""
+def encoded(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """For each of the words (unique; with places) a number and the tokens of both sides, null if a tokenizer does not give it back byte for byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = pair(path_a, path_b), TaskContext.get().partitionId() << 33
         for batch in batches:
             a, b, same = own.encode(batch.column(0).to_pylist())
-            n = int(same.sum())
-            sides = [x.column(same, values) for x, size in ((a, own.size_a), (b, own.size_b)) for values in (None, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), batch.column(0).filter(pa.array(same)), *sides], names=["id", "word", "a", "a_bytes", "b", "b_bytes"])
-            at += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(batch))), batch.column(1), a.column(~same, own.token_a), b.column(~same, own.token_b)], names=["unit", "places", "a", "b"])
+            at += len(batch)
 
-    return segments.select("word").mapInArrow(run, ENCODED)
+    return words.select("word", "places").mapInArrow(run, UNITS)
 
 
 def groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and group: its number `grp` from 0, and the ids `a` and `b` of both sides, in order.
 
-    rows: unique keys with a, a_bytes, b, b_bytes, whose bytes sum to the same on both sides. Rows without tokens have no group."""
+    rows: unique keys with tokens a and b (see SIZE_BIT) whose bytes sum to the same on both sides. Rows without tokens have no group."""
     in_order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
     def ends(side: str) -> DataFrame:
-        each = rows.select(*keys, F.posexplode(F.arrays_zip(F.col(side).alias("token_id"), F.col(f"{side}_bytes").alias("size"))).alias("pos", "token"))
-        return each.select(*keys, "pos", "token.token_id", F.sum("token.size").over(in_order).alias("end"))
+        each = rows.select(*keys, F.posexplode(side).alias("pos", "token"))
+        token_id = F.col("token").bitwiseAND(F.lit((1 << SIZE_BIT) - 1))
+        return each.select(*keys, "pos", token_id.alias("token_id"), F.sum(F.shiftright("token", SIZE_BIT)).over(in_order).alias("end"))
 
     def grouped(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
         both = own.join(other.select(*keys, "end", F.lit(1).alias("cut")), [*keys, "end"], "left")
@@ -214,7 +219,7 @@ def chained(documents: DataFrame, segments: DataFrame, column: str) -> DataFrame
 def pair_counts(documents: DataFrame, segments: DataFrame) -> DataFrame:
     """Per page and pair of ids: how many of the page's documents hold it linked."""
     own = chained(documents, segments, "links")
-    links = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["segments"]), lambda k: F.col("of")[k]))))
+    links = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["segments"]), lambda k: F.get(F.col("of"), k)))))
     return own.select("page", F.explode(links).alias("links")).select("page", F.explode("links").alias("link")).groupBy("link", "page").agg(F.count("*").alias("docs"))
 
 
@@ -224,32 +229,29 @@ def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_S
     A encodes a space and the text, B the text, to which it adds a space itself. Null and empty texts, and texts that a tokenizer
     does not give back byte for byte, have no tokens: zeros and ''. Repeated rows count as documents each, null ids stay, an
     empty table gives none. Long texts are chains of segments; a text without a space is one segment, whose rows lie in one task."""
-    spark, at = docs.sparkSession, ["segment", "page"]
-    table = cut(pages(docs, page_segments, id_col, text_col))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * table.select("page").distinct().count())
-    of_page = lambda df: df.repartition(n, "page")
-    documents = of_page(table.where("segment is null").select("page", "key", "doc_id", "segments"))
-    places = table.where("segment is not null").select("page", "segment", "word")
+    spark, at, numbers = docs.sparkSession, ["segment", "page"], ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     with _settings(spark, PLAN):
-        unique = cut(encoded(places.select("word").distinct(), path_a, path_b))
-        each = cut(aligned(unique.repartition(n, "id"), ["id"]).join(unique.select("id", "word").repartition(n, "id"), "id").drop("id"))
-        segments = cut(places.join(each, "word", "left").drop("word"))  # null where the segment is not given back
-        counts = cut(pair_counts(documents, of_page(segments.select(*at, "links"))))
-        total = cut(counts.groupBy("link").agg(F.sum("docs").alias("docs")))
-        best = total.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("docs").alias("most"))
-        known = total.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))
-        back = of_page(counts.select("page", "link").join(known, "link"))  # a row for each pair that a page has
-        facts = of_page(segments.drop("groups"))
-        linked = facts.select(*at, F.explode("links").alias("link")).join(back.hint("shuffle_hash"), ["link", "page"])
-        worth = linked.groupBy(*at).agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
-        numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+        table = cut(pages(docs, page_segments, id_col, text_col))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * table.select("page").distinct().count())
+        of_page = lambda df: df.repartition(n, "page")
+        documents = of_page(table.where("segment is null").select("page", "key", "doc_id", "segments"))
+        words = table.where("segment is not null").groupBy("word").agg(F.collect_list(F.struct("page", "segment")).alias("places"))
+        units = cut(encoded(words, path_a, path_b))
+        each = cut(aligned(units.select("unit", "a", "b").repartition(n, "unit"), ["unit"]))
+        placed = lambda facts: of_page(units.select("unit", F.inline("places")).join(facts, "unit", "left").drop("unit"))
+        counts = cut(pair_counts(documents, placed(each.select("unit", "links"))).groupBy("link").agg(F.sum("docs").alias("docs")))
+        best = counts.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("docs").alias("most"))
+        known = counts.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))
+        linked = with_groups(each.select("unit", F.explode("links").alias("link")), known, "link", ["unit"])
+        worth = linked.groupBy("unit").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
+        facts = placed(cut(each.drop("links").join(worth, "unit")))
         uses = documents.select("page", "key", F.explode("segments").alias("segment"))
-        sums = uses.join(facts.drop("links").join(worth, at).hint("shuffle_hash"), at).groupBy("key", "page").agg(*(F.sum(c).alias(c) for c in numbers))
-        text = lambda d: F.transform(d["segments"], lambda k: F.col("of")[k])
+        sums = uses.join(facts.select(*at, *numbers).hint("shuffle_hash"), at).groupBy("key", "page").agg(*(F.sum(c).alias(c) for c in numbers))
         digest = lambda t: F.when((F.size(t) > 0) & ~F.exists(t, lambda x: x.isNull()), F.sha2(F.array_join(t, ";"), 256)).otherwise("")
-        own = chained(documents, of_page(segments.select(*at, "groups")), "groups")
-        each = F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["doc_id"].alias("doc_id"), let(text(d), digest).alias("groups_sha256")))
-        out = own.select("page", F.inline(each)).join(sums, ["key", "page"], "left")
+        own = chained(documents, facts.select(*at, "groups"), "groups")
+        text = lambda d: F.transform(d["segments"], lambda k: F.get(F.col("of"), k))
+        result = F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["doc_id"].alias("doc_id"), let(text(d), digest).alias("groups_sha256")))
+        out = own.select("page", F.inline(result)).join(sums, ["key", "page"], "left")
         given = lambda c: F.when(F.col("groups_sha256") == "", 0).otherwise(F.col(c)).cast("long").alias(c)
         return cut(out.select(F.col("doc_id").alias(id_col), *map(given, numbers), "groups_sha256"))
 

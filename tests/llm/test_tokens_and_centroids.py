@@ -101,7 +101,8 @@ def test_alignment_of_documents(spark):
 
 
 def test_groups_of_whole_documents(spark):
-    rows = spark.createDataFrame([(1, [5, 6, 7], [2, 1, 1], [8, 9], [3, 1]), (2, [1], [4], [2, 3, 4], [1, 1, 2]), (3, [], [], [], [])], "k long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    tokens = lambda *x: [k | n << alignment.SIZE_BIT for k, n in x]
+    rows = spark.createDataFrame([(1, tokens((5, 2), (6, 1), (7, 1)), tokens((8, 3), (9, 1))), (2, tokens((1, 4)), tokens((2, 1), (3, 1), (4, 2))), (3, [], []), (4, None, None)], "k long, a array<int>, b array<int>")
     got = {r.k: (r.n_a, r.n_b, r.n_groups, r.groups, r.n_links) for r in alignment.aligned(rows, ["k"]).collect()}
     assert got == {1: (3, 2, 2, "5,6|8;7|9", 3), 2: (1, 3, 1, "1|2,3,4", 3)}
 
