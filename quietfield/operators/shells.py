@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,3 +56,8 @@ def shell_means(voxels: DataFrame, groups: list[int]) -> DataFrame:
         total = F.aggregate(F.array(*[F.col("ts")[t].cast("double") for t in own]), F.lit(0.0), lambda a, x: a + x)
         out.append((total / len(own)).cast("float"))
     return voxels.withColumn("means", F.array(*out) if out else F.array().cast("array<float>"))
+
+
+def volumes_from(bvals: Sequence[float], least: float) -> list[int]:
+    """Volumes whose b-value is at least `least`, in order: for a reader's `volumes`, or a filter on t."""
+    return [t for t, b in enumerate(bvals) if b >= least]

@@ -15,7 +15,7 @@ from quietfield.operators import rotate, shells
 from quietfield.operators.kernels import FILTERS
 from quietfield.operators.rotate import UNITS
 from quietfield.sources import nifti
-from quietfield.tables import cut, scratch_path
+from quietfield.tables import cut
 
 from .denoise import AGGREGATORS, SHAPES, DenoiseOptions, denoise, zero_share
 
@@ -67,10 +67,7 @@ def check_paths(images: list[str], outputs: list[str], two_file: bool = False, f
 
 def spooled(spark: SparkSession, stream) -> str:
     """An image from a stream, as a file in the shared folder, for standard input has no slabs to seek."""
-    path = scratch_path(spark, "stdin").removeprefix("file://")
-    if "://" in path:
-        raise ValueError("standard input needs a shared folder in a file system that is mounted")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = nifti.local_scratch(spark, "stdin")
     first = stream.read(2)
     path += ".nii.gz" if first == b"\x1f\x8b" else ".nii"
     with open(path, "wb") as f:

@@ -19,7 +19,6 @@ from quietfield.functions.geometry import Geometry
 from quietfield.operators import compare, kernels, lattice, patches, rotate, shells, unring
 from quietfield.operators.select import quantiles
 from quietfield.sources import nifti
-from quietfield.tables import scratch_path
 
 from .denoise import DenoiseOptions, denoise, filled
 
@@ -478,14 +477,49 @@ SELECT vec_id AS v, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transf
 def ref_nifti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings written as a NIfTI image to the shared folder and read back, slab by slab."""
     voxels, dims = embedding_voxels(spark, sf_dir)
-    path = scratch_path(spark, "image").removeprefix("file://") + ".nii"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = nifti.local_scratch(spark, "image") + ".nii"
     nifti.write_nifti(_full_slices(voxels, dims), path, nifti.Header([*dims, 64], [1.0] * 8))
     total = F.aggregate("ts", F.lit(0.0), lambda a, x: a + x)
     out = nifti.read_nifti(spark, path).join(voxels.select("v"), "v", "left_semi")  # slices that are not full have been filled with zeros
     return out.select("v", F.size("ts").alias("n"), (F.round(total, 4) + 0.0).alias("total"), (F.round(F.col("ts")[63].cast("double"), 6) + 0.0).alias("last"))
 
 
+@query("""
+WITH s AS (SELECT CAST(vec_id // 100 AS INT) AS z, CAST(t AS INT) AS t, vec_id % 100 AS p, CAST(embedding[t + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS t))
+SELECT z, t, round(sum(x), 4) + 0.0 AS total, round(sum(p * x), 3) + 0.0 AS moment FROM s WHERE 50 * t >= 1000 AND z >= 1 GROUP BY z, t
+""")
+def ref_volume_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of volumes of high b-value from the second slice on, of a packed image: the reader seeks only these."""
+    voxels, dims = embedding_voxels(spark, sf_dir)
+    path = nifti.local_scratch(spark, "image") + ".nii.gz"
+    nifti.write_nifti(_full_slices(voxels, dims), path, nifti.Header([*dims, 64], [1.0] * 8))
+    planes = nifti.read_nifti(spark, path, "planes").where(F.col("t").isin(shells.volumes_from([50.0 * t for t in range(64)], 1000)) & (F.col("z") >= 1))
+    sums = F.aggregate("px", F.lit(0.0), lambda a, x: a + x), F.aggregate(F.transform("px", lambda x, k: k * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return planes.select("z", "t", (F.round(sums[0], 4) + 0.0).alias("total"), (F.round(sums[1], 3) + 0.0).alias("moment"))
+
+
+@query("""
+WITH d AS (SELECT CAST(max(vec_id) // 100 + 1 AS INT) AS nz FROM embeddings), s AS (SELECT vec_id, unnest(range(64)) AS t, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+k AS (SELECT 'first/a' AS img, vec_id, x FROM s WHERE t < 8 UNION ALL SELECT 'first/b', vec_id, trunc(1000 * x) FROM s WHERE t >= 8 AND t < 20 UNION ALL SELECT 'second/a', vec_id, x FROM s WHERE t >= 20)
+SELECT img, 10 AS nx, 10 AS ny, nz, CAST(count(*) // (SELECT count(*) FROM embeddings) AS INT) AS nvol, any_value(CASE img WHEN 'first/a' THEN 16 WHEN 'first/b' THEN 8 ELSE 64 END) AS datatype,
+    round(sum(x), 3) + 0.0 AS total, round(sum(vec_id * x), 1) + 0.0 AS moment FROM k, d GROUP BY img, nz
+""")
+def ref_image_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three images of other sample types and sizes, one of them packed, written below one folder: all read at once, with their headers as a table."""
+    voxels, dims = embedding_voxels(spark, sf_dir)
+    top, full = nifti.local_scratch(spark, "images"), _full_slices(voxels, dims)
+    parts = {"first/a.nii": (0, 8, 16), "first/b.nii.gz": (8, 12, 8), "second/a.nii": (20, 44, 64)}
+    for name, (first, n, kind) in parts.items():
+        os.makedirs(os.path.dirname(f"{top}/{name}"), exist_ok=True)
+        ts = F.slice("ts", first + 1, n)
+        nifti.write_nifti(full.withColumn("ts", F.transform(ts, lambda x: 1000 * x) if kind == 8 else ts), f"{top}/{name}", nifti.Header([*dims, n], [1.0] * 8), kind)
+    where = [f"{top}/first", f"{top}/second"]
+    rows = nifti.read_nifti(spark, where).join(voxels.select("v"), "v", "left_semi")
+    own = F.aggregate(F.transform("ts", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    sums = rows.groupBy("img").agg((F.round(F.sum(own), 3) + 0.0).alias("total"), (F.round(F.sum(F.col("v") * own), 1) + 0.0).alias("moment"))
+    return nifti.read_headers(spark, where).select("img", "nx", "ny", "nz", "nvol", "datatype").join(sums, "img")
+
+
 @query()
 def ref_unring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ringing removed from every slice of the embeddings."""

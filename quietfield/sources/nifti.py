@@ -1,26 +1,34 @@
 """NIfTI-1, NIfTI-2 and ANALYZE images as a Spark data source.
 
-`spark.read.format("nifti").load(path)` gives voxels (img, v, x, y, z, ts), or planes (img, z, t, px) with
-option layout=planes. Uncompressed images are cut into slabs of slices that tasks read by seeking to the
-slab in each volume, so no shuffle is needed for either layout. A .gz image is one stream: one task unpacks it plane
-by plane, and read_nifti builds voxels from planes by a shuffle. Writing places each slab at its offsets in a file of
-full size that the commit moves into place; for .gz, tasks then pack runs of it as gzip members, which are put together."""
+`read_nifti(spark, path)` gives voxels (img, v, x, y, z, ts) or planes (img, z, t, px) of an image, of several, of all in a
+folder or of a pattern; `read_headers` gives their headers, a row each. Images are cut into slabs of slices that tasks read by
+seeking to the slab in each volume, so no shuffle is needed for either layout. Filters on img, z and, for planes, t reach the
+reader: it opens, seeks and reads only what they leave. A .gz image is unpacked first into the shared folder: all at once by
+tasks where its gzip members state their sizes (this writer's and block gzip files), else by one task as a stream.
+Writing places each slab at its offsets in a file of full size that the commit moves into place; for .gz, tasks then pack
+runs of it as gzip members, which are put together."""
 
 from __future__ import annotations
 
+import glob
 import gzip
+import json
 import math
 import os
 import shutil
 import struct
 import sys
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+
+from quietfield.tables import scratch_path
 
 #: Codes of the format (fixed values): sample types that are read, and units of length in mm.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -247,10 +255,47 @@ def scaled(raw: np.ndarray, head: Header) -> np.ndarray:
     return (head.slope * raw.astype(np.float64) + head.inter).astype(np.float32)
 
 
+#: Headers that the driver reads to cut images into slabs; of more images, tasks read whole ones. Samples of a slab, in bytes.
+PLANNED, SLAB_BYTES = 1000, 16 << 20
+
+
+def image_paths(path: str | Sequence[str]) -> list[str]:
+    """Images of a path, of a list of paths, of a pattern, or of a folder (those in it, a pair once), in order."""
+    if not isinstance(path, str):
+        return [p for one in path for p in image_paths(one)]
+    path = path.removeprefix("file://")
+    if os.path.isdir(path):
+        found = sorted(os.path.join(path, n) for n in os.listdir(path) if split_extension(n)[1] and not n.startswith("."))
+    elif glob.has_magic(path) and not os.path.exists(path):
+        found = sorted(p for p in glob.glob(path) if split_extension(p)[1])
+    else:
+        return [path]
+    data = {split_extension(p)[0] for p in found if split_extension(p)[1].lower().startswith(".hdr")}
+    return [p for p in found if not (split_extension(p)[1].lower().startswith(".img") and split_extension(p)[0] in data)]
+
+
+def image_names(paths: Sequence[str], one: str = "img") -> list[str]:
+    """`one` for a single image; else the paths without what all folders share and without extensions, in full where that is not unique."""
+    if len(paths) == 1:
+        return [one]
+    top = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in paths]) if paths else ""
+    names = [split_extension(os.path.relpath(os.path.abspath(p), top))[0] for p in paths]
+    return names if len(set(names)) == len(names) else [os.path.relpath(os.path.abspath(p), top) for p in paths]
+
+
 @dataclass
 class Slab(InputPartition):
-    first: int
-    end: int
+    """Slices first to end of one image; end is None where the task finds out."""
+
+    img: str
+    path: str
+    first: int = 0
+    end: int | None = None
+
+
+@dataclass
+class Images(InputPartition):
+    named: list[tuple[str, str]]
 
 
 class Nifti(DataSource):
@@ -264,57 +309,115 @@ class Nifti(DataSource):
         return "img string, v long, x int, y int, z int, ts array<float>"
 
     def reader(self, schema):
-        return NiftiReader(self.options["path"], self.options.get("layout", "voxels"), self.options.get("img", "img"))
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else image_paths(self.options["path"])
+        return NiftiReader(paths, self.options.get("layout", "voxels"), self.options.get("img", "img"), json.loads(self.options.get("volumes", "null")), json.loads(self.options.get("unpacked", "{}")))
 
     def writer(self, schema, overwrite):
         return NiftiWriter(self.options)
 
 
+@lru_cache(maxsize=64)
+def _header_once(path: str, changed: int) -> tuple[Header, str]:
+    return read_header(path)
+
+
+def _known_header(path: str) -> tuple[Header, str]:
+    """read_header, once for each state of the file and process."""
+    return _header_once(path, os.stat(input_names(path)[0]).st_mtime_ns)
+
+
 class NiftiReader(DataSourceReader):
-    def __init__(self, path: str, layout: str, img: str):
-        self.path, self.layout, self.img = path.removeprefix("file://"), layout, img
-        self.head, self.data = read_header(self.path)
+    """volumes: those to read of each image, in order (voxels' series hold only these). unpacked: where a .gz image's bytes lie unpacked."""
+
+    def __init__(self, paths: list[str], layout: str = "voxels", img: str = "img", volumes: list[int] | None = None, unpacked: dict[str, str] | None = None):
+        self.paths, self.layout, self.volumes, self.unpacked = paths, layout, volumes, unpacked or {}
+        self.names = image_names(paths, img)
+        self.wanted: list[tuple[str, str, object]] = []  # (column, operator, value) of the filters that the reader applies
+        self.bytes_read = 0
+
+    def pushFilters(self, filters: list[Filter]):
+        """Takes comparisons of img, z and, for planes, t with values; leaves the others to Spark."""
+        kinds = {EqualTo: "==", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        columns = {("img",), ("z",)} | ({("t",)} if self.layout == "planes" else set())
+        for f in filters:
+            if isinstance(f, IsNotNull) and f.attribute in columns:
+                continue  # they never are
+            if type(f) in kinds and f.attribute in columns and f.value is not None:
+                self.wanted.append((f.attribute[0], kinds[type(f)], f.value))
+            else:
+                yield f
+
+    def _takes(self, column: str, value) -> bool:
+        tests = {"==": lambda a, b: a == b, "in": lambda a, b: a in b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+        return all(tests[op](value, v) for c, op, v in self.wanted if c == column)
 
     def partitions(self):
-        nx, ny, nz, nt = self.head.shape
-        each = 1 << 62 if is_gz(self.data) else max(1, (16 << 20) // (nx * ny * nt * 4))
-        return [Slab(a, min(nz, a + each)) for a in range(0, nz, each)]
+        named = [(n, p) for n, p in zip(self.names, self.paths, strict=True) if self._takes("img", n)]
+        if len(named) > PLANNED:
+            each = max(1, len(named) // 4096)
+            return [Images(named[k : k + each]) for k in range(0, len(named), each)]
+        return [slab for n, p in named for slab in self._slabs(n, p)] or [Images([])]
+
+    def _slabs(self, name: str, path: str) -> list[Slab]:
+        head, data = _known_header(path)
+        nx, ny, nz, nt = head.shape
+        z = [k for k in range(nz) if self._takes("z", k)]
+        if not z:
+            return []
+        each = 1 << 62 if is_gz(self.unpacked.get(path, data)) else max(1, SLAB_BYTES // (nx * ny * nt * 4))
+        return [Slab(name, path, a, min(z[-1] + 1, a + each)) for a in range(z[0], z[-1] + 1, each)]
 
     def read(self, partition):
         if partition is None:
             return
+        for slab in [s for n, p in partition.named for s in self._slabs(n, p)] if isinstance(partition, Images) else [partition]:
+            yield from self._slab(slab)
+
+    def _slab(self, slab: Slab) -> Iterator[pa.RecordBatch]:
+        self.img = slab.img
+        self.head, self.data = _known_header(slab.path)
+        self.data = self.unpacked.get(slab.path, self.data)
         nx, ny, nz, nt = self.head.shape
-        a, b = partition.first, partition.end
-        size, n = self.head.dtype.itemsize, nx * ny
+        volumes = range(nt) if self.volumes is None else self.volumes
+        if bad := [t for t in volumes if not 0 <= t < nt]:
+            raise ValueError(f"{slab.path} has {nt} volumes, not a volume {bad[0]}")
+        volumes = [t for t in volumes if self.layout != "planes" or self._takes("t", t)]
         with opened(self.data) as f:
             if is_gz(self.data) and self.layout == "planes":
-                yield from self._stream(f)
+                yield from self._stream(f, set(volumes))
                 return
-            if is_gz(self.data) and 4 * n * nz * nt > GZ_BYTES:
+            if is_gz(self.data) and 4 * nx * ny * nz * nt > GZ_BYTES:
                 raise ValueError(f"{self.data} is too large for the voxels of a .gz image in one task; use read_nifti or unpack it")
-            for z, block in self._slices(f, a, b, n, size, nz, nt):
-                yield self._planes(z, block) if self.layout == "planes" else self._voxels(z, block, nx)
-
-    def _stream(self, f) -> Iterator[pa.RecordBatch]:
+            for z, block in self._slices(f, slab.first, slab.end, volumes):
+                if self._takes("z", z) and len(volumes):
+                    yield self._planes(z, block, volumes) if self.layout == "planes" else self._voxels(z, block, nx)
+
+    def _raw(self, f, size: int) -> bytes:
+        raw = f.read(size)
+        self.bytes_read += len(raw)
+        if len(raw) < size:
+            raise ValueError(f"{self.data} is shorter than its header says")
+        return raw
+
+    def _stream(self, f, volumes: set[int]) -> Iterator[pa.RecordBatch]:
         """One plane after the other, in the order of the file."""
-        nx, ny, nz, nt = self.head.shape
+        nx, ny, nz, _ = self.head.shape
         f.seek(self.head.offset)
-        for t in range(nt):
+        for t in range(max(volumes, default=-1) + 1):
             for z in range(nz):
-                raw = f.read(nx * ny * self.head.dtype.itemsize)
-                if len(raw) < nx * ny * self.head.dtype.itemsize:
-                    raise ValueError(f"{self.data} is shorter than its header says")
+                raw = self._raw(f, nx * ny * self.head.dtype.itemsize)
+                if t not in volumes or not self._takes("z", z):
+                    continue
                 px = pa.array(scaled(np.frombuffer(raw, self.head.dtype), self.head))
                 yield pa.RecordBatch.from_arrays([pa.array([self.img], pa.string()), pa.array([z], pa.int32()), pa.array([t], pa.int32()), pa.ListArray.from_arrays(pa.array([0, nx * ny], pa.int32()), px)], names=["img", "z", "t", "px"])
 
-    def _slices(self, f, a, b, n, size, nz, nt):
-        out = np.empty((b - a, nt, n), np.float32)
-        for t in range(nt):
+    def _slices(self, f, a: int, b: int, volumes: Sequence[int]):
+        nx, ny, nz, _ = self.head.shape
+        n, size = nx * ny, self.head.dtype.itemsize
+        out = np.empty((b - a, len(volumes), n), np.float32)
+        for k, t in enumerate(volumes):
             f.seek(self.head.offset + (t * nz + a) * n * size)
-            raw = f.read((b - a) * n * size)
-            if len(raw) < (b - a) * n * size:
-                raise ValueError(f"{self.data} is shorter than its header says")
-            out[:, t] = scaled(np.frombuffer(raw, self.head.dtype), self.head).reshape(b - a, n)
+            out[:, k] = scaled(np.frombuffer(self._raw(f, (b - a) * n * size), self.head.dtype), self.head).reshape(b - a, n)
         for k in range(b - a):
             yield a + k, out[k]
 
@@ -325,10 +428,10 @@ class NiftiReader(DataSourceReader):
         cols = [pa.array([self.img] * n, pa.string()), pa.array(p + z * n), pa.array((p % nx).astype(np.int32)), pa.array((p // nx).astype(np.int32)), pa.array(np.full(n, z, np.int32)), ts]
         return pa.RecordBatch.from_arrays(cols, names=["img", "v", "x", "y", "z", "ts"])
 
-    def _planes(self, z: int, block: np.ndarray) -> pa.RecordBatch:
+    def _planes(self, z: int, block: np.ndarray, volumes: Sequence[int]) -> pa.RecordBatch:
         nt, n = block.shape
         px = pa.ListArray.from_arrays(pa.array(np.arange(nt + 1) * n, pa.int32()), pa.array(block.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array([self.img] * nt, pa.string()), pa.array(np.full(nt, z, np.int32)), pa.array(np.arange(nt, dtype=np.int32)), px], names=["img", "z", "t", "px"])
+        return pa.RecordBatch.from_arrays([pa.array([self.img] * nt, pa.string()), pa.array(np.full(nt, z, np.int32)), pa.array(np.array(volumes, np.int32)), px], names=["img", "z", "t", "px"])
 
 
 @dataclass
@@ -410,7 +513,7 @@ def write_nifti(voxels: DataFrame, path: str, like: Header, datatype: int = 16,
         with gzip.open(header, "wb") if is_gz(header) else open(header, "wb") as f:
             f.write(raw)
     spark = voxels.sparkSession
-    spark.dataSource.register(Nifti)
+    register(spark)
     out = voxels.select("v", series.alias("ts")).repartitionByRange("v").sortWithinPartitions("v")
     whole = f"{part}.whole" if is_gz(data) else data
     out.write.format("nifti").mode("append").options(part=part, header=raw.hex(), shape=f"{nx},{ny},{nz},{nt}", dtype=dtype.str, two_file=str(head.two_file).lower()).save(whole)
@@ -418,6 +521,93 @@ def write_nifti(voxels: DataFrame, path: str, like: Header, datatype: int = 16,
         packed(spark, whole, data)
 
 
+#: Subfield of a gzip header in which this writer states a member's sizes, packed and not; and that of block gzip files (its packed size less one).
+SIZES, BLOCK_SIZE = b"QF", b"BC"
+
+
+def sized_member(raw: bytes) -> bytes:
+    """raw as a gzip member that states its sizes in its header."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(raw) + pack.flush()
+    extra = SIZES + struct.pack("<HQQ", 16, 12 + 20 + len(body) + 8, len(raw))
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
+def members(path: str) -> list[tuple[int, int, int, int]] | None:
+    """(place, size, place unpacked, size unpacked) of each gzip member, from their headers alone; None where a member does not state its size."""
+    found, at, out, end = [], 0, 0, os.path.getsize(path)
+    with open(path, "rb") as f:
+        while at < end:
+            f.seek(at)
+            head = f.read(12)
+            if len(head) < 12 or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
+                return None
+            extra, sizes = f.read(struct.unpack_from("<H", head, 10)[0]), None
+            k = 0
+            while k + 4 <= len(extra):
+                name, n = extra[k : k + 2], struct.unpack_from("<H", extra, k + 2)[0]
+                if name == SIZES and n == 16:
+                    sizes = struct.unpack_from("<QQ", extra, k + 4)
+                elif name == BLOCK_SIZE and n == 2:
+                    size = struct.unpack_from("<H", extra, k + 4)[0] + 1
+                    f.seek(at + size - 4)
+                    sizes = (size, struct.unpack("<I", f.read(4))[0])
+                k += 4 + n
+            if sizes is None or at + sizes[0] > end:
+                return None
+            found.append((at, sizes[0], out, sizes[1]))
+            at, out = at + sizes[0], out + sizes[1]
+    return found
+
+
+def local_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which must lie in a file system that is mounted."""
+    path = scratch_path(spark, name).removeprefix("file://")
+    if "://" in path:
+        raise ValueError("image files need a shared folder (spark.checkpoint.dir) in a file system that is mounted")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+def unpacked(spark: SparkSession, paths: Sequence[str], run_bytes: int = 16 << 20) -> dict[str, str]:
+    """Where the bytes of each .gz file lie unpacked in the shared folder. Members that state their sizes are unpacked by many tasks,
+    each at its place; a file without such sizes by one. A task that is run again writes the same bytes at the same place."""
+    rows, out = [], {}
+    for path in paths:
+        out[path] = local_scratch(spark, "unpacked")
+        stated = members(path)
+        with open(out[path], "wb") as f:
+            f.truncate(sum(m[3] for m in stated or []))
+        if stated is None:
+            rows.append((path, out[path], -1, 0, 0))
+            continue
+        first = 0
+        for k, m in enumerate(stated):  # runs of members of about run_bytes
+            if k + 1 == len(stated) or m[2] + m[3] - stated[first][2] >= run_bytes:
+                rows.append((path, out[path], stated[first][0], m[0] + m[1] - stated[first][0], stated[first][2]))
+                first = k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, target, at, size, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at < 0:
+                    new = f"{target}.{os.getpid()}"
+                    with gzip.open(path, "rb") as src, open(new, "wb") as dst:
+                        shutil.copyfileobj(src, dst, 1 << 20)
+                    os.replace(new, target)
+                    continue
+                with open(path, "rb") as src, open(target, "r+b") as dst:
+                    src.seek(at)
+                    dst.seek(place)
+                    dst.write(gzip.decompress(src.read(size)))
+            yield b
+
+    if rows:
+        todo = spark.createDataFrame(rows, "path string, target string, at long, size long, place long")
+        todo.repartition(min(len(rows), 1000)).mapInArrow(run, todo.schema).write.format("noop").mode("overwrite").save()
+    return out
+
+
 def packed(spark: SparkSession, whole: str, path: str, run_bytes: int = 16 << 20) -> None:
     """path as the gzip file of `whole`, which is removed: tasks pack runs of bytes as members beside it, and these are joined in order."""
     size = os.path.getsize(whole)
@@ -428,7 +618,7 @@ def packed(spark: SparkSession, whole: str, path: str, run_bytes: int = 16 << 20
             for k in b.column(0).to_pylist():
                 with open(whole, "rb") as src:
                     src.seek(k * run_bytes)
-                    member = gzip.compress(src.read(run_bytes), 6, mtime=0)
+                    member = sized_member(src.read(run_bytes))
                 with open(f"{whole}.{k}.new", "wb") as out:
                     out.write(member)
                 os.replace(f"{whole}.{k}.new", f"{whole}.{k}")
@@ -444,17 +634,68 @@ def packed(spark: SparkSession, whole: str, path: str, run_bytes: int = 16 << 20
     os.replace(f"{whole}.gz", path)
 
 
-def read_nifti(spark: SparkSession, path: str, layout: str = "voxels", img: str = "img") -> DataFrame:
-    """Voxels or planes of an image. Voxels of a .gz image are built from its planes by a shuffle."""
-    from quietfield.operators.lattice import from_planes
-
+def register(spark: SparkSession) -> None:
     spark.dataSource.register(Nifti)
-    load = lambda kind: spark.read.format("nifti").option("layout", kind).option("img", img).load(path)
-    head, data = read_header(path.removeprefix("file://"))
-    if layout == "voxels" and is_gz(data):
-        nx, ny, _, nt = head.shape
-        return from_planes(load("planes"), nx, ny, nt)
-    return load(layout)
+    spark.dataSource.register(NiftiHeaders)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_nifti(spark: SparkSession, path: str | Sequence[str], layout: str = "voxels", img: str = "img", volumes: Sequence[int] | None = None) -> DataFrame:
+    """Voxels or planes of an image, of a list, of a pattern or of a folder of images, which may differ in size and sample type.
+
+    img names a single image; of several, each is named by its path without what all share. volumes: those to read of each
+    image; voxels' series hold only these, in that order. An empty folder gives no rows."""
+    paths = image_paths(path)
+    data = {p: input_names(p)[1] for p in paths}
+    gz = sorted({d for d in data.values() if is_gz(d)})
+    raw = unpacked(spark, gz) if gz else {}
+    register(spark)
+    options = {"paths": json.dumps(paths), "layout": layout, "img": img, "unpacked": json.dumps({p: raw[d] for p, d in data.items() if d in raw})}
+    if volumes is not None:
+        options["volumes"] = json.dumps([int(t) for t in volumes])
+    return spark.read.format("nifti").options(**options).load()
+
+
+HEADERS = (
+    "img string, path string, nx int, ny int, nz int, nvol int, dx double, dy double, dz double, affine array<double>, xform_code int, xyz_units int, datatype int, "
+    "slope double, inter double, nifti_version int, two_file boolean, ext array<struct<code: int, data: binary>>, error string"
+)
+
+
+class NiftiHeaders(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "nifti_headers"
+
+    def schema(self) -> str:
+        return HEADERS
+
+    def reader(self, schema):
+        return HeaderReader(json.loads(self.options["paths"]), self.options.get("img", "img"))
+
+
+class HeaderReader(DataSourceReader):
+    def __init__(self, paths: list[str], img: str):
+        self.named = list(zip(image_names(paths, img), paths, strict=True))
+
+    def partitions(self):
+        each = max(1, -(-len(self.named) // 1024))
+        return [Images(self.named[k : k + each]) for k in range(0, len(self.named), each)] or [Images([])]
+
+    def read(self, partition):
+        for name, path in partition.named if partition else []:
+            try:
+                h, _ = read_header(path)
+            except (ValueError, OSError, struct.error) as e:
+                yield (name, path, *[None] * 16, str(e))
+                continue
+            yield (name, path, *h.shape, *h.pixdim[1:4], list(h.affine), h.xform_code, h.xyz_units, h.datatype, h.slope, h.inter, h.version, h.two_file, [(c, d) for c, d in h.extensions], None)
+
+
+def read_headers(spark: SparkSession, path: str | Sequence[str], img: str = "img") -> DataFrame:
+    """A row for each image of a path, list, pattern or folder with what its header says; of one that is no image, the error. Tasks read the headers."""
+    register(spark)
+    return spark.read.format("nifti_headers").options(paths=json.dumps(image_paths(path)), img=img).load()
 
 
 def grid_distance(a: Header, b: Header) -> float:
