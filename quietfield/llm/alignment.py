@@ -209,27 +209,45 @@ def aligned(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("n_links", F.size("links"))
 
 
-def chained(documents: DataFrame, segments: DataFrame, column: str) -> DataFrame:
-    """Slices of a page's documents (`docs`), each with the page's array of a column of its segments (`of`), in the order of their numbers."""
+def chained(documents: DataFrame, segments: DataFrame, columns: list[str]) -> DataFrame:
+    """Slices of a page's documents (`docs`), each with the page's array of what its segments have (`of`), in the order of their numbers."""
     slices = documents.groupBy("page", F.floor(F.col("key") / SLICE).alias("slice")).agg(F.collect_list(F.struct("key", "doc_id", "segments")).alias("docs"))
-    table = segments.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("segment", column)))[column].alias("of"))
+    table = segments.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("segment", *columns))), lambda r: F.struct(*(r[c].alias(c) for c in columns))).alias("of"))
     return slices.join(table.hint("shuffle_hash"), "page", "left")  # a page of empty documents has no segments
 
 
 def pair_counts(documents: DataFrame, segments: DataFrame) -> DataFrame:
     """Per page and pair of ids: how many of the page's documents hold it linked."""
-    own = chained(documents, segments, "links")
-    links = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["segments"]), lambda k: F.get(F.col("of"), k)))))
+    own = chained(documents, segments, ["links"])
+    links = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["segments"]), lambda k: F.get(F.col("of"), k)["links"]))))
     return own.select("page", F.explode(links).alias("links")).select("page", F.explode("links").alias("link")).groupBy("link", "page").agg(F.count("*").alias("docs"))
 
 
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def whole(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per document: the sums of its segments' numbers and the digest of their groups in order; zeros and '' for one without segments, or with one that is not given back."""
+
+    def summed(parts: Column) -> Column:
+        given = (F.size(parts) > 0) & ~F.exists(parts, lambda x: x["groups"].isNull())
+        total = lambda c: F.when(given, F.aggregate(F.transform(parts, lambda x: x[c].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")).alias(c)
+        digest = F.when(given, F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256)).otherwise("")
+        return F.struct(*map(total, NUMBERS), digest.alias("groups_sha256"))
+
+    own = chained(documents, segments, [*NUMBERS, "groups"])
+    parts = lambda d: F.transform(d["segments"], lambda k: F.get(F.col("of"), k))
+    each = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), let(parts(d), summed).alias("own")))
+    return own.select(F.inline(each)).select("doc_id", "own.*")
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A encodes a space and the text, B the text, to which it adds a space itself. Null and empty texts, and texts that a tokenizer
     does not give back byte for byte, have no tokens: zeros and ''. Repeated rows count as documents each, null ids stay, an
     empty table gives none. Long texts are chains of segments; a text without a space is one segment, whose rows lie in one task."""
-    spark, at, numbers = docs.sparkSession, ["segment", "page"], ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    spark = docs.sparkSession
     with _settings(spark, PLAN):
         table = cut(pages(docs, page_segments, id_col, text_col))
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * table.select("page").distinct().count())
@@ -244,16 +262,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_S
         known = counts.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))
         linked = with_groups(each.select("unit", F.explode("links").alias("link")), known, "link", ["unit"])
         worth = linked.groupBy("unit").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
-        facts = placed(cut(each.drop("links").join(worth, "unit")))
-        uses = documents.select("page", "key", F.explode("segments").alias("segment"))
-        sums = uses.join(facts.select(*at, *numbers).hint("shuffle_hash"), at).groupBy("key", "page").agg(*(F.sum(c).alias(c) for c in numbers))
-        digest = lambda t: F.when((F.size(t) > 0) & ~F.exists(t, lambda x: x.isNull()), F.sha2(F.array_join(t, ";"), 256)).otherwise("")
-        own = chained(documents, facts.select(*at, "groups"), "groups")
-        text = lambda d: F.transform(d["segments"], lambda k: F.get(F.col("of"), k))
-        result = F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["doc_id"].alias("doc_id"), let(text(d), digest).alias("groups_sha256")))
-        out = own.select("page", F.inline(result)).join(sums, ["key", "page"], "left")
-        given = lambda c: F.when(F.col("groups_sha256") == "", 0).otherwise(F.col(c)).cast("long").alias(c)
-        return cut(out.select(F.col("doc_id").alias(id_col), *map(given, numbers), "groups_sha256"))
+        facts = cut(each.drop("links").join(worth, "unit"))
+        return cut(whole(documents, placed(facts)).withColumnRenamed("doc_id", id_col))
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
