@@ -10,7 +10,9 @@ import numpy as np
 from quietfield.functions.geometry import Geometry
 from quietfield.functions.randommatrix import shrink_weight
 
-FILTERS = ("optshrink", "optthresh", "truncate")
+FILTERS = ("optshrink", "optthresh", "truncate", "mppca")
+#: Filters that find a patch's noise level themselves, so no noise map is made for them.
+OWN_LEVEL = ("optthresh", "mppca")
 
 
 @dataclass
@@ -44,6 +46,18 @@ def component_weights(s: np.ndarray, sigma: np.ndarray, rows: float, beta: float
     return weights
 
 
+def edge_estimate(squares: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(noise levels, numbers of noise components) of patches from their ascending eigenvalues (P, n), both found together.
+
+    The n smallest values are noise if they spread no wider than the law allows for their own mean; the largest such n is taken."""
+    values = np.maximum(squares, 0) / rows
+    n = np.arange(1, values.shape[1] + 1)
+    mean = np.cumsum(values, axis=1) / n
+    fits = values - values[:, :1] <= 4 * np.sqrt(n / rows) * mean
+    noise = values.shape[1] - np.argmax(fits[:, ::-1], axis=1)  # one value always fits
+    return np.sqrt(mean[np.arange(len(values)), noise - 1]), noise
+
+
 def decompose(y: np.ndarray, g: Geometry, filter: str, known_sigma: np.ndarray | None = None) -> Decomposition:
     """Spectrum of each patch of y (P, rows, N) through its N by N Gram matrix, and what to keep of it.
 
@@ -53,6 +67,10 @@ def decompose(y: np.ndarray, g: Geometry, filter: str, known_sigma: np.ndarray |
     s = singular_values(values)
     median = np.median(s[:, g.ngroups :], axis=1)
     sigma = median * g.sigma_scale
+    if filter == "mppca":
+        sigma, noise = edge_estimate(values[:, g.ngroups :], g.rows)
+        weights = ((np.arange(n) >= (g.ngroups + noise)[:, None]) & (s > 0)).astype(float)
+        return Decomposition(vectors, weights, sigma, (weights > 0).sum(axis=1))
     if filter == "optthresh":
         weights = ((s > 0) & (s >= (g.omega * median)[:, None])).astype(float)
     else:

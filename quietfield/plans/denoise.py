@@ -8,13 +8,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quietfield.functions.geometry import Geometry, auto_extent, sane_spacing, sigma_extent, sphere_cap
 from quietfield.functions.stabilise import stabiliser
 from quietfield.operators import lattice, patches, rotate, shells, unring
-from quietfield.operators.kernels import FILTERS, low_rank
+from quietfield.operators.kernels import FILTERS, OWN_LEVEL, low_rank
 from quietfield.operators.select import quantiles
 from quietfield.tables import cut
 
@@ -118,6 +119,23 @@ def _mapped(voxels: DataFrame, f, sigma: str) -> DataFrame:
     return voxels.mapInArrow(run, voxels.schema)
 
 
+def series_facts(voxels: DataFrame) -> Row:
+    """(n, least, low, odd) of all series: most and fewest volumes, smallest sample, whether any sample is not finite. A row a task is summed up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for b in batches:
+            if b.num_rows:
+                sizes, x = pc.list_value_length(b.column(0)).to_numpy(zero_copy_only=False), b.column(0).flatten().to_numpy(zero_copy_only=False)
+                found.append((int(sizes.max()), int(sizes.min()), float(x.min(initial=np.inf)), not np.isfinite(x).all()))
+        if found:
+            n, least, low, odd = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([max(n)], pa.int32()), pa.array([min(least)], pa.int32()), pa.array([float(np.min(low))]), pa.array([any(odd)])], names=["n", "least", "low", "odd"])
+
+    parts = voxels.select("ts").mapInArrow(run, "n int, least int, low double, odd boolean")
+    return parts.agg(F.max("n").alias("n"), F.min("least").alias("least"), F.min("low").alias("low"), F.bool_or("odd").alias("odd")).first()
+
+
 def sigma_grid(voxels: DataFrame, g: Geometry, groups: list[int] | None) -> DataFrame:
     """(img, gx, gy, gz, den, num): coarse estimates of the noise level, smoothed, as a written table."""
     return cut(lattice.smoothed_sigma(cut(patches.coarse_sigma(voxels, g, groups))))
@@ -154,10 +172,7 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     Non-finite samples and a mask without voxels are refused."""
     o = replace(options, mask=options.mask or mask is not None, phase=options.phase or phase is not None).validate()
     nx, ny, _ = dims
-    facts = voxels.agg(
-        F.max(F.size("ts")).alias("n"), F.min(F.size("ts")).alias("least"), F.min(F.array_min("ts")).alias("low"),
-        F.bool_or(F.exists("ts", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("odd"),
-    ).first()
+    facts = series_facts(voxels)
     if facts.n is None or facts.n != facts.least:
         raise ValueError("every voxel needs the same number of volumes")
     if facts.odd:
@@ -184,7 +199,7 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
         named = tuple(sorted({(r.shell_b, r.shell_n) for r in found_shells if r.grp is not None}))
     ngroups = max(groups) + 1 if groups else 0
     filter = o.filter
-    need_map = filter != "optthresh" or vst
+    need_map = filter not in OWN_LEVEL or vst
     if n - ngroups < 3:
         if o.noise:
             raise ValueError("a noise map needs at least 3 noise columns (volumes minus demeaned shells)")

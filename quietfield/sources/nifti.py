@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from quietfield.functions.affine import from_quaternion, to_quaternion
 from quietfield.tables import scratch_path
 
 #: Codes of the format (fixed values): sample types that are read, and units of length in mm.
@@ -105,20 +106,6 @@ def opened(path: str):
     return gzip.open(path, "rb") if is_gz(path) else open(path, "rb")
 
 
-def quaternion_affine(b: float, c: float, d: float, offset: list[float], pixdim: list[float]) -> list[float]:
-    a2 = 1 - (b * b + c * c + d * d)
-    if a2 < 1e-7:
-        n = 1 / math.sqrt(b * b + c * c + d * d)
-        b, c, d, a = b * n, c * n, d * n, 0.0
-    else:
-        a = math.sqrt(a2)
-    turn = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - c * c - b * b]])
-    size = np.array([abs(p) or 1.0 for p in pixdim[1:4]]) * [1, 1, -1 if pixdim[0] < 0 else 1]
-    out = np.eye(4)
-    out[:3, :3], out[:3, 3] = turn * size, offset
-    return out.ravel().tolist()
-
-
 def decode(raw: bytes, two_file: bool = False) -> Header:
     """A header from the first bytes of a file; raises ValueError for what is no image or no supported one."""
     if len(raw) < 348:
@@ -176,7 +163,7 @@ def decode(raw: bytes, two_file: bool = False) -> Header:
     if scode > 0:
         head.affine, head.xform_code = [*map(float, rows), 0.0, 0.0, 0.0, 1.0], scode
     elif qcode > 0:
-        head.affine, head.xform_code = quaternion_affine(*quat[:3], list(quat[3:]), pixdim), qcode
+        head.affine, head.xform_code = from_quaternion(*quat[:3], list(quat[3:]), pixdim[1:4], pixdim[0]), qcode
     else:
         head.affine = np.diag([*pixdim[1:4], 1.0]).ravel().tolist()
     return head
@@ -212,6 +199,10 @@ def encode(head: Header) -> bytes:
     dims = [3, nx, ny, nz, 1, 1, 1, 1] if nt == 1 else [4, nx, ny, nz, nt, 1, 1, 1]
     bits = np.dtype(TYPES[head.datatype]).itemsize * 8
     pix = ([*head.pixdim, *[1.0] * 8])[:8]
+    kept = head.kept
+    if "quaternion" not in kept:  # not read from a file: the nearest grid that a quaternion can say
+        *turn, offset, _, pix[0] = to_quaternion(head.affine)
+        kept = {**kept, "quaternion": (*turn, *offset), "codes": (head.xform_code or 1, head.xform_code or 1)}
     ext = b"".join(struct.pack("<ii", 8 + len(e) + (-len(e) - 8) % 16, c) + e + b"\0" * ((-len(e) - 8) % 16) for c, e in head.extensions)
     start = (348 if head.version == 1 else 540) + 4 + len(ext)
     start += -start % 16
@@ -242,7 +233,7 @@ def encode(head: Header) -> bytes:
         struct.pack_into("<12d", out, 400, *head.affine[:12])
         struct.pack_into("<i", out, 500, head.xyz_units)
     at, kind = (0, 1) if head.version == 1 else (2, 3)
-    for name, values in head.kept.items():
+    for name, values in kept.items():
         f = FIELDS[name]
         struct.pack_into("<" + f[kind], out, int(f[at]), *values)
     flag = bytes([1 if ext else 0, 0, 0, 0])
