@@ -49,6 +49,13 @@ def embedding_voxels(spark: SparkSession, sf_dir: str, n: int = 64) -> tuple[Dat
     return lattice.with_coordinates(rows, NX, NY).select("img", "v", "x", "y", "z", "ts", "label"), dims
 
 
+def pair_voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """(voxels, dims): the embeddings as 32 images of two volumes each, so that every number is read."""
+    voxels, dims = embedding_voxels(spark, sf_dir)
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.concat(F.lit("pair"), k.cast("string")).alias("img"), F.slice("ts", 2 * k + 1, F.lit(2)).alias("ts")))
+    return voxels.select("v", "x", "y", "z", "label", F.inline(pairs)).select("img", "v", "x", "y", "z", "ts", "label"), dims
+
+
 def numpy_rows(df: DataFrame, f: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
     """f over the columns of df as numpy arrays, batch by batch."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -123,21 +130,28 @@ c AS (SELECT v.v AS centre, x, y, z, greatest(0, least(x - 1, 7)) AS ox, greates
 n AS (SELECT centre, c.x, c.y, c.z, (ox + a.k) + 10 * ((oy + b.k) + 10 * (oz + e.k)) AS v FROM c, o a, o b, o e)"""
 
 
+_PAIRS = """v AS (SELECT 'pair' || k AS img, vec_id AS v, CAST(embedding[2 * k + 1] AS DOUBLE) AS y1, CAST(embedding[2 * k + 2] AS DOUBLE) AS y2, label, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z
+    FROM embeddings, (SELECT unnest(range(32)) AS k)), d AS (SELECT max(z) + 1 AS nz FROM v)"""
+_PAIR_CUBE = """o AS (SELECT unnest(range(3)) AS k),
+c AS (SELECT img, v.v AS centre, x, y, z, greatest(0, least(x - 1, 7)) AS ox, greatest(0, least(y - 1, 7)) AS oy, greatest(0, least(z - 1, nz - 3)) AS oz FROM v, d{where}),
+n AS (SELECT img, centre, c.x, c.y, c.z, (ox + a.k) + 10 * ((oy + b.k) + 10 * (oz + e.k)) AS v FROM c, o a, o b, o e)"""
+
+
 @query(f"""
-WITH {_LATTICE}, {_CUBE.format(where=" WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")},
-m AS (SELECT centre, avg(value) AS est FROM n JOIN v ON n.v = v.v GROUP BY centre),
-w AS (SELECT n.v, est, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (v.y - n.y) ** 2 + (v.z - n.z) ** 2)) AS w FROM n JOIN m ON n.centre = m.centre JOIN v ON v.v = n.v)
-SELECT v, round(CAST(CAST(sum(w * est) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS mean, 1 AS rank FROM w GROUP BY v
+WITH {_PAIRS}, {_PAIR_CUBE.format(where=" WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")},
+m AS (SELECT n.img, centre, avg(y1) AS est1, avg(y2) AS est2 FROM n JOIN v ON n.v = v.v AND n.img = v.img GROUP BY n.img, centre),
+w AS (SELECT n.img, n.v, est1, est2, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (v.y - n.y) ** 2 + (v.z - n.z) ** 2)) AS w FROM n JOIN m ON n.centre = m.centre AND n.img = m.img JOIN v ON v.v = n.v AND v.img = n.img)
+SELECT img, v, round(CAST(CAST(sum(w * est1) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS mean1, round(CAST(CAST(sum(w * est2) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS mean2, 1 AS rank FROM w GROUP BY img, v
 """)
 def ref_overlap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian-weighted mean of overlapping patch estimates (here patch means), centres at stride 2."""
-    voxels, dims = embedding_voxels(spark, sf_dir, 2)
+    """Gaussian-weighted mean of overlapping patch estimates (here patch means), centres at stride 2, for each pair of volumes."""
+    voxels, dims = pair_voxels(spark, sf_dir)
 
     def patch_mean(y: np.ndarray, known: np.ndarray | None):
         return np.broadcast_to(y.mean(axis=1, keepdims=True), y.shape), np.zeros(len(y)), np.ones(len(y))
 
     out = patches.merged(patches.patch_sums(voxels, Geometry(dims, 2, 3, "cube"), patch_mean, 2, 2.0))
-    return out.select("v", (F.round(F.col("ts")[0].cast("double"), 4) + 0.0).alias("mean"), "rank")
+    return out.select("img", "v", *((F.round(F.col("ts")[k].cast("double"), 4) + 0.0).alias(f"mean{k + 1}") for k in (0, 1)), "rank")
 
 
 def _centres(voxels: DataFrame, dims: tuple[int, int, int], g: Geometry, f, schema: str) -> DataFrame:
@@ -310,7 +324,7 @@ def ref_shrink_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT unnest(range(4)) AS t), o AS (SELECT DISTINCT l_orderkey AS v FROM lineitem WHERE l_linenumber <= 4),
+WITH k AS (SELECT unnest(range(7)) AS t), o AS (SELECT DISTINCT l_orderkey AS v FROM lineitem),
 s AS (SELECT o.v, k.t, coalesce(sum(l_extendedprice), 0.0) AS a, coalesce(sum(l_extendedprice * (1 - l_discount)), 0.0) AS b
     FROM o CROSS JOIN k LEFT JOIN lineitem l ON l.l_orderkey = o.v AND l.l_linenumber = k.t + 1 GROUP BY o.v, k.t),
 r AS (SELECT sqrt(avg(b ** 2)) AS rms_b FROM s)
@@ -320,8 +334,8 @@ SELECT round(max(abs(a - b)), 3) AS max_abs, round(sqrt(sum((a - b) ** 2) / sum(
 """)
 def ref_error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison of two series: an order's prices with and without discount, volumes being line numbers."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    series = lambda value: rows.groupBy(F.lit("lineitem").alias("img"), F.col("l_orderkey").alias("v")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == k, value)), F.lit(0.0)) for k in range(1, 5)]).alias("ts"))
+    rows = table(spark, sf_dir, "lineitem")
+    series = lambda value: rows.groupBy(F.lit("lineitem").alias("img"), F.col("l_orderkey").alias("v")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == k, value)), F.lit(0.0)) for k in range(1, 8)]).alias("ts"))
     out = compare.compare(series(F.col("l_extendedprice")), series(F.col("l_extendedprice") * (1 - F.col("l_discount"))), threshold=0.05)
     return out.select(F.round("max_abs", 3).alias("max_abs"), F.round("rel_l2", 8).alias("rel_l2"), F.round("rms", 2).alias("rms"), "negative", "zero_voxels", "max_v", "max_t", F.round("over_share", 6).alias("over_share"))
 
@@ -385,6 +399,14 @@ def ref_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("z").cast("long").alias("z"), F.col("t").cast("long").alias("t"), F.size("px").cast("long").alias("n"), F.round(total, 5).alias("total"), F.round(F.array_min("px").cast("double"), 6).alias("low"))
 
 
+def _full_pairs(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """Images of pairs of volumes with rows of zeros for places that have none."""
+    images = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.concat(F.lit("pair"), k.cast("string")))
+    every = voxels.sparkSession.range(dims[0] * dims[1] * dims[2]).select(F.explode(images).alias("img"), F.col("id").alias("v"))
+    zeros = F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float"))
+    return lattice.with_coordinates(every, NX, NY).join(voxels.select("img", "v", "ts"), ["img", "v"], "left").select("img", "v", "x", "y", "z", F.coalesce("ts", zeros).alias("ts"))
+
+
 def _full_slices(voxels: DataFrame, dims: tuple[int, int, int], nvol: int = 64) -> DataFrame:
     """voxels with rows of zeros for places that have none."""
     n = dims[0] * dims[1] * dims[2]
@@ -393,15 +415,14 @@ def _full_slices(voxels: DataFrame, dims: tuple[int, int, int], nvol: int = 64)
     return every.join(voxels.select("v", "ts"), "v", "left").select("img", "v", "x", "y", "z", F.coalesce("ts", zeros).alias("ts"))
 
 
-#: Patches of two volumes: the 2 by 2 Gram matrix has a closed form, so SQL can check whole decompositions. K: 3 by 3 by 3 voxels.
+#: Patches of two volumes: the 2 by 2 Gram matrix has a closed form, so SQL can check whole decompositions of each pair of volumes. K: 3 by 3 by 3 voxels.
 _TWO = Geometry((10, 10, 5), 2, 3, "cube")
-_PAIR = f"""v AS (SELECT vec_id AS v, CAST(embedding[1] AS DOUBLE) AS y1, CAST(embedding[2] AS DOUBLE) AS y2, label, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z FROM embeddings), d AS (SELECT max(z) + 1 AS nz FROM v),
-{_CUBE.format(where="")},
-s AS (SELECT centre, sum(y1 * y1) AS a, sum(y1 * y2) AS b, sum(y2 * y2) AS c FROM n JOIN v ON n.v = v.v GROUP BY centre),
+_PAIR = f"""{_PAIRS}, {_PAIR_CUBE.format(where="")},
+s AS (SELECT n.img, centre, sum(y1 * y1) AS a, sum(y1 * y2) AS b, sum(y2 * y2) AS c FROM n JOIN v ON n.v = v.v AND n.img = v.img GROUP BY n.img, centre),
 l AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM s),
 r AS (SELECT *, sqrt(l1) AS s1, sqrt(greatest(l2, 0)) AS s2, (sqrt(l1) + sqrt(greatest(l2, 0))) / 2 AS middle, b * b + (l1 - a) ** 2 AS u FROM l),
 k AS (SELECT *, CAST(s1 >= {_TWO.omega!r}::DOUBLE * middle AS INT) AS k1, CAST(s2 >= {_TWO.omega!r}::DOUBLE * middle AS INT) AS k2, middle * {_TWO.sigma_scale!r}::DOUBLE AS sigma FROM r),
-p AS (SELECT centre, k1 + k2 AS rank, sigma, CASE WHEN k2 = 1 THEN 1 WHEN k1 = 1 THEN b * b / u ELSE 0 END AS p11, CASE WHEN k2 = 1 THEN 0 WHEN k1 = 1 THEN b * (l1 - a) / u ELSE 0 END AS p12,
+p AS (SELECT img, centre, k1 + k2 AS rank, sigma, CASE WHEN k2 = 1 THEN 1 WHEN k1 = 1 THEN b * b / u ELSE 0 END AS p11, CASE WHEN k2 = 1 THEN 0 WHEN k1 = 1 THEN b * (l1 - a) / u ELSE 0 END AS p12,
     CASE WHEN k2 = 1 THEN 1 WHEN k1 = 1 THEN (l1 - a) ** 2 / u ELSE 0 END AS p22 FROM k)"""
 _HARD = DenoiseOptions(filter="optthresh", shape="cube")
 
@@ -411,37 +432,56 @@ def _rounded(name: str, t: int, places: int = 4):
 
 
 @query(f"""
-WITH {_PAIR} SELECT CAST((x - 2) // 4 AS INT) AS gx, CAST((y - 2) // 4 AS INT) AS gy, CAST((z - least(2, (nz - 1) // 2)) // 4 AS INT) AS gz, round(CAST(CAST(sigma AS FLOAT) AS DOUBLE), 5) AS sigma
-FROM p JOIN v ON v.v = p.centre, d WHERE x >= 2 AND (x - 2) % 4 = 0 AND y >= 2 AND (y - 2) % 4 = 0 AND z >= least(2, (nz - 1) // 2) AND (z - least(2, (nz - 1) // 2)) % 4 = 0
+WITH {_PAIR} SELECT p.img, CAST((x - 2) // 4 AS INT) AS gx, CAST((y - 2) // 4 AS INT) AS gy, CAST((z - least(2, (nz - 1) // 2)) // 4 AS INT) AS gz, round(CAST(CAST(sigma AS FLOAT) AS DOUBLE), 5) AS sigma
+FROM p JOIN v ON v.v = p.centre AND v.img = p.img, d WHERE x >= 2 AND (x - 2) % 4 = 0 AND y >= 2 AND (y - 2) % 4 = 0 AND z >= least(2, (nz - 1) // 2) AND (z - least(2, (nz - 1) // 2)) % 4 = 0
 """)
 def ref_noise_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noise levels of patches of two volumes on the coarse grid."""
-    voxels, dims = embedding_voxels(spark, sf_dir, 2)
-    out = patches.coarse_sigma(_full_slices(voxels, dims, 2), Geometry(dims, 2, 3, "cube"))
-    return out.select("gx", "gy", "gz", F.round("sigma", 5).alias("sigma"))
+    """Noise levels of patches of two volumes on the coarse grid, for each of the 32 pairs of volumes as an image of its own."""
+    voxels, dims = pair_voxels(spark, sf_dir)
+    out = patches.coarse_sigma(_full_pairs(voxels, dims), Geometry(dims, 2, 3, "cube"))
+    return out.select("img", "gx", "gy", "gz", F.round("sigma", 5).alias("sigma"))
 
 
 @query(f"""
-WITH {_PAIR} SELECT v.v, round(CASE WHEN label < 5 THEN y1 * p11 + y2 * p12 ELSE 0 END, 4) + 0.0 AS x1, round(CASE WHEN label < 5 THEN y1 * p12 + y2 * p22 ELSE 0 END, 4) + 0.0 AS x2,
-    CASE WHEN label < 5 THEN rank ELSE 0 END AS rank, round(CASE WHEN label < 5 THEN CAST(CAST(sigma AS FLOAT) AS DOUBLE) ELSE 0 END, 5) AS sigma FROM v JOIN p ON p.centre = v.v
+WITH {_PAIR} SELECT v.img, v.v, round(CASE WHEN label < 5 THEN y1 * p11 + y2 * p12 ELSE 0 END, 4) + 0.0 AS x1, round(CASE WHEN label < 5 THEN y1 * p12 + y2 * p22 ELSE 0 END, 4) + 0.0 AS x2,
+    CASE WHEN label < 5 THEN rank ELSE 0 END AS rank, round(CASE WHEN label < 5 THEN CAST(CAST(sigma AS FLOAT) AS DOUBLE) ELSE 0 END, 5) AS sigma FROM v JOIN p ON p.centre = v.v AND p.img = v.img
 """)
 def ref_denoise_exclusive_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard threshold of patches of two volumes, one patch per voxel, within the mask of labels below 5."""
-    voxels, dims = embedding_voxels(spark, sf_dir, 2)
-    out = denoise(_full_slices(voxels, dims, 2), dims, options=replace(_HARD, aggregator="exclusive"), mask=voxels.where("label < 5").select("img", "v")).voxels
-    return out.select("v", _rounded("ts", 0), _rounded("ts", 1), "rank", F.round("sigma", 5).alias("sigma"))
+    """Hard threshold of patches of two volumes, one patch per voxel, within the mask of labels below 5, for each pair of volumes."""
+    voxels, dims = pair_voxels(spark, sf_dir)
+    out = denoise(_full_pairs(voxels, dims), dims, options=replace(_HARD, aggregator="exclusive"), mask=voxels.where("label < 5").select("img", "v")).voxels
+    return out.join(voxels.select("img", "v"), ["img", "v"], "left_semi").select("img", "v", _rounded("ts", 0), _rounded("ts", 1), "rank", F.round("sigma", 5).alias("sigma"))
 
 
 @query(f"""
-WITH {_PAIR}, w AS (SELECT v.v, y1 * p11 + y2 * p12 AS x1, y1 * p12 + y2 * p22 AS x2, rank, sigma, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (v.y - n.y) ** 2 + (v.z - n.z) ** 2)) AS w
-    FROM n JOIN p ON n.centre = p.centre JOIN v ON v.v = n.v WHERE n.x % 2 = 0 AND n.y % 2 = 0 AND n.z % 2 = 0)
-SELECT v, round(sum(w * x1) / sum(w), 4) + 0.0 AS x1, round(sum(w * x2) / sum(w), 4) + 0.0 AS x2, CAST(floor(sum(w * rank) / sum(w) + 0.5) AS INT) AS rank, round(sum(w * sigma) / sum(w), 6) AS sigma FROM w GROUP BY v
+WITH {_PAIR}, w AS (SELECT v.img, v.v, y1 * p11 + y2 * p12 AS x1, y1 * p12 + y2 * p22 AS x2, rank, sigma, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (v.y - n.y) ** 2 + (v.z - n.z) ** 2)) AS w
+    FROM n JOIN p ON n.centre = p.centre AND n.img = p.img JOIN v ON v.v = n.v AND v.img = n.img WHERE n.x % 2 = 0 AND n.y % 2 = 0 AND n.z % 2 = 0)
+SELECT img, v, round(sum(w * x1) / sum(w), 4) + 0.0 AS x1, round(sum(w * x2) / sum(w), 4) + 0.0 AS x2, CAST(floor(sum(w * rank) / sum(w) + 0.5) AS INT) AS rank, round(sum(w * sigma) / sum(w), 6) AS sigma FROM w GROUP BY img, v
 """)
 def ref_denoise_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard threshold of patches of two volumes, averaged by Gaussian weights over centres at stride 2."""
-    voxels, dims = embedding_voxels(spark, sf_dir, 2)
-    out = denoise(_full_slices(voxels, dims, 2), dims, options=_HARD).voxels
-    return out.select("v", _rounded("ts", 0), _rounded("ts", 1), "rank", F.round("sigma", 6).alias("sigma"))
+    """Hard threshold of patches of two volumes, averaged by Gaussian weights over centres at stride 2, for each pair of volumes."""
+    voxels, dims = pair_voxels(spark, sf_dir)
+    out = denoise(_full_pairs(voxels, dims), dims, options=_HARD).voxels.join(voxels.select("img", "v"), ["img", "v"], "left_semi")
+    return out.select("img", "v", _rounded("ts", 0), _rounded("ts", 1), "rank", F.round("sigma", 6).alias("sigma"))
+
+
+@query(f"""
+WITH {_PAIRS}, {_PAIR_CUBE.format(where="")},
+s AS (SELECT n.img, centre, sum(y1 * y1) AS a, sum(y1 * y2) AS b, sum(y2 * y2) AS c FROM n JOIN v ON n.v = v.v AND n.img = v.img GROUP BY n.img, centre),
+l AS (SELECT *, ((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)) / 27 AS l1, greatest((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b), 0) / 27 AS l2 FROM s),
+e AS (SELECT *, l1 - l2 <= 4 * sqrt(2.0::DOUBLE / 27) * (l1 + l2) / 2 AS noise FROM l)
+SELECT img, centre, CASE WHEN noise THEN 0 ELSE 1 END AS rank, round(sqrt(CASE WHEN noise THEN (l1 + l2) / 2 ELSE l2 END), 6) + 0.0 AS sigma FROM e
+""")
+def ref_edge_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise level and rank of every voxel's patch, found together from where its eigenvalues spread too wide for noise."""
+    voxels, dims = pair_voxels(spark, sf_dir)
+    g = Geometry(dims, 2, 3, "cube")
+
+    def run(block, coords, here, table):
+        d = kernels.decompose(block.data[block.rows(coords[here])], g, "mppca")
+        return pa.table({"img": table.column("img").filter(pa.array(here)), "centre": table.column("v").to_numpy()[here], "rank": d.rank.astype(np.int32), "sigma": np.round(d.sigma, 6) + 0.0})
+
+    return _centres(voxels, dims, g, run, "img string, centre long, rank int, sigma double")
 
 
 @query("""
