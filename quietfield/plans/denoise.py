@@ -43,6 +43,7 @@ class DenoiseOptions:
     bvals: tuple[float, ...] | None = None
     phase: bool = False
     phaseunits: str | None = None
+    phase_filter: str = "taps"
     real: bool = False
     mask: bool = False
     noise: bool = False
@@ -72,6 +73,8 @@ class DenoiseOptions:
         refuse(self.stride == 2 and self.aggregator == "exclusive", "the exclusive aggregator visits every voxel: stride 1")
         refuse(self.bvals is not None and not self.demean, "bvals are for demean")
         refuse(self.phaseunits is not None and not self.phase, "phaseunits needs phase")
+        refuse(self.phase_filter not in rotate.PHASE_FILTERS, f"phase_filter must be one of {', '.join(rotate.PHASE_FILTERS)}")
+        refuse(self.phase_filter != "taps" and not self.phase, "phase_filter needs phase")
         refuse(self.demean and self.bvals is None, "demean needs b-values")
         refuse((self.noise_dof is not None or self.preserve_noise_bias) and (self.vst is False or self.phase), "noise_dof and preserve_noise_bias describe vst, which is off")
         return self
@@ -216,7 +219,7 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
 
     real = None
     if phase is not None:
-        voxels = real = cut(rotate.rotate_to_real(voxels, phase, nx, ny, o.phaseunits or "auto"))
+        voxels = real = cut(rotate.rotate_to_real(voxels, phase, nx, ny, o.phaseunits or "auto", o.phase_filter))
     if mask is not None:
         inner = mask.select("img", "v", F.lit(True).alias("inside")).distinct()
         voxels = voxels.join(inner, ["img", "v"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
