@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from quietfield.functions.geometry import Geometry, auto_extent, sane_spacing, sigma_extent, sphere_cap
@@ -91,6 +91,7 @@ class Result:
     filter: str = ""
     shells: tuple[tuple[float, int], ...] = ()
     fallbacks: int = 0  # voxels that no patch covered, restored from their own
+    counters: dict[str, int] = field(default_factory=dict)  # of the averaging denoiser: voxels wanted, fallbacks, without signal, ranks summed up
 
     def summary(self) -> str:
         """What a run did, in a line."""
@@ -241,7 +242,7 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
                 held = cut(rated.withColumn("sigma", sigma).withColumn("own", own).drop("ratio"))
         now, grid = now.withColumn("known", F.lit(1.0)), None
 
-    fallbacks = 0
+    fallbacks, counters = 0, {}
     if o.aggregator == "exclusive":
         out = patches.denoise_exclusive(now, g, filter, groups, inside, grid)
     else:
@@ -249,9 +250,13 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
         fwhm = None if o.aggregator == "uniform" else o.aggregator_fwhm or 2.0
         now = cut(now) if not vst and (groups or inside) else now
         sums = patches.patch_sums(now, g, low_rank(g, filter), stride, fwhm, groups, inside, grid)
-        out = cut(patches.merged(sums, patches.tile_tasks(now, g, g.tile(stride))))
-        missing = out.where(F.col("state") == patches.MISSING).select("img", "v", F.lit(True).alias("wanted"))
-        fallbacks = missing.count()
+        counts = Observation()
+        state = F.col("state")
+        seen = {"wanted": F.count_if(state != patches.UNWANTED), "fallbacks": F.count_if(state == patches.MISSING), "without_signal": F.count_if((state == patches.DONE) & ~lattice.live(F.col("ts"))), "rank_sum": F.sum(F.when(state == patches.DONE, F.col("rank")))}
+        out = cut(patches.merged(sums, patches.tile_tasks(now, g, g.tile(stride))).observe(counts, *(c.alias(k) for k, c in seen.items())))
+        counters = {k: int(v or 0) for k, v in counts.get.items()}  # counted by the job that wrote
+        fallbacks = counters["fallbacks"]
+        missing = out.where(state == patches.MISSING).select("img", "v", F.lit(True).alias("wanted"))
         if fallbacks:  # voxels that no patch covered: their own patch
             left = now.join(missing, ["img", "v"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
             alone = patches.denoise_exclusive(left, g, filter, groups, "wanted", grid)
@@ -263,4 +268,4 @@ def denoise(voxels: DataFrame, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.
     out = lattice.with_coordinates(out, nx, ny).select("img", "v", "x", "y", "z", "ts", "sigma", "rank")
     if o.degibbs == "y":
         out = unrung(out, nx, ny, n, o.partial_fourier or 1.0).join(out.select("img", "v", "sigma", "rank"), ["img", "v"])
-    return Result(out, real, vst, g, filter, named, fallbacks)
+    return Result(out, real, vst, g, filter, named, fallbacks, counters)
