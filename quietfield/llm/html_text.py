@@ -49,10 +49,10 @@ CAP = 1.0
 SECTIONS = frozenset(["article", "main", "section"])
 
 
-def evidence(name: str, rest: str, inside: tuple[str, ...]) -> set[str]:
-    """What an element tells about its content. inside: names of the open elements around it."""
+def evidence(name: str, rest: str, sectioned: bool) -> set[str]:
+    """What an element tells about its content. sectioned: whether it stands in an element that has headers of its own."""
     own = name
-    if name == "header" and any(n in SECTIONS for n in inside):
+    if name == "header" and sectioned:
         own = "own header"  # of an article or section
     out = set() if name in GENERIC else {f"<{own}>"}
     if rest and not rest.isspace():
@@ -65,16 +65,42 @@ def evidence(name: str, rest: str, inside: tuple[str, ...]) -> set[str]:
     return out
 
 
-def items(page: str, weights: Mapping[str, float], outside: bool = False) -> Iterator[tuple[str, frozenset[str], float, bool, str]]:
+class Open:
+    """Open elements, outermost first: (name, evidence, log-odds, whether main text is marked). Each step takes a time of its own, however deep they stand."""
+
+    def __init__(self, seen: frozenset[str], odds: float):
+        self.stack: list[tuple[str, frozenset[str], float, bool]] = [("", seen, odds, False)]
+        self.places: dict[str, list[int]] = {}  # of each name in the stack
+
+    def push(self, name: str, seen: frozenset[str], odds: float, marked: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, seen, odds, marked))
+
+    def cut(self, at: int) -> None:
+        for name, *_ in reversed(self.stack[at:]):
+            self.places[name].pop()
+        del self.stack[at:]
+
+    def first(self, names: frozenset[str]) -> int | None:
+        return min((p[0] for n in names if (p := self.places.get(n))), default=None)
+
+    def last(self, name: str) -> int | None:
+        found = self.places.get(name)
+        return found[-1] if found else None
+
+
+def items(page: str, weights: Mapping[str, float], outside: bool = False, by_name: bool = True) -> Iterator[tuple[str, frozenset[str], float, bool, str]]:
     """(tag name or "", evidence, log-odds, whether an element that holds main text is open, text) in page order, without scripts, styles and comments.
 
     outside: whether the page marks its main text by an article or a main element, so that what lies outside is less likely to be it.
+    by_name: whether the classes and ids of articles and main elements count.
 
-    An end tag without its start is passed over; a start without an end holds up to the end of what it stands in."""
+    An end tag without its start is passed over; a start without an end holds up to the end of what it stands in. The time is in
+    proportion to the page, however many elements are left open."""
     base = frozenset(["@outside"] if outside else ["@page"])
     lift, own = weights.get("@outside", 0.0), weights.get("@bias", 0.0) + sum(weights.get(e, 0.0) for e in base)
-    stack: list[tuple[str, frozenset[str], float, bool]] = [("", base, own, False)]
-    at = 0
+    opened = Open(base, own)
+    stack, at = opened.stack, 0
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
             yield "", *stack[-1][1:], page[at : m.start()]
@@ -83,27 +109,25 @@ def items(page: str, weights: Mapping[str, float], outside: bool = False) -> Ite
         if not name:
             continue
         if m["end"] or m["end2"]:
-            if name in CONTAINERS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                yield name, *stack[-1][1:], ""
-                continue
+            if name in CONTAINERS and (k := opened.last(name)) is not None:
+                opened.cut(k)
         elif name in RAW:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
             continue
         else:
-            for gone in [k for k in range(1, len(stack)) if stack[k][0] in CLOSED_BY.get(name, ())][:1]:
-                del stack[gone:]
+            if (k := opened.first(CLOSED_BY.get(name, frozenset()))) is not None:
+                opened.cut(k)
             if name in CONTAINERS:
                 _, seen, odds, marked = stack[-1]
-                if name in ("article", "main") and "@outside" in seen:
+                holds = name in ("article", "main")
+                if holds and "@outside" in seen:
                     seen, odds = seen - {"@outside"}, odds - lift
-                new = evidence(name, m["rest"] or m["rest2"] or "", tuple(s[0] for s in stack)) - seen
+                new = evidence(name, m["rest"] or m["rest2"] or "" if by_name or not holds else "", opened.first(SECTIONS) is not None) - seen
+                if weights:  # what has no weight need not be carried along
+                    new = {e for e in new if e in weights}
                 odds = min(odds, CAP) + sum(weights.get(e, 0.0) for e in new)
-                stack.append((name, seen | new, odds, marked or odds > 0))
+                opened.push(name, seen | new if new else seen, odds, marked or odds > 0)
         yield name, *stack[-1][1:], ""
     if at < len(page):
         yield "", *stack[-1][1:], page[at:]
@@ -228,12 +252,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return out
 
 
-def main_text(page: str | None, learnt: Mapping[str, float] | None = None) -> str:
-    """Main text of a whole page: blocks joined by line feeds, white space in a block as one space."""
-    learnt = weights() if learnt is None else learnt
-    found = list(items(page or "", learnt))
-    if any(name in ("article", "main") and odds > 0 for name, _, odds, _, _ in found):
-        found = list(items(page, learnt, outside=True))
+def _text(found: list[tuple[str, frozenset[str], float, bool, str]]) -> str:
     scores = [tag_score(odds, marked) if name else word_score(odds, marked) * len(text.split()) for name, _, odds, marked, text in found]
     first, end = best_run(scores)
     blocks, own = [], []
@@ -250,6 +269,21 @@ def main_text(page: str | None, learnt: Mapping[str, float] | None = None) -> st
     return "\n".join(b for own in blocks if (b := " ".join("".join(own).split())))
 
 
+def main_text(page: str | None, learnt: Mapping[str, float] | None = None) -> str:
+    """Main text of a whole page: blocks joined by line feeds, white space in a block as one space.
+
+    A page with an article or a main element, of which nothing would be left, is read again without what these are called:
+    one word of a class (comments-open, related) does not empty a page."""
+    learnt, page = weights() if learnt is None else learnt, page or ""
+    found = list(items(page, learnt))
+    if any(name in ("article", "main") and odds > 0 for name, _, odds, _, _ in found):
+        found = list(items(page, learnt, outside=True))
+    text = _text(found)
+    if not text and any(name in ("article", "main") for name, *_ in found):
+        text = _text(list(items(page, learnt, outside=True, by_name=False)))
+    return text
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for each row. Null and empty pages have an empty text; a page is read whole, however long.
 

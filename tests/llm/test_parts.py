@@ -254,3 +254,23 @@ def test_pipeline_keeps_other_texts_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted(str(r.doc_id) + r.text[:2] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert kept == ["3a0", "5b0", "Nonec0", "Noneon"]
+
+
+def test_main_text_takes_a_time_in_proportion_to_the_page():
+    import time
+
+    took = {}
+    for n in (2_000, 20_000):
+        began = time.perf_counter()
+        rows = html_text.main_text("<article><table>" + "<tr><td>cell text" * n + "</table></article>")
+        deep = html_text.main_text("<article>" + "<div class='x'><b>word</b>" * n + "</article>")
+        other = html_text.main_text("<article><p>one two three</p>" + "<section class=a1><span></nav></ul>word" * n + "</article>")
+        took[n] = time.perf_counter() - began
+        assert rows.count("cell text") == n and deep.count("word") == n and other.count("word") == n
+    assert took[20_000] < 40 * took[2_000] + 1  # ten times the page; quadratic time would be a hundred times
+
+
+def test_one_word_of_a_class_does_not_empty_a_page():
+    assert html_text.main_text("<article class='comments-open'><p>Real article text goes here</p></article>") == "Real article text goes here"
+    assert html_text.main_text("<main id='related'><article><p>Text of the page</p></article></main><footer><p>imprint</p></footer>") == "Text of the page"
+    assert html_text.main_text("<nav><a>home</a></nav><form><input></form>") == ""
