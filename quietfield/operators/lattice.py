@@ -1,4 +1,4 @@
-"""Voxel tables on a lattice: layouts, neighbourhood joins, smoothing and interpolation, all as DataFrame operations."""
+"""Voxel tables on a lattice: layouts, and smoothing of grids."""
 
 from __future__ import annotations
 

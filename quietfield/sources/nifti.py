@@ -276,16 +276,18 @@ def image_names(paths: Sequence[str], one: str = "img") -> list[str]:
 
 @dataclass
 class Slab(InputPartition):
-    """Slices first to end of one image; end is None where the task finds out."""
+    """Slices first to end of one image."""
 
     img: str
     path: str
-    first: int = 0
-    end: int | None = None
+    first: int
+    end: int
 
 
 @dataclass
 class Images(InputPartition):
+    """Whole images (name, path), whose headers the task reads."""
+
     named: list[tuple[str, str]]
 
 
