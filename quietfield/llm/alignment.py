@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain, islice
 
 import numpy as np
@@ -29,6 +29,8 @@ from .token_counts import byte_letters
 
 #: A page takes no further batch of documents beyond so many segments; documents that are chained together.
 PAGE_SEGMENTS, SLICE = 500_000, 256
+#: Shares of the pages that are worked on one after the other where words' links and groups are sent to pages, so that disks hold one share of them at a time.
+TURNS = 4
 #: Both tokenizers end a token before a space that follows no space and stands before a non-space. Texts where every space is such a one need no search.
 _JOINT, _ODD = re.compile(r"(?<! )(?= \S)"), re.compile(r" (?:\s|\Z)")
 #: Rows of one page lie in one partition, so keys that hold the page need no exchange; sorted input needs no hash table.
@@ -251,19 +253,28 @@ def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_S
     with _settings(spark, PLAN):
         table = cut(pages(docs, page_segments, id_col, text_col))
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * table.select("page").distinct().count())
-        of_page = lambda df: df.repartition(n, "page")
-        documents = of_page(table.where("segment is null").select("page", "key", "doc_id", "segments"))
         words = table.where("segment is not null").groupBy("word").agg(F.collect_list(F.struct("page", "segment")).alias("places"))
         units = cut(encoded(words, path_a, path_b))
         each = cut(aligned(units.select("unit", "a", "b").repartition(n, "unit"), ["unit"]))
-        placed = lambda facts: of_page(units.select("unit", F.inline("places")).join(facts, "unit", "left").drop("unit"))
-        counts = cut(pair_counts(documents, placed(each.select("unit", "links"))).groupBy("link").agg(F.sum("docs").alias("docs")))
+
+        def in_turns(f, facts: DataFrame) -> DataFrame:
+            """f(documents, segments with their facts) of each share of the pages, as one table."""
+            share = lambda page: F.pmod(F.xxhash64(page), F.lit(TURNS))
+            done = []
+            for turn in range(TURNS):
+                documents = table.where(F.col("segment").isNull() & (share(F.col("page")) == turn)).select("page", "key", "doc_id", "segments")
+                own = units.select("unit", F.filter("places", lambda p: share(p["page"]) == turn).alias("places")).where(F.size("places") > 0)
+                placed = own.join(facts, "unit", "left").select(F.inline("places"), *(c for c in facts.columns if c != "unit"))
+                done.append(cut(f(documents.repartition(n, "page"), placed.repartition(n, "page"))))
+            return reduce(DataFrame.unionByName, done)
+
+        counts = cut(in_turns(pair_counts, each.select("unit", "links")).groupBy("link").agg(F.sum("docs").alias("docs")))
         best = counts.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("docs").alias("most"))
         known = counts.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))
         linked = with_groups(each.select("unit", F.explode("links").alias("link")), known, "link", ["unit"])
         worth = linked.groupBy("unit").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
         facts = cut(each.drop("links").join(worth, "unit"))
-        return cut(whole(documents, placed(facts)).withColumnRenamed("doc_id", id_col))
+        return in_turns(whole, facts).withColumnRenamed("doc_id", id_col)
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
