@@ -1,7 +1,5 @@
 """The noise edge of a patch: level and rank found together."""
 
-from dataclasses import replace
-
 import fixtures
 import numpy as np
 import pytest
@@ -44,9 +42,16 @@ def test_signal_over_noise_and_the_slow_form():
 
 
 def test_a_run_with_the_edge_filter(spark):
+    """Each voxel from its own patch, against the slow form."""
     a, spacing = fixtures.image("big48")
-    options = DenoiseOptions(filter="mppca", shape="cube", vst=False)
-    done = denoise(fixtures.voxels(spark, a), a.shape[:3], spacing, options)
-    other = denoise(fixtures.voxels(spark, a), a.shape[:3], spacing, replace(options, filter="truncate"))
-    x, y = (np.stack(r.voxels.toPandas().sort_values("v").ts) for r in (done, other))
-    assert np.corrcoef(x.ravel(), y.ravel())[0, 1] > 0.99 and done.voxels.where("sigma > 0").count() > 0
+    done = denoise(fixtures.voxels(spark, a), a.shape[:3], spacing, DenoiseOptions(filter="mppca", shape="cube", aggregator="exclusive", vst=False))
+    rows, g = done.voxels.toPandas().set_index("v"), done.geometry
+    for x, y, z in np.random.default_rng(0).integers(0, a.shape[:3], (20, 3)):
+        at = g.patch_rows(np.array([[x, y, z]]))[0]
+        patch = a[at[:, 0], at[:, 1], at[:, 2]].astype(float)
+        values, vectors = np.linalg.eigh(patch.T @ patch)
+        sigma, noise = slow(np.maximum(values, 0), g.rows)
+        kept = vectors[:, noise:]
+        own = rows.loc[x + a.shape[0] * (y + a.shape[1] * z)]
+        assert own["rank"] == a.shape[3] - noise and own.sigma == pytest.approx(sigma, rel=1e-5)
+        np.testing.assert_allclose(own.ts, kept @ (kept.T @ a[x, y, z].astype(float)), rtol=1e-4, atol=1e-2)
