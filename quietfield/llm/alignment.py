@@ -28,7 +28,7 @@ from .exact_dedup import _settings
 from .token_counts import byte_letters
 
 #: A page takes no further batch of documents beyond so many segments; documents that are chained together.
-PAGE_SEGMENTS, SLICE = 500_000, 256
+PAGE_SEGMENTS, SLICE = 250_000, 256
 #: Shares of the pages that are worked on one after the other where words' links and groups are sent to pages, so that disks hold one share of them at a time.
 TURNS = 4
 #: Both tokenizers end a token before a space that follows no space and stands before a non-space. Texts where every space is such a one need no search.
@@ -214,7 +214,7 @@ def aligned(rows: DataFrame, keys: list[str]) -> DataFrame:
 def chained(documents: DataFrame, segments: DataFrame, columns: list[str]) -> DataFrame:
     """Slices of a page's documents (`docs`), each with the page's array of what its segments have (`of`), in the order of their numbers."""
     slices = documents.groupBy("page", F.floor(F.col("key") / SLICE).alias("slice")).agg(F.collect_list(F.struct("key", "doc_id", "segments")).alias("docs"))
-    table = segments.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("segment", *columns))), lambda r: F.struct(*(r[c].alias(c) for c in columns))).alias("of"))
+    table = segments.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("segment", *columns))).alias("of"))
     return slices.join(table.hint("shuffle_hash"), "page", "left")  # a page of empty documents has no segments
 
 
