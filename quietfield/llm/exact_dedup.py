@@ -12,6 +12,7 @@ Only DataFrame operations run on the executors.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -72,11 +73,29 @@ def register(rows: DataFrame, out: str, checkpoint: str) -> None:
             query.stop()
 
 
-LIGHT = "id long, digest string, _file string, _row long, _run string"
+LIGHT = "id long, digest string, _file string, _row long"
 ENTRY = "digest string, keeper struct<id: bigint, _file: string, _row: bigint>, group_size bigint"
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: str | None = None, earlier: DataFrame | None = None, batches: int = BATCHES) -> DataFrame:
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder of any file system that Spark knows; nothing where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [e.getPath().getName() for e in system.listStatus(at)] if system.exists(at) else []
+
+
+def _batches(spark: SparkSession, base: str) -> list[int]:
+    return [int(n.removeprefix("batch=")) for n in _names(spark, f"{base}/entries") if n.startswith("batch=")]
+
+
+def _first_batch(spark: SparkSession, base: str, run: str) -> int:
+    """The first micro-batch that may hold digests of the run, noted when the run is first started."""
+    if "_SUCCESS" not in _names(spark, f"{base}/runs/{run}"):
+        spark.createDataFrame([(max(_batches(spark, base), default=-1) + 1,)], "first int").write.mode("overwrite").parquet(f"{base}/runs/{run}")
+    return spark.read.schema("first int").parquet(f"{base}/runs/{run}").first()[0]
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: str | None = None, earlier: DataFrame | None = None, batches: int = BATCHES, run: str | None = None) -> DataFrame:
     """Per row of docs: (id, keep_id, group_size, kept, digest, _file, _row).
 
     Equal means equal after white space is normalised; of equal texts the row with the smallest id stays
@@ -84,21 +103,30 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A table without rows gives none.
 
     state: a shared folder in which digests, the stream's checkpoint and its entries stay for later runs; a run then also knows
-    the texts of runs before it. `earlier` holds the documents of those runs, for their texts; without it a fresh folder is used.
-    Digests and locators alone go through the stream; the texts of hits are fetched by place."""
+    the texts of runs before it. `earlier` holds the documents of those runs, where they lay then, for their texts: a folder with
+    earlier runs is refused without it, and so is a hit whose text it does not hold. `run` names the run: started again after a
+    failure under its name, with the same docs, it goes on and counts no row twice. A run reads its own digests and what its own
+    micro-batches changed, not those of runs before it. Digests and locators alone go through the stream; the texts of hits are fetched by place."""
     spark = docs.sparkSession
-    docs, base, run = placeable(docs), state or scratch_path(spark, "dedup"), uuid.uuid4().hex
+    docs, base, run = placeable(docs), state or scratch_path(spark, "dedup"), run or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9][\w.-]*", run):
+        raise ValueError(f"a run's name holds letters, digits, '.', '_' and '-' only: {run!r}")
+    if state and earlier is None and set(_names(spark, f"{base}/light")) - {run}:
+        raise ValueError(f"{state} knows texts of earlier runs; their documents must be given as `earlier`")
     last = F.lit((1 << 63) - 1)
     text = lambda d: with_places(d, normalised(d[text_col]).alias("t"))
     rows = with_places(docs, F.coalesce(docs[id_col].cast("long"), last).alias("id"), digest(normalised(docs[text_col])).alias("digest"))
-    rows.select("id", "digest", "_file", "_row", F.lit(run).alias("_run")).write.mode("append").parquet(f"{base}/light")
-    known = spark.read.schema(LIGHT).parquet(f"{base}/light")
-    light, files = known.where(F.col("_run") == run).drop("_run"), len(known.inputFiles())
+    first_batch, own_light = _first_batch(spark, base, run), f"{base}/light/{run}"
+    if "_SUCCESS" not in _names(spark, own_light):  # the stream starts after a whole table only, so none of its files has been counted
+        rows.select("id", "digest", "_file", "_row").write.mode("overwrite").parquet(own_light)
+    light = spark.read.schema(LIGHT).parquet(own_light)
+    files = len(light.inputFiles())
 
     if files:
-        stream = spark.readStream.schema(LIGHT).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/light")
+        stream = spark.readStream.schema(LIGHT).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/light/*")
         register(stream, f"{base}/entries", f"{base}/state")
-    entries = spark.read.schema(ENTRY).parquet(f"{base}/entries/batch=*") if files else spark.createDataFrame([], ENTRY)
+    changed = [f"{base}/entries/batch={k}" for k in _batches(spark, base) if k >= first_batch]
+    entries = spark.read.schema(ENTRY).parquet(*changed) if changed else spark.createDataFrame([], ENTRY)
     registry = entries.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
 
     looked = cut(with_groups(light, registry, "digest", ["id", "_file", "_row"]))
@@ -111,7 +139,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         older = hits.select("digest", F.col("keeper._file").alias("_file"), F.col("keeper._row").alias("_row")).distinct()
         stored = stored.unionByName(at_places(text(placeable(earlier)), cut(older)).select("digest", F.col("t").alias("kept_text"))).dropDuplicates(["digest"])
     checked = with_groups(own.where("not first"), stored, "digest", ["id", "_file", "_row"])
-    differs = cut(checked.where(~F.col("t").eqNullSafe(F.col("kept_text"))).select("id", "_file", "_row", "digest", "t"))
+    differs = cut(checked.where(~F.col("t").eqNullSafe(F.col("kept_text"))).select("id", "_file", "_row", "digest", "t", F.col("kept_text").isNull().alias("lost")))
+    lost = differs.where("lost").count()
+    if lost:
+        raise ValueError(f"`earlier` does not hold the texts that {lost} rows must be compared with")
     if not differs.isEmpty():  # one digest, several texts: the whole texts decide
         each = differs.groupBy("digest", "t").agg(F.min(F.struct("id", "_file", "_row")).alias("own_keeper"), F.count("*").alias("own_size"))
         split = differs.join(each, ["digest", "t"]).select("id", "_file", "_row", "own_keeper", "own_size")

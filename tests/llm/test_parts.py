@@ -88,6 +88,39 @@ def test_dedup_meets_state_in_later_batches_and_runs(spark, tmp_path):
     assert again == {3: (3, True), 4: (4, True), 70: (40, False), 71: (4, False)}
 
 
+def test_dedup_run_is_started_again_and_needs_earlier_texts(spark, tmp_path, monkeypatch):
+    table = lambda rows: common.placeable(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    a, b = table([(1, "text a"), (2, "text b"), (5, "text  a")]), table([(7, "text a"), (8, "text c"), (9, "text c")])
+    state, facts = f"file://{tmp_path}/kept", lambda df: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in df.collect()}
+    want = {1: (1, 2, True), 2: (2, 1, True), 5: (1, 2, False)}
+
+    def breaks(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # after the digests are written, then after the stream has counted them
+        m.setattr(exact_dedup, "register", breaks)
+        with pytest.raises(RuntimeError):
+            exact_dedup.exact_duplicates(a, state=state, run="one")
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "at_places", breaks)
+        with pytest.raises(RuntimeError):
+            exact_dedup.exact_duplicates(a, state=state, run="one")
+    for _ in range(2):
+        assert facts(exact_dedup.exact_duplicates(a, state=state, run="one")) == want
+    for wrong in (None, table([(3, "text z")])):
+        with pytest.raises(ValueError, match="earlier"):
+            exact_dedup.exact_duplicates(b, state=state, run="two", earlier=wrong)
+    later = exact_dedup.exact_duplicates(b, state=state, run="two", earlier=a)
+    assert facts(later) == {7: (1, 3, False), 8: (8, 2, True), 9: (8, 2, False)}
+    read = []  # what the third run reads of the state: nothing of the runs before it
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "with_groups", lambda rows, groups, *args: (read.extend([*rows.inputFiles(), *groups.inputFiles()]), common.with_groups(rows, groups, *args))[1])
+        assert facts(exact_dedup.exact_duplicates(table([(11, "text d")]), state=state, run="three", earlier=a.unionByName(b))) == {11: (11, 1, True)}
+    assert read and not [f for f in read if "/light/one/" in f or "/light/two/" in f or "/entries/batch=0/" in f]
+    with pytest.raises(ValueError, match="name"):
+        exact_dedup.exact_duplicates(a, state=state, run="../x")
+
+
 def test_places_beyond_the_bound(spark, odd_docs):
     docs = common.placeable(odd_docs)
     at = common.cut(common.with_places(docs, docs["doc_id"]).where("doc_id IN (1, 5) OR doc_id IS NULL").select("_file", "_row"))
