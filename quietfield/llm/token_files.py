@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from . import files
-from .common import scratch_path
+from .common import cut, scratch_path
 from .encoding import encoder
 
 MAGIC = b"QFTOKEN1"
@@ -180,8 +180,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_p
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = rows.count()
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1_000_000)) < F.lit(min(1.0, 4 * SAMPLE_DOCS / max(n, 1)) * 1_000_000))
-    first = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
+    hashed = cut(rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1_000_000)) < F.lit(min(1.0, 4 * SAMPLE_DOCS / max(n, 1)) * 1_000_000)).groupBy("h").agg(F.first("text").alias("text")))
+    first = [r.h for r in hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
     end = np.array([end_id], "<u4").tobytes()
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_p
             ids = [(x + end)[:SAMPLE_BYTES] for x in encoder(tokenizer).encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
 
-    chosen = hashed.where(F.col("h").isin(first)).select("h", "text").mapInArrow(serialized, "h long, ids binary").groupBy("h").agg(F.first("ids").alias("ids"))
+    chosen = hashed.where(F.col("h").isin(first)).select("h", "text").mapInArrow(serialized, "h long, ids binary")
     samples = [bytes(r.ids) for r in sorted(chosen.collect())] if first else []
     words = train(samples) if samples else b""
     files.put(files.join(path, DICTIONARY), words)
