@@ -286,7 +286,7 @@ def _with_probabilities(rows: DataFrame, cells: DataFrame, small: bool) -> DataF
     """rows (with _file, _row) and their cells' target_share and probability. At most max_cells cells are broadcast; more are joined, hot ones salted."""
     if small:
         return rows.join(F.broadcast(cells), list(AXES))
-    key = F.concat_ws("\x1f", *AXES)
+    key = F.struct(*AXES)
     return with_groups(rows.withColumn("cell", key), cells.select(key.alias("cell"), "target_share", "probability"), "cell", ["_file", "_row"]).drop("cell")
 
 

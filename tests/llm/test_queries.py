@@ -263,6 +263,13 @@ def test_mixing_meets_given_targets_as_slow_raking_does(spark):
     assert 0.2 < (by_id[0].n_tokens * by_id[0].sampled).sum() / by_id[0].n_tokens.sum() < 0.4
 
 
+def test_mixing_tells_cells_apart_whatever_their_names_hold(spark):
+    rows = [(1, "one two", "x", "a\x1fb", "t"), (2, "three", "b\x1fx", "a", "t"), (3, "four", "x", "a", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    small, large = (sorted((r.id, r.source, r.lang, round(r.probability, 6)) for r in mixing.mixture(docs, topic_col="subject", max_cells=n, temperature=dict.fromkeys(mixing.AXES, 1.0)).collect()) for n in (1000, 1))
+    assert small == large and [r[:3] for r in large] == [(i, s, k) for i, _, k, s, _ in rows]
+
+
 def test_mixing_beyond_the_bound(spark, odd_docs):
     docs = common.placeable(odd_docs)
     small, large = (mixing.mixture(docs, max_cells=n).toPandas() for n in (1000, 2))
