@@ -2,10 +2,14 @@
 
 Words are tokens. The `WORDS` most frequent ones of the corpus have an embedding each; a rarer one has that of its ending,
 of which there are `ENDINGS`. The network sees `REACH` tokens on each side and predicts the one between: the embeddings,
-scaled by place, are summed into a hidden layer, and a softmax gives the token's class. The most frequent words are classes
-of their own; other words share classes of like frequency, and within a class a word has its share of the class's tokens in
-the whole corpus, a word too rare for an embedding an even part of all such words of its class. A document's score is the
-sum over its tokens of their log-probabilities given both sides.
+scaled by place, are summed into a hidden layer, and a hierarchical softmax gives the token: a softmax its class, then a
+binary decision at each node on the way down the class's Huffman tree the token itself. The most frequent words are classes
+of their own; other words share classes of like frequency, endings classes of endings. Every decision is made by the hidden
+layer, so both sides tell each of the `WORDS` words and `ENDINGS` endings from all others; before training a node decides
+by the tokens below it in the whole corpus. Only words too rare for an embedding have even parts of their ending. A
+document's score is the sum over its tokens of their log-probabilities given both sides.
+
+Without a tree the same functions stop at classes, within which words have fixed shares (`Vocabulary.within`).
 
 Training covers every token of every document. In each of `ROUNDS` rounds the documents of that round are learnt where they
 lie: a task runs stochastic gradients in numpy from the common weights and returns the rows of weights that it has touched,
@@ -14,12 +18,13 @@ the network. What is gathered grows with the corpus: counts of every distinct wo
 
 from __future__ import annotations
 
+import heapq
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,10 @@ SINGLE, GROUPS, RARE = 40, 16, 8
 CLASSES = SINGLE + GROUPS + RARE
 EDGE = WORDS + ENDINGS
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
-_HELD = 200_000
+#: Words whose logits are worked out together, so that they stay in a core's cache.
+_CHUNK = 1024
+#: A block of documents takes no further one beyond so many different words, or words.
+_HELD, _LONG = 200_000, 4_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,6 +53,14 @@ def ending(word: str) -> int:
     return zlib.crc32(word[-3:].encode("utf-8", "replace")) % ENDINGS
 
 
+class Numbers(dict):
+    """Numbers words as they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 class Tokens(dict):
     """Token of each word, worked out once for each word and emptied when it is full."""
 
@@ -75,16 +91,19 @@ def joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """The frequent words, each token's class, and its log-probability within it."""
+    """The frequent words, each token's class, and its log-probability within it by corpus shares alone; how often each token
+    occurs, and the log-probability of a word within its token: 0, or an even part of the words of an ending."""
 
     frequent: list[str]
     of_class: np.ndarray
     within: np.ndarray
     prior: np.ndarray
+    counts: np.ndarray
+    even: np.ndarray
 
     @classmethod
-    def of(cls, frequent: list[tuple[str, int]], rare: dict[int, tuple[int, int]]) -> Vocabulary:
-        """frequent: words with counts, most frequent first. rare: of each class of rare words (tokens, different words)."""
+    def of(cls, frequent: list[tuple[str, int]], endings: dict[int, tuple[int, int]]) -> Vocabulary:
+        """frequent: words with counts, most frequent first. endings: of each ending of rare words (tokens, different words)."""
         n = np.zeros(EDGE + 1)
         n[: len(frequent)] = [c for _, c in frequent]
         group = np.zeros(EDGE + 1, np.int64)
@@ -97,33 +116,84 @@ class Vocabulary:
         total = np.bincount(group[: len(frequent)], n[: len(frequent)], CLASSES)
         within = np.zeros(EDGE + 1)
         within[: len(frequent)] = np.log(n[: len(frequent)] / np.maximum(total[group[: len(frequent)]], 1))
-        for k, (tokens, different) in rare.items():
-            total[SINGLE + GROUPS + k] = tokens
-            own = np.arange(WORDS + k, EDGE, RARE)
-            within[own] = -np.log(max(different, 1))
+        even, different = np.zeros(EDGE + 1), np.zeros(RARE, np.int64)
+        for k, (tokens, words) in endings.items():
+            total[SINGLE + GROUPS + k % RARE] += tokens
+            different[k % RARE] += words
+            n[WORDS + k], even[WORDS + k] = tokens, -np.log(words)
+        within[WORDS:EDGE] = -np.log(np.maximum(different, 1))[np.arange(ENDINGS) % RARE]
         prior = np.log((total + 1) / (total.sum() + CLASSES))
-        return cls([w for w, _ in frequent], group, within.astype(np.float32), prior.astype(np.float32))
+        return cls([w for w, _ in frequent], group, within.astype(np.float32), prior.astype(np.float32), n, even.astype(np.float32))
+
+
+@dataclass
+class Tree:
+    """A Huffman tree in each class. A token's way is steps[first[t] : first[t] + depth[t]], from the class to the token: nodes
+    and signs (1 or -1: which of its two sides). odds: by step, log of the tokens on the side that it takes to those on the other. n: nodes."""
+
+    first: np.ndarray
+    depth: np.ndarray
+    nodes: np.ndarray
+    signs: np.ndarray
+    odds: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, vocab: Vocabulary) -> Tree:
+        ways: list[list[tuple[int, int]]] = [[] for _ in range(EDGE + 1)]
+        odds: list[float] = []
+        tokens = np.r_[np.arange(len(vocab.frequent)), np.arange(WORDS, EDGE)]
+        for c in range(CLASSES):
+            heap = [(max(float(vocab.counts[t]), 0.5), int(t), [int(t)]) for t in tokens[vocab.of_class[tokens] == c]]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (x, k, left), (y, j, right) = heapq.heappop(heap), heapq.heappop(heap)
+                for side, sign in ((left, 1), (right, -1)):
+                    for t in side:
+                        ways[t].append((len(odds), sign))
+                odds.append(float(np.log(x / y)))
+                heapq.heappush(heap, (x + y, min(k, j), left + right))
+        depth = np.array(list(map(len, ways)), np.int64)
+        steps = np.array([s for w in ways for s in w[::-1]], np.int64).reshape(-1, 2)
+        nodes, signs = steps[:, 0], steps[:, 1].astype(np.float32)
+        return cls(np.cumsum(depth) - depth, depth, nodes, signs, np.array(odds, np.float32)[nodes] * signs, len(odds))
+
+    def ways(self, target: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """(order of the targets with longest ways first; how many of them take a first step, a second and so on; the steps, those
+        of all first ones before all second ones)."""
+        depth = self.depth.take(target)
+        order = np.argsort((-depth).astype(np.int8), kind="stable")
+        at = self.first.take(target.take(order))
+        taking = (len(target) - np.cumsum(np.bincount(depth)))[:-1].tolist()
+        return order, taking, np.concatenate([at[:n] + k for k, n in enumerate(taking)] or [at[:0]])
+
+
+#: Rows of a network before those of its nodes.
+NODES = EDGE + 1 + 2 * REACH + 1 + CLASSES + CLASSES // HIDDEN
 
 
 @dataclass
 class Network:
-    """All weights as rows of HIDDEN numbers: embeddings, scales of places, the hidden bias, and the classes' rows and biases."""
+    """All weights as rows of HIDDEN numbers: embeddings, scales of places, the hidden bias, the classes' rows and biases, and the nodes of a tree."""
 
     rows: np.ndarray
 
     @classmethod
-    def new(cls, prior: np.ndarray, seed: int = 11) -> Network:
+    def new(cls, prior: np.ndarray, seed: int = 11, nodes: int = 0) -> Network:
         rng = np.random.default_rng(seed)
         n = EDGE + 1
-        rows = np.concatenate([rng.normal(0, 0.3, (n, HIDDEN)), np.ones((2 * REACH, HIDDEN)), np.zeros((1, HIDDEN)), rng.normal(0, 0.1, (CLASSES, HIDDEN)), prior.reshape(-1, HIDDEN)])
+        rows = np.concatenate([rng.normal(0, 0.3, (n, HIDDEN)), np.ones((2 * REACH, HIDDEN)), np.zeros((1, HIDDEN)), rng.normal(0, 0.1, (CLASSES, HIDDEN)), prior.reshape(-1, HIDDEN), np.zeros((nodes, HIDDEN))])
         return cls(rows.astype(np.float32))
 
     def parts(self) -> tuple[np.ndarray, ...]:
         """Views: embeddings, scales, hidden bias, classes' rows, classes' biases."""
         cuts = np.cumsum([EDGE + 1, 2 * REACH, 1, CLASSES])
-        e, s, b, o, c = np.split(self.rows, cuts)
+        e, s, b, o, c = np.split(self.rows[:NODES], cuts)
         return e, s, b[0], o, c.reshape(-1)
 
+    def nodes(self) -> np.ndarray:
+        return self.rows[NODES:]
+
     def hidden(self, around: list[np.ndarray]) -> np.ndarray:
         """The hidden layer for what stands at each place: embeddings (n, HIDDEN), not scaled yet."""
         _, s, b, _, _ = self.parts()
@@ -134,44 +204,101 @@ class Network:
         return np.tanh(h, out=h)
 
     def logits(self, h: np.ndarray) -> np.ndarray:
-        """Logits of every class less their largest."""
+        """Logits of every class less their largest, a row for each of h; a class's lie behind each other in memory."""
         _, _, _, o, c = self.parts()
-        z = h @ o.T
-        z += c
-        z -= z.max(axis=1, keepdims=True)
-        return z
+        z = o @ h.T
+        z += c[:, None]
+        z -= z.max(axis=0)
+        return z.T
+
+    def decided(self, tree: Tree, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """tree.ways() of the targets, and for each step its h, its node's weights and the logit that it is taken."""
+        order, taking, steps = tree.ways(target)
+        h = h.take(order, axis=0)
+        h = np.concatenate([h[:n] for n in taking] or [h[:0]])
+        weights = self.nodes().take(tree.nodes.take(steps), axis=0)
+        logit = np.einsum("ij,ij->i", weights, h)
+        logit *= tree.signs.take(steps)
+        logit += tree.odds.take(steps)
+        return order, taking, steps, h, weights, logit
 
 
 PLACES = [k for k in range(-REACH, REACH + 1) if k]
 
 
+def summed(rows: np.ndarray, keys: np.ndarray, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, the sum of the rows of each). The first rows of all keys are added in turns, what is left of frequent keys by reduceat."""
+    if not len(keys):
+        return keys, rows
+    order = np.argsort(keys, kind="stable")  # 16-bit numbers sort fast
+    ordered = keys.take(order)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    n = np.diff(np.r_[first, len(keys)])
+    most = np.argsort(-np.minimum(n, turns + 1).astype(np.int8), kind="stable")
+    first, n = first[most], n[most]
+    out = rows.take(order[first], axis=0)
+    for k in range(1, turns):
+        m = int(np.count_nonzero(n > k))
+        out[:m] += rows.take(order.take(first[:m] + k), axis=0)
+    m = int(np.count_nonzero(n > turns))
+    if m:
+        left = n[:m] - turns
+        ends = np.cumsum(left)
+        rest = rows.take(order.take(np.arange(ends[-1]) + np.repeat(first[:m] + turns - (ends - left), left)), axis=0)
+        out[:m] += np.add.reduceat(rest.view(np.complex64), ends - left).view(np.float32)  # two columns at once
+    return ordered[first], out
+
+
 def gradients(net: Network, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(log-loss, embeddings touched, their gradients, gradients of all rows after the embeddings), summed over a batch.
+    """(log-loss, embeddings touched, their gradients, gradients of all rows between embeddings and nodes), summed over a batch.
 
-    context: tokens (2 * REACH, n), a row for each place."""
+    context: tokens (2 * REACH, n), a row for each place. target: classes."""
+    return _gradients(net, context, target, None, None)[:4]
+
+
+def _gradients(net: Network, context: np.ndarray, target: np.ndarray, tree: Tree | None, words: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """gradients(), of the words' whole ways with a tree; then the nodes touched and their gradients."""
     e, s, _, o, _ = net.parts()
-    around, n = [e.take(c, axis=0) for c in context], np.arange(len(target))
+    around = [e.take(c, axis=0) for c in context]
     h = net.hidden(around)
-    z = net.logits(h)
-    np.exp(z, out=z)
-    z *= 1 / z.sum(axis=1, keepdims=True)
-    loss = -float(np.log(z[n, target]).sum())
-    z[n, target] -= 1
-    dh = (z @ o) * (1 - h * h)
-    flat = context.ravel()  # 16-bit numbers sort fast
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    de = np.add.reduceat(np.concatenate([dh * scale for scale in s]).take(order, axis=0), first)
-    ds = np.stack([(x * dh).sum(axis=0) for x in around])
-    return loss, flat[first], de, np.concatenate([ds, dh.sum(axis=0)[None], z.T @ h, z.sum(axis=0).reshape(-1, HIDDEN)])
+    dh, do, dc, loss = np.empty_like(h), np.zeros_like(o), np.zeros(CLASSES, h.dtype), 0.0
+    at, back = [np.zeros(0, np.uint16)], [h[:0]]
+    for k in range(0, len(target), _CHUNK):
+        own, own_h = target[k : k + _CHUNK], h[k : k + _CHUNK]
+        n = np.arange(len(own))
+        z = net.logits(own_h).T
+        np.exp(z, out=z)
+        z *= 1 / z.sum(axis=0)
+        loss -= float(np.log(z[own, n]).sum())
+        z[own, n] -= 1
+        dh[k : k + _CHUNK] = z.T @ o
+        do += z @ own_h
+        dc += z.sum(axis=1)
+        if tree is not None:
+            order, taking, steps, step_h, weights, logit = net.decided(tree, own_h, words[k : k + _CHUNK])
+            np.exp(np.negative(logit, out=logit), out=logit)
+            loss += float(np.log1p(logit).sum())
+            g = (tree.signs.take(steps) * (1 / (1 + logit) - 1))[:, None]
+            weights *= g
+            step_h *= g
+            below, first = np.zeros_like(own_h), 0
+            for m in taking:
+                below[:m] += weights[first : first + m]
+                first += m
+            dh[k + order] += below
+            at.append(tree.nodes.take(steps).astype(np.uint16))
+            back.append(step_h)
+    dh *= 1 - h * h
+    touched, de = summed(np.concatenate([dh * scale for scale in s]), context.ravel())
+    ds = np.stack([np.einsum("ij,ij->j", x, dh) for x in around])
+    return loss, touched, de, np.concatenate([ds, dh.sum(axis=0)[None], do, dc.reshape(-1, HIDDEN)]), *summed(np.concatenate(back), np.concatenate(at))
 
 
 class Learner:
     """Stochastic gradients with steps scaled by each row's own history."""
 
-    def __init__(self, net: Network, vocabulary: Vocabulary):
-        self.net, self.vocabulary = Network(net.rows.copy()), vocabulary
+    def __init__(self, net: Network, vocabulary: Vocabulary, tree: Tree | None = None):
+        self.net, self.vocabulary, self.tree = Network(net.rows.copy()), vocabulary, tree
         self.seen, self.size = np.zeros(len(net.rows)), np.full(len(net.rows), 1e-3)
         self.loss = 0.0
 
@@ -179,95 +306,143 @@ class Learner:
         rows, n = self.net.rows, EDGE + 1
         for at in range(0, len(own), BATCH):
             middle = own[at : at + BATCH]
-            loss, touched, de, rest = gradients(self.net, np.stack([tokens[middle + p] for p in PLACES]), self.vocabulary.of_class[tokens[middle]])
+            words = tokens[middle]
+            loss, touched, de, rest, nodes, dn = _gradients(self.net, np.stack([tokens[middle + p] for p in PLACES]), self.vocabulary.of_class[words], self.tree, words)
             self.loss += loss
-            for where, g in ((touched, de), (np.arange(n, len(rows)), rest)):
-                self.size[where] += (g * g).mean(axis=1)
-                rows[where] -= RATE * g / np.sqrt(self.size[where])[:, None].astype(np.float32)
-            self.seen[n:] += len(middle)
+            nodes = nodes.astype(np.int64) + NODES
+            for where, g in ((touched.astype(np.int64), de), (slice(n, NODES), rest), (nodes, dn)):
+                size = self.size[where] + np.einsum("ij,ij->i", g, g) / HIDDEN
+                self.size[where] = size
+                g *= (-RATE / np.sqrt(size)).astype(np.float32)[:, None]
+                g += rows[where] if isinstance(where, slice) else rows.take(where, axis=0)
+                rows[where] = g
+            self.seen[n:NODES] += len(middle)
             self.seen[touched] += 1
+            self.seen[nodes] += 1
 
 
 class Scorer:
     """A network with its embeddings scaled by place."""
 
-    def __init__(self, net: Network, vocabulary: Vocabulary):
+    def __init__(self, net: Network, vocabulary: Vocabulary, tree: Tree | None = None):
         e, s, self.bias, _, _ = net.parts()
-        self.net, self.vocabulary, self.scaled = net, vocabulary, [e * scale for scale in s]
+        self.net, self.vocabulary, self.tree, self.scaled = net, vocabulary, tree, [e * scale for scale in s]
 
     def scores(self, tokens: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Log-probability of each of the tokens at `own` given both sides."""
         out = np.zeros(len(own))
-        for at in range(0, len(own), BATCH):
-            middle = own[at : at + BATCH]
+        for at in range(0, len(own), _CHUNK):
+            middle = own[at : at + _CHUNK]
             target = tokens[middle]
             h = self.scaled[0].take(tokens[middle + PLACES[0]], axis=0)
             for table, p in zip(self.scaled[1:], PLACES[1:], strict=True):
                 h += table.take(tokens[middle + p], axis=0)
             h += self.bias
-            z = self.net.logits(np.tanh(h, out=h))
-            own_class = z[np.arange(len(middle)), self.vocabulary.of_class[target]]
+            z = self.net.logits(np.tanh(h, out=h)).T
+            own_class = z[self.vocabulary.of_class[target], np.arange(len(middle))]
             np.exp(z, out=z)
-            out[at : at + BATCH] = own_class - np.log(z.sum(axis=1)) + self.vocabulary.within[target]
+            out[at : at + _CHUNK] = own_class - np.log(z.sum(axis=0)) + (self.vocabulary.within[target] if self.tree is None else self.below(h, target))
         return out
 
+    def below(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each target within its class."""
+        order, taking, _, _, _, logit = self.net.decided(self.tree, h, target)
+        lost, total, first = np.log1p(np.exp(-logit)), np.zeros(len(target), np.float32), 0
+        for m in taking:
+            total[:m] -= lost[first : first + m]
+            first += m
+        out = self.vocabulary.even[target]
+        out[order] += total
+        return out
+
+
+BLOCKS = "ids array<long>, sizes array<int>, local binary, words array<string>, counts array<long>, endings array<int>"
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) of all texts. Tasks count their own words, in tables emptied when full, before the counts are shuffled."""
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for a run of documents of a task: their ids and numbers of words; their words as 32-bit numbers into the block's
+    own table of different words, with how often each occurs and its ending. Texts are cut into words once, here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+        known, ids, parts = Numbers(), [], []
 
-        def emptied() -> Iterator[pa.RecordBatch]:
-            words = list(found)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[w] for w in part], pa.int64()), pa.array([ending(w) % RARE for w in part], pa.int32())], names=["word", "n", "ending"])
-            found.clear()
+        def block() -> pa.RecordBatch:
+            local = np.concatenate([np.zeros(0, np.int32), *parts])
+            words, counts = list(known), np.bincount(local, minlength=len(known))
+            lists = ((ids, pa.int64()), ([len(x) for x in parts], pa.int32()), (words, pa.string()), (counts, pa.int64()), (list(map(ending, words)), pa.int32()))
+            found = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in lists]
+            return pa.RecordBatch.from_arrays([*found[:2], pa.array([local.tobytes()], pa.binary()), *found[2:]], names=["ids", "sizes", "local", "words", "counts", "endings"])
 
+        n = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                found.update(words_of(t))
-                if len(found) > _HELD:
-                    yield from emptied()
-        yield from emptied()
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                ids.append(doc_id)
+                parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                n += len(words)
+                if len(known) > _HELD or n > _LONG:
+                    yield block()
+                    known, ids, parts, n = Numbers(), [], [], 0
+        if ids:
+            yield block()
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, BLOCKS)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long, ending int").groupBy("word").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
+
+def word_counts(cut_blocks: DataFrame) -> DataFrame:
+    """(word, n, ending) of all texts. Blocks have counted their own words before these are shuffled."""
+    each = cut_blocks.select(F.explode(F.arrays_zip("words", "counts", "endings")).alias("x")).select("x.*")
+    return each.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"), F.first("endings").alias("ending"))
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> Vocabulary:
-    """The frequent words, ties in the order of the words, and sums over all others. At most WORDS rows reach the driver."""
-    counted = cut(word_counts(docs, text_col))
+    """The vocabulary of docs; see learnt_words."""
+    return learnt_words(blocks(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))), words)
+
+
+def learnt_words(cut_blocks: DataFrame, words: int = WORDS) -> Vocabulary:
+    """The frequent words, ties in the order of the words, and sums over all others by ending. At most WORDS + ENDINGS rows reach the driver."""
+    counted = cut(word_counts(cut_blocks))
     top = counted.orderBy(F.desc("n"), "word").limit(words).collect()
     frequent = [(r.word, r.n) for r in top]
-    rare = {}
+    endings = {}
     if len(frequent) == words:
         word, n = frequent[-1]
         others = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(word))))
-        rare = {r.ending: (r.tokens, r.words) for r in others.groupBy("ending").agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect()}
-    return Vocabulary.of(frequent, rare)
+        endings = {r.ending: (r.tokens, r.words) for r in others.groupBy("ending").agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect()}
+    return Vocabulary.of(frequent, endings)
 
 
 def with_tokens(docs: DataFrame, frequent: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) for each row: its text's tokens as 16-bit numbers."""
+    return numbered(blocks(docs, id_col, text_col), frequent, id_col)
+
+
+def numbered(cut_blocks: DataFrame, frequent: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(id, ids) for each document of blocks: its tokens as 16-bit numbers, looked up once for each different word of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(frequent)
+        known = {w: i for i, w in enumerate(frequent)}
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tokens.of(t) for t in part.column(1).to_pylist()], pa.binary())], names=[id_col, "ids"])
+            for k in range(b.num_rows):
+                ids, sizes, local, words, endings = (b.column(c)[k] for c in range(5))
+                found = np.fromiter(map(known.get, words.values.to_pylist(), repeat(-1)), np.int64, len(words))
+                found = np.where(found < 0, WORDS + endings.values.to_numpy(), found).astype(np.uint16)
+                tokens = found[np.frombuffer(local.as_buffer(), np.int32)].tobytes()
+                ends = np.cumsum(2 * sizes.values.to_numpy()).tolist()
+                each = [tokens[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                for at in range(0, len(each), 256):
+                    yield pa.RecordBatch.from_arrays([ids.values.slice(at, 256), pa.array(each[at : at + 256], pa.binary())], names=[id_col, "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, ids binary")
+    return cut_blocks.select("ids", "sizes", "local", "words", "endings").mapInArrow(run, f"`{id_col}` long, ids binary")
 
 
-def learnt_round(rows: DataFrame, net: Network, vocab: Vocabulary, number: int, rounds: int = ROUNDS) -> Network:
+def learnt_round(rows: DataFrame, net: Network, vocab: Vocabulary, number: int, rounds: int = ROUNDS, tree: Tree | None = None) -> Network:
     """The mean of what tasks learn from their rows of this round (with `ids`), each row of weights weighed by the tokens that moved it."""
-    packed = pickle.dumps((net, vocab))
+    packed = pickle.dumps((net, vocab, tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_net, own_vocab = pickle.loads(packed)
-        learner, k = Learner(own_net, own_vocab), number
+        learner, k = Learner(*pickle.loads(packed)), number
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.column(0).slice(at, 64).to_pylist()
@@ -293,11 +468,11 @@ def _scorer(packed: bytes) -> Scorer:
     return Scorer(*pickle.loads(packed))
 
 
-def scores(rows: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_id") -> DataFrame:
+def scores(rows: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_id", tree: Tree | None = None) -> DataFrame:
     """(id, n_tokens, pll, pll_mean) for each of with_tokens' rows: sum and mean of the log-probabilities of its tokens.
 
     A text without words, or null, has 0 tokens, a sum of 0 and no mean. Texts are scored whole; repeated rows score alike."""
-    packed = pickle.dumps((net, vocab))
+    packed = pickle.dumps((net, vocab, tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(packed)
@@ -312,20 +487,23 @@ def scores(rows: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_
     return rows.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, n_tokens long, pll double, pll_mean double")
 
 
-def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
+def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, tree: Tree | None = None) -> Network:
     """A network trained on all of with_tokens' rows, a written table: every row in one of the rounds. No rows leave it untrained."""
-    net = Network.new(vocab.prior)
+    net = Network.new(vocab.prior, nodes=0 if tree is None else tree.n)
     for k in range(rounds):
-        net = learnt_round(rows, net, vocab, k, rounds)
+        net = learnt_round(rows, net, vocab, k, rounds, tree)
     return net
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on all of docs and score each of its rows. Texts are read twice, to count words and to number them; null ids stay null,
-    and an empty table scores nothing."""
-    vocab = vocabulary(docs, text_col)
-    rows = cut(with_tokens(docs, vocab.frequent, id_col, text_col))
-    return scores(rows, train(rows, vocab), vocab, id_col)
+    """Train on all of docs and score each of its rows. Texts are read once; null ids stay null, and an empty table scores nothing.
+
+    Weights, and so scores, depend on how rows are dealt over tasks."""
+    in_blocks = cut(blocks(docs, id_col, text_col))
+    vocab = learnt_words(in_blocks)
+    tree = Tree.of(vocab)
+    rows = cut(numbered(in_blocks, vocab.frequent, id_col))
+    return scores(rows, train(rows, vocab, tree=tree), vocab, id_col, tree)
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
