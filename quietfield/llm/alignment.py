@@ -4,17 +4,18 @@ The alignment itself is relational: tokens are posexploded, a window sums their
 document and end finds the offsets where tokens of both sides end, a running count of these cuts numbers the groups, and a
 join on document and group gives the links.
 
-Words recur, and both tokenizers end a token before a single space in front of a word. So texts are split there, each
-different segment of the corpus is encoded and aligned once, and documents are chains of segments. A page is what one task
-reads, up to a number of different segments: its documents refer to its segments by number, exchanges deal pages and their
-segments, never the words of documents, and what is known corpus-wide (how many documents hold a pair of ids linked) comes
-back to each page as one row for each pair that the page has."""
+Words recur, and both tokenizers end a token before a single space in front of a word, between a letter and a mark behind
+it, and between a line's end and a letter. So texts are split there, each different segment of the corpus is encoded and
+aligned once, and documents are chains of segments. A page is what one task reads, up to a number of different segments: its
+documents refer to its segments by number, exchanges deal pages and their segments, never the words of documents, and
+kernels over a page count its pairs of ids and sum up its documents."""
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -23,16 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, with_groups
+from .common import cut, with_groups
 from .exact_dedup import _settings
 from .token_counts import byte_letters
 
-#: A page takes no further batch of documents beyond so many segments; documents that are chained together.
-PAGE_SEGMENTS, SLICE = 250_000, 256
-#: Shares of the pages that are worked on one after the other where words' links and groups are sent to pages, so that disks hold one share of them at a time.
-TURNS = 4
+#: A page takes no further batch of documents beyond so many segments.
+PAGE_SEGMENTS = 500_000
+#: Up to so many pairs of ids, counted first, are sent to all executors with their counts: about 60 MB.
+MAX_PAIRS = 1_000_000
 #: Both tokenizers end a token before a space that follows no space and stands before a non-space. Texts where every space is such a one need no search.
 _JOINT, _ODD = re.compile(r"(?<! )(?= \S)"), re.compile(r" (?:\s|\Z)")
+#: They also end one between a Latin letter and ASCII that is no letter, number or space, and between a line's end behind a printed character
+#: and such a letter (of more white space A's tokens depend on what follows).
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~\n"
+_INNER, _ACROSS = re.compile(f"(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[!-~{_LETTER}]\n)(?=[{_LETTER}])"), re.compile(f"[{_LETTER}][{_MARK}]|\n")
+#: Segments that are encoded many in one text, and how many.
+_CLEAN, _JOINED = re.compile(rf" ?[!-~À-ÖØ-öø-ÿ\n]+"), 64
 #: Rows of one page lie in one partition, so keys that hold the page need no exchange; sorted input needs no hash table.
 #: What a job has shuffled goes with it, and tables between jobs are packed harder.
 PLAN = {
@@ -58,6 +65,8 @@ class Pair:
         if any(re.search("[^▁]▁", p) for p in raw):
             raise ValueError(f"{path_b} has pieces that reach over a space; texts cannot be split there")
         special = set(self.a.get_added_tokens_decoder())
+        if any(_ACROSS.search(p) for k, p in enumerate(raw) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))):
+            raise ValueError(f"{path_b} has pieces that reach from a letter over a mark; texts cannot be split there")
         self.bytes_a = {k: bytes(byte_of[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if k not in special}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(raw)]
 
@@ -69,17 +78,57 @@ class Pair:
         self.token_a, self.token_b = (np.arange(len(x), dtype=np.int32) | (x << SIZE_BIT) for x in (self.size_a, self.size_b))
 
     def encode(self, segments: list[str]) -> tuple[Ragged, Ragged, np.ndarray]:
-        """Ids by A and by B of segments, given without the space that they begin with, and whether both sides' bytes are the segment's."""
-        whole = [f" {s}" for s in segments]
-        a = Ragged.of([e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)])
-        b = Ragged.of(self.b.encode(segments, num_threads=1))
-        raw = [s.encode() for s in whole]
-        sizes = np.array(list(map(len, raw)), np.int64)
-        own_a, own_b = (b"".join(map(table.__getitem__, x.flat.tolist())) for table, x in ((self.bytes_a, a), (self.bytes_b, b)))
-        same = (a.sums(self.size_a) == sizes) & (b.sums(self.size_b) == sizes)
-        if not (same.all() and own_a == own_b == b"".join(raw)):
-            same = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, r in zip(a.lists(), b.lists(), raw, strict=True)], bool)
-        return a, b, same
+        """Ids by A and by B of segments, and whether both sides' bytes are the segment's.
+
+        A segment that does not begin with a space stands in a word: it is encoded behind others, whose tokens are left out."""
+        lead = ["" if s[0] == " " else " a\n" if s[0].isalpha() else " a" for s in segments]
+        out: list[tuple[list[int], list[int], bool]] = [([], [], False)] * len(segments)
+        clean = [k for k, s in enumerate(segments) if _CLEAN.fullmatch(s)]
+        if not self._together(segments, lead, clean, out):
+            clean = []
+        together = set(clean)
+        for k in (k for k in range(len(segments)) if k not in together):
+            out[k] = self._alone(lead[k], segments[k])
+        return Ragged.of([x[0] for x in out]), Ragged.of([x[1] for x in out]), np.array([x[2] for x in out], bool)
+
+    def _together(self, segments: list[str], lead: list[str], of: list[int], out: list) -> bool:
+        """Encode segments many in one text, as none has a space but the first. False if a side does not give them back so."""
+        whole = [lead[k] + segments[k] for k in of]
+        texts = ["".join(whole[at : at + _JOINED]) for at in range(0, len(whole), _JOINED)]
+        raw = "".join(texts).encode()
+        ends = np.cumsum([len(w.encode()) for w in whole], dtype=np.int64)
+        starts = ends - [len(segments[k].encode()) for k in of]
+        sides = []
+        for found, table, sizes in (
+            ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.bytes_a, self.size_a),
+            (self.b.encode([t[1:] for t in texts], num_threads=1), self.bytes_b, self.size_b),
+        ):
+            flat = list(chain.from_iterable(found))
+            if b"".join(map(table.__getitem__, flat)) != raw:
+                return False
+            at = np.r_[0, np.cumsum(sizes[np.array(flat, np.int64)], dtype=np.int64)]
+            x, y = np.searchsorted(at, starts), np.searchsorted(at, ends)
+            if (at[x] != starts).any() or (at[y] != ends).any():
+                return False
+            sides.append([flat[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+        for k, a, b in zip(of, *sides, strict=True):
+            out[k] = (a, b, True)
+        return True
+
+    def _alone(self, lead: str, segment: str) -> tuple[list[int], list[int], bool]:
+        whole = lead + segment
+        raw, skip = whole.encode(), len(lead.encode())
+        sides = []
+        for ids, table in ((self.a.encode(whole, add_special_tokens=False).ids, self.bytes_a), (self.b.encode(whole[1:]), self.bytes_b)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return [], [], False
+            first, at = 0, 0
+            while at < skip:
+                at, first = at + len(table[ids[first]]), first + 1
+            if at != skip:
+                raise ValueError(f"a token of {whole!r} reaches into a segment")
+            sides.append(ids[first:])
+        return *sides, True
 
 
 class Ragged:
@@ -119,7 +168,7 @@ class Numbers(dict):
 
 
 def words(text: str | None) -> list[str]:
-    """Segments of a space and the text, each without the space that it begins with."""
+    """A space and the text, split before spaces, without the space that each part begins with."""
     if not text:
         return []
     if text[0] != " " and not _ODD.search(text) and not text[0].isspace():
@@ -127,6 +176,17 @@ def words(text: str | None) -> list[str]:
     return [w[1:] for w in _JOINT.split(f" {text}") if w]
 
 
+class Parts(dict):
+    """The numbers of the segments of words, found once for each word; segments are numbered as they are first met."""
+
+    def __init__(self):
+        self.segments = Numbers()
+
+    def __missing__(self, word: str) -> list[int]:
+        self[word] = found = [self.segments[s] for s in _INNER.split(f" {word}")]
+        return found
+
+
 @lru_cache(maxsize=2)
 def pair(path_a: str, path_b: str) -> Pair:
     """One for each two files and worker process."""
@@ -140,10 +200,11 @@ def pages(docs: DataFrame, page_segments: int = PAGE_SEGMENTS, id_col: str = "do
     """Two kinds of rows: documents (key, unique in a page; doc_id; the numbers of their segments in order), and the segments of each page, numbered from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, key, known = TaskContext.get().partitionId() << 24, 0, Numbers()
+        page, key, parts = TaskContext.get().partitionId() << 24, 0, Parts()
         for batch in batches:
+            known = parts.segments
             first = len(known)
-            of = Ragged.of([list(map(known.__getitem__, words(t))) for t in batch.column(1).to_pylist()])
+            of = Ragged.of([list(chain.from_iterable(map(parts.__getitem__, words(t)))) for t in batch.column(1).to_pylist()])
             n, m = len(batch), len(known) - first
             new = list(islice(reversed(known), m))[::-1]
             doc_ids = pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())])
@@ -153,7 +214,7 @@ def pages(docs: DataFrame, page_segments: int = PAGE_SEGMENTS, id_col: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, page)), keys, doc_ids, of.column(after=m), numbers, own], names=["page", "key", "doc_id", "segments", "segment", "word"])
             key += n
             if len(known) >= page_segments:
-                known, page = Numbers(), page + 1
+                parts, page = Parts(), page + 1
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PAGES)
 
@@ -211,39 +272,108 @@ def aligned(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("n_links", F.size("links"))
 
 
-def chained(documents: DataFrame, segments: DataFrame, columns: list[str]) -> DataFrame:
-    """Slices of a page's documents (`docs`), each with the page's array of what its segments have (`of`), in the order of their numbers."""
-    slices = documents.groupBy("page", F.floor(F.col("key") / SLICE).alias("slice")).agg(F.collect_list(F.struct("key", "doc_id", "segments")).alias("docs"))
-    table = segments.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("segment", *columns))).alias("of"))
-    return slices.join(table.hint("shuffle_hash"), "page", "left")  # a page of empty documents has no segments
-
+def by_page(documents: DataFrame, segments: DataFrame, columns: list[str], n: int, kernel: Callable, schema: str) -> DataFrame:
+    """What kernel makes of each page: of its segments' columns, a table in the order of their numbers, and an iterator of its documents (doc_id, segments)."""
+    kinds = dict(segments.dtypes)
+    left = documents.select("page", "doc_id", "segments", F.lit(None).cast("int").alias("segment"), *(F.lit(None).cast(kinds[c]).alias(c) for c in columns))
+    right = segments.select("page", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("segments"), "segment", *columns)
 
-def pair_counts(documents: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per page and pair of ids: how many of the page's documents hold it linked."""
-    own = chained(documents, segments, ["links"])
-    links = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["segments"]), lambda k: F.get(F.col("of"), k)["links"]))))
-    return own.select("page", F.explode(links).alias("links")).select("page", F.explode("links").alias("link")).groupBy("link", "page").agg(F.count("*").alias("docs"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+            """Batches cut where the page or the kind of rows changes."""
+            for b in batches:
+                page, document = b.column(0).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero((page[1:] != page[:-1]) | (document[1:] != document[:-1])) + 1
+                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(page)], strict=True):
+                    if y > x:
+                        yield int(page[x]), bool(document[x]), b.slice(x, y - x)
+
+        source = pieces()
+        piece = next(source, None)
+        while piece:
+            page, parts = piece[0], []
+            while piece and piece[0] == page and not piece[1]:
+                parts.append(piece[2].select(["segment", *columns]))
+                piece = next(source, None)
+            table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+            if parts and (table.column(0).to_numpy() != np.arange(len(table))).any():
+                raise ValueError("a page lacks segments")
+
+            def own(page: int = page) -> Iterator[pa.RecordBatch]:
+                nonlocal piece
+                while piece and piece[0] == page:
+                    yield piece[2].select(["doc_id", "segments"])
+                    piece = next(source, None)
+
+            yield from kernel(table, own())
+
+    both = left.unionByName(right).repartition(n, "page").sortWithinPartitions("page", F.col("segment").asc_nulls_last())
+    return both.mapInArrow(run, schema)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of lists behind each other, where each list begins and the last ends); null lists are empty."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def pair_counts(documents: DataFrame, segments: DataFrame, n: int) -> DataFrame:
+    """Per page and pair of ids (`link`): how many of the page's documents hold it linked. Documents with a segment that is not given back hold none."""
+
+    def kernel(table: pa.Table | None, docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if table is None:
+            for _ in docs:
+                pass
+            return
+        links = table.column("links").combine_chunks()
+        lost = links.is_null().to_numpy(zero_copy_only=False)
+        flat, at = _lists(links)
+        pairs, flat = np.unique(flat, return_inverse=True)
+        flat, sizes, counts = flat.astype(np.int32), np.diff(at), np.zeros(len(pairs), np.int64)
+        for b in docs:
+            own, ends = _lists(b.column(1))
+            for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                used = _different(own[x:y])
+                if not lost[used].any():
+                    n = sizes[used]
+                    before = np.cumsum(n)
+                    counts[_different(flat[np.arange(before[-1] if len(n) else 0) + np.repeat(at[used] - before + n, n)])] += 1
+        held = np.flatnonzero(counts)
+        for x in range(0, len(held), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[held[x : x + 50_000]]), pa.array(counts[held[x : x + 50_000]])], names=["link", "docs"])
+
+    return by_page(documents, segments, ["links"], n, kernel, "link long, docs long")
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def whole(documents: DataFrame, segments: DataFrame) -> DataFrame:
+def whole(documents: DataFrame, segments: DataFrame, n: int) -> DataFrame:
     """Per document: the sums of its segments' numbers and the digest of their groups in order; zeros and '' for one without segments, or with one that is not given back."""
 
-    def summed(parts: Column) -> Column:
-        given = (F.size(parts) > 0) & ~F.exists(parts, lambda x: x["groups"].isNull())
-        total = lambda c: F.when(given, F.aggregate(F.transform(parts, lambda x: x[c].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")).alias(c)
-        digest = F.when(given, F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256)).otherwise("")
-        return F.struct(*map(total, NUMBERS), digest.alias("groups_sha256"))
+    def kernel(table: pa.Table | None, docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, texts, lost = np.zeros((len(NUMBERS), 0), np.int64), [], np.zeros(0, bool)
+        if table is not None:
+            lost = table.column("groups").is_null().to_numpy()
+            numbers = np.stack([np.nan_to_num(table.column(c).to_numpy()).astype(np.int64) for c in NUMBERS])
+            texts = table.column("groups").cast(pa.binary()).to_pylist()
+        for b in docs:
+            own, ends = _lists(b.column(1))
+            given = (np.diff(ends) > 0) & (np.diff(np.r_[0, np.cumsum(lost[own])][ends]) == 0)
+            sums = [pa.array(np.where(given, np.diff(np.r_[0, np.cumsum(c[own])][ends]), 0)) for c in numbers]
+            listed = own.tolist()
+            digests = [hashlib.sha256(b";".join(map(texts.__getitem__, listed[x:y]))).hexdigest() if ok else "" for x, y, ok in zip(ends.tolist(), ends[1:].tolist(), given.tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *sums, pa.array(digests, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
 
-    own = chained(documents, segments, [*NUMBERS, "groups"])
-    parts = lambda d: F.transform(d["segments"], lambda k: F.get(F.col("of"), k))
-    each = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), let(parts(d), summed).alias("own")))
-    return own.select(F.inline(each)).select("doc_id", "own.*")
+    return by_page(documents, segments, [*NUMBERS, "groups"], n, kernel, f"doc_id long, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Per row of docs: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A encodes a space and the text, B the text, to which it adds a space itself. Null and empty texts, and texts that a tokenizer
@@ -255,26 +385,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_S
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * table.select("page").distinct().count())
         words = table.where("segment is not null").groupBy("word").agg(F.collect_list(F.struct("page", "segment")).alias("places"))
         units = cut(encoded(words, path_a, path_b))
-        each = cut(aligned(units.select("unit", "a", "b").repartition(n, "unit"), ["unit"]))
-
-        def in_turns(f, facts: DataFrame) -> DataFrame:
-            """f(documents, segments with their facts) of each share of the pages, as one table."""
-            share = lambda page: F.pmod(F.xxhash64(page), F.lit(TURNS))
-            done = []
-            for turn in range(TURNS):
-                documents = table.where(F.col("segment").isNull() & (share(F.col("page")) == turn)).select("page", "key", "doc_id", "segments")
-                own = units.select("unit", F.filter("places", lambda p: share(p["page"]) == turn).alias("places")).where(F.size("places") > 0)
-                placed = own.join(facts, "unit", "left").select(F.inline("places"), *(c for c in facts.columns if c != "unit"))
-                done.append(cut(f(documents.repartition(n, "page"), placed.repartition(n, "page"))))
-            return reduce(DataFrame.unionByName, done)
-
-        counts = cut(in_turns(pair_counts, each.select("unit", "links")).groupBy("link").agg(F.sum("docs").alias("docs")))
+        found = aligned(units.select("unit", "a", "b").repartition(n, "unit"), ["unit"])
+        each = cut(units.select("unit", "places").join(found, "unit", "left"))
+        documents = table.where("segment is null").select("page", "doc_id", "segments")
+        counts = cut(pair_counts(documents, each.select(F.inline("places"), "links"), n).groupBy("link").agg(F.sum("docs").alias("docs")))
         best = counts.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("docs").alias("most"))
         known = counts.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))
-        linked = with_groups(each.select("unit", F.explode("links").alias("link")), known, "link", ["unit"])
+        links = each.select("unit", F.explode("links").alias("link"))
+        few = counts.limit(max_pairs + 1).count() <= max_pairs
+        linked = links.join(F.broadcast(known), "link", "left") if few else with_groups(links, known, "link", ["unit"])
         worth = linked.groupBy("unit").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
-        facts = cut(each.drop("links").join(worth, "unit"))
-        return in_turns(whole, facts).withColumnRenamed("doc_id", id_col)
+        facts = each.drop("links").join(worth, "unit", "left").select(F.inline("places"), *NUMBERS, "groups")
+        return cut(whole(documents, facts, n)).withColumnRenamed("doc_id", id_col)
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
