@@ -24,10 +24,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +42,62 @@ EDGE = WORDS + ENDINGS
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Words whose logits are worked out together, so that they stay in a core's cache.
 _CHUNK = 1024
-#: A block of documents takes no further one beyond so many different words, or words.
-_HELD, _LONG = 200_000, 4_000_000
+#: Nodes of a class, the heaviest ones, whose logits are worked out for all its words at once.
+TOP = 32
+#: Logits of no greater size can be raised to powers of e as they are.
+_SAFE = 80
+#: White space of str.split() beyond that of ASCII.
+_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Words whose tokens are kept. Texts that are cut into words at once. A block of documents takes no further ones beyond so many words.
+_HELD, _TEXTS, _LONG = 200_000, 256, 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of many texts at once: (the words of all texts behind each other, how many each text has)."""
+    lower = pc.ascii_lower(texts.take(pa.array(np.arange(len(texts)))))  # a slice would go through what lies around it
+    other = np.ones(len(texts), bool)
+    if not _controls(lower):
+        other = ~pc.string_is_ascii(lower).fill_null(True).to_numpy(zero_copy_only=False)
+    if other.any():
+        own = [_spaced((t or "").lower()) for t in texts.filter(pa.array(other)).to_pylist()]
+        at = np.argsort(np.argsort(other, kind="stable"), kind="stable")
+        lower = pa.concat_arrays([lower.filter(pa.array(~other)), pa.array(own, pa.string())]).take(pa.array(at))
+    lower = pc.ascii_trim_whitespace(lower)
+    split = pc.ascii_split_whitespace(lower)
+    words, n = split.flatten(), split.value_lengths().fill_null(0).to_numpy()
+    empty = pc.equal(lower, "").fill_null(False).to_numpy(zero_copy_only=False)
+    if empty.any():  # these are split into one empty word
+        words, n = words.filter(pc.not_equal(words, "")), np.where(empty, 0, n)
+    return words, n
+
+
+def _controls(texts: pa.Array) -> bool:
+    """Whether a text has one of the four control characters that str.split() takes for white space and ASCII functions do not."""
+    data = texts.buffers()[2]
+    x = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return bool((x - np.uint8(0x1C) < 4).any())  # smaller numbers wrap around
+
+
+def _spaced(text: str) -> str:
+    """The text with a space for white space of str.split() that ASCII functions do not take for such."""
+    for c in _SPACES[:4] if text.isascii() else _SPACES:
+        if c in text:
+            text = text.replace(c, " ")
+    return text
+
+
 def ending(word: str) -> int:
     return zlib.crc32(word[-3:].encode("utf-8", "replace")) % ENDINGS
 
 
-class Numbers(dict):
-    """Numbers words as they are first looked up."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = found = len(self)
-        return found
+def endings_of(words: pa.Array) -> pa.Array:
+    """ending() of many words, worked out once for each different one."""
+    found = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+    return pa.array(list(map(ending, found.dictionary.to_pylist())), pa.int32()).take(found.indices)
 
 
 class Tokens(dict):
@@ -101,6 +140,12 @@ class Vocabulary:
     counts: np.ndarray
     even: np.ndarray
 
+    def ranks(self) -> np.ndarray:
+        """The place of each token in the order of classes and, within one, of tokens."""
+        out = np.empty(EDGE + 1, np.uint16)
+        out[np.argsort(self.of_class, kind="stable")] = np.arange(EDGE + 1)
+        return out
+
     @classmethod
     def of(cls, frequent: list[tuple[str, int]], endings: dict[int, tuple[int, int]]) -> Vocabulary:
         """frequent: words with counts, most frequent first. endings: of each ending of rare words (tokens, different words)."""
@@ -129,7 +174,10 @@ class Vocabulary:
 @dataclass
 class Tree:
     """A Huffman tree in each class. A token's way is steps[first[t] : first[t] + depth[t]], from the class to the token: nodes
-    and signs (1 or -1: which of its two sides). odds: by step, log of the tokens on the side that it takes to those on the other. n: nodes."""
+    and signs (1 or -1: which of its two sides). odds: by step, log of the tokens on the side that it takes to those on the other. n: nodes.
+
+    A class's nodes lie behind each other, lighter ones first, so that the last TOP, from top[c] to last[c], are the upper end
+    of its tree: near[t] steps of a way are at these, before all others; columns: by step, the place among them."""
 
     first: np.ndarray
     depth: np.ndarray
@@ -137,11 +185,16 @@ class Tree:
     signs: np.ndarray
     odds: np.ndarray
     n: int
+    top: np.ndarray
+    last: np.ndarray
+    near: np.ndarray
+    columns: np.ndarray
 
     @classmethod
     def of(cls, vocab: Vocabulary) -> Tree:
         ways: list[list[tuple[int, int]]] = [[] for _ in range(EDGE + 1)]
         odds: list[float] = []
+        bounds = [0]
         tokens = np.r_[np.arange(len(vocab.frequent)), np.arange(WORDS, EDGE)]
         for c in range(CLASSES):
             heap = [(max(float(vocab.counts[t]), 0.5), int(t), [int(t)]) for t in tokens[vocab.of_class[tokens] == c]]
@@ -153,19 +206,32 @@ class Tree:
                         ways[t].append((len(odds), sign))
                 odds.append(float(np.log(x / y)))
                 heapq.heappush(heap, (x + y, min(k, j), left + right))
+            bounds.append(len(odds))
         depth = np.array(list(map(len, ways)), np.int64)
         steps = np.array([s for w in ways for s in w[::-1]], np.int64).reshape(-1, 2)
         nodes, signs = steps[:, 0], steps[:, 1].astype(np.float32)
-        return cls(np.cumsum(depth) - depth, depth, nodes, signs, np.array(odds, np.float32)[nodes] * signs, len(odds))
-
-    def ways(self, target: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
-        """(order of the targets with longest ways first; how many of them take a first step, a second and so on; the steps, those
-        of all first ones before all second ones)."""
-        depth = self.depth.take(target)
-        order = np.argsort((-depth).astype(np.int8), kind="stable")
-        at = self.first.take(target.take(order))
-        taking = (len(target) - np.cumsum(np.bincount(depth)))[:-1].tolist()
-        return order, taking, np.concatenate([at[:n] + k for k, n in enumerate(taking)] or [at[:0]])
+        last = np.array(bounds[1:])
+        top = np.maximum(bounds[:-1], last - TOP)
+        columns = nodes - np.repeat(top[vocab.of_class], depth)
+        ends = np.cumsum(depth)
+        held = np.r_[0, np.cumsum(columns >= 0)]
+        odds_of = np.array(odds, np.float32)[nodes] * signs
+        return cls(ends - depth, depth, nodes.astype(np.uint16), signs, odds_of, len(odds), top, last, held[ends] - held[ends - depth], columns.astype(np.int16))
+
+    def near_steps(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the targets' steps at upper nodes, target by target; number of each one's)."""
+        n = self.near.take(target)
+        return np.arange(n.sum()) + np.repeat(self.first.take(target) - (np.cumsum(n) - n), n), n
+
+    def far_steps(self, target: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """(targets that have steps at other nodes, those with most first; how many of them take a first one, a second and so on;
+        the steps, those of all first ones before all second ones)."""
+        n = (self.depth - self.near).take(target)
+        order = np.argsort((-n).astype(np.int8), kind="stable")[: np.count_nonzero(n)]
+        own = target.take(order)
+        at = (self.first + self.near).take(own)
+        taking = (len(target) - np.cumsum(np.bincount(n)))[:-1].tolist()
+        return order, taking, np.concatenate([at[:m] + k for k, m in enumerate(taking)] or [at[:0]])
 
 
 #: Rows of a network before those of its nodes.
@@ -187,8 +253,8 @@ class Network:
 
     def parts(self) -> tuple[np.ndarray, ...]:
         """Views: embeddings, scales, hidden bias, classes' rows, classes' biases."""
-        cuts = np.cumsum([EDGE + 1, 2 * REACH, 1, CLASSES])
-        e, s, b, o, c = np.split(self.rows[:NODES], cuts)
+        cuts = list(accumulate([EDGE + 1, 2 * REACH, 1, CLASSES]))
+        e, s, b, o, c = (self.rows[x:y] for x, y in zip([0, *cuts], [*cuts, NODES], strict=True))
         return e, s, b[0], o, c.reshape(-1)
 
     def nodes(self) -> np.ndarray:
@@ -204,23 +270,89 @@ class Network:
         return np.tanh(h, out=h)
 
     def logits(self, h: np.ndarray) -> np.ndarray:
-        """Logits of every class less their largest, a row for each of h; a class's lie behind each other in memory."""
+        """Logits of every class less their largest, a row for each of h."""
+        _, _, _, o, c = self.parts()
+        z = h @ o.T + c
+        z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def powers(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """By _CHUNK rows of h, which have a last column of 1: where they are, e to the logit of every class, a row for each; sums of rows, logits
+        of the targets. Where logits may be too large for that, they are taken less each row's largest."""
         _, _, _, o, c = self.parts()
-        z = o @ h.T
-        z += c[:, None]
-        z -= z.max(axis=0)
-        return z.T
-
-    def decided(self, tree: Tree, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """tree.ways() of the targets, and for each step its h, its node's weights and the logit that it is taken."""
-        order, taking, steps = tree.ways(target)
-        h = h.take(order, axis=0)
-        h = np.concatenate([h[:n] for n in taking] or [h[:0]])
-        weights = self.nodes().take(tree.nodes.take(steps), axis=0)
-        logit = np.einsum("ij,ij->i", weights, h)
-        logit *= tree.signs.take(steps)
-        logit += tree.odds.take(steps)
-        return order, taking, steps, h, weights, logit
+        safe, both, one = (np.abs(o).sum(axis=1) + np.abs(c)).max() < _SAFE, np.column_stack([o, c]).T, np.ones(CLASSES, h.dtype)
+        for k in range(0, len(h), _CHUNK):
+            at = slice(k, k + _CHUNK)
+            z = h[at] @ both if safe else self.logits(h[at, :HIDDEN])
+            own = z[np.arange(len(z)), target[at]]
+            np.exp(z, out=z)
+            yield at, z, z @ one, own
+
+
+class Decisions:
+    """The steps down a tree of words in the order of their classes: for each its logit, first at upper nodes, where a class's
+    words are worked out together, then at others."""
+
+    def __init__(self, net: Network, tree: Tree, h: np.ndarray, target: np.ndarray, words: np.ndarray):
+        self.tree, self.h, self.rows = tree, h, net.nodes()
+        ends = np.searchsorted(target, np.arange(CLASSES + 1)).tolist()
+        self.spans = [(x, y, i, j) for x, y, i, j in zip(ends, ends[1:], tree.top.tolist(), tree.last.tolist(), strict=False) if y > x and j > i]
+        near, self.n = tree.near_steps(words)
+        self.at = np.repeat(np.arange(0, TOP * len(words), TOP), self.n) + tree.columns.take(near)
+        upper = np.empty((len(words), TOP), h.dtype)
+        for x, y, i, j in self.spans:
+            np.matmul(h[x:y], self.rows[i:j].T, out=upper[x:y, : j - i])
+        self.order, self.taking, far = tree.far_steps(words)
+        own = h.take(self.order, axis=0)
+        self.far_h = np.concatenate([own[:m] for m in self.taking] or [own[:0]])
+        self.far_nodes = tree.nodes.take(far)
+        self.weights = self.rows.take(self.far_nodes, axis=0)
+        steps = np.concatenate([near, far])
+        self.signs, self.near_nodes = tree.signs.take(steps), tree.nodes.take(near)
+        self.logit = np.concatenate([upper.reshape(-1).take(self.at), np.einsum("ij,ij->i", self.weights, self.far_h)])
+        self.logit *= self.signs
+        self.logit += tree.odds.take(steps)
+
+    def lost(self) -> np.ndarray:
+        """The sum over each word's steps of minus their log-probabilities."""
+        each = np.log1p(np.exp(-self.logit))
+        m = len(self.at)
+        sums = np.r_[0, np.cumsum(each[:m], dtype=np.float64)]
+        ends = np.cumsum(self.n)
+        out, first = sums[ends] - sums[ends - self.n], m
+        below = np.zeros(len(self.order))
+        for m in self.taking:
+            below[:m] += each[first : first + m]
+            first += m
+        out[self.order] += below
+        return out
+
+    def back(self, dh: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log-loss, nodes touched, their gradients); what reaches h is added to dh."""
+        e = np.exp(-self.logit)
+        loss = float(np.log1p(e).sum())
+        g = self.signs * (1 / (1 + e) - 1)
+        m = len(self.at)
+        upper = np.zeros((len(self.h), TOP), self.h.dtype)
+        upper.reshape(-1)[self.at] = g[:m]
+        sums = np.empty((self.tree.n, HIDDEN), self.h.dtype)
+        for x, y, i, j in self.spans:
+            own = upper[x:y, : j - i]
+            dh[x:y] += own @ self.rows[i:j]
+            np.matmul(own.T, self.h[x:y], out=sums[i:j])
+        far = g[m:, None]
+        self.weights *= far
+        self.far_h *= far
+        below, first = np.zeros((len(self.order), HIDDEN), dh.dtype), 0
+        for m in self.taking:
+            below[:m] += self.weights[first : first + m]
+            first += m
+        dh[self.order] += below
+        met = np.zeros(self.tree.n, bool)
+        met[self.near_nodes] = True
+        near = np.flatnonzero(met)
+        touched, dn = summed(self.far_h, self.far_nodes)
+        return loss, np.concatenate([near, touched.astype(np.int64)]), np.concatenate([sums.take(near, axis=0), dn])
 
 
 PLACES = [k for k in range(-REACH, REACH + 1) if k]
@@ -258,40 +390,72 @@ def gradients(net: Network, context: np.ndarray, target: np.ndarray) -> tuple[fl
 
 def _gradients(net: Network, context: np.ndarray, target: np.ndarray, tree: Tree | None, words: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """gradients(), of the words' whole ways with a tree; then the nodes touched and their gradients."""
-    e, s, _, o, _ = net.parts()
-    around = [e.take(c, axis=0) for c in context]
+    order = np.argsort(target, kind="stable")
+    s = net.parts()[1]
+    around = [net.parts()[0].take(c, axis=0) for c in context[:, order]]
     h = net.hidden(around)
-    dh, do, dc, loss = np.empty_like(h), np.zeros_like(o), np.zeros(CLASSES, h.dtype), 0.0
-    at, back = [np.zeros(0, np.uint16)], [h[:0]]
-    for k in range(0, len(target), _CHUNK):
-        own, own_h = target[k : k + _CHUNK], h[k : k + _CHUNK]
-        n = np.arange(len(own))
-        z = net.logits(own_h).T
-        np.exp(z, out=z)
-        z *= 1 / z.sum(axis=0)
-        loss -= float(np.log(z[own, n]).sum())
-        z[own, n] -= 1
-        dh[k : k + _CHUNK] = z.T @ o
-        do += z @ own_h
-        dc += z.sum(axis=1)
-        if tree is not None:
-            order, taking, steps, step_h, weights, logit = net.decided(tree, own_h, words[k : k + _CHUNK])
-            np.exp(np.negative(logit, out=logit), out=logit)
-            loss += float(np.log1p(logit).sum())
-            g = (tree.signs.take(steps) * (1 / (1 + logit) - 1))[:, None]
-            weights *= g
-            step_h *= g
-            below, first = np.zeros_like(own_h), 0
-            for m in taking:
-                below[:m] += weights[first : first + m]
-                first += m
-            dh[k + order] += below
-            at.append(tree.nodes.take(steps).astype(np.uint16))
-            back.append(step_h)
-    dh *= 1 - h * h
-    touched, de = summed(np.concatenate([dh * scale for scale in s]), context.ravel())
+    loss, dh, rest, nodes, dn = _errors(net, h, target[order], tree, None if words is None else words[order])
+    touched, de = summed(np.concatenate([dh * scale for scale in s]), context[:, order].ravel())
     ds = np.stack([np.einsum("ij,ij->j", x, dh) for x in around])
-    return loss, touched, de, np.concatenate([ds, dh.sum(axis=0)[None], do, dc.reshape(-1, HIDDEN)]), *summed(np.concatenate(back), np.concatenate(at))
+    return loss, touched, de, np.concatenate([ds, rest]), nodes, dn
+
+
+def _errors(net: Network, h: np.ndarray, target: np.ndarray, tree: Tree | None, words: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log-loss, gradients before the hidden layer's tanh, gradients of all rows behind the scales and before the nodes, nodes
+    touched, their gradients) for targets in the order of classes."""
+    o = net.parts()[3]
+    h1 = np.column_stack([h, np.ones(len(h), h.dtype)])
+    dh, do, loss = np.empty_like(h), np.zeros((CLASSES, HIDDEN + 1), h.dtype), 0.0
+    for at, z, total, logit in net.powers(h1, target):
+        loss += float(np.log(total).sum() - logit.sum())
+        z[np.arange(len(z)), target[at]] -= total
+        part = (1 / total)[:, None]
+        np.multiply(z @ o, part, out=dh[at])
+        do += z.T @ (h1[at] * part)
+    nodes, dn = np.zeros(0, np.int64), h[:0]
+    if tree is not None:
+        below, nodes, dn = Decisions(net, tree, h, target, words).back(dh)
+        loss += below
+    dh *= 1 - h * h
+    return loss, dh, np.concatenate([np.ones(len(h), h.dtype)[None] @ dh, do[:, :HIDDEN], do[:, HIDDEN].reshape(-1, HIDDEN)]), nodes, dn
+
+
+@dataclass
+class Stretch:
+    """Tokens behind each other and which of them are predicted. Embeddings are looked up once for each token, not for each place that it stands at."""
+
+    tokens: np.ndarray
+    own: np.ndarray
+    embedded: np.ndarray
+
+    @classmethod
+    def of(cls, net: Network, tokens: np.ndarray, own: np.ndarray) -> Stretch:
+        """own: ascending."""
+        first = own[0] - REACH
+        tokens = tokens[first : own[-1] + REACH + 1]
+        return cls(tokens, own - own[0], net.parts()[0].take(tokens, axis=0))
+
+    def around(self) -> list[np.ndarray]:
+        """What stands at each place around all tokens but REACH at both ends."""
+        n = len(self.tokens) - 2 * REACH
+        return [self.embedded[REACH + p : REACH + p + n] for p in PLACES]
+
+    def back(self, scales: np.ndarray, at: np.ndarray, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(embeddings touched, their gradients, gradients of the scales), of gradients dh for the tokens `at`."""
+        n = len(self.tokens) - 2 * REACH
+        each = np.zeros((n, HIDDEN), dh.dtype)
+        each[at] = dh
+        predicted, beside = np.zeros(n, bool), np.zeros(len(self.tokens), bool)
+        predicted[at] = True
+        de, one = np.zeros((len(self.tokens), HIDDEN), dh.dtype), np.ones(n, dh.dtype)
+        ds = []
+        for p, scale, x in zip(PLACES, scales, self.around(), strict=True):
+            de[REACH + p : REACH + p + n] += each * scale
+            beside[REACH + p : REACH + p + n] |= predicted
+            ds.append(one @ (x * each))
+        if beside.all():
+            return *summed(de, self.tokens), np.stack(ds)
+        return *summed(de[beside], self.tokens[beside]), np.stack(ds)
 
 
 class Learner:
@@ -299,6 +463,7 @@ class Learner:
 
     def __init__(self, net: Network, vocabulary: Vocabulary, tree: Tree | None = None):
         self.net, self.vocabulary, self.tree = Network(net.rows.copy()), vocabulary, tree
+        self.ranks = vocabulary.ranks()
         self.seen, self.size = np.zeros(len(net.rows)), np.full(len(net.rows), 1e-3)
         self.loss = 0.0
 
@@ -306,10 +471,16 @@ class Learner:
         rows, n = self.net.rows, EDGE + 1
         for at in range(0, len(own), BATCH):
             middle = own[at : at + BATCH]
+            stretch = Stretch.of(self.net, tokens, middle)
             words = tokens[middle]
-            loss, touched, de, rest, nodes, dn = _gradients(self.net, np.stack([tokens[middle + p] for p in PLACES]), self.vocabulary.of_class[words], self.tree, words)
+            order = np.argsort(self.ranks[words], kind="stable")  # 16-bit numbers sort fast
+            places, words = stretch.own[order], words[order]
+            h = self.net.hidden(stretch.around()).take(places, axis=0)
+            loss, dh, rest, nodes, dn = _errors(self.net, h, self.vocabulary.of_class[words], self.tree, words)
+            touched, de, ds = stretch.back(self.net.parts()[1], places, dh)
+            rest = np.concatenate([ds, rest])
             self.loss += loss
-            nodes = nodes.astype(np.int64) + NODES
+            nodes = nodes + NODES
             for where, g in ((touched.astype(np.int64), de), (slice(n, NODES), rest), (nodes, dn)):
                 size = self.size[where] + np.einsum("ij,ij->i", g, g) / HIDDEN
                 self.size[where] = size
@@ -322,37 +493,31 @@ class Learner:
 
 
 class Scorer:
-    """A network with its embeddings scaled by place."""
+    """Scores tokens by a network."""
 
     def __init__(self, net: Network, vocabulary: Vocabulary, tree: Tree | None = None):
-        e, s, self.bias, _, _ = net.parts()
-        self.net, self.vocabulary, self.tree, self.scaled = net, vocabulary, tree, [e * scale for scale in s]
+        self.net, self.vocabulary, self.tree = net, vocabulary, tree
+        self.ranks = vocabulary.ranks()
 
     def scores(self, tokens: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Log-probability of each of the tokens at `own` given both sides."""
+        """Log-probability of each of the tokens at `own`, ascending, given both sides."""
         out = np.zeros(len(own))
-        for at in range(0, len(own), _CHUNK):
-            middle = own[at : at + _CHUNK]
-            target = tokens[middle]
-            h = self.scaled[0].take(tokens[middle + PLACES[0]], axis=0)
-            for table, p in zip(self.scaled[1:], PLACES[1:], strict=True):
-                h += table.take(tokens[middle + p], axis=0)
-            h += self.bias
-            z = self.net.logits(np.tanh(h, out=h)).T
-            own_class = z[self.vocabulary.of_class[target], np.arange(len(middle))]
-            np.exp(z, out=z)
-            out[at : at + _CHUNK] = own_class - np.log(z.sum(axis=0)) + (self.vocabulary.within[target] if self.tree is None else self.below(h, target))
-        return out
-
-    def below(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of each target within its class."""
-        order, taking, _, _, _, logit = self.net.decided(self.tree, h, target)
-        lost, total, first = np.log1p(np.exp(-logit)), np.zeros(len(target), np.float32), 0
-        for m in taking:
-            total[:m] -= lost[first : first + m]
-            first += m
-        out = self.vocabulary.even[target]
-        out[order] += total
+        for at in range(0, len(own), BATCH):
+            middle = own[at : at + BATCH]
+            stretch = Stretch.of(self.net, tokens, middle)
+            words = tokens[middle]
+            order = np.argsort(self.ranks[words], kind="stable")
+            words = words[order]
+            target = self.vocabulary.of_class[words]
+            h = self.net.hidden(stretch.around()).take(stretch.own[order], axis=0)
+            h1, found = np.column_stack([h, np.ones(len(h), h.dtype)]), np.empty(len(h))
+            for part, _, total, logit in self.net.powers(h1, target):
+                found[part] = logit - np.log(total)
+            if self.tree is None:
+                found += self.vocabulary.within[words]
+            else:
+                found += self.vocabulary.even[words] - Decisions(self.net, self.tree, h, target, words).lost()
+            out[at + order] = found
         return out
 
 
@@ -364,25 +529,26 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     own table of different words, with how often each occurs and its ending. Texts are cut into words once, here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, parts = Numbers(), [], []
+        ids, sizes, parts = [], [], []
 
         def block() -> pa.RecordBatch:
-            local = np.concatenate([np.zeros(0, np.int32), *parts])
-            words, counts = list(known), np.bincount(local, minlength=len(known))
-            lists = ((ids, pa.int64()), ([len(x) for x in parts], pa.int32()), (words, pa.string()), (counts, pa.int64()), (list(map(ending, words)), pa.int32()))
-            found = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in lists]
-            return pa.RecordBatch.from_arrays([*found[:2], pa.array([local.tobytes()], pa.binary()), *found[2:]], names=["ids", "sizes", "local", "words", "counts", "endings"])
+            found = pa.concat_arrays(parts).dictionary_encode()
+            words, local = found.dictionary.cast(pa.string()), found.indices.to_numpy()
+            lists = pa.concat_arrays(ids), pa.array(np.concatenate(sizes), pa.int32()), words, pa.array(np.bincount(local, minlength=len(words))), endings_of(words)
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays([*columns[:2], pa.array([local.tobytes()], pa.binary()), *columns[2:]], names=["ids", "sizes", "local", "words", "counts", "endings"])
 
         n = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                ids.append(doc_id)
-                parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            for at in range(0, b.num_rows, _TEXTS):
+                words, each = split_words(b.column(1).slice(at, _TEXTS))
+                ids.append(b.column(0).slice(at, _TEXTS))
+                sizes.append(each)
+                parts.append(words)
                 n += len(words)
-                if len(known) > _HELD or n > _LONG:
+                if n > _LONG:
                     yield block()
-                    known, ids, parts, n = Numbers(), [], [], 0
+                    ids, sizes, parts, n = [], [], [], 0
         if ids:
             yield block()
 
@@ -422,11 +588,11 @@ def numbered(cut_blocks: DataFrame, frequent: list[str], id_col: str = "doc_id")
     """(id, ids) for each document of blocks: its tokens as 16-bit numbers, looked up once for each different word of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(frequent)}
+        known = pa.array(frequent, pa.string())
         for b in batches:
             for k in range(b.num_rows):
                 ids, sizes, local, words, endings = (b.column(c)[k] for c in range(5))
-                found = np.fromiter(map(known.get, words.values.to_pylist(), repeat(-1)), np.int64, len(words))
+                found = pc.index_in(words.values, known).fill_null(-1).to_numpy()
                 found = np.where(found < 0, WORDS + endings.values.to_numpy(), found).astype(np.uint16)
                 tokens = found[np.frombuffer(local.as_buffer(), np.int32)].tobytes()
                 ends = np.cumsum(2 * sizes.values.to_numpy()).tolist()

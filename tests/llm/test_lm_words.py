@@ -1,6 +1,7 @@
 """The hierarchical softmax of the scoring network: every word is told from the others of its class by both sides."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quietfield.llm import common, lm_score
@@ -96,3 +97,52 @@ def test_texts_are_cut_into_words_once(spark, odd_docs):
     tokens = lm_score.Tokens(["the", "cat"])
     assert got == {(r.doc_id, tokens.of(r.text)) for r in odd_docs.select("doc_id", "text").collect()}
     assert {r.word: r.n for r in lm_score.word_counts(lm_score.blocks(odd_docs)).collect()}["perro"] == 4000
+
+
+def test_a_step_looks_up_each_token_once_and_is_that_of_all_places():
+    rng, vocab, tree, net = small()
+    texts = [rng.integers(0, 300, k).astype(np.uint16) for k in (700, 0, 1, 2, 0, 0, 5, 900)]
+    texts[3][:] = lm_score.WORDS + 7
+    tokens, own, _ = lm_score.joined([t.tobytes() for t in texts])
+    looked_up = lm_score.Stretch.of(net, tokens, own)
+    assert len(looked_up.embedded) <= len(tokens)  # not once for each of the places it stands at
+    learner = lm_score.Learner(net, vocab, tree)
+    learner.learn(tokens, own)
+    words = tokens[own]
+    loss, touched, de, rest, nodes, dn = lm_score._gradients(net, np.stack([tokens[own + p] for p in lm_score.PLACES]), vocab.of_class[words], tree, words)
+    rows, seen = net.rows.copy(), np.zeros(len(net.rows))
+    for where, g in ((touched, de), (np.arange(lm_score.EDGE + 1, lm_score.NODES), rest), (lm_score.NODES + nodes, dn)):
+        rows[where] -= lm_score.RATE * g / np.sqrt(1e-3 + (g * g).mean(axis=1, keepdims=True))
+        seen[where] = 1
+    seen[lm_score.EDGE + 1 : lm_score.NODES] = len(own)
+    assert learner.loss == pytest.approx(loss, rel=1e-5) and (learner.seen == seen).all() and np.abs(learner.net.rows - rows).max() < 1e-4
+    assert sorted(set(nodes.tolist())) == sorted({int(n) for w in set(words.tolist()) for n in tree.nodes[tree.first[w] : tree.first[w] + tree.depth[w]]})
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_scores_node_by_node(scale):
+    """Ways over upper and other nodes, and logits too large for powers of e."""
+    rng, vocab, tree, net = small()
+    net.rows[lm_score.EDGE + 1 + 2 * lm_score.REACH + 1 : lm_score.NODES] *= scale
+    words = np.r_[np.arange(300), np.arange(lm_score.WORDS, lm_score.EDGE, 9)]
+    context = rng.integers(0, 300, 4)
+    e, _, _, o, c = (p.astype(np.float64) for p in net.parts())
+    h = np.tanh(sum(e[t] * s for t, s in zip(context, net.parts()[1], strict=True)) + net.parts()[2])
+    z = o @ h + c
+    far = 0
+    for w, got in zip(words, scored(vocab, tree, net, context, words), strict=True):
+        way = slice(tree.first[w], tree.first[w] + tree.depth[w])
+        far += tree.near[w] < tree.depth[w]
+        own = z[vocab.of_class[w]] - z.max() - np.log(np.exp(z - z.max()).sum()) + vocab.even[w]
+        assert got == pytest.approx(own - np.log1p(np.exp(-(tree.signs[way] * (net.nodes()[tree.nodes[way]] @ h) + tree.odds[way]))).sum(), rel=1e-4, abs=1e-3)
+    assert far > 100
+
+
+def test_words_of_many_texts_are_those_of_each():
+    texts = ["a\x1cb\x85c\xa0d E　f", "  X\t\ny\x0b\x0c ", "", "   ", None, "　 ", "İSTANBUL ΣΑΣ ẞ", "A\x00B c", "Plain  ASCII\nText", "᠎a​b"]
+    for own in (texts, texts[1:], texts[2:3], [None], [], texts[8:]):
+        for rows in (pa.array(own, pa.string()), pa.array(["É x", *own], pa.string()).slice(1)):
+            words, n = lm_score.split_words(rows)
+            assert words.to_pylist() == [w for t in own for w in lm_score.words_of(t)] and n.tolist() == [len(lm_score.words_of(t)) for t in own]
+    words = ["a", "", "xyzß", "日本語テ", "😀😀😀😀", "the"]
+    assert lm_score.endings_of(pa.array(words)).to_pylist() == list(map(lm_score.ending, words))
