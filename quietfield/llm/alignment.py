@@ -30,6 +30,8 @@ from .token_counts import byte_letters
 
 #: A page takes no further batch of documents beyond so many segments.
 PAGE_SEGMENTS = 500_000
+#: Documents of a page lie in rows, which take no further document beyond so many numbers of segments.
+BUNDLE = 65_536
 #: Up to so many pairs of ids, counted first, are sent to all executors with their counts: about 60 MB.
 MAX_PAIRS = 1_000_000
 #: Both tokenizers end a token before a space that follows no space and stands before a non-space. Texts where every space is such a one need no search.
@@ -152,11 +154,10 @@ class Ragged:
         flat = self.flat.tolist()
         return [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
-    def column(self, null: np.ndarray | None = None, values: np.ndarray | None = None, after: int = 0) -> pa.Array:
-        """The lists, null where marked, their numbers looked up in values, and so many null rows."""
-        ends = np.r_[0, np.cumsum(self.sizes), np.full(after, self.sizes.sum())].astype(np.int32)
-        null = np.r_[np.zeros(len(self.sizes), bool) if null is None else null, np.ones(after, bool)]
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.flat if values is None else values[self.flat]), mask=pa.array(null))
+    def column(self, null: np.ndarray, values: np.ndarray) -> pa.Array:
+        """The lists, null where marked, their numbers looked up in values."""
+        ends = np.r_[0, np.cumsum(self.sizes)].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[self.flat]), mask=pa.array(null))
 
 
 class Numbers(dict):
@@ -193,26 +194,41 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-PAGES = "page long, key long, doc_id long, segments array<int>, segment int, word string"
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their low bytes first, then the next ones and so on, compressed: small numbers take few bytes on disks and in exchanges."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    """The n numbers that packed() has been given."""
+    if not n:
+        return np.zeros(0, np.int32)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
+
+
+PAGES = "page long, doc_ids array<long>, sizes array<int>, numbers binary, segment int, word string"
 
 
 def pages(docs: DataFrame, page_segments: int = PAGE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two kinds of rows: documents (key, unique in a page; doc_id; the numbers of their segments in order), and the segments of each page, numbered from 0."""
+    """Two kinds of rows: documents, some in a row (their ids; how many segments each has; packed() numbers of all these segments in
+    order), and the segments of each page, numbered from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, key, parts = TaskContext.get().partitionId() << 24, 0, Parts()
+        page, parts = TaskContext.get().partitionId() << 24, Parts()
         for batch in batches:
             known = parts.segments
             first = len(known)
             of = Ragged.of([list(chain.from_iterable(map(parts.__getitem__, words(t)))) for t in batch.column(1).to_pylist()])
-            n, m = len(batch), len(known) - first
+            m = len(known) - first
             new = list(islice(reversed(known), m))[::-1]
-            doc_ids = pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())])
-            keys = pa.concat_arrays([pa.array(np.arange(key, key + n)), pa.nulls(m, pa.int64())])
+            ends = np.r_[0, np.cumsum(of.sizes)]
+            cuts = np.r_[np.flatnonzero(np.diff(ends[:-1] // BUNDLE, prepend=-1)), len(batch)].astype(np.int32)  # where rows begin
+            n = len(cuts) - 1
+            doc_ids, sizes = (pa.concat_arrays([pa.ListArray.from_arrays(pa.array(cuts), x), pa.nulls(m, pa.list_(x.type))]) for x in (batch.column(0), pa.array(of.sizes, pa.int32())))
+            flat = pa.array([packed(of.flat[x:y]) for x, y in zip(ends[cuts].tolist(), ends[cuts[1:]].tolist(), strict=False)] + [None] * m, pa.binary())
             numbers = pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(first, first + m, dtype=np.int32))])
             own = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(new, pa.string())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, page)), keys, doc_ids, of.column(after=m), numbers, own], names=["page", "key", "doc_id", "segments", "segment", "word"])
-            key += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, page)), doc_ids, sizes, flat, numbers, own], names=["page", "doc_ids", "sizes", "numbers", "segment", "word"])
             if len(known) >= page_segments:
                 parts, page = Parts(), page + 1
 
@@ -272,17 +288,22 @@ def aligned(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("n_links", F.size("links"))
 
 
+DOCUMENTS = ["doc_ids", "sizes", "numbers"]
+
+
 def by_page(documents: DataFrame, segments: DataFrame, columns: list[str], n: int, kernel: Callable, schema: str) -> DataFrame:
-    """What kernel makes of each page: of its segments' columns, a table in the order of their numbers, and an iterator of its documents (doc_id, segments)."""
-    kinds = dict(segments.dtypes)
-    left = documents.select("page", "doc_id", "segments", F.lit(None).cast("int").alias("segment"), *(F.lit(None).cast(kinds[c]).alias(c) for c in columns))
-    right = segments.select("page", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("segments"), "segment", *columns)
+    """What kernel makes of each page: of its segments' columns, a table in the order of their numbers, and an iterator of its documents, some at a time (their ids, the
+    numbers of all their segments, where each one's begin and the last's end)."""
+    kinds = dict(segments.dtypes) | dict(documents.dtypes)
+    none = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+    left = documents.select("page", *DOCUMENTS, *none(["segment", *columns]))
+    right = segments.select("page", *none(DOCUMENTS), "segment", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[int, bool, pa.RecordBatch]]:
             """Batches cut where the page or the kind of rows changes."""
             for b in batches:
-                page, document = b.column(0).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)
+                page, document = b.column(0).to_numpy(), b.column("segment").is_null().to_numpy(zero_copy_only=False)
                 cuts = np.flatnonzero((page[1:] != page[:-1]) | (document[1:] != document[:-1])) + 1
                 for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(page)], strict=True):
                     if y > x:
@@ -299,10 +320,12 @@ def by_page(documents: DataFrame, segments: DataFrame, columns: list[str], n: in
             if parts and (table.column(0).to_numpy() != np.arange(len(table))).any():
                 raise ValueError("a page lacks segments")
 
-            def own(page: int = page) -> Iterator[pa.RecordBatch]:
+            def own(page: int = page) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
                 nonlocal piece
                 while piece and piece[0] == page:
-                    yield piece[2].select(["doc_id", "segments"])
+                    for doc_ids, sizes, numbers in zip(*(piece[2].column(c) for c in DOCUMENTS), strict=True):
+                        ends = np.r_[0, np.cumsum(sizes.values.to_numpy(), dtype=np.int64)]
+                        yield doc_ids.values, unpacked(numbers.as_buffer(), int(ends[-1])), ends
                     piece = next(source, None)
 
             yield from kernel(table, own())
@@ -325,7 +348,7 @@ def _different(x: np.ndarray) -> np.ndarray:
 def pair_counts(documents: DataFrame, segments: DataFrame, n: int) -> DataFrame:
     """Per page and pair of ids (`link`): how many of the page's documents hold it linked. Documents with a segment that is not given back hold none."""
 
-    def kernel(table: pa.Table | None, docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(table: pa.Table | None, docs: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if table is None:
             for _ in docs:
                 pass
@@ -335,8 +358,7 @@ def pair_counts(documents: DataFrame, segments: DataFrame, n: int) -> DataFrame:
         flat, at = _lists(links)
         pairs, flat = np.unique(flat, return_inverse=True)
         flat, sizes, counts = flat.astype(np.int32), np.diff(at), np.zeros(len(pairs), np.int64)
-        for b in docs:
-            own, ends = _lists(b.column(1))
+        for _, own, ends in docs:
             for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False):
                 used = _different(own[x:y])
                 if not lost[used].any():
@@ -356,19 +378,18 @@ NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def whole(documents: DataFrame, segments: DataFrame, n: int) -> DataFrame:
     """Per document: the sums of its segments' numbers and the digest of their groups in order; zeros and '' for one without segments, or with one that is not given back."""
 
-    def kernel(table: pa.Table | None, docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(table: pa.Table | None, docs: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         numbers, texts, lost = np.zeros((len(NUMBERS), 0), np.int64), [], np.zeros(0, bool)
         if table is not None:
             lost = table.column("groups").is_null().to_numpy()
             numbers = np.stack([np.nan_to_num(table.column(c).to_numpy()).astype(np.int64) for c in NUMBERS])
             texts = table.column("groups").cast(pa.binary()).to_pylist()
-        for b in docs:
-            own, ends = _lists(b.column(1))
+        for doc_ids, own, ends in docs:
             given = (np.diff(ends) > 0) & (np.diff(np.r_[0, np.cumsum(lost[own])][ends]) == 0)
             sums = [pa.array(np.where(given, np.diff(np.r_[0, np.cumsum(c[own])][ends]), 0)) for c in numbers]
             listed = own.tolist()
             digests = [hashlib.sha256(b";".join(map(texts.__getitem__, listed[x:y]))).hexdigest() if ok else "" for x, y, ok in zip(ends.tolist(), ends[1:].tolist(), given.tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *sums, pa.array(digests, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
+            yield pa.RecordBatch.from_arrays([doc_ids, *sums, pa.array(digests, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
 
     return by_page(documents, segments, [*NUMBERS, "groups"], n, kernel, f"doc_id long, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string")
 
@@ -387,7 +408,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, page_segments: int = PAGE_S
         units = cut(encoded(words, path_a, path_b))
         found = aligned(units.select("unit", "a", "b").repartition(n, "unit"), ["unit"])
         each = cut(units.select("unit", "places").join(found, "unit", "left"))
-        documents = table.where("segment is null").select("page", "doc_id", "segments")
+        documents = table.where("segment is null").select("page", *DOCUMENTS)
         counts = cut(pair_counts(documents, each.select(F.inline("places"), "links"), n).groupBy("link").agg(F.sum("docs").alias("docs")))
         best = counts.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("docs").alias("most"))
         known = counts.join(best, F.shiftright("link", 32) == F.col("a")).select("link", "docs", (F.col("docs") == F.col("most")).cast("int").alias("is_best"))

@@ -1,6 +1,8 @@
 """Segments of token alignment: where words are split inside, and that many are encoded together as each alone."""
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from quietfield.llm import alignment
 
@@ -46,3 +48,19 @@ def test_many_pairs_are_joined_without_broadcast(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)] + [(99, None), (None, TEXTS[0])], "doc_id long, text string").repartition(2)
     few, many = (sorted(map(str, alignment.align(docs, *PATHS, page_segments=40, max_pairs=n).collect())) for n in (1_000_000, 3))
     assert few == many and len(few) == len(TEXTS) + 2
+
+
+def test_pages_hold_documents_packed(spark):
+    """Numbers of segments take less than two bytes each, not four, and any number comes back."""
+    for numbers in ([], [0], [3, 255, 256, 65_535, 65_536, 2**31 - 1], list(range(1000)) * 9):
+        assert alignment.unpacked(pa.py_buffer(alignment.packed(np.array(numbers, np.int32))), len(numbers)).tolist() == numbers
+    texts = [*TEXTS, None, "", *(" ".join(f"w{(k * j) % 900}" for k in range(400)) for j in range(300))]
+    rows = [(None if k == 5 else k, t) for k, t in enumerate(texts)]
+    found = alignment.pages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    names = [r.word for r in sorted((r for r in found if r.segment is not None), key=lambda r: r.segment)]
+    docs, packed, n = [], 0, 0
+    for r in (r for r in found if r.segment is None):
+        own = iter(alignment.unpacked(pa.py_buffer(bytes(r.numbers)), sum(r.sizes)).tolist())
+        docs += [(i, "".join(names[next(own)] for _ in range(size))) for i, size in zip(r.doc_ids, r.sizes, strict=True)]
+        packed, n = packed + len(r.numbers), n + sum(r.sizes)
+    assert docs == [(i, f" {t}" if t else "") for i, t in rows] and n > alignment.BUNDLE and packed < 2 * n
