@@ -145,9 +145,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"`earlier` does not hold the texts that {lost} rows must be compared with")
     if not differs.isEmpty():  # one digest, several texts: the whole texts decide
         each = differs.groupBy("digest", "t").agg(F.min(F.struct("id", "_file", "_row")).alias("own_keeper"), F.count("*").alias("own_size"))
-        split = differs.join(each, ["digest", "t"]).select("id", "_file", "_row", "own_keeper", "own_size")
-        fewer = split.join(looked.select("id", "_file", "_row", "digest"), ["id", "_file", "_row"]).groupBy("digest").agg(F.count("*").alias("gone"))
-        looked = looked.join(split, ["id", "_file", "_row"], "left").join(fewer, "digest", "left").select(
+        split = differs.join(each.hint("merge"), ["digest", "t"]).select("id", "_file", "_row", "own_keeper", "own_size")
+        fewer = split.join(looked.select("id", "_file", "_row", "digest").hint("merge"), ["id", "_file", "_row"]).groupBy("digest").agg(F.count("*").alias("gone"))
+        looked = looked.join(split.hint("merge"), ["id", "_file", "_row"], "left").join(fewer.hint("merge"), "digest", "left").select(
             "id", "_file", "_row", "digest",
             F.coalesce("own_keeper", "keeper").alias("keeper"),
             F.coalesce("own_size", F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"),

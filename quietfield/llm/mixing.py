@@ -250,7 +250,7 @@ def _large(cells: DataFrame, temperature: Mapping[str, float], budget: float, gi
     for _ in range(rounds):
         worst = 0.0
         for axis in AXES:
-            found = now.groupBy(axis).agg(F.sum("share").alias("found")).join(goals[axis], axis)
+            found = now.groupBy(axis).agg(F.sum("share").alias("found")).join(goals[axis].hint("merge"), axis)
             scale = cut(found.select(axis, F.when(F.col("found") > 0, F.col("goal") / F.col("found")).otherwise(0.0).alias("scale"), F.abs(F.col("found") - F.col("goal")).alias("off")))
             off, values = scale.agg(F.max("off"), F.count("*")).first()
             worst, scale = max(worst, off), scale.drop("off")

@@ -156,14 +156,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = F.pmod(F.xxhash64("node", "key"), F.col("parts"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     placed = lambda lone: F.explode(F.when(lone, everywhere).otherwise(F.array(own))).alias("part")
-    wanted = cut(nodes.select("node", "_file", "_row").join(shared.select("node").distinct(), "node", "left_semi"))
+    wanted = cut(nodes.select("node", "_file", "_row").join(shared.select("node").distinct().hint("merge"), "node", "left_semi"))
     texts = cut(at_places(with_places(docs, text), wanted).select("node", "t"))  # of candidates alone
     members = shared.select("key", placed(F.col("node") == F.col("head")), F.col("node").alias("label"), "node")
     links = cut(_links(texts, members, width, similarity, radius))
     found = cut(connected_components(links))
     hot = shared.where("parts > 1")
     if hot.limit(1).count():
-        known = hot.join(found.distinct(), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        known = hot.join(found.distinct().hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
         sizes = known.groupBy("key", "label").count()
         main = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         known = with_groups(known, main, "key", ["node"])
@@ -173,7 +173,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             again = known.select("key", placed(F.col("label") != F.col("main")), "label", "node")
             links = links.unionByName(_links(texts, again, width, similarity, radius))
             found = cut(connected_components(links))
-    classes = cut(nodes.join(found.withColumnRenamed("component", "root"), "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
+    classes = cut(nodes.join(found.withColumnRenamed("component", "root").hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
     placed_rows = cut(with_groups(rows.select("_id", "_file", "_row", "_n", "digest"), classes, "digest", ["_n"]))
     keeper = placed_rows.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_file", "_row")).alias("keeper"))
     out = with_groups(placed_rows, keeper, "root", ["_n"])

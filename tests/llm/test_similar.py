@@ -1,9 +1,11 @@
 """Near copies of the pipeline's stage against brute-force Jaccard."""
 
+import re
+
 import numpy as np
 import pytest
 
-from quietfield.llm import similar
+from quietfield.llm import common, components, exact_dedup, similar
 
 
 def near_copies(groups=40, copies=6, words=60, seed=3):
@@ -60,3 +62,27 @@ def test_repeated_shingles_do_not_hide_a_copy(spark):
     rows = similar.similar_documents(docs).toPandas().set_index("doc_id").component_id
     want = classes(texts)
     assert rows[range(len(texts))].tolist() == want and all(want[k] == want[k + 1] for k in range(0, len(texts), 4))
+
+
+@pytest.mark.parametrize("stage", ["exact", "near"])
+def test_only_counted_places_are_broadcast(spark, monkeypatch, stage):
+    """However small Spark takes a table to be: exploded rows are sized like those before, files as they are compressed."""
+    import corpus_pipeline
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return common.cut(df)
+
+    for module in (similar, components, exact_dedup):
+        monkeypatch.setattr(module, "cut", noted)
+    texts = near_copies(groups=8) + ["one two"] * 3
+    docs = common.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    if stage == "exact":
+        corpus_pipeline.drop_exact_copies(spark, docs, "")
+    else:
+        assert similar.similar_documents(docs, limit=2).count() == len(texts)  # with buckets that are dealt twice
+        corpus_pipeline.drop_near_copies(spark, docs, "")
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x]
+    assert len(joins) > 3 and not [x for x in joins if re.search("Broadcast|Cartesian", x) and "_row" not in x]
