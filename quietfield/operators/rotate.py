@@ -111,6 +111,7 @@ def rotate_to_real(mag: DataFrame, phase: DataFrame, nx: int, ny: int, units: st
 
     The two meet by voxel, and by image with the range of its phase and its reference volume; each image is read in its own
     encoding. A group holds volumes of one slice, as filters work on planes, each voxel with its sample in the reference volume;
+    places of a slice that have no voxel count as zeros in the filter and get no row;
     slices of many volumes are cut into runs of volumes, and series are put together again by voxel."""
     if phase_filter not in PHASE_FILTERS:
         raise ValueError(f"phase_filter must be one of {', '.join(PHASE_FILTERS)}")
@@ -132,8 +133,14 @@ def rotate_to_real(mag: DataFrame, phase: DataFrame, nx: int, ny: int, units: st
         refs = np.where(at_ref, -np.sin(ref_rad), 0.0).astype(np.float32).astype(np.float64)[:, None]
         c, d = np.abs(m) * np.cos(rad), np.abs(m) * np.sin(rad)
         re, im = (c * refc - d * refs).astype(np.float32), (c * refs + d * refc).astype(np.float32)
-        planes = lambda p: p.T.reshape(-1, ny, nx)
-        voxels = lambda p: p.reshape(-1, n).T.astype(np.float64)
+        at = (table.column("x").to_numpy().astype(np.int64) + nx * table.column("y").to_numpy())[order]
+
+        def planes(p: np.ndarray) -> np.ndarray:
+            full = np.zeros((nx * ny, p.shape[1]), p.dtype)
+            full[at] = p
+            return full.T.reshape(-1, ny, nx)
+
+        voxels = lambda p: p.reshape(-1, nx * ny).T[at].astype(np.float64)
         if phase_filter == "taps":
             a, b = (voxels(smooth_wrapped(planes(p))) for p in (re, im))
         else:

@@ -51,3 +51,14 @@ def test_entry_and_names(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 500
+
+
+@pytest.mark.parametrize("name", ["ref_rotate"])
+def test_slices_that_are_not_full(spark, duck, tmp_path, name):
+    """The last slice is filled to a third, and others have holes."""
+    import pandas as pd
+
+    rows = pd.read_parquet(f"{SF}/embeddings.parquet")
+    rows[(rows.vec_id < 436) & ~rows.vec_id.isin([0, 44, 122, 123, 399])].to_parquet(f"{tmp_path}/embeddings.parquet")
+    got = relational.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert len(got) and same_rows(got, duck(relational.ORACLE_SQL[name], str(tmp_path)))
