@@ -194,10 +194,11 @@ PARTIAL = "img string, home int, tile int, v binary, top binary, sums binary, ow
 _AWAY = -1  # state of voxels that lie in another tile
 
 
-def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, stride: int, fwhm: float | None, groups: Sequence[int] | None = None, mask: str | None = None, grid: DataFrame | None = None) -> DataFrame:
+def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, stride: int, fwhm: float | None, groups: Sequence[int] | None = None, mask: str | None = None, grid: DataFrame | None = None, held: bool = False) -> DataFrame:
     """Partial sums of overlapping patches for each voxel and tile whose patches cover it, and for each voxel of the tile's core.
 
-    Centres lie at multiples of the stride; with a boolean column `mask` only patches that touch it count.
+    Centres lie at multiples of the stride; with a boolean column `mask` only patches that touch it count, with held only those
+    whose centre has a row.
     fwhm is in units of the spacing of centres; None weighs all alike. `home` is the tile that a voxel lies in, whose row tells
     its state. A voxel whose own patch is empty needs no patch to be done."""
     core, reach = np.array(g.tile(stride)), np.array(g.reach)
@@ -212,6 +213,8 @@ def patch_sums(voxels: DataFrame, g: Geometry, estimate: kernels.Estimate, strid
         centres = _centres(g, tile, core, [0] * 3, [stride] * 3)
         inside, own = np.zeros(len(block.raw), bool), np.zeros(len(block.raw))
         inside[block.flat(coords)], own[block.flat(coords)] = _flags(table, mask), _own(table)
+        if held:
+            centres = centres[np.isin(block.flat(centres), block.flat(coords))]
         if mask:
             centres = centres[kernels.hits(block, centres, inside) > 0]
         touched, top, *sums = kernels.averaged(block, centres, estimate, _known(g, block, table, coords, centres, points), falloff)

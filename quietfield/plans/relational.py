@@ -144,13 +144,17 @@ w AS (SELECT n.img, n.v, est1, est2, exp(-4 * ln(2) / 16 * ((v.x - n.x) ** 2 + (
 SELECT img, v, round(CAST(CAST(sum(w * est1) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS mean1, round(CAST(CAST(sum(w * est2) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS mean2, 1 AS rank FROM w GROUP BY img, v
 """)
 def ref_overlap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian-weighted mean of overlapping patch estimates (here patch means), centres at stride 2, for each pair of volumes."""
+    """Gaussian-weighted mean of overlapping patch estimates (here patch means), centres at stride 2, for each pair of volumes.
+
+    A third volume of ones tells the voxels that are there from places without one, which neither count nor are centres."""
     voxels, dims = pair_voxels(spark, sf_dir)
+    voxels = voxels.withColumn("ts", F.concat("ts", F.array(F.lit(1.0).cast("float"))))
 
     def patch_mean(y: np.ndarray, known: np.ndarray | None):
-        return np.broadcast_to(y.mean(axis=1, keepdims=True), y.shape), np.zeros(len(y)), np.ones(len(y))
+        total = y.sum(axis=1, keepdims=True)
+        return np.broadcast_to(total / total[..., 2:], y.shape), np.zeros(len(y)), np.ones(len(y))
 
-    out = patches.merged(patches.patch_sums(voxels, Geometry(dims, 2, 3, "cube"), patch_mean, 2, 2.0))
+    out = patches.merged(patches.patch_sums(voxels, Geometry(dims, 3, 3, "cube"), patch_mean, 2, 2.0, held=True)).where(F.col("state") == patches.DONE)
     return out.select("img", "v", *((F.round(F.col("ts")[k].cast("double"), 4) + 0.0).alias(f"mean{k + 1}") for k in (0, 1)), "rank")
 
 

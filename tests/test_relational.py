@@ -53,7 +53,7 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() == 500
 
 
-@pytest.mark.parametrize("name", ["ref_rotate"])
+@pytest.mark.parametrize("name", ["ref_rotate", "ref_overlap_mean"])
 def test_slices_that_are_not_full(spark, duck, tmp_path, name):
     """The last slice is filled to a third, and others have holes."""
     import pandas as pd
